@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from evifuse.plans import sync
+from evifuse.plans import evaluation, sync
 
 
 def catalog() -> dict:
     found: dict = {}
-    for module in (sync,):
+    for module in (sync, evaluation):
         found |= module.QUERIES
     return found
