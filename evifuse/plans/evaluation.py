@@ -14,7 +14,8 @@ b AS (SELECT *, CAST(sum(n) OVER w AS DOUBLE) AS kept, sum(risk) OVER w AS lost,
 
 
 def rounded(df, *names, digits: int = 6):
-    return df.select(*(F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns))
+    """Named columns rounded; a negative zero becomes zero."""
+    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if c in names else F.col(c) for c in df.columns))
 
 
 def _curve(spark, sf_dir):
