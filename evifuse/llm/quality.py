@@ -13,7 +13,7 @@ bounded by the number of strata. Labels of documents outside the holdout are nev
 
 Edge cases: a null or empty text has no words and fails the base rule. A null language is a stratum of its own.
 Texts are measured whole. Of labels given twice, the lower quality counts. Empty tables give no rows; without
-labels the base rule alone decides. Other columns of the input are left out.
+labels the base rule alone decides. ``judge`` leaves other columns out, ``keep`` passes them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(let(windows_of(words), counted))
 
 
-def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
+def measured(docs: DataFrame, *keep: Column | str) -> DataFrame:
     """The columns ``keep`` and the counts and measures of (text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
@@ -100,8 +100,9 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
     ).select("*", "counts.*").drop("counts")
     per = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     c = F.col
+    kept = [k if isinstance(k, str) else found.columns[i] for i, k in enumerate(keep)]
     return found.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         per(c("n_symbols"), c("word_chars")).alias("symbol_rate"),
         per(c("n_dup_lines"), c("n_breaks") + 1).alias("dup_line_rate"),
         per(c("n_repeat_words"), c("n_words")).alias("repeat_rate"),
@@ -129,11 +130,11 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(terms, start, step, lambda acc: acc["sum"])
 
 
-def thresholds(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """stratum, measure, cutoff: the strictest proven cutoff of each stratum and measure, from labelled rows."""
+def thresholds(measures: DataFrame, labels: DataFrame) -> DataFrame:
+    """stratum, measure, cutoff: the strictest proven cutoff of each stratum and measure, from labelled rows of ``measured``."""
     truth = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    good = docs.select("doc_id", "lang", "text").join(truth.where("quality = 1").select("doc_id"), "doc_id")
-    rows = measured(good, ["lang"]).where(~base_failed())
+    slim = measures.select("doc_id", "lang", "n_words", "n_repeat_words", *CUTOFFS)
+    rows = slim.join(truth.where("quality = 1").select("doc_id"), "doc_id").where(~base_failed())
     counts = [F.sum((F.col(m) > cut).cast("long")).alias(f"{m}@{cut}") for m, cuts in CUTOFFS.items() for cut in cuts]
     held = rows.groupBy(F.coalesce("lang", F.lit("")).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *counts)
     tests = F.array(*(F.struct(F.lit(m).alias("measure"), F.lit(float(cut)).alias("cutoff"), F.col(f"`{m}@{cut}`").alias("k")) for m, cuts in CUTOFFS.items() for cut in cuts))
@@ -145,16 +146,25 @@ def thresholds(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return proven.groupBy("stratum", "measure").agg(F.min("cutoff").alias("cutoff"))
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed, kept and the measures that rejected, for (doc_id, lang, text)."""
-    chosen = thresholds(docs, labels)
+def ruled(measures: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``measured`` with base_failed, kept and rejected_by, the measures over their cutoffs."""
+    chosen = thresholds(measures, labels)
     rules = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("measure", "cutoff"))).alias("cutoffs"))
     rules = materialize(rules, "quality-rules")
     small = rules.count() <= MOST_STRATA
-    rows = measured(docs, ["doc_id", "lang"]).withColumn("stratum", F.coalesce("lang", F.lit("")))
-    judged = rows.join(F.broadcast(rules) if small else rules, "stratum", "left")
+    judged = measures.withColumn("stratum", F.coalesce("lang", F.lit(""))).join(F.broadcast(rules) if small else rules, "stratum", "left")
     over = [F.when(F.col(m) > F.element_at("cutoffs", m), F.lit(m)) for m in CUTOFFS]
-    fails = F.array_compact(F.array(*over))
-    named = judged.withColumn("base_failed", base_failed()).withColumn("rejected_by", F.array_join(fails, ","))
-    kept = ~F.col("base_failed") & (F.col("rejected_by") == "")
-    return named.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "rejected_by")
+    named = judged.withColumn("base_failed", base_failed()).withColumn("rejected_by", F.array_join(F.array_compact(F.array(*over)), ","))
+    return named.withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == ""))
+
+
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, the counts, base_failed, kept and rejected_by for (doc_id, lang, text). Texts are measured once; only measures travel."""
+    measures = materialize(measured(docs, "doc_id", "lang"), "quality-measures")
+    return ruled(measures, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns; the rows are stored beside their measures, not joined to them again."""
+    measures = materialize(measured(docs, "doc_id", "lang", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), "quality-measures")
+    return ruled(measures, labels).where("kept").select("row.*")
