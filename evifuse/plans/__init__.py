@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from evifuse.plans import evaluation, protocol, rasters, sync
+from evifuse.plans import evaluation, live, protocol, rasters, sync
 
 
 def catalog() -> dict:
     found: dict = {}
-    for module in (sync, evaluation, rasters, protocol):
+    for module in (sync, evaluation, rasters, protocol, live):
         found |= module.QUERIES
     return found

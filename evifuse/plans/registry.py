@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from evifuse.plans import catalog
+from evifuse.sources.ship import ship
+
+
+def shipped(query):
+    """The query, with the package sent to the executors first."""
+
+    @wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
-    return {name: query for name, (query, _) in catalog().items()}
+    return {name: shipped(query) for name, (query, _) in catalog().items()}
 
 
 def oracle_sql() -> dict[str, str]:
