@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
+from evifuse.sources.ship import ship  # noqa: F401  the operators' queries take it from here
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each SparkContext, as they need not have it installed."""
-    context = spark.sparkContext
-    if getattr(context, "_evifuse_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = os.path.join(os.path.realpath(tempfile.mkdtemp()), f"{package.name}.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for path in sorted(package.rglob("*.py")):
-            out.write(path, path.relative_to(package.parent))
-    context.addPyFile(archive)
-    context._evifuse_shipped = True
+A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
@@ -60,7 +45,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)  # zstd keeps native buffers of every small task until a collection
     return spark.read.schema(df.schema).parquet(path)
 
 
