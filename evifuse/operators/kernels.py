@@ -92,7 +92,7 @@ def match(boxes: DataFrame, threshold: float) -> DataFrame:
 
 def sample_grid(grid: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
     """Bilinear values; unknown where a needed neighbour is unknown or outside."""
-    r, c = np.floor(row).astype(int), np.floor(col).astype(int)
+    r, c = (np.where(np.isfinite(v), np.floor(v), -2).astype(int) for v in (row, col))
     fr, fc = row - r, col - c
     total = np.zeros(len(row))
     for i in (0, 1):

@@ -43,7 +43,7 @@ def select(held: list[tuple], ref: tuple, stream: str, policy: Policy) -> tuple:
 
 
 def synchronize(observations: DataFrame, reference: str, streams: list[str], policy: Policy) -> DataFrame:
-    """Works on streams and, row for row alike, on static tables."""
+    """Rows of a stream (rig, seq, stream, t, unc, domain) as selections, see ``OUT``."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = [tuple(o) for o in zip(*state.get)] if state.exists else []
