@@ -10,8 +10,11 @@ orders lists only, so its errors cost time and never a link.
 Work stays in proportion to the documents:
 
 * Equal sets are one class, which its smallest doc_id stands for.
+* A candidate pair is first judged by its sets' parity bits, about one bit for each shingle: they give a lower
+  bound of the difference, so most pairs fall without their sets being fetched and none falls wrongly.
 * Within a short list, only neighbours in a hashed order are candidates at first, a chain for each list.
   Verified links join classes into components.
+* Places count: shingles before the first common one lie in one set alone, so late places rule a pair out.
 * Then the lists that still hold several components are searched again, for pairs of different components
   alone. Two documents of one component need no further link, so large groups of near copies never unfold
   into their pairs. This is repeated to the last pair: no list and no partner is capped.
@@ -35,9 +38,11 @@ from evifuse.llm.shared import materialize, raw_texts
 
 WORDS, SIMILAR = 3, 90  # words of a shingle; least similarity in hundredths
 SKETCH_BITS, CHUNK_BITS = 21, 16
+#: Slots of the short parities that go with the lists.
+FOLD = 256
 #: Distinct words whose hashes a task remembers; pairs compared together.
 MEMORY = 400_000
-SETS = "doc_id long, n_shingles long, key_a long, key_b long, short array<long>"
+SETS = "doc_id long, n_shingles long, key_a long, key_b long, bits binary, fold array<long>, short array<long>"
 
 
 class Hashes(dict):
@@ -108,23 +113,54 @@ def short_lists(docs: DataFrame, size: int, similar: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, length = Hashes(), weights.value
         for batch in batches:
-            sizes, keys, short = [], [], []
+            sizes, keys, bits, folds, short = [], [], [], [], []
             for raw in raw_texts(batch):
                 found = shingles(raw, hashes, size)
                 n = len(found)
                 sizes.append(n)
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()))
+                bits.append(parities(found, max(64, 1 << max(n - 1, 0).bit_length())))
+                folds.append(np.frombuffer(parities(found, FOLD), "<i8"))
                 order = np.argsort(length[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                 short.append(found[order[: n + (-similar * n // 100) + 1]].view(np.int64) if n else [])
             halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(short, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "key_a", "key_b", "short"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(bits, pa.binary()), pa.array(folds, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "key_a", "key_b", "bits", "fold", "short"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(task, SETS)
 
 
+def parities(found: np.ndarray, slots: int) -> bytes:
+    """A bit for each slot: whether it holds an odd number of shingles. Sets have as many slots as shingles, or up to twice as many."""
+    return np.packbits((np.bincount((found & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1).astype(bool)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """How many shingles two sets differ in at least: each slot of different parity holds one. The longer is folded."""
+    if len(a) > len(b):
+        a, b = b, a
+    while len(b) > len(a):
+        half = len(b) // 2
+        b = (int.from_bytes(b[:half]) ^ int.from_bytes(b[half:])).to_bytes(half)
+    return (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
+
+
+def near(pairs: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
+    """The pairs that their parities allow to link: others are dropped for sure, before their sets are fetched."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n", "m")))
+            keep = [least_difference(a, b) * (100 + similar) <= (n + m) * (100 - similar) for a, b, n, m in rows]
+            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda name, bits, n: classes.select(F.col("id").alias(name), F.col("bits").alias(bits), F.col("n_shingles").alias(n))
+    both = pairs.join(of("x", "a", "n"), "x").join(of("y", "b", "m"), "y")
+    return both.select("x", "y", "a", "b", "n", "m").mapInArrow(task, "x long, y long")
+
+
 def bitmap(ids: DataFrame, bits: int = 24) -> np.ndarray:
     """Hashed ids as bits: a fixed size, however many ids there are. Used to skip texts early, never to decide."""
     width = 1 << 16
@@ -201,9 +237,19 @@ def components(links: DataFrame) -> DataFrame:
     return labels.unionByName(roots)
 
 
-def possible(n: str, m: str, similar: int):
-    """Sizes that allow the similarity."""
-    return (F.lit(100) * F.least(n, m)) >= (F.lit(similar) * F.greatest(n, m))
+def possible(similar: int):
+    """Whether two sets may link whose first common shingle is this one: what is left of either must hold the overlap T.
+
+    All before it, in the common order of lists, is in one of the sets alone. n, m: sizes; at, to: places in them.
+    """
+    left = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to"))
+    return F.lit(100 + similar) * left >= F.lit(similar) * (F.col("n") + F.col("m"))
+
+
+def alike(similar: int):
+    """``near`` by the short parities alone, inside a join."""
+    differ = sum((F.bit_count(F.col("fold")[i].bitwiseXOR(F.col("fold2")[i])) for i in range(1, FOLD // 64)), F.bit_count(F.col("fold")[0].bitwiseXOR(F.col("fold2")[0])))
+    return differ * (100 + similar) <= (F.col("n") + F.col("m")) * (100 - similar)
 
 
 def join(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -211,24 +257,29 @@ def join(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR) -> DataFram
     docs = docs.select("doc_id", "text")
     all_sets = materialize(short_lists(docs, size, similar), "jaccard-sets")
     grouped = all_sets.where("n_shingles > 0").groupBy("key_a", "key_b", "n_shingles")
-    classes = grouped.agg(F.min("doc_id").alias("id"), F.min_by("short", "doc_id").alias("short"))
-    rows = classes.select("id", F.col("n_shingles").alias("n"), F.explode("short").alias("shingle"))
+    classes = grouped.agg(F.min("doc_id").alias("id"))
+    owners = all_sets.join(classes.select(F.col("id").alias("doc_id"), "key_a", "key_b"), ["doc_id", "key_a", "key_b"], "left_semi")
+    classes = materialize(owners.dropDuplicates(["doc_id", "key_a", "key_b"]).withColumnRenamed("doc_id", "id"), "jaccard-classes")
+    rows = classes.select("id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("short").alias("at", "shingle"))
     order = Window.partitionBy("shingle").orderBy(F.xxhash64("shingle", "id"))
-    chained = rows.select("shingle", "id", "n", F.lag("id").over(order).alias("y"), F.lag("n").over(order).alias("m"), F.lead("id").over(order).alias("after"))
+    before = F.lag(F.struct("id", "n", "at")).over(order)
+    chained = rows.select("shingle", "id", "n", "at", before.alias("before"), F.lead("id").over(order).alias("after"))
+    chained = chained.select("shingle", "id", "n", "at", F.col("before.id").alias("y"), F.col("before.n").alias("m"), F.col("before.at").alias("to"), "after")
     lists = materialize(chained.where("y IS NOT NULL OR after IS NOT NULL").drop("after"), "jaccard-lists")
-    chain = lists.where("y IS NOT NULL").where(possible("n", "m", similar))
+    chain = lists.where("y IS NOT NULL").where(possible(similar))
     pairs = materialize(chain.select(F.least("id", "y").alias("x"), F.greatest("id", "y").alias("y")).distinct(), "jaccard-chain")
-    links = materialize(verified(docs, pairs, size, similar), "jaccard-links")
+    links = materialize(verified(docs, pairs, classes, size, similar), "jaccard-links")
     joined = materialize(components(links), "jaccard-components")
     # lists that still hold several components: all their pairs of different components
-    marked = lists.select("shingle", "id", "n").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    marked = lists.select("shingle", "id", "n", "at").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed_lists = marked.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high AND members > 2")
-    left = materialize(marked.join(mixed_lists.select("shingle"), "shingle", "left_semi"), "jaccard-mixed")
-    other = left.select("shingle", F.col("id").alias("y"), F.col("n").alias("m"), F.col("component").alias("other"))
-    met = left.join(other, "shingle").where((F.col("id") < F.col("y")) & (F.col("component") != F.col("other"))).where(possible("n", "m", similar))
+    unsettled = marked.join(mixed_lists.select("shingle"), "shingle", "left_semi")
+    left = materialize(unsettled.join(classes.select("id", "fold"), "id"), "jaccard-mixed")
+    other = left.select("shingle", F.col("fold").alias("fold2"), F.col("id").alias("y"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("component").alias("other"))
+    met = left.join(other, "shingle").where((F.col("id") < F.col("y")) & (F.col("component") != F.col("other")) & possible(similar) & alike(similar))
     rest = materialize(met.select(F.col("id").alias("x"), "y").distinct().join(pairs, ["x", "y"], "left_anti"), "jaccard-rest")
     if not rest.isEmpty():
-        more = materialize(verified(docs, rest, size, similar), "jaccard-more")
+        more = materialize(verified(docs, rest, classes, size, similar), "jaccard-more")
         if not more.isEmpty():
             joined = materialize(components(links.unionByName(more)), "jaccard-components")
     named = classes.select("key_a", "key_b", "n_shingles", "id").join(joined, "id", "left").select("key_a", "key_b", "n_shingles", F.coalesce("component", "id").alias("component_id"))
@@ -237,7 +288,8 @@ def join(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR) -> DataFram
     return full.unionByName(empty)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, similar: int) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    ids = materialize(ids, "jaccard-ids")
-    return probe(pairs, materialize(sets_of(docs, ids, size), "jaccard-held"), similar)
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, similar: int) -> DataFrame:
+    """The pairs that link, by their parities first and then by their sets."""
+    left = materialize(near(pairs, classes, similar), "jaccard-near")
+    ids = materialize(left.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "jaccard-ids")
+    return probe(left, materialize(sets_of(docs, ids, size), "jaccard-held"), similar)
