@@ -16,22 +16,20 @@ from evifuse.llm.shared import materialize, ship, table
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; thresholds are selected on these documents' labels."""
     ship(spark)
-    kept = quality.judge(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
     ship(spark)
-    clean = toxicity.score(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(clean, "doc_id", "left_semi").select(docs.columns)
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates: five-word shingles, similarity 0.8."""
     ship(spark)
-    firsts = jaccard_join.join(docs, 5, 80).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    firsts = jaccard_join.join(docs, 5, 80).where("doc_id = component_id").select("doc_id")
+    return docs.join(firsts.hint("merge"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ text does, against windows of clean ones. The trained weights have a fixed size
 
 Edge cases: a null or empty text is a window of padding alone and gets the score of that. Texts are scored
 whole. Repeated rows get equal scores. Where a class has no labelled row every score is 0.02. Of labels given
-twice the higher counts. Empty tables give no rows. Inputs of a score are texts alone; other columns are left out.
+twice the higher counts. Empty tables give no rows. Inputs of a score are texts alone;
+``score`` leaves other columns out, ``keep_clean`` passes them on.
 """
 
 from __future__ import annotations
@@ -303,3 +304,15 @@ def score(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(task, SCHEMA)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, all columns, filtered where they are scored."""
+    weights = docs.sparkSession.sparkContext.broadcast(train(sample(docs, labels, size)))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(weights.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.scores(raw_texts(batch)) < 0.5))
+
+    return docs.mapInArrow(task, docs.schema)
