@@ -17,9 +17,13 @@ def mean_square(image: np.ndarray, radius: int) -> np.ndarray:
     """Mean over a square with mirrored borders, from running sums."""
     if radius <= 0:
         return image
-    side = 2 * radius + 1
-    sums = np.pad(np.pad(image.astype(np.float64), radius, mode="reflect"), ((1, 0), (1, 0))).cumsum(0).cumsum(1)
-    return (sums[side:, side:] - sums[:-side, side:] - sums[side:, :-side] + sums[:-side, :-side]) / side**2
+    side, wide = 2 * radius + 1, np.pad(image.astype(np.float64), radius, mode="reflect")
+    rows = np.zeros((wide.shape[0] + 1, wide.shape[1]))
+    np.cumsum(wide, axis=0, out=rows[1:])
+    tall = rows[side:] - rows[:-side]
+    columns = np.zeros((tall.shape[0], tall.shape[1] + 1))
+    np.cumsum(tall, axis=1, out=columns[:, 1:])
+    return (columns[:, side:] - columns[:, :-side]) / side**2
 
 
 def blur(frames: DataFrame, radius: int) -> DataFrame:
@@ -141,3 +145,53 @@ def terrain_hits(rays: DataFrame, grid: np.ndarray, most: float, step: float) ->
             yield pd.concat(out).replace({np.nan: None}) if out else pd.DataFrame({c: [] for c in ("ray", "reach", "east", "north", "up")})
 
     return rays.mapInPandas(task, "ray long, reach double, east double, north double, up double")
+
+
+def colored(image: np.ndarray, stops) -> np.ndarray:
+    """Palette colors of [0, 1] values, halves to even; unknown is black."""
+    at = np.array([s[0] for s in stops])
+    out = np.stack([np.interp(image, at, [s[i] for s in stops]) for i in (1, 2, 3)], axis=-1)
+    return np.rint(np.where(np.isnan(image)[..., None], 0, out)).astype(np.uint8)
+
+
+def palette(frames: DataFrame, stops) -> DataFrame:
+    """frame and its packed RGB bytes; the long form is functions.raster.palette."""
+
+    @F.pandas_udf("binary")
+    def packed(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+        return pd.Series([colored(np.frombuffer(d, "<f4").reshape(h, w), stops).tobytes() for d, h, w in zip(data, height, width)])
+
+    return frames.select("frame", packed("data", "height", "width").alias("rgb"))
+
+
+def by_p99(image: np.ndarray) -> np.ndarray:
+    return np.clip(image / max(float(np.percentile(image, 99)), 1e-7), 0, 1)
+
+
+def fused(visible: np.ndarray, thermal: np.ndarray, support: float, gain: float = 1.0, floor: float = 0.12, ceiling: float = 0.82) -> dict[str, np.ndarray]:
+    """Machine channels of an aligned pair: normalization, details, contrast, and the expressions of raster.fuse."""
+    low, high = np.percentile(thermal, (1, 99))
+    heat = np.clip((thermal - low) / (high - low), 0, 1) if high > low + 1e-8 else np.zeros_like(thermal)
+    detail, heat_detail = by_p99(edges(visible)), by_p99(edges(heat))
+    saliency = np.clip(0.55 * heat_detail + 0.45 * by_p99(np.abs(heat - mean_square(heat, 3))), 0, 1)
+    night = np.clip((0.48 - visible.mean()) / 0.38, 0, 1)
+    weight = np.clip(gain * (floor + 0.22 * night + 0.58 * saliency), 0, ceiling) * support
+    exposure = np.clip(1 - 1.7 * np.abs(visible - 0.5), 0.08, 1)
+    reliable = np.maximum(np.clip(0.45 * exposure + 0.55 * detail, 0, 1), np.clip(0.3 + 0.7 * saliency, 0, 1))
+    tone = np.clip((visible - 0.5) * 1.08 + 0.5, 0, 1)
+    return {"saliency": saliency, "thermal_contribution": weight, "fusion_support": np.clip(reliable * support, 0, 1), "fused": (1 - weight) * tone + weight * heat}
+
+
+def fuse(pairs: DataFrame, channels: tuple[str, ...] = ("saliency", "thermal_contribution", "fusion_support", "fused")) -> DataFrame:
+    """Packed channels of pairs (frame, height, width, visible, thermal, support); a support under one half counts as none."""
+    schema = ", ".join(f"{c} binary" for c in channels)
+
+    @F.pandas_udf(schema)
+    def packed(visible: pd.Series, thermal: pd.Series, height: pd.Series, width: pd.Series, support: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v, t, h, w, s in zip(visible, thermal, height, width, support):
+            found = fused(np.frombuffer(v, "<f4").reshape(h, w), np.frombuffer(t, "<f4").reshape(h, w), s if s >= 0.5 else 0.0)
+            rows.append([found[c].astype("<f4").tobytes() for c in channels])
+        return pd.DataFrame(rows, columns=list(channels))
+
+    return pairs.select("frame", packed("visible", "thermal", "height", "width", "support").alias("c")).select("frame", "c.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from evifuse.functions.raster import THERMAL
 from evifuse.operators import gates, kernels
 from evifuse.plans.sync import OTHERS, POLICY
 from evifuse.sources.scratch import scratch
@@ -49,6 +50,27 @@ def blur_packed(spark, sf_dir):
     return kernels.blur(_frames(spark, sf_dir), 3).select("frame", F.round(mean("data"), 5).alias("mean"))
 
 
+def palette_packed(spark, sf_dir):
+    """Digest of each frame's colors; the long form is palette_thermal."""
+    return kernels.palette(_frames(spark, sf_dir), THERMAL).select("frame", F.sha2("rgb", 256).alias("digest"))
+
+
+def fuse_packed(spark, sf_dir):
+    """Mean channels of packed frames, each fused with its negative."""
+    frames = _frames(spark, sf_dir)
+
+    @F.pandas_udf("binary")
+    def negative(data):
+        return data.map(lambda d: (1 - np.frombuffer(d, "<f4")).tobytes())
+
+    @F.pandas_udf("double")
+    def mean(data):
+        return data.map(lambda d: float(np.frombuffer(d, "<f4").mean()))
+
+    pairs = frames.select("frame", "height", "width", F.col("data").alias("visible"), negative("data").alias("thermal"), (F.col("frame") % 10 / F.lit(10.0)).alias("support"))
+    return kernels.fuse(pairs).select("frame", *(F.round(mean(c), 5).alias(c) for c in ("saliency", "thermal_contribution", "fusion_support", "fused")))
+
+
 def phase_registration(spark, sf_dir):
     frames = _frames(spark, sf_dir)
     pairs = frames.select("frame", "height", "width", F.col("data").alias("reference"), F.col("data").alias("moving"))
@@ -105,6 +127,8 @@ SELECT mission, seq, frame, coalesce(reason2, CASE WHEN before THEN 'duplicate_f
 QUERIES = {
     "stream_sync_state": (stream_sync_state, None),
     "blur_packed": (blur_packed, None),
+    "palette_packed": (palette_packed, None),
+    "fuse_packed": (fuse_packed, None),
     "phase_registration": (phase_registration, None),
     "iou_matching": (iou_matching, None),
     "terrain_march": (terrain_march, TERRAIN),

@@ -188,3 +188,25 @@ def test_publication_is_locked_and_detects_tampering(spark, tmp_path):
     (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
     part.write_bytes(part.read_bytes() + b"x")
     assert [r.fault for r in publish.verify(spark, folder).collect()] == ["changed"]
+
+
+def test_packed_kernels_equal_long_form(spark):
+    from evifuse.functions.raster import THERMAL, palette
+
+    image = np.random.default_rng(3).random((9, 12)).astype(np.float32)
+    rows = spark.createDataFrame([(0, y, x, float(image[y, x])) for y in range(9) for x in range(12)], "frame long, y int, x int, v double")
+    long = {(r.y, r.x): (r.r, r.g, r.b) for r in rows.select("y", "x", *(palette(F.col("v"), THERMAL, i + 1).alias(c) for i, c in enumerate("rgb"))).collect()}
+    colors = kernels.colored(image.astype(np.float64), THERMAL)
+    assert all(tuple(map(int, colors[y, x])) == v for (y, x), v in long.items())
+    v = F.col("v")
+    steps = raster.robust_normalize(rows.withColumn("visible", v), "v", into="thermal")
+    steps = raster.gradient_energy(raster.gradient_energy(steps, 9, 12, "visible", "ve"), 9, 12, "thermal", "te")
+    blurred = raster.box_blur(steps.select("frame", "y", "x", "thermal"), 9, 12, 3, "thermal").withColumnRenamed("thermal", "local")
+    steps = steps.join(blurred, ["frame", "y", "x"]).withColumn("gap", F.abs(F.col("thermal") - F.col("local")))
+    for a, b in (("ve", "visible_detail"), ("te", "thermal_detail"), ("gap", "contrast")):
+        steps = raster.scale_by_p99(steps, a, b)
+    want = raster.fuse(steps.withColumns({"support": F.lit(0.9), "valid": F.lit(True), "eligible": F.lit(True)}))
+    got = kernels.fused(image.astype(np.float64), image.astype(np.float64), 0.9)
+    for r in want.collect():
+        for c in got:
+            assert r[c] == pytest.approx(got[c][r.y, r.x], abs=1e-6)
