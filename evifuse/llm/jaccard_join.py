@@ -293,3 +293,20 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, s
     left = materialize(near(pairs, classes, similar), "jaccard-near")
     ids = materialize(left.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "jaccard-ids")
     return probe(left, materialize(sets_of(docs, ids, size), "jaccard-held"), similar)
+
+
+#: ``join`` in DuckDB's SQL, for three words and 90 hundredths; lists of all shingles are joined, so it is for small tables.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END)) AS ss FROM w
+), c AS (SELECT ss, min(doc_id) AS id, len(ss) AS n FROM s WHERE len(ss) > 0 GROUP BY ss),
+e AS (SELECT id, n, unnest(ss) AS shingle FROM c),
+links AS (SELECT a.id AS x, b.id AS y FROM e a JOIN e b ON a.shingle = b.shingle AND a.id < b.id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT id AS x, id AS y FROM c UNION SELECT r.x, ways.y FROM reach r JOIN ways ON r.y = ways.x),
+least_id AS (SELECT x AS id, min(y) AS component FROM reach GROUP BY x)
+SELECT doc_id, len(s.ss) AS n_shingles, coalesce(component, doc_id) AS component_id FROM s LEFT JOIN c ON s.ss = c.ss LEFT JOIN least_id USING (id)
+"""

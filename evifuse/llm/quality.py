@@ -86,7 +86,7 @@ def measured(docs: DataFrame, *keep: Column | str) -> DataFrame:
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     dup = let(lines, lambda s: F.size(s) - F.size(F.array_distinct(s)))
-    counts = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words")))
+    counts = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.size(F.filter(w, lambda x: x == "|")).cast("long").alias("n_bars"), repeat_words(w).alias("n_repeat_words")))
     found = docs.select(
         *keep,
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
@@ -94,7 +94,6 @@ def measured(docs: DataFrame, *keep: Column | str) -> DataFrame:
         dup.cast("long").alias("n_dup_lines"),
         F.regexp_count(text, F.lit(r"!")).cast("long").alias("n_bangs"),
         F.regexp_count(text, F.lit(r"[A-Z][A-Z]+")).cast("long").alias("n_shouts"),
-        F.regexp_count(text, F.lit(r"(?<=[\x20\x09-\x0D])\|(?=[\x20\x09-\x0D])")).cast("long").alias("n_bars"),
         F.regexp_count(text, F.lit("\n")).cast("long").alias("n_breaks"),
         counts.alias("counts"),
     ).select("*", "counts.*").drop("counts")
@@ -168,3 +167,30 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns; the rows are stored beside their measures, not joined to them again."""
     measures = materialize(measured(docs, "doc_id", "lang", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), "quality-measures")
     return ruled(measures, labels).where("kept").select("row.*")
+
+
+def sql() -> str:
+    """``judge`` in DuckDB's SQL."""
+    counts = ", ".join(f"count(*) FILTER ({m} > {cut}) AS k{i}" for i, (m, cut) in enumerate((m, cut) for m, cuts in CUTOFFS.items() for cut in cuts))
+    listed = " UNION ALL ".join(f"SELECT stratum, n, strata, '{m}' AS measure, {cut}::DOUBLE AS cutoff, k{i} AS k FROM held" for i, (m, cut) in enumerate((m, cut) for m, cuts in CUTOFFS.items() for cut in cuts))
+    over = ", ".join(f"CASE WHEN {m} > (SELECT cutoff FROM proven p WHERE p.stratum = m.stratum AND p.measure = '{m}') THEN '{m}' END" for m in CUTOFFS)
+    rate = lambda a, b: f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) ELSE 0 END"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS ls FROM d),
+windows AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM twice, range(3) o(j) GROUP BY doc_id),
+c AS (SELECT doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(regexp_extract_all(t, '!')) AS n_bangs, len(regexp_extract_all(t, '[A-Z][A-Z]+')) AS n_shouts,
+  len(list_filter(ws, lambda x: x = '|')) AS n_bars, len(string_split(t, chr(10))) AS n_lines FROM w LEFT JOIN covered USING (doc_id)),
+m AS (SELECT *, {rate('n_symbols', 'word_chars')} AS symbol_rate, {rate('n_dup_lines', 'n_lines')} AS dup_line_rate, {rate('n_repeat_words', 'n_words')} AS repeat_rate, {rate('n_bangs', 'n_words')} AS bang_rate,
+  {rate('n_shouts', 'n_words')} AS shout_rate, {rate('n_bars', 'n_words')} AS bar_rate, abs({rate('word_chars', 'n_words')} - 6) AS word_length_gap, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+held AS (SELECT stratum, count(*) AS n, count(*) OVER () AS strata, {counts} FROM m SEMI JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY stratum),
+tests AS ({listed}),
+proven AS (SELECT stratum, measure, min(cutoff) AS cutoff FROM tests
+  WHERE k <= {RISK} * n AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1e0) - lgamma(i + 1e0) - lgamma(n - i + 1e0) + i * ln({RISK}::DOUBLE) + (n - i) * ln({1 - RISK}::DOUBLE)))) <= {DELTA / N_TESTS!r}::DOUBLE / strata
+  GROUP BY stratum, measure),
+j AS (SELECT *, concat_ws(',', {over}) AS rejected_by FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by = '' AS kept, rejected_by FROM j"""

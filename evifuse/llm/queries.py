@@ -114,4 +114,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.SQL, "op7_url_filter": SQL_7, "op10_warc": SQL_10}
+    return {"op2_chat_format": chat.SQL, "op3_jaccard_join": jaccard_join.SQL, "op6_quality_rules": quality.sql(), "op7_url_filter": SQL_7, "op10_warc": SQL_10}
