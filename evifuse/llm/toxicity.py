@@ -7,7 +7,7 @@ highest window's, as one passage is enough; it is shifted and scaled on training
 
 Training takes a bounded sample of labelled rows, ``SAMPLE`` of each class with the smallest hashed ids, and
 never a held-out row. First all windows carry their text's label; later only the highest window of a toxic
-text does, against windows of clean ones. The trained weights have a fixed size (about 5 MB) and are broadcast.
+text does, against random and the highest windows of clean ones. The trained weights have a fixed size (about 5 MB) and are broadcast.
 
 Edge cases: a null or empty text is a window of padding alone and gets the score of that. Texts are scored
 whole. Repeated rows get equal scores. Where a class has no labelled row every score is 0.02. Of labels given
@@ -18,6 +18,7 @@ twice the higher counts. Empty tables give no rows. Inputs of a score are texts
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -161,9 +162,16 @@ def backward(weights: dict, projected: np.ndarray, mask: np.ndarray, kept, slope
 
 
 def train(texts: list[tuple[bytes | None, int]]) -> dict[str, np.ndarray]:
-    """Weights from labelled texts; every fifth text is kept aside for the shift and scale."""
+    """Weights from labelled texts; every fifth text is kept aside for the shift and scale.
+
+    Of texts whose three least word hashes agree, copies for the most part, only the first is used.
+    """
     weights = new_weights()
     words = Words()
+    seen: dict[tuple, tuple] = {}  # copies of one text would teach its accidental words
+    for raw, y in texts:
+        seen.setdefault(tuple(sorted({zlib.crc32(w) for w in words_of(raw)})[:3]), (raw, y))
+    texts = list(seen.values())
     tokens = [windows_of([words[w] for w in words_of(raw)]) for raw, _ in texts]
     labels = np.array([y for _, y in texts])
     if len(set(labels.tolist())) < 2:
@@ -198,7 +206,10 @@ def train(texts: list[tuple[bytes | None, int]]) -> dict[str, np.ndarray]:
             positive = np.concatenate([tokens[i][draw.permutation(len(tokens[i]))[:24]] for i in toxic])
         else:
             positive = np.stack([tokens[i][int(np.argmax(s))] for i, s in zip(toxic, logits_of(toxic))])
-        negative = np.concatenate([tokens[i][draw.permutation(len(tokens[i]))[:16]] for i in clean])
+        negative = [tokens[i][draw.permutation(len(tokens[i]))[:16]] for i in clean]
+        if epoch >= 2:  # and the windows of clean texts that look most toxic
+            negative += [tokens[i][np.argsort(s)[-3:]] for i, s in zip(clean, logits_of(clean))]
+        negative = np.concatenate(negative)
         index = np.concatenate([positive, negative])
         truth = np.concatenate([np.ones(len(positive)), np.zeros(len(negative))]).astype(np.float32)
         weight = np.where(truth == 1, 0.5 / len(positive), 0.5 / len(negative)).astype(np.float32) * len(truth)
