@@ -108,7 +108,10 @@ def judge(pages: DataFrame, rules=RULES, default: str = DEFAULT) -> DataFrame:
     if sum(len(r) + ENTRY.itemsize for r, _ in listed) > MOST_BYTES:
         raise ValueError("the list is over MOST_BYTES; use judge_large")
     name = f"urls-{hashlib.sha256(repr(listed).encode()).hexdigest()[:16]}.bin"
-    spark.sparkContext.addFile(compile_rules(listed, os.path.join(os.path.realpath(tempfile.mkdtemp()), name)))
+    context = spark.sparkContext
+    if name not in (sent := vars(context).setdefault("_evifuse_lists", set())):  # a list is sent once
+        context.addFile(compile_rules(listed, os.path.join(os.path.realpath(tempfile.mkdtemp()), name)))
+        sent.add(name)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = Digests(SparkFiles.get(name))
