@@ -49,3 +49,30 @@ def palette_sql(value: str, stops, channel: int) -> str:
         cases.append(f"WHEN {value} >= {a[0]!r}::DOUBLE AND {value} <= {b[0]!r}::DOUBLE THEN {a[channel]}e0 + ({value} - {a[0]!r}::DOUBLE) / {(b[0] - a[0])!r}::DOUBLE * {b[channel] - a[channel]}e0")
     cases.append(f"WHEN {value} > {stops[-1][0]!r} THEN {stops[-1][channel]}e0")
     return f"CAST(coalesce(round_even(CASE {' '.join(cases)} END, 0), 0) AS INTEGER)"
+
+
+#: Colors of the semantic classes 0 to 11.
+CLASSES = (
+    (255, 36, 0), (0, 0, 0), (242, 216, 196), (89, 70, 54), (166, 166, 166), (82, 89, 90),
+    (155, 230, 0), (0, 138, 53), (0, 216, 245), (13, 127, 252), (255, 249, 0), (254, 0, 170),
+)
+
+
+def class_color(cls: Column, channel: int) -> Column:
+    """A channel (1 to 3) of a class's color: listed, else 96 and seven bits of the multiplied class."""
+    listed = F.get(F.array(*(F.lit(c[channel - 1]) for c in CLASSES)), cls.cast("int"))
+    bits = F.shiftright((cls.cast("bigint") * 2654435761).bitwiseAND(F.lit(0xFFFFFF)), 8 * (channel - 1)).bitwiseAND(F.lit(0x7F))
+    return F.when((cls >= 0) & (cls < len(CLASSES)), listed).otherwise((bits + 96).cast("int"))
+
+
+def blend(base: Column, color: Column, alpha: float) -> Column:
+    """A color over a pixel, both 0 to 255; without a color the pixel as it is."""
+    return F.when(color.isNotNull(), F.rint(base * (1 - alpha) + color * alpha)).otherwise(base).cast("int")
+
+
+def baseline(name: str, visible: Column, thermal: Column, support: Column) -> Column:
+    """A pixel-wise comparison method; where support is lacking each falls back to the visible signal."""
+    if name == "rgb_only":
+        return visible
+    signal, share = {"thermal_only": (thermal, support), "average": (thermal, 0.5 * support), "maximum": (F.greatest(visible, thermal), support)}[name]
+    return visible * (1 - share) + signal * share

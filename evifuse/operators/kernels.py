@@ -195,3 +195,35 @@ def fuse(pairs: DataFrame, channels: tuple[str, ...] = ("saliency", "thermal_con
         return pd.DataFrame(rows, columns=list(channels))
 
     return pairs.select("frame", packed("visible", "thermal", "height", "width", "support").alias("c")).select("frame", "c.*")
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """Rows of the points (x, y) on the convex hull."""
+    order = np.lexsort((points[:, 1], points[:, 0]))
+
+    def chain(indexes) -> list[int]:
+        kept: list[int] = []
+        for i in indexes:
+            while len(kept) > 1:
+                a, b, c = points[kept[-2]], points[kept[-1]], points[i]
+                if (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]) > 0:
+                    break
+                kept.pop()
+            kept.append(i)
+        return kept
+
+    return np.unique(chain(order) + chain(order[::-1])) if len(points) else np.empty(0, int)
+
+
+def outermost(points: DataFrame) -> DataFrame:
+    """The points (id, x, y) on the convex hull: each task's own hull first, so the last task gets few points."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame({"id": [], "x": [], "y": []})
+        for b in batches:
+            both = pd.concat([held, b], ignore_index=True) if len(held) else b
+            held = both.iloc[hull(both[["x", "y"]].to_numpy())]
+        yield held.astype({"id": "int64"})
+
+    schema = "id long, x double, y double"
+    return points.select("id", "x", "y").mapInPandas(task, schema).coalesce(1).mapInPandas(task, schema)

@@ -137,3 +137,8 @@ def resampled(groups: DataFrame, drawn: DataFrame, numerator: str, denominator:
 def interval(values: DataFrame, level: float = 0.95) -> DataFrame:
     ends = [(1 - level) / 2, (1 + level) / 2]
     return values.agg(*(F.percentile("value", F.lit(p)).alias(name) for p, name in zip((ends[0], 0.5, ends[1]), ("low", "median", "high"))))
+
+
+def smooth_l1(difference: Column) -> Column:
+    """Quadratic near zero, linear beyond one."""
+    return F.when(F.abs(difference) < 1, 0.5 * difference * difference).otherwise(F.abs(difference) - 0.5)

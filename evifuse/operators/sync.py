@@ -52,8 +52,8 @@ def nearest(observations: DataFrame, reference: str, policy: Policy) -> DataFram
     cell = lambda t: F.floor(t / F.lit(policy.stale)).cast("long")
     known = observations.where("t IS NOT NULL")
     refs = known.where(F.col("stream") == reference).select("rig", "domain", F.col("seq").alias("ref"), F.col("t").alias("ref_t"), F.col("unc").alias("ref_unc"))
-    streams = observations.select("stream").where(F.col("stream") != reference).distinct()
-    wanted = refs.join(F.broadcast(streams))
+    names = [r.stream for r in observations.select("stream").where(F.col("stream") != reference).distinct().collect()]  # as many as there are sensors
+    wanted = refs.withColumn("stream", F.explode(F.array(*map(F.lit, sorted(names))).cast("array<string>")))
     cells = refs.withColumn("cell", F.explode(F.array(cell(F.col("ref_t")) - 1, cell(F.col("ref_t")), cell(F.col("ref_t")) + 1)))
     others = known.where(F.col("stream") != reference).withColumn("cell", cell(F.col("t")))
     gap = F.abs(F.col("t") - F.col("ref_t"))

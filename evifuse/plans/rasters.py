@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evifuse.functions import geo
-from evifuse.functions.raster import SUPPORT, THERMAL, luma601, luma709, palette, palette_sql, recolor
-from evifuse.operators import mosaic, policy, raster
+from evifuse.functions.raster import CLASSES, SUPPORT, THERMAL, baseline, blend, class_color, luma601, luma709, palette, palette_sql, recolor
+from evifuse.operators import kernels, metrics, mosaic, policy, raster
 from evifuse.plans.evaluation import rounded
 from evifuse.sources.tables import PIXELS, pixels, read
 
@@ -270,7 +271,69 @@ def attitude_slerp(spark, sf_dir):
 SLERP = """WITH h AS (SELECT c_custkey, c_custkey % 360 + (c_custkey * 7 % 170) / 2e0 AS deg FROM customer)
 SELECT c_custkey, round(cos(radians(deg)), 5) + 0e0 AS x, round(sin(radians(deg)), 5) + 0e0 AS y, round((deg + 0.25) % 360, 4) AS yaw, true AS level FROM h"""
 
+
+
+def semantic_coverage(spark, sf_dir):
+    """Share and color of each class of the labels' rasters, classes beyond the listed ones included."""
+    rows = read(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 40).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return rounded(rows.select("class", "n", (F.col("n") / total).alias("coverage"), *(class_color(F.col("class"), i + 1).alias(c) for i, c in enumerate("rgb"))), "coverage")
+
+
+COLOR = lambda i: f"CASE WHEN class < 12 THEN [{', '.join(str(c[i]) for c in CLASSES)}][CAST(class + 1 AS BIGINT)] ELSE CAST(96 + (((class * 2654435761) & 16777215) >> {8 * i} & 127) AS INTEGER) END"
+COVERAGE = f"WITH c AS (SELECT l_suppkey % 40 AS class, count(*) AS n FROM lineitem GROUP BY 1) SELECT class, n, round(n / sum(n) OVER (), 6) AS coverage, {COLOR(0)} AS r, {COLOR(1)} AS g, {COLOR(2)} AS b FROM c"
+
+
+def semantic_view(spark, sf_dir):
+    """Pixels under half-transparent class colors; class 3 is unknown and leaves the pixel as it is."""
+    rows = pixels(spark, sf_dir).select("frame", "y", "x", F.rint(F.col("v") * 255).alias("base"), F.when(F.col("x") % 4 != 3, F.col("x") % 4).alias("class"))
+    return rows.select("frame", "y", "x", *(blend(F.col("base"), F.when(F.col("class").isNotNull(), class_color(F.col("class"), i + 1)), 0.4).alias(c) for i, c in enumerate("rgb")))
+
+
+VIEW = f"""WITH {PIXELS}, m AS (SELECT frame, y, x, round_even(v * 255, 0) AS base, CASE WHEN x % 4 <> 3 THEN x % 4 END AS class FROM px)
+SELECT frame, y, x, {', '.join(f"CAST(CASE WHEN class IS NULL THEN base ELSE round_even(base * 0.6::DOUBLE + [{', '.join(str(k[i]) for k in CLASSES)}][CAST(class + 1 AS BIGINT)] * 0.4::DOUBLE, 0) END AS INTEGER) AS {c}" for i, c in enumerate('rgb'))} FROM m"""
+
+
+def fusion_baselines(spark, sf_dir):
+    """Each comparison method's mean and its distance from the fused signal."""
+    rows = _inputs(spark, sf_dir)
+    names = ("rgb_only", "thermal_only", "average", "maximum")
+    values = {n: baseline(n, F.col("visible"), F.col("thermal"), F.col("support")) for n in names}
+    found = rows.groupBy("frame").agg(*(F.avg(c).alias(n) for n, c in values.items()), F.avg(metrics.smooth_l1(3 * (F.col("fused") - values["average"]))).alias("smooth_l1"))
+    return rounded(found, *names, "smooth_l1")
+
+
+BASELINES = FUSED + """, b AS (SELECT frame, visible AS rgb_only, visible * (1 - support) + thermal * support AS thermal_only, visible * (1 - 0.5e0 * support) + thermal * 0.5e0 * support AS average,
+  visible * (1 - support) + greatest(visible, thermal) * support AS maximum, fused FROM f), d AS (SELECT *, 3 * (fused - average) AS gap FROM b)
+SELECT frame, round(avg(rgb_only), 6) AS rgb_only, round(avg(thermal_only), 6) AS thermal_only, round(avg(average), 6) AS average, round(avg(maximum), 6) AS maximum,
+  round(avg(CASE WHEN abs(gap) < 1 THEN 0.5e0 * gap * gap ELSE abs(gap) - 0.5 END), 6) AS smooth_l1 FROM d GROUP BY frame"""
+
+
+def overlap_report(spark, sf_dir):
+    """Share of positions with a neighbour near enough, the largest baseline, and what fails.
+
+    The farthest pair lies on the convex hull, so only hull points are compared with each other.
+    """
+    near = nearest_neighbor(spark, sf_dir).agg(F.avg((F.coalesce("metres", F.lit(1e9)) <= 60).cast("double")).alias("passing"), F.count(F.lit(1)).alias("n"))
+    rim = kernels.outermost(_positions(spark, sf_dir).select("id", F.col("lon").alias("x"), F.col("lat").alias("y")))
+    other = rim.toDF("other", "x2", "y2")
+    pairs = rim.join(other, F.col("id") < F.col("other"))
+    far = pairs.agg(F.max(geo.distance(F.col("y"), F.col("x"), F.col("y2"), F.col("x2"))).alias("baseline"))
+    both = near.withColumn("k", F.lit(1)).join(far.withColumn("k", F.lit(1)), "k").drop("k")
+    reason = F.when(F.col("baseline") < 500, "insufficient_spatial_extent").when(F.col("passing") < 0.9, "positions_too_sparse")
+    return rounded(both.select("n", "passing", "baseline", reason.alias("reject_reason")), "passing", digits=6).withColumn("baseline", F.round("baseline", 3))
+
+
+OVERLAP = NEIGHBOR.replace("SELECT pos.id, round(d, 4)", ", near AS (SELECT pos.id, round(d, 4)").replace("LEFT JOIN m USING (id)", "LEFT JOIN m USING (id))") + f""",
+far AS (SELECT max({geo.EARTH_RADIUS!r} * sqrt(pow(radians(b.lon - a.lon) * cos(radians((a.lat + b.lat) / 2)), 2) + pow(radians(b.lat - a.lat), 2))) AS baseline FROM pos a JOIN pos b ON a.id < b.id),
+s AS (SELECT count(*) AS n, avg(CASE WHEN coalesce(metres, 1e9) <= 60 THEN 1e0 ELSE 0e0 END) AS passing FROM near)
+SELECT n, round(passing, 6) AS passing, round(baseline, 3) AS baseline, CASE WHEN baseline < 500 THEN 'insufficient_spatial_extent' WHEN passing < 0.9 THEN 'positions_too_sparse' END AS reject_reason FROM s, far"""
+
 QUERIES = {
+    "semantic_coverage": (semantic_coverage, COVERAGE),
+    "semantic_view": (semantic_view, VIEW),
+    "fusion_baselines": (fusion_baselines, BASELINES),
+    "overlap_report": (overlap_report, OVERLAP),
     "robust_normalize": (robust_normalize, ROBUST),
     "normalize_map_p99": (normalize_map_p99, f"WITH {PIXELS}, q AS (SELECT *, greatest(quantile_cont(v, 0.99) OVER (PARTITION BY frame), 1e-7) AS s FROM px) SELECT frame, y, x, round({CLIP('(v / s)')}, 6) AS scaled FROM q"),
     "gradient_energy": (gradient_energy, GRADIENT),

@@ -210,3 +210,13 @@ def test_packed_kernels_equal_long_form(spark):
     for r in want.collect():
         for c in got:
             assert r[c] == pytest.approx(got[c][r.y, r.x], abs=1e-6)
+
+
+def test_farthest_pair_lies_on_the_hull(spark):
+    rng = np.random.default_rng(5)
+    points = rng.standard_normal((300, 2))
+    rows = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)], "id long, x double, y double").repartition(5)
+    ids = [r.id for r in kernels.outermost(rows).collect()]
+    span = lambda p: max(np.hypot(*(a - b)) for a in p for b in p)
+    assert len(ids) < 40 and span(points[ids]) == pytest.approx(span(points))
+    assert kernels.outermost(rows.limit(0)).count() == 0
