@@ -10,7 +10,7 @@ the last task is bounded and no piece is dropped.
 Only piece lengths, ids' checksums and places travel; tokens stay where they were made.
 
 Edge cases: a null or empty text is its end token alone. Texts are tokenized whole. Ties are broken by doc_id
-and piece, so equal input packs alike. An empty table gives no rows. Other columns are left out.
+(null last) and piece, so equal input packs alike. An empty table gives no rows. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def pieces_of(doc_id: int, ids: list[int], length: int) -> list[dict]:
 
 def best_fit(items: list[Bin], length: int) -> list[Bin]:
     """Bins of at most ``length``: the longest item first, each into the fullest bin that holds it."""
-    items = sorted(items, key=lambda x: (-x[0], x[1][0]["doc_id"], x[1][0]["piece"]))
+    items = sorted(items, key=lambda x: (-x[0], x[1][0]["doc_id"] is None, x[1][0]["doc_id"] or 0, x[1][0]["piece"]))
     room: list[list[int]] = [[] for _ in range(length + 1)]  # bins by their free tokens
     free: list[int] = []  # sizes of free room that some bin has, ascending
     bins: list[list] = []

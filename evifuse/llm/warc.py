@@ -12,9 +12,9 @@ searching for separators. Segments are then grouped by origin, ordered by number
 the total length, joined, and freed from the chunked framing. Revisits get their payload's size from the
 response they refer to. A payload whose digest is not the stated one, and a record cut short, raise.
 
-Edge cases: a null payload is empty; a null url becomes an empty target. Repeated page_ids must not occur in
-one archive set, as they identify records; ``dedupe_plan`` keeps all rows of distinct ids. Empty tables write
-no record and read as no rows. Other columns are left out.
+Edge cases: a null payload is empty; a null url becomes an empty target. A page_id identifies a record: of its
+repeated rows the one with the smallest (html, url) is archived, and rows without a page_id are left out. Empty
+tables write no record and read as no rows. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -44,6 +44,15 @@ def base32_sha1(raw: bytes) -> str:
     return base64.b32encode(hashlib.sha1(raw).digest()).decode()
 
 
+def one_row_each(pages: DataFrame) -> DataFrame:
+    """page_id, url, html with one row for each page_id; payloads are only regrouped where an id is repeated."""
+    slim = pages.select("page_id", "url", "html").where("page_id IS NOT NULL")
+    if slim.groupBy("page_id").count().where("count > 1").isEmpty():
+        return slim
+    least = F.min(F.struct(F.coalesce("html", F.lit("")).alias("html"), F.coalesce("url", F.lit("")).alias("url")))
+    return slim.groupBy("page_id").agg(least.alias("row")).select("page_id", "row.url", "row.html")
+
+
 def dedupe_plan(pages: DataFrame) -> DataFrame:
     """page_id, digest, refers_to: the smallest page_id of equal payloads, null for that page itself.
 
@@ -96,6 +105,7 @@ def records_of(page_id: int, url: str | None, html: str | None, digest: str, ref
 
 def write(pages: DataFrame, path: str) -> str:
     """Write a record for each row of (page_id, url, html) under ``path``; returns it."""
+    pages = one_row_each(pages)
     plan = dedupe_plan(pages)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
