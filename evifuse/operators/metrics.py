@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evifuse.functions.ranges import cut, range_of
+
 Keys = list[str]
 
 
@@ -38,11 +40,22 @@ def calibration_error(bins: DataFrame, keys: Keys) -> DataFrame:
 
 
 def blocks(rows: DataFrame, keys: Keys, score: str = "score", risk: str = "risk") -> DataFrame:
-    """One row for each distinct score: block size and risk, and both summed up to and with it."""
+    """One row for each distinct score: block size and risk, and both summed up to and with it.
+
+    Scores are summed within ranges first, then the ranges' sums are added, so no task orders all scores. Keys are
+    not null.
+    """
     grouped = rows.groupBy(*keys, F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(risk).cast("double")).alias("risk"))
-    upto = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    return grouped.select(*keys, "score", "n", "risk", F.sum("n").over(upto).alias("kept"), F.sum("risk").over(upto).alias("lost"), F.sum("n").over(whole).alias("total"))
+    bounds = cut(grouped, "score", int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parted = grouped.withColumn("part", range_of(bounds, F.col("score")))
+    within = Window.partitionBy(*keys, "part").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    before, whole = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    sums = parted.groupBy(*keys, "part").agg(F.sum("n").alias("n"), F.sum("risk").alias("risk"))  # a row for each key and range
+    sooner = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    starts = sums.select(*keys, "part", sooner("n").alias("n0"), sooner("risk").alias("risk0"), F.sum("n").over(whole).alias("total"))
+    running = parted.select(*keys, "part", "score", "n", "risk", F.sum("n").over(within).alias("kept"), F.sum("risk").over(within).alias("lost"))
+    joined = running.join(starts, [*keys, "part"])
+    return joined.select(*keys, "score", "n", "risk", (F.col("kept") + F.col("n0")).alias("kept"), (F.col("lost") + F.col("risk0")).alias("lost"), "total")
 
 
 def aurc(curve: DataFrame, keys: Keys) -> DataFrame:
@@ -124,7 +137,7 @@ def draws(groups: DataFrame, replicates: int, seed: str) -> DataFrame:
     slots = spark.range(replicates * n).select((F.col("id") / n).cast("long").alias("rep"), (F.col("id") % n).alias("draw"))
     digest = F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "rep", "draw"), 256), 1, 8)
     drawn = slots.select("rep", (F.conv(digest, 16, 10).cast("long") % n).alias("number"))
-    return drawn.join(F.broadcast(numbered), "number").groupBy("rep", "grp").agg(F.count(F.lit(1)).alias("times"))
+    return drawn.join(numbered, "number").groupBy("rep", "grp").agg(F.count(F.lit(1)).alias("times"))
 
 
 def resampled(groups: DataFrame, drawn: DataFrame, numerator: str, denominator: str) -> DataFrame:
