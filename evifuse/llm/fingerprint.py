@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evifuse.functions.ranges import cut, range_of
 from evifuse.llm.quality import SPACE, let
 
 KMER, SMER = 8, 2
@@ -58,15 +59,6 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
-def range_of(bounds: list[int], key: Column) -> Column:
-    """How many of the ascending bounds are at most the key, by binary search."""
-    if not bounds:
-        return F.lit(0)
-    held, n = F.lit(bounds), len(bounds)
-    steps = [1 << i for i in range(n.bit_length() - 1, -1, -1)]
-    return F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(held, at + step - 1) <= key), at + step).otherwise(at))
-
-
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, anchors, and next_text, next_anchors of the next doc_id; after the last, of the first.
 
@@ -76,8 +68,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ids = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"))
     count = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = ids.agg(F.percentile_approx("key", [i / count for i in range(1, count)], 100 * count).alias("cuts")).first().cuts
-    bounds = sorted(set(cuts or []))
+    bounds = cut(ids, "key", count)
     part = range_of(bounds, F.col("key")).alias("part")
     firsts = sorted((r.first, r.part) for r in ids.select("key", part).groupBy("part").agg(F.min("key").alias("first")).collect())
     before = {first: firsts[i - 1][1] for i, (first, _) in enumerate(firsts)}
