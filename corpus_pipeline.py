@@ -28,8 +28,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates: five-word shingles, similarity 0.8."""
     ship(spark)
-    firsts = jaccard_join.join(docs, 5, 80).where("doc_id = component_id").select("doc_id")
-    return docs.join(firsts.hint("merge"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return jaccard_join.firsts(docs, 5, 80)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

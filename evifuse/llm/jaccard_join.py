@@ -179,18 +179,27 @@ def bitmap(ids: DataFrame, bits: int = 24) -> np.ndarray:
     return out
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, size: int, bits: int = 24) -> DataFrame:
-    """(id, shingles) of the documents in ``ids``: others are skipped before their text is cut."""
+def held_in(docs: DataFrame, ids: DataFrame, bits: int = 24):
+    """Functions from an Arrow batch with the column ``slot`` to its mask, and that column: whether its hashed id is in ``ids``."""
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(ids, bits))
 
+    def mask(batch: pa.RecordBatch) -> np.ndarray:
+        slots = batch.column("slot").to_numpy()
+        return (wanted.value[slots >> 3] >> (7 - (slots & 7))) & 1 == 1
+
+    return mask, F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("slot")
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, shingles) of the documents in ``ids``: others are skipped before their text is cut."""
+    mask, slot = held_in(docs, ids)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = Hashes(), wanted.value
+        hashes = Hashes()
         for batch in batches:
-            slots = batch.column("slot").to_numpy()
-            batch = batch.filter(pa.array((held[slots >> 3] >> (7 - (slots & 7))) & 1 == 1))
+            batch = batch.filter(pa.array(mask(batch)))
             yield pa.record_batch({"id": batch.column("doc_id"), "shingles": pa.array([shingles(raw, hashes, size).tobytes() for raw in raw_texts(batch)], pa.binary())})
 
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("slot")
     found = docs.select("doc_id", "text", slot).mapInArrow(task, "id long, shingles binary")
     return found.join(ids, "id", "left_semi")
 
@@ -288,6 +297,30 @@ def join(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR) -> DataFram
     return full.unionByName(empty)
 
 
+def firsts(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component, one for each doc_id, all columns.
+
+    Only rows that a bitmap of fixed size cannot clear are joined with the ids to drop, so most texts stay where
+    they are. Rows with a null doc_id stay.
+    """
+    found = materialize(join(docs, size, similar), "jaccard-found").where("doc_id IS NOT NULL")
+    each = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    doubtful = materialize(each.where("component_id <> doc_id OR n > 1").select(F.col("doc_id").alias("id"), (F.col("component_id") == F.col("doc_id")).alias("stays")), "jaccard-doubtful")
+    mask, slot = held_in(docs, doubtful.select("id"))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce("doc_id", F.lit(0)).alias("id"), slot)
+
+    def part(doubted: bool):
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(mask(batch) == doubted))
+
+        return row.mapInArrow(task, row.schema)
+
+    verdicts = part(True).join(doubtful.hint("merge"), "id", "left").where("stays OR stays IS NULL OR row.doc_id IS NULL")
+    once = verdicts.where("stays").groupBy("id").agg(F.first("row").alias("row"))
+    return part(False).select("row.*").unionByName(verdicts.where("stays IS NULL OR row.doc_id IS NULL").select("row.*")).unionByName(once.select("row.*"))
+
+
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, similar: int) -> DataFrame:
     """The pairs that link, by their parities first and then by their sets."""
     left = materialize(near(pairs, classes, similar), "jaccard-near")

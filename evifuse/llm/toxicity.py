@@ -17,6 +17,7 @@ twice the higher counts. Empty tables give no rows. Inputs of a score are texts
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -209,7 +210,7 @@ def train(texts: list[tuple[bytes | None, int]]) -> dict[str, np.ndarray]:
         negative = [tokens[i][draw.permutation(len(tokens[i]))[:16]] for i in clean]
         if epoch >= 2:  # and the windows of clean texts that look most toxic
             negative += [tokens[i][np.argsort(s)[-3:]] for i, s in zip(clean, logits_of(clean))]
-        negative = np.concatenate(negative)
+        negative = np.concatenate([*negative, np.zeros((16, WINDOW), np.int32)])  # a text without words is clean
         index = np.concatenate([positive, negative])
         truth = np.concatenate([np.ones(len(positive)), np.zeros(len(negative))]).astype(np.float32)
         weight = np.where(truth == 1, 0.5 / len(positive), 0.5 / len(negative)).astype(np.float32) * len(truth)
@@ -292,21 +293,37 @@ class Scorer:
             np.maximum.at(logits, owner[i : i + TOGETHER], forward(self.weights, self.table[part], (part > 0).astype(np.float32)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> list[tuple[bytes | None, int]]:
-    """At most ``size`` labelled texts of each class that are not held out, those with the smallest hashed ids."""
+def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
+    """doc_id, raw, toxic: at most ``size`` labelled texts of each class that are not held out, those with the smallest hashed ids."""
     truth = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic IS NOT NULL").where(~held_out())
     present = truth.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     picked = [present.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for y in (1, 0)]
     few = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * size rows at most
-    rows = docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", F.encode("text", "UTF-8").alias("raw"), "toxic").collect()
-    rows.sort(key=lambda r: (r.doc_id * 2654435761 % 2**32, r.doc_id, bytes(r.raw or b"")))
-    return [(bytes(r.raw) if r.raw else None, int(r.toxic)) for r in rows]
+    return docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", F.encode("text", "UTF-8").alias("raw"), F.col("toxic").cast("long").alias("toxic"))
+
+
+def ordered(rows: list[tuple]) -> list[tuple[bytes | None, int]]:
+    """(raw, toxic) of (doc_id, raw, toxic) in a mixed order that does not depend on where the rows came from."""
+    rows = sorted(rows, key=lambda r: (r[0] * 2654435761 % 2**32, r[0], r[1] or b""))
+    return [(raw or None, y) for _, raw, y in rows]
+
+
+def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> dict[str, np.ndarray]:
+    """Weights trained in one task on the bounded sample; only they come to the driver."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "raw", "toxic")))]
+        weights = train(ordered(rows))
+        yield pa.record_batch({"weights": [pickle.dumps(weights)]})
+
+    # a shuffle to one partition, so that reading stays parallel
+    found = sample(docs, labels, size).repartition(1).mapInArrow(task, "weights binary").collect()
+    return pickle.loads(bytes(found[0].weights)) if found else train([])
 
 
 def score(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of (doc_id, text)."""
-    spark = docs.sparkSession
-    weights = spark.sparkContext.broadcast(train(sample(docs, labels, size)))
+    weights = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, size))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(weights.value)
@@ -319,7 +336,7 @@ def score(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns, filtered where they are scored."""
-    weights = docs.sparkSession.sparkContext.broadcast(train(sample(docs, labels, size)))
+    weights = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, size))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(weights.value)
