@@ -43,7 +43,8 @@ def test_stages(spark):
     counts = {i: brute_quality(t) for i, t in texts.items()}
     good = {i for i, c in counts.items() if c[0] >= 50 and 100 * c[4] <= 50 * c[0]}
     assert {r.doc_id for r in kept.collect()} == good and kept.columns == docs.columns
-    weights = toxicity.train(toxicity.sample(kept, spark.read.parquet(f"{SF}/labels.parquet")))
+    sample = toxicity.sample(kept, spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    weights = toxicity.train(toxicity.ordered([(r.doc_id, bytes(r.raw), r.toxic) for r in sample]))
     scores = toxicity.Scorer(weights).scores([texts[i].encode() for i in sorted(good)])
     clean = [i for i, s in zip(sorted(good), scores) if s < 0.5]
     kept = stages["toxicity"](spark, kept, SF)
