@@ -41,7 +41,7 @@ SKETCH_BITS, CHUNK_BITS = 21, 16
 #: Slots of the short parities that go with the lists.
 FOLD = 256
 #: Distinct words whose hashes a task remembers; pairs compared together.
-MEMORY = 400_000
+MEMORY = 200_000
 SETS = "doc_id long, n_shingles long, key_a long, key_b long, bits binary, fold array<long>, short array<long>"
 
 

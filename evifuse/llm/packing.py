@@ -54,6 +54,14 @@ def tokenizer_of(path: str, pattern: str, kept: dict = {}):  # noqa: B006  one f
     return kept[path]
 
 
+def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(doc_id, text) of Arrow batches, a few hundred texts in Python at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            yield from zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())
+
+
 def pieces_of(doc_id: int, ids: list[int], length: int) -> list[dict]:
     """Whole if it fits; else pieces of the full length, the first one shorter by what is left over."""
     raw = np.array(ids, "<u4")
@@ -121,11 +129,10 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, nearly:
         encoder = tokenizer_of(path, pattern)
 
         def items():
-            for batch in batches:
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    ids = encoder.encode_ordinary(text or "")
-                    ids.append(END_ID)
-                    yield [(p["length"], [p]) for p in pieces_of(doc_id, ids, length)]
+            for doc_id, text in pairs(batches):
+                ids = encoder.encode_ordinary(text or "")
+                ids.append(END_ID)
+                yield [(p["length"], [p]) for p in pieces_of(doc_id, ids, length)]
 
         yield from rounds(items(), length, nearly, False)
 

@@ -33,7 +33,7 @@ SAMPLE, WINDOW, STRIDE = 1500, 32, 16
 WORD_ROWS, GRAM_ROWS, PART, HIDDEN = 1 << 16, 1 << 14, 8, 8
 EPOCHS, BATCH, RATE, SEED = 5, 256, 0.01, 7
 #: Words a task remembers; windows that run together.
-MEMORY, TOGETHER = 300_000, 2048
+MEMORY, TOGETHER = 200_000, 2048
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
