@@ -2,10 +2,11 @@
 
 Documents become token sequences' pieces where they are read: a document over the sequence length is cut, the
 first piece taking what is left over. Each task packs its own pieces best-fit (the longest first, each into
-the fullest bin it fits), in rounds of bounded size. Bins that are nearly full are done. Underfull bins go on
-as items, in partitions that are merged ``FAN_IN`` to one, for another round of best-fit, until one partition
-is left. A task hands on its ``CARRY`` emptiest bins at most; fuller ones are final sequences as they stand, so
-the last task is bounded and no piece is dropped.
+the fullest bin it fits), in rounds of bounded size. Bins that are nearly full are done. All underfull bins
+go on: they are taken apart and their pieces dealt anew, evenly and differently each time, over partitions of about
+``SHARE`` pieces, for another round of best-fit, until a round saves less than a bin for each task. Of what is
+then left no two bins over half full can share a sequence, and a task leaves one other bin at most; these few meet
+as many of the emptiest bins, which is all that they could still join, in one last task.
 
 Only piece lengths, ids' checksums and places travel; tokens stay where they were made.
 
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from evifuse.llm.shared import materialize
 
 LENGTH, END_ID = 2048, 0
-#: A bin with at least so many tokens is done; pieces packed together in one round; bins a task hands on; tasks merged to one.
-NEARLY_FULL, ROUND, CARRY, FAN_IN = 2040, 50_000, 4000, 16
+#: A bin with at least so many tokens is done; pieces packed together in one round; underfull bins a task holds for its next round; pieces dealt to one task.
+NEARLY_FULL, ROUND, CARRY, SHARE = 2040, 50_000, 4000, 50_000
 ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 BIN = "done boolean, fill long, items array<struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long>>"
 Bin = tuple[int, list[dict]]
@@ -94,13 +95,9 @@ def best_fit(items: list[Bin], length: int) -> list[Bin]:
     return [(size, parts) for size, parts in bins]
 
 
-def settle(bins: list[Bin], length: int, nearly: int, last: bool) -> tuple[list[Bin], list[Bin]]:
-    """Bins that are done, bins that go on."""
-    if last:
-        return bins, []
-    done = [b for b in bins if b[0] >= min(nearly, length)]
-    rest = sorted((b for b in bins if b[0] < min(nearly, length)), key=lambda b: b[0])
-    return done + rest[CARRY:], rest[:CARRY]
+def settle(bins: list[Bin], nearly: int) -> tuple[list[Bin], list[Bin]]:
+    """Bins that are done; the others, the emptiest first."""
+    return [b for b in bins if b[0] >= nearly], sorted((b for b in bins if b[0] < nearly), key=lambda b: b[0])
 
 
 def bin_batches(bins: list[Bin], done: bool) -> Iterator[pa.RecordBatch]:
@@ -109,22 +106,58 @@ def bin_batches(bins: list[Bin], done: bool) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([done] * len(part)), pa.array([b[0] for b in part], pa.int64()), pa.array([b[1] for b in part], pa.list_(ITEM))], ["done", "fill", "items"])
 
 
-def rounds(incoming: Iterator[list[Bin]], length: int, nearly: int, last: bool) -> Iterator[pa.RecordBatch]:
-    """Best-fit over a task's items, ``ROUND`` at a time; what is underfull stays for the next round."""
+def rounds(incoming: Iterator[list[Bin]], length: int, nearly: int, most: int, carry: int) -> Iterator[pa.RecordBatch]:
+    """Best-fit over a task's items, ``most`` at a time; the ``carry`` emptiest bins stay for the next round."""
     held: list[Bin] = []
     for items in incoming:
         held += items
-        if len(held) >= ROUND and not last:
-            done, held = settle(best_fit(held, length), length, nearly, False)
+        if len(held) >= max(most, 2 * carry):
+            done, rest = settle(best_fit(held, length), nearly)
+            held = rest[:carry]
             yield from bin_batches(done, True)
-    done, held = settle(best_fit(held, length), length, nearly, last)
+            yield from bin_batches(rest[carry:], False)
+    done, rest = settle(best_fit(held, length), nearly)
     yield from bin_batches(done, True)
-    yield from bin_batches(held, False)
+    yield from bin_batches(rest, False)
+
+
+def refit(batches: Iterator[pa.RecordBatch], length: int, nearly: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Best-fit over all bins of a task, as they are or taken apart."""
+    items: list[Bin] = []
+    for batch in batches:
+        for fill, parts in zip(batch.column("fill").to_pylist(), batch.column("items").to_pylist()):
+            items += [(fill, parts)] if whole else [(p["length"], [p]) for p in parts]
+    done, rest = settle(best_fit(items, length), nearly)
+    yield from bin_batches(done, True)
+    yield from bin_batches(rest, False)
+
+
+def totals(bins: DataFrame) -> tuple[int, int]:
+    """Bins, pieces in them."""
+    row = bins.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
+    return row[0], row[1]
+
+
+def last_bins(rest: DataFrame, length: int, nearly: int) -> DataFrame:
+    """Underfull bins of which no two over half full go together: join the others wherever one can be joined.
+
+    k others can use no more than the k emptiest of the rest, so only these meet, in one task.
+    """
+    small = F.col("fill") <= length // 2
+    rest = materialize(rest.withColumn("number", F.monotonically_increasing_id()), "packing-rest")
+    k = rest.where(small).count()
+    emptiest = rest.where(~small).select("fill", "number").orderBy("fill", "number").limit(k)
+    bound = emptiest.agg(F.max(F.struct("fill", "number")).alias("bound")).first().bound
+    meets = small if bound is None else F.struct("fill", "number") <= F.struct(F.lit(bound.fill), F.lit(bound.number))
+    met = rest.where(meets).drop("number").coalesce(1).mapInArrow(lambda batches: refit(batches, length, nearly, True), BIN)
+    return rest.where(~meets).drop("number").unionByName(materialize(met, "packing-last"))
 
 
 def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, nearly: int = NEARLY_FULL) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece of (doc_id, text)."""
 
+    nearly, most, carry, share = min(nearly, length), ROUND, CARRY, SHARE
+
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer_of(path, pattern)
 
@@ -134,30 +167,30 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, nearly:
                 ids.append(END_ID)
                 yield [(p["length"], [p]) for p in pieces_of(doc_id, ids, length)]
 
-        yield from rounds(items(), length, nearly, False)
-
-    def again(last: bool):
-        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from rounds((list(zip(b.column("fill").to_pylist(), b.column("items").to_pylist())) for b in batches), length, nearly, last)
+        yield from rounds(items(), length, nearly, most, carry)
 
-        return task
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from refit(batches, length, nearly, False)
 
-    source = docs.select("doc_id", "text")
-    parts = max(1, source.rdd.getNumPartitions())
-    level = materialize(source.mapInArrow(first, BIN), "packing-0")
-    done = [level.where("done")]
+    level = materialize(docs.select("doc_id", "text").mapInArrow(first, BIN), "packing-0")
+    bins, rest = level.where("done"), level.where("not done")
+    n, pieces = totals(rest)
     depth = 0
-    while True:
+    while pieces > share:
         depth += 1
-        parts = -(-parts // FAN_IN)
-        merged = level.where("not done").repartition(parts, F.xxhash64(F.col("items")[0]["doc_id"])) if parts > 1 else level.where("not done").coalesce(1)
-        level = materialize(merged.mapInArrow(again(parts == 1), BIN), f"packing-{depth}")
-        done.append(level.where("done"))
-        if parts == 1:
+        parts = -(-pieces // share)
+        place = F.xxhash64(F.monotonically_increasing_id(), F.lit(depth))  # the same when a task is run again, as the files are written
+        dealt = rest.withColumn("place", place).repartition(parts, "place").drop("place")
+        level = materialize(dealt.mapInArrow(again, BIN), f"packing-{depth}")
+        saved = n - level.count()
+        if saved > 0:
+            bins, rest = bins.unionByName(level.where("done")), level.where("not done")
+            n, pieces = totals(rest)
+        if saved <= parts:
+            bins = bins.unionByName(last_bins(rest, length, nearly))
             break
-    bins = done[0]
-    for more in done[1:]:
-        bins = bins.unionByName(more)
+    else:
+        bins = bins.unionByName(materialize(rest.coalesce(1).mapInArrow(again, BIN), "packing-last"))
     numbered = bins.select(F.monotonically_increasing_id().alias("sequence_id"), "items")
     placed = numbered.select("sequence_id", "items", F.posexplode("items").alias("place", "item"))
     offset = F.aggregate(F.slice("items", 1, F.col("place")), F.lit(0).cast("long"), lambda s, x: s + x["length"])

@@ -174,6 +174,26 @@ def test_packing(spark, words):
     assert packing.pack(docs_of(spark, []), path, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("share", [50_000, 1500])
+def test_packing_of_tables_sorted_by_length(spark, monkeypatch, share):
+    """Underfull bins of all partitions meet, however many there are: as few sequences as one global best-fit makes."""
+    monkeypatch.setattr(packing, "CARRY", 100)
+    monkeypatch.setattr(packing, "SHARE", share, raising=False)
+    sizes = [35] * 5500 + [28] * 5400 + [40, 50] * 20
+    docs = spark.createDataFrame([(i, " the" * (n - 1)) for i, n in enumerate(sizes)], "doc_id long, text string").coalesce(1).repartitionByRange(3, "doc_id")
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 64, 64).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(sizes))
+    fills = {}
+    for r in rows:
+        fills[r.sequence_id] = fills.get(r.sequence_id, 0) + r.length
+    best = packing.best_fit([(n, [{"doc_id": i, "piece": 0}]) for i, n in enumerate(sizes)], 64)
+    assert max(fills.values()) <= 64 and len(fills) <= 1.01 * len(best)
+    if share >= len(sizes):
+        assert len(fills) == len(best)
+    low, high = sorted(fills.values())[:2]
+    assert low + high > 64
+
+
 # -- op5 -----------------------------------------------------------------------------------------------------
 def test_gradients_are_those_of_the_loss():
     weights = {k: v.astype(np.float64) for k, v in toxicity.new_weights().items()}
