@@ -10,13 +10,15 @@ as many of the emptiest bins, which is all that they could still join, in one la
 
 Only piece lengths, ids' checksums and places travel; tokens stay where they were made.
 
-Edge cases: a null or empty text is its end token alone. Texts are tokenized whole. Ties are broken by doc_id
+Edge cases: a null or empty text is its end token alone. Texts are tokenized whole; an added token of the vocabulary
+(<|endoftext|>) inside a text is its one id. Ties are broken by doc_id
 (null last) and piece, so equal input packs alike. An empty table gives no rows. Other columns are left out.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -37,7 +39,7 @@ Bin = tuple[int, list[dict]]
 
 
 def tokenizer_of(path: str, pattern: str, kept: dict = {}):  # noqa: B006  one for each worker process
-    """Encoder with the vocabulary of a tokenizers file.
+    """Encoder of a text to ids with the vocabulary and the added tokens of a tokenizers file.
 
     The file's own library takes over twice the CPU time that packing may use; tiktoken gives the same ids
     from the same vocabulary, which the tests hold against the file's library.
@@ -46,12 +48,16 @@ def tokenizer_of(path: str, pattern: str, kept: dict = {}):  # noqa: B006  one f
         import tiktoken
 
         with open(path) as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            told = json.load(file)
+        vocabulary, added = told["model"]["vocab"], {t["content"]: t["id"] for t in told["added_tokens"]}
+        if any(t[k] for t in told["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens are found as they stand alone")
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         hidden = [b for b in range(256) if b not in set(shown)]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token) and not token.startswith("<|")}
-        kept[path] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token) and token not in added}
+        encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+        kept[path] = functools.partial(encoding.encode, allowed_special="all")  # as the library does, wherever an added token stands
     return kept[path]
 
 
@@ -159,11 +165,11 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, nearly:
     nearly, most, carry, share = min(nearly, length), ROUND, CARRY, SHARE
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenizer_of(path, pattern)
+        encode = tokenizer_of(path, pattern)
 
         def items():
             for doc_id, text in pairs(batches):
-                ids = encoder.encode_ordinary(text or "")
+                ids = encode(text or "")
                 ids.append(END_ID)
                 yield [(p["length"], [p]) for p in pieces_of(doc_id, ids, length)]
 

@@ -174,6 +174,20 @@ def test_packing(spark, words):
     assert packing.pack(docs_of(spark, []), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_packing_finds_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    end, path = "<|endoftext|>", public_tokenizers.path("byte_bpe_50k.json")
+    texts = [end, end * 3, f"a{end}b", f"one {end} two  {end}\n{end}", f"wo{end}rd's  {end}", end[:-1], f"<{end}>", end.upper(), f"  {end}  ", f"é{end}日本 " * 200, f"{end[:7]}{end}{end[7:]}"]
+    rows = packing.pack(docs_of(spark, texts), path, public_tokenizers.PATTERN, 64, 60).collect()
+    tokenizer = Tokenizer.from_file(path)
+    for i, text in enumerate(texts):
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
+        assert [r.ids_crc32 for r in own] == [zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in own]
+        assert sum(r.length for r in own) == len(ids) and (50256 in ids) == (end in text)
+
+
 @pytest.mark.parametrize("share", [50_000, 1500])
 def test_packing_of_tables_sorted_by_length(spark, monkeypatch, share):
     """Underfull bins of all partitions meet, however many there are: as few sequences as one global best-fit makes."""
