@@ -1,11 +1,12 @@
 """Licence scan by a positional index of rare words.
 
 Templates are short licence texts and notices, cut to words. Their inverted index holds (template, position)
-postings. A word's weight is its inverse document frequency over all scanned files. For each file the licence
-words with the highest weights are looked up first; each occurrence votes, through its postings, for a
-(template, place) pair, the place being the file position less the template position. A place that enough rare
-words agree on is verified: every mandatory key phrase of the template must stand there, within a few words
-of where it belongs. The score is the share of the template's weight found in order at the place.
+postings. A word's weight is its inverse document frequency over all scanned files. Of each template the two words
+of its first key phrase with the highest weights are looked up; each occurrence votes, through its postings, for a
+(template, place) pair, the place being the file position less the template position. Around a place that both
+agree on, and where the phrase stands, every place within the slack is verified: every mandatory key phrase of the
+template must stand there, within a few words of where it belongs. No other place can be, so what is found does not
+depend on what else a file holds. The score is the share of the template's weight found in order at the place.
 
 The frequencies are gathered for the words of the templates only, a fixed set of a few hundred, so what is
 broadcast is bounded by the template list and not by the files.
@@ -51,14 +52,19 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
-#: Licence words of a file that are looked up, words of slack around a place, share of a template's weight that a match needs.
-RARE_WORDS, SLACK, LEAST = 12, 3, 0.7
+#: Words of a template's key phrase that are looked up, words of slack around a place, share of a template's weight that a match needs.
+RARE_WORDS, SLACK, LEAST = 2, 3, 0.7
 
 #: Words of lower-cased UTF-8: ASCII digits and letters, and all bytes beyond ASCII.
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, templates string"
 
 
+def want(template: list[bytes], key: list[bytes]) -> int:
+    """Where the template has the key phrase."""
+    return next(i for i in range(len(template)) if template[i : i + len(key)] == key)
+
+
 class Index:
     """Templates, their postings and weights, for one worker."""
 
@@ -66,29 +72,47 @@ class Index:
         self.templates = [(label, text.encode().split(), [p.encode().split() for p in keys]) for label, text, keys in templates]
         self.weights = weights
         self.postings = defaultdict(list)
-        for t, (_, words, _) in enumerate(self.templates):
-            for i, word in enumerate(words):
-                self.postings[word].append((t, i))
+        self.needed = []
+        for t, (_, words, keys) in enumerate(self.templates):
+            rare = self.rare(words, keys)
+            self.needed.append(len(rare) if keys else 1)
+            for i in rare:
+                self.postings[words[i]].append((t, i))
         self.total = [sum(weights[w] for w in words) for _, words, _ in self.templates]
 
+    def rare(self, words: list[bytes], keys: list[list[bytes]]) -> list[int]:
+        """Positions that vote: the rarest of the first key phrase; without one, those of which every match holds one."""
+        first = want(words, keys[0]) if keys else 0
+        order = sorted(range(first, first + len(keys[0])) if keys else range(len(words)), key=lambda i: (-self.weights[words[i]], words[i], i))
+        if keys:
+            return order[:RARE_WORDS]
+        left, total = sum(self.weights[w] for w in words), sum(self.weights[w] for w in words)
+        for n, i in enumerate(order):
+            if left < LEAST * total:
+                return order[:n]
+            left -= self.weights[words[i]]
+        return order
+
     def matches(self, words: list[bytes]) -> dict[str, float]:
         """Template label to its best score in the file."""
-        at = defaultdict(list)
-        held = self.postings.keys() & set(words)
-        for i, word in enumerate(words):
-            if word in held:
-                at[word].append(i)
-        rare = sorted(held, key=lambda w: (-self.weights[w], w))[:RARE_WORDS]
         votes: dict[tuple[int, int], int] = defaultdict(int)
-        for word in rare:
-            for t, i in self.postings[word]:
-                for p in at[word]:
+        for p, word in enumerate(words):
+            if word in self.postings:
+                for t, i in self.postings[word]:
                     votes[t, p - i] += 1
-        found: dict[str, float] = {}
+        places = set()
         for (t, place), n in votes.items():
-            label, template, keys = self.templates[t]
-            if n < min(2, len(template)):
+            _, template, keys = self.templates[t]
+            if n < self.needed[t]:
                 continue
+            if keys:
+                at = place + want(template, keys[0])
+                if at < 0 or words[at : at + len(keys[0])] != keys[0]:
+                    continue
+            places.update((t, place + d) for d in range(-SLACK, SLACK + 1))
+        found: dict[str, float] = {}
+        for t, place in places:
+            label, template, keys = self.templates[t]
             if not all(self.stands(words, place, template, key) for key in keys):
                 continue
             got = sum(self.weights[w] for i, w in enumerate(template) if w in words[max(0, place + i - SLACK) : max(0, place + i + SLACK + 1)])
@@ -100,8 +124,8 @@ class Index:
     @staticmethod
     def stands(words: list[bytes], place: int, template: list[bytes], key: list[bytes]) -> bool:
         """The key phrase stands where the template has it, give or take the slack."""
-        want = next(i for i in range(len(template)) if template[i : i + len(key)] == key)
-        return any(words[p : p + len(key)] == key for p in range(max(0, place + want - SLACK), place + want + SLACK + 1))
+        at = place + want(template, key)
+        return any(words[p : p + len(key)] == key for p in range(max(0, at - SLACK), at + SLACK + 1))
 
 
 def base_places(words: list[bytes], phrases: list[tuple[list[bytes], str]], first: set[bytes]) -> tuple[list[int], set[str]]:

@@ -64,6 +64,42 @@ def test_license_scan(spark, words):
         assert template[0].removesuffix("-notice") in row["labels"].split(",")
 
 
+def test_licenses_are_found_whatever_else_the_file_holds(spark, words):
+    """All notices one after another, and each in a very long text that holds every licence word by chance."""
+    rng = random.Random(21)
+    notices = [t[1] for t in license_scan.TEMPLATES]
+    every = sorted({w for t in notices for w in t.split()})
+    long = [" ".join(rng.choice(every if i % 9 == 0 else words) for i in range(20_000)) for _ in notices]
+    gap = f" {prose(words, rng, 30)} "
+    texts = [*notices, gap.join(notices), *(f"{text} {notice} {text}" for notice, text in zip(notices, long))]
+    rows = rows_of(license_scan.scan(docs_of(spark, texts)))
+    scores = [dict(x.split(":") for x in r["templates"].split(",")) for r in rows]
+    alone, n = scores[: len(notices)], len(notices)
+    for i, (label, _, _) in enumerate(license_scan.TEMPLATES):
+        assert alone[i][label] == scores[n][label] == scores[n + 1 + i][label] == "1.000"
+
+
+def test_license_places_equal_those_of_all_positions():
+    """Against verification at every position, on texts with words put in, left out and moved."""
+    rng = random.Random(22)
+    weights = {w: rng.uniform(0.01, 9) for _, text, _ in license_scan.TEMPLATES for w in text.encode().split()}
+    index = license_scan.Index((*license_scan.TEMPLATES, ("keyless", "seven plain words without any key phrase", ())), weights | {w: 1.0 for w in b"seven plain words without any key phrase".split()})
+    for _ in range(150):
+        words = []
+        for _, text, _ in rng.sample(license_scan.TEMPLATES, 3) + [("", "seven plain words without any key phrase", ())]:
+            for w in text.encode().split():
+                words += rng.choice([[w]] * 30 + [[], [w, b"zz"], [b"zz"]])
+            words += [b"the", b"license"] * rng.randint(0, 3)
+        want = {}
+        for t, (label, template, keys) in enumerate(index.templates):
+            for place in range(-len(template) - 4, len(words) + 4):
+                if all(index.stands(words, place, template, key) for key in keys):
+                    got = sum(index.weights[w] for i, w in enumerate(template) if w in words[max(0, place + i - 3) : max(0, place + i + 4)]) / index.total[t]
+                    if got >= license_scan.LEAST:
+                        want[label] = max(want.get(label, 0), got)
+        assert index.matches(words) == want
+
+
 # -- op2 -----------------------------------------------------------------------------------------------------
 def test_chat_round_trip(spark):
     rng = random.Random(2)
