@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from evifuse.functions import geo
 from evifuse.functions.raster import CLASSES, SUPPORT, THERMAL, baseline, blend, class_color, luma601, luma709, palette, palette_sql, recolor
 from evifuse.operators import kernels, metrics, mosaic, policy, raster
 from evifuse.plans.evaluation import rounded
+from evifuse.sources.scratch import scratch
 from evifuse.sources.tables import PIXELS, pixels, read
 
 CLIP = lambda x: f"CASE WHEN {x} < 0 THEN 0 WHEN {x} > 1 THEN 1 ELSE {x} END"
@@ -194,16 +197,39 @@ g AS (SELECT *, CASE WHEN down >= 0.2 AND 40 / down > 0 AND 40 / down <= 150 THE
 SELECT l_orderkey, l_partkey, l_suppkey, round(reach, 6) AS reach, round(reach * rx / len, 6) AS east, round(reach * ry / len, 6) AS north FROM g"""
 
 
+def nearest_distances(points):
+    """id and metres to the nearest other point of (id, lat, lon), however far; null for a lone point.
+
+    Points meet those of the cells around theirs. Whoever's best is not within the width of a cell, which
+    nothing farther off can beat, looks again in cells twice as wide, up to one cell for the whole globe.
+    """
+    spark, n, found = points.sparkSession, 72_000, None  # cells around the globe: 0.005 degrees each
+    points = points.select("id", "lat", "lon")
+    todo = points
+    while True:
+        width = 360.0 / n
+        around = F.explode(F.array_distinct(F.array(*(F.struct((F.col("cy") + i).alias("cy"), F.pmod(F.col("cx") + j, F.lit(n)).alias("cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)))))
+        cells = {"cy": F.floor(F.col("lat") / width).cast("long"), "cx": F.pmod(F.floor(F.col("lon") / width).cast("long"), F.lit(n))}
+        wide = todo.withColumns(cells).select("id", "lat", "lon", around.alias("o")).select("id", "lat", "lon", "o.cy", "o.cx")
+        others = points.withColumns(cells).select(F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "cy", "cx")
+        met = wide.join(others, ["cy", "cx"]).where(F.col("id") != F.col("other"))
+        best = met.groupBy("id").agg(F.min(geo.distance(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).alias("metres"))
+        path = scratch(spark, "nearest")
+        todo.join(best, "id", "left").write.parquet(path)
+        level = spark.read.parquet(path)
+        sure = geo.EARTH_RADIUS * math.radians(width) * F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + width / 2))) * (1 - 1e-9)
+        proven = F.lit(True) if n == 1 else F.coalesce(F.col("metres") <= sure, F.lit(False))
+        settled = level.where(proven).select("id", "metres")
+        found = settled if found is None else found.unionByName(settled)
+        todo = level.where(~proven).drop("metres")
+        if n == 1 or todo.isEmpty():
+            return found
+        n //= 2
+
+
 def nearest_neighbor(spark, sf_dir):
-    """Distance of each point to its nearest other one within a cell's width (about 550 m), by grid cells; null if none is."""
-    rows = _positions(spark, sf_dir).withColumns({"cy": F.floor(F.col("lat") * 200).cast("long"), "cx": F.floor(F.col("lon") * 200).cast("long")})
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    wide = rows.select(F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "cy", "cx", around.alias("o"))
-    wide = wide.select("other", "lat2", "lon2", (F.col("cy") + F.col("o.i")).alias("cy"), (F.col("cx") + F.col("o.j")).alias("cx"))
-    met = rows.join(wide, ["cy", "cx"]).where(F.col("id") != F.col("other"))
-    d = geo.distance(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-    best = met.groupBy("id").agg(F.min(d).alias("metres"))
-    return rounded(rows.select("id").join(best, "id", "left"), "metres", digits=4)
+    """Distance of each point to its nearest other one, by grid cells."""
+    return rounded(nearest_distances(_positions(spark, sf_dir)), "metres", digits=4)
 
 
 NEIGHBOR = f"""WITH {POSITIONS}, p AS (SELECT *, CAST(floor(lat * 200) AS BIGINT) AS cy, CAST(floor(lon * 200) AS BIGINT) AS cx FROM pos),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evifuse.functions import geo
 from evifuse.operators import gates, kernels, metrics, mosaic, protocol, raster, sync, tracks
+from evifuse.plans import rasters
 from evifuse.sources import catalog, publish, telemetry
 from evifuse.streaming import synchronizer
 
@@ -220,3 +221,18 @@ def test_farthest_pair_lies_on_the_hull(spark):
     span = lambda p: max(np.hypot(*(a - b)) for a in p for b in p)
     assert len(ids) < 40 and span(points[ids]) == pytest.approx(span(points))
     assert kernels.outermost(rows.limit(0)).count() == 0
+
+
+def test_nearest_neighbor_however_far(spark):
+    """A cluster, points some cells off, outliers, both sides of the date line and near a pole, against all pairs."""
+    rng = np.random.default_rng(8)
+    places = [(46 + a, 7 + b) for a, b in rng.uniform(0, 0.01, (30, 2))] + [(46.3, 7.3), (46.0, 7.0199), (46.0149, 7.0), (46.5, 9.0), (-33.0, 151.0), (10.0, 179.9999), (10.0, -179.9999), (89.9, 0.0), (89.9, 120.0), (-60.0, -70.0)]
+    places += [(46.2 + a, 8 + b) for a, b in rng.uniform(0, 0.2, (40, 2))]
+    lat, lon = np.array(places).T
+    x = np.radians((lon[None] - lon[:, None] + 180) % 360 - 180) * np.cos(np.radians((lat[None] + lat[:, None]) / 2))
+    d = geo.EARTH_RADIUS * np.sqrt(x**2 + np.radians(lat[None] - lat[:, None]) ** 2)
+    np.fill_diagonal(d, np.inf)
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(places)], "id long, lat double, lon double")
+    got = dict(rasters.nearest_distances(points).collect())
+    assert len(got) == len(places) and np.allclose([got[i] for i in range(len(places))], d.min(axis=1), rtol=1e-9)
+    assert rasters.nearest_distances(points.limit(1)).collect()[0].metres is None
