@@ -292,7 +292,7 @@ def join(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR) -> DataFram
         if not more.isEmpty():
             joined = materialize(components(links.unionByName(more)), "jaccard-components")
     named = classes.select("key_a", "key_b", "n_shingles", "id").join(joined, "id", "left").select("key_a", "key_b", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    full = all_sets.where("n_shingles > 0").drop("short").join(named, ["key_a", "key_b", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
+    full = all_sets.where("n_shingles > 0").drop("short").join(named, ["key_a", "key_b", "n_shingles"], "left").select("doc_id", "n_shingles", "component_id")
     empty = all_sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(empty)
 

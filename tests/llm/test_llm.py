@@ -171,6 +171,12 @@ def test_one_row_of_each_component_stays(spark, words):
     assert [(r["doc_id"], r["text"]) for r in rows_of(kept)] == [(i, t) for i, t in enumerate(texts) if groups[i][1] == i]
 
 
+def test_null_ids_with_texts_of_their_own_keep_a_row(spark):
+    docs = docs_of(spark, ["a b c d", "e f g h"]).unionByName(docs_of(spark, ["a b c d", "only here it is", "only here it is", "x y z", ""]).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = [tuple(r) for r in jaccard_join.join(docs).collect()]
+    assert sorted(rows, key=str) == sorted([(0, 2, 0), (1, 2, 1), (None, 2, 0), (None, 2, None), (None, 2, None), (None, 1, None), (None, 0, None)], key=str)
+
+
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(4)
     for n in (1, 5, 70, 300, 2000):
