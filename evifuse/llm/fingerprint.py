@@ -1,15 +1,20 @@
 """Document fingerprints from closed syncmers, in DataFrame operations alone.
 
-A text's words are hashed; ``SMER`` neighbouring words make an s-mer, ``KMER`` words a k-mer. A k-mer is chosen
-if the least of its s-mers' hashes stands at its first or last place. Whether it is chosen depends on its own
-words alone, so an edit moves no choice beyond the k-mers it touches. The chosen k-mers in text order are the
-anchors; the fingerprint writes each as eight hexadecimal digits. Two fingerprints are as like as the Jaccard
-similarity of their distinct anchors.
-
-Edge cases: a null or empty text, or one of white space alone, has the empty fingerprint; two of them are alike
-(1), one and another are not (0). A text with words but without a chosen k-mer has one anchor, of all its words.
-Texts are taken whole. Rows of one doc_id are ordered by their text. A single document is its own next one.
-Empty tables give no rows. Other columns are left out.
+``SMER`` neighbouring code points make an s-mer, ``KMER`` a k-mer. A k-mer is chosen if no inner one of its s-mers
+hashes lower than both at its edges, so the least stands at its first or last place. Whether it is chosen depends on its own characters
+alone, so an edit moves no choice beyond the k-mers it touches. That also lets a text be cut into overlapping blocks
+of ``BLOCK`` characters, and the anchors of an edited text be put together from those of its parts and of the seam.
+
+An anchor is a chosen k-mer's 32-bit hash and its place; the fingerprint writes both, in text order, as eight
+hexadecimal digits each. Fingerprints are matched by position: equal anchors of both texts are paired place by place, and those
+pairs count whose shift (the difference of places) lies in the densest band of two neighbouring ``BAND`` characters. The likeness is their
+number over that of all anchors of both texts. Words in another order, moved paragraphs and repeated passages make texts
+less alike, though the anchors are the same.
+
+Edge cases: a null or empty text has the empty fingerprint; two of them are alike (1), one and another are not (0). A
+text without a chosen k-mer (any under ``KMER`` characters) has one anchor, of the whole text. Equal texts are alike (1), however often they repeat
+a passage. Texts are taken whole. Rows of one doc_id are ordered by their text; null ids come first. A single document is
+its own next one. Empty tables give no rows. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -18,49 +23,102 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evifuse.functions.ranges import cut, range_of
-from evifuse.llm.quality import SPACE, let
+from evifuse.llm.quality import let
 
-KMER, SMER = 8, 2
+KMER, SMER = 20, 5
+#: Code points of a block; width of half the band in which shifts agree.
+BLOCK, BAND = 4096, 256
 #: Ranges of doc_id for each shuffle partition.
 RANGES = 4
+LOW = 0xFFFFFFFF
+NONE = "array<bigint>"
 
 
-def anchors(text: Column) -> Column:
-    """The chosen k-mers of a text in order, as 32-bit numbers."""
+def place_of(anchor: Column) -> Column:
+    return anchor.bitwiseAND(F.lit(LOW))
+
+
+def lower(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+def least_of(values: Column, width: int, use) -> Column:
+    """``use`` of the minima of all windows of ``width`` values, by doubling the windows."""
+    shifted = lambda v, by: F.zip_with(F.slice(v, 1, F.size(v) - by), F.slice(v, 1 + by, F.size(v) - by), lower)
+
+    def grow(v: Column, have: int) -> Column:
+        if have == width:
+            return use(v)
+        by = min(have, width - have)
+        return let(shifted(v, by), lambda w: grow(w, have + by))
+
+    return grow(values, 1)
+
+
+def of_block(text: Column) -> Column:
+    """Chosen k-mers of a short text: hash in the upper half of each number, place in the lower."""
     width = KMER - SMER + 1
-    low = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
 
     def chosen(smers: Column) -> Column:
         last = F.size(smers) - width + 1
-        places = F.filter(
-            F.sequence(F.lit(1), last),
-            lambda i: F.array_min(F.slice(smers, i, width)) == F.least(F.element_at(smers, i), F.element_at(smers, i + width - 1)),
-        )
-        kmer = lambda i: low(F.xxhash64(*(F.element_at(smers, i + at) for at in range(0, width, SMER))))
-        return F.when(last >= 1, F.transform(places, kmer)).otherwise(F.array().cast("array<bigint>"))
+        edges = F.zip_with(F.slice(smers, 1, last), F.slice(smers, width, last), lower)
+        flags = lambda inner: F.zip_with(edges, inner, lambda e, m: e <= m)
+        places = least_of(F.slice(smers, 2, F.size(smers) - 2), width - 2, lambda inner: let(flags(inner), lambda f: F.filter(F.sequence(F.lit(1), last), lambda i: F.element_at(f, i))))
+        kmer = lambda i: F.xxhash64(*(F.element_at(smers, i + at) for at in range(0, width, SMER)))
+        anchor = lambda i: kmer(i).bitwiseAND(F.lit(~LOW)) + i - 1
+        return F.when(last >= 1, F.transform(places, anchor)).otherwise(F.array().cast(NONE))
+
+    smers = F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{SMER}}}))."), F.lit(1)), lambda s: F.xxhash64(s))
+    return let(smers, chosen)
+
+
+def chosen_in(text: Column) -> Column:
+    """Chosen k-mers of a text of any length, block by block."""
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{BLOCK + KMER - 1}}})).{{1,{BLOCK}}}"), F.lit(1))
+    return F.flatten(F.transform(blocks, lambda b, j: F.transform(of_block(b), lambda v: v + j.cast("long") * BLOCK)))
+
+
+def completed(found: Column, text: Column) -> Column:
+    """The anchors: the chosen k-mers, or one for the whole text where there is none."""
+    whole = F.array(F.xxhash64(text).bitwiseAND(F.lit(~LOW)))
+    return F.when((F.size(found) > 0) | (text == ""), found).otherwise(whole)
+
+
+def written(anchors: Column) -> Column:
+    return F.array_join(F.transform(anchors, lambda v: F.lower(F.lpad(F.hex(v), 16, "0"))), "")
+
+
+def agreed(a: Column, b: Column) -> Column:
+    """How many pairs of equal anchors have a shift in the densest band."""
+    keyed = lambda v, side: F.transform(v, lambda x: x + place_of(x) + side)  # noqa: E731  hash, place, side
+    merged = F.array_sort(F.concat(keyed(a, 0), keyed(b, 1)))
+    place = lambda x: F.shiftright(place_of(x), 1)
+    side = lambda x: x.bitwiseAND(F.lit(1))
 
-    def of_words(hashes: Column) -> Column:
-        n = F.size(hashes)
-        pairs = F.when(n >= SMER, F.zip_with(F.slice(hashes, 1, n - 1), F.slice(hashes, 2, n - 1), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
-        whole = F.array(low(F.aggregate(hashes, F.lit(0).cast("long"), lambda h, w: F.xxhash64(h, w))))
-        found = let(pairs, chosen)
-        return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(let(found, lambda a: F.when(F.size(a) > 0, a).otherwise(whole)))
+    def shift(x: Column, y: Column) -> Column:
+        same = (F.shiftright(x, 32) == F.shiftright(y, 32)) & (side(x) != side(y))
+        return F.when(same, F.floor((place(x) - place(y)) * (1 - 2 * side(x)) / BAND))
 
-    hashes = F.transform(F.filter(F.split(text, SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
-    return let(hashes, of_words)
+    bands = lambda m: F.filter(F.zip_with(F.slice(m, 1, F.size(m) - 1), F.slice(m, 2, F.size(m) - 1), shift), lambda s: s.isNotNull())
+    start = F.struct(F.lit(-(1 << 62)).alias("band"), F.lit(0).alias("n"), F.lit(0).alias("below"), F.lit(0).alias("best"))
 
+    def count(acc: Column, band: Column) -> Column:
+        stays = band == acc["band"]
+        n = F.when(stays, acc["n"] + 1).otherwise(1)
+        below = F.when(stays, acc["below"]).when(band == acc["band"] + 1, acc["n"]).otherwise(0)
+        return F.struct(band.alias("band"), n.alias("n"), below.alias("below"), F.greatest(acc["best"], n + below).alias("best"))
 
-def written(found: Column) -> Column:
-    return F.array_join(F.transform(found, lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), "")
+    found = let(merged, lambda m: F.when(F.size(m) > 1, F.aggregate(F.array_sort(bands(m)), start, count, lambda acc: acc["best"])).otherwise(0))
+    return F.least(found, F.size(a), F.size(b))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    both = F.size(F.array_union(a, b))
-    return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
+    share = let(agreed(a, b), lambda n: n / (F.size(a) + F.size(b) - n))
+    return F.when(a == b, F.lit(1.0)).otherwise(share)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, anchors, and next_text, next_anchors of the next doc_id; after the last, of the first.
+    """doc_id, text, chosen, and next_text, next_chosen of the next doc_id; after the last, of the first.
 
     Rows are dealt by ranges of doc_id, so no task orders them all. The first row of a range joins the range
     before as a guest behind its last row; only the ranges' bounds and first ids pass through the driver.
@@ -76,25 +134,33 @@ def with_next(docs: DataFrame) -> DataFrame:
     own = rows.select("*", F.lit(0).alias("guest"), part)
     places = F.create_map(*(F.lit(x) for pair in before.items() for x in pair)) if before else F.create_map().cast("map<bigint,int>")
     guests = rows.where(F.col("key").isin(list(before))).select("*", F.lit(1).alias("guest"), places[F.col("key")].alias("part"))
-    dealt = own.unionByName(guests).repartition("part").withColumn("anchors", anchors(F.col("text")))
+    dealt = own.unionByName(guests).repartition("part").withColumn("chosen", chosen_in(F.col("text")))
     order = Window.partitionBy("part").orderBy("guest", "key", "text")
-    led = dealt.select("doc_id", "text", "anchors", "guest", F.lead("text").over(order).alias("next_text"), F.lead("anchors").over(order).alias("next_anchors"))
+    led = dealt.select("doc_id", "text", "chosen", "guest", F.lead("text").over(order).alias("next_text"), F.lead("chosen").over(order).alias("next_chosen"))
     return led.where("guest = 0")
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, n_anchors for (doc_id, text)."""
-    found = docs.select("doc_id", anchors(F.coalesce("text", F.lit(""))).alias("anchors"))
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select("doc_id", let(chosen_in(text), lambda v: completed(v, text)).alias("anchors"))
     return found.select("doc_id", written(F.col("anchors")).alias("fingerprint"), F.size("anchors").alias("n_anchors"))
 
 
 def compare_with_edit(docs: DataFrame) -> DataFrame:
     """Each text beside an edited one, whose second half is taken from the next document, and beside that document."""
+    c, ends = F.col, lambda v: place_of(v) + KMER
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = with_next(docs).withColumn("edited", edited).withColumn("edited_anchors", anchors(F.col("edited")))
-    return rows.select(
+    rows = with_next(docs).withColumns({"kept": F.length("text") - half, "taken": F.least(half, F.length("next_text"))})
+    rows = rows.withColumn("edited", F.concat(F.substring(c("text"), F.lit(1), c("kept")), F.substring(c("next_text"), F.lit(1), c("taken"))))
+    # k-mers over the seam start before it, and less than a k-mer's length before
+    at = F.greatest(c("kept") - (KMER - 1), F.lit(0))
+    seam = F.transform(of_block(F.substring(c("edited"), at + 1, c("kept") + (KMER - 1) - at)), lambda v: v + at)
+    left = F.filter("chosen", lambda v: ends(v) <= c("kept"))
+    right = F.transform(F.filter("next_chosen", lambda v: ends(v) <= c("taken")), lambda v: v + c("kept"))
+    rows = rows.withColumn("edited_chosen", F.concat(left, seam, right))
+    named = {"a": completed(c("chosen"), c("text")), "e": completed(c("edited_chosen"), c("edited")), "n": completed(c("next_chosen"), c("next_text"))}
+    return rows.withColumns(named).select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        written(F.col("anchors")).alias("fingerprint"), written(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"), likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        written(c("a")).alias("fingerprint"), written(c("e")).alias("edited_fingerprint"), likeness(c("a"), c("e")).alias("near_edited"), likeness(c("a"), c("n")).alias("near_next"),
     )

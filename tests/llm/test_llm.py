@@ -392,6 +392,8 @@ def test_bpe_queries(spark):
 
 # -- op9 -----------------------------------------------------------------------------------------------------
 def brute_anchors(text):
+    """(hash, place) of every closed syncmer, by looking at each k-mer alone."""
+
     def chain(*values):
         h = 42
         for v in values:
@@ -399,39 +401,56 @@ def brute_anchors(text):
         return h
 
     long = lambda h: h.to_bytes(8, "little")
-    hashes = [chain(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
     signed = lambda h: h - 2**64 if h >= 2**63 else h
-    pairs = [chain(long(a), long(b)) for a, b in zip(hashes, hashes[1:])]
-    width, out = fingerprint.KMER - fingerprint.SMER + 1, []
-    for i in range(len(pairs) - width + 1):
-        inner = [signed(h) for h in pairs[i : i + width]]
-        if min(inner) in (inner[0], inner[-1]):
-            out.append(chain(*(long(h) for h in pairs[i : i + width : fingerprint.SMER])) & 0xFFFFFFFF)
-    if hashes and not out:
-        h = 0
-        for w in hashes:
-            h = chain(long(h % 2**64), long(w))
-        out = [h & 0xFFFFFFFF]
-    return out
-
-
-def test_fingerprints(spark, words):
+    s, k, out = fingerprint.SMER, fingerprint.KMER, []
+    smers = [chain(text[i : i + s].encode()) for i in range(len(text) - s + 1)]
+    for i in range(len(text) - k + 1):
+        own = [signed(h) for h in smers[i : i + k - s + 1]]
+        if min(own) in (own[0], own[-1]):
+            out.append((chain(*(long(h) for h in smers[i : i + k - s + 1 : s])) >> 32, i))
+    return out or ([(chain(text.encode()) >> 32, 0)] if text else [])
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    merged = sorted((h - 2**32 if h >= 2**31 else h, p, side) for side, v in enumerate((a, b)) for h, p in v)
+    bands = [(p - q if s == 0 else q - p) // fingerprint.BAND for (h, p, s), (g, q, t) in zip(merged, merged[1:]) if h == g and s != t]
+    best = min(max((bands.count(x) + bands.count(x - 1) for x in bands), default=0), len(a), len(b))
+    return best / (len(a) + len(b) - best)
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_fingerprints(spark, words, monkeypatch, block):
+    monkeypatch.setattr(fingerprint, "BLOCK", block)
     rng = random.Random(9)
-    texts = [*ODD, *(prose(words, rng, rng.randint(5, 200)) for _ in range(60))]
+    texts = [*ODD, *(prose(words, rng, rng.randint(5, 200)) for _ in range(40)), "日本語の文章は空白なしで続く" * 9, "ab" * 300, "\U0001f600 smile " * 30, prose(words, rng, 900)]
     clean = [t or "" for t in texts]
-    like = lambda a, b: 1.0 if not a and not b else len(set(a) & set(b)) / len(set(a) | set(b))
     for i, r in enumerate(rows_of(fingerprint.compare_with_edit(docs_of(spark, texts)))):
         text, after = clean[i], clean[(i + 1) % len(clean)]
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
         a, e, n = map(brute_anchors, (text, edited, after))
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert r["fingerprint"] == "".join(f"{x:08x}" for x in a) and r["edited_fingerprint"] == "".join(f"{x:08x}" for x in e)
-        assert (r["near_edited"], r["near_next"]) == (pytest.approx(like(a, e)), pytest.approx(like(a, n)))
+        assert r["fingerprint"] == "".join(f"{h:08x}{p:08x}" for h, p in a) and r["edited_fingerprint"] == "".join(f"{h:08x}{p:08x}" for h, p in e)
+        assert (r["near_edited"], r["near_next"]) == (pytest.approx(brute_likeness(a, e)), pytest.approx(brute_likeness(a, n)))
     assert fingerprint.compare_with_edit(docs_of(spark, [])).count() == 0
     assert fingerprint.compare_with_edit(docs_of(spark, ["a b"])).first().near_next == 1.0
 
 
+def test_likeness_goes_by_place(spark, words):
+    """Short texts, scripts without spaces and small edits stay alike; moved and repeated passages do not count in full."""
+    rng = random.Random(19)
+    parts = [prose(words, rng, 120) for _ in range(4)]
+    japanese = "".join(rng.choice("あいうえおかきくけこ日月火水木金土") for _ in range(105))
+    seven = "seven quite ordinary words stand here alone"
+    cases = [(" ".join(parts), " ".join(parts[::-1])), (" ".join(parts), " ".join([parts[0] + " one more", *parts[1:]])), (parts[0], " ".join([parts[0]] * 4)), (japanese, japanese[:60] + "犬" + japanese[60:]), (seven, seven + " now"), (parts[0], parts[1])]
+    df = spark.createDataFrame(cases, "x string, y string")
+    made = df.select(fingerprint.likeness(*(fingerprint.completed(fingerprint.chosen_in(F.col(c)), F.col(c)) for c in "xy")).alias("near"))
+    moved, edited, repeated, script, short, other = [r.near for r in made.collect()]
+    assert moved < 0.3 and edited > 0.9 and repeated < 0.5 and script > 0.4 and short > 0.3 and other < 0.05
+
+
 # -- op10 ----------------------------------------------------------------------------------------------------
 def test_warc_round_trip(spark, tmp_path, monkeypatch):
     rng = random.Random(10)
