@@ -1,17 +1,18 @@
 """Chat formatting with a grammar round trip, in DataFrame operations alone.
 
 Template: a turn is ``<s>role [INST] text [/INST]``, an assistant's turn ends in ``</s>`` instead. Turns stand
-one after another. A conversation is first rendered as it is and parsed again by a fixed grammar: a turn is what
-the pattern ``TURN`` finds, and every unescaped control string must belong to a turn. Where the parsed turns
-differ from the source or control strings are left over, the texts are escaped and the conversation is rendered and parsed again. Escaping puts one backslash
-before every run of backslashes that leads to a control string; parsing takes it away. A second round
-therefore always comes out identical, and texts without control strings are never changed.
+one after another. A conversation is rendered as it is and parsed again by a deterministic parser: the unescaped control strings cut
+the text, and each three of them must be a turn's. Where the parsed turns differ from the source, the contents are escaped, rendered,
+parsed and compared again. Escaping puts one backslash before every run of backslashes
+that leads to a control string; parsing takes it away. One round is therefore always enough; that it was is checked for each
+conversation, not assumed, and one that still differs raises. Texts without control strings are never changed.
 
-The loss mask covers the assistants' texts: ``loss_spans`` holds their places in the formatted text.
+The loss mask covers the assistants' texts: ``loss_runs`` are the lengths of what it skips and takes in turn. All patterns are linear in
+the text.
 
 Edge cases: null texts and roles are empty. Repeated rows are turns of their own; equal turn numbers are ordered
 by role and text. A conversation without rows does not exist, so an empty table gives no rows. Texts are taken
-whole. Rows with a null conv_id form one conversation. Other columns are left out.
+whole. A row with a null conv_id is a conversation of its own, as nothing says with which others it belongs. Other columns, of any name, are left out.
 """
 
 from __future__ import annotations
@@ -19,75 +20,108 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evifuse.llm.quality import let
+
 #: The template's control strings.
 OPEN, HEAD, CLOSE, END = "<s>", "[INST]", "[/INST]", "</s>"
 CONTROL = r"<s>|</s>|\[INST\]|\[/INST\]"
-#: A turn's role, text and closing marker. A marker inside a turn follows a space; an escaped one, a backslash.
-TURN = r"(?s)<s>(.*?) \[INST\] (.*?) (\[/INST\]|</s>)"
-MARKERS = rf"(?<!\\)(?:{CONTROL})"
+#: A control string that no backslash escapes. A run of backslashes is read once, from its start.
+MARKER = rf"(?<!\\)(?:{CONTROL})"
 
 
 def escaped(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(\\*)({CONTROL})", r"\\$1$2")
+    return F.regexp_replace(text, rf"(?<!\\)(\\*+)({CONTROL})", r"\\$1$2")
 
 
 def unescaped(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\\(\\*)({CONTROL})", "$1$2")
+    return F.regexp_replace(text, rf"(?<!\\)\\(\\*+)({CONTROL})", "$1$2")
+
+
+def again(turns: Column) -> Column:
+    """The turns with their contents escaped."""
+    return F.transform(turns, lambda t: F.struct(escaped(t["role"]).alias("role"), escaped(t["text"]).alias("text"), t["assistant"].alias("assistant")))
+
 
+def rendered(turns: Column) -> Column:
+    """The formatted text of an array of (role, text, assistant)."""
+    end = lambda t: F.when(t["assistant"], F.lit(END)).otherwise(F.lit(CLOSE))
+    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(OPEN), t["role"], F.lit(f" {HEAD} "), t["text"], F.lit(" "), end(t))), "")
 
-def rendered(turns: Column, escape: bool) -> Column:
-    """The formatted text of an array of (role, text)."""
-    own = escaped if escape else (lambda t: t)
-    end = lambda t: F.when(t["role"] == "assistant", F.lit(END)).otherwise(F.lit(CLOSE))
-    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(OPEN), own(t["role"]), F.lit(f" {HEAD} "), own(t["text"]), F.lit(" "), end(t))), "")
+
+def pieces(formatted: Column) -> tuple[Column, Column]:
+    """What stands between the markers, and the markers."""
+    return F.split(formatted, MARKER), F.regexp_extract_all(formatted, F.lit(MARKER), F.lit(0))
 
 
 def parsed(formatted: Column) -> Column:
-    """The array of (role, text) that a formatted text holds."""
-    pick = lambda group: F.regexp_extract_all(formatted, F.lit(TURN), F.lit(group))
-    return F.transform(F.arrays_zip(pick(1).alias("role"), pick(2).alias("text")), lambda t: F.struct(unescaped(t["role"]).alias("role"), unescaped(t["text"]).alias("text")))
+    """The array of (role, text, assistant) that a formatted text holds, unescaped; null if it is not of the grammar."""
+
+    def turn(i: Column, between: Column, marks: Column) -> Column:
+        lead, role, text = (F.element_at(between, 3 * i + k) for k in (1, 2, 3))
+        a, b, c = (F.element_at(marks, 3 * i + k) for k in (1, 2, 3))
+        fits = (lead == "") & (a == OPEN) & (b == HEAD) & c.isin(CLOSE, END) & role.endswith(" ") & text.startswith(" ") & text.endswith(" ") & (F.length(text) > 1)
+        inner = lambda t, at: F.substring(t, F.lit(at), F.length(t) - at)
+        return F.when(fits, F.struct(unescaped(inner(role, 1)).alias("role"), unescaped(inner(text, 2)).alias("text"), (c == END).alias("assistant")))
+
+    def read(between: Column, marks: Column) -> Column:
+        n = F.size(marks)
+        turns = F.transform(F.sequence(F.lit(0), F.floor(n / 3).cast("int") - 1), lambda i: turn(i, between, marks))
+        whole = (n > 0) & (n % 3 == 0) & (F.element_at(between, -1) == "")
+        return F.when(whole, let(turns, lambda t: F.when(F.exists(t, lambda x: x.isNull()), None).otherwise(t)))
+
+    between, marks = pieces(formatted)
+    return let(F.struct(between.alias("b"), marks.alias("m")), lambda x: read(x["b"], x["m"]))
 
 
 def render(conversations: DataFrame) -> DataFrame:
     """conv_id, turns, formatted, escaped (whether it had to be) for (conv_id, turn, role, text)."""
-    clean = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    whole = clean.groupBy("conv_id").agg(ordered.alias("rows"))
-    whole = whole.select("conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
-    plain = whole.withColumn("plain", rendered(F.col("turns"), False))
-    left_over = F.regexp_count("plain", F.lit(MARKERS)) != 3 * F.size("turns")
-    differs = left_over | ~parsed(F.col("plain")).eqNullSafe(F.col("turns"))
-    tried = plain.withColumn("escaped", differs)
-    formatted = F.when(F.col("escaped"), rendered(F.col("turns"), True)).otherwise(F.col("plain"))
-    return tried.select("conv_id", "turns", formatted.alias("formatted"), "escaped")
+    clean = conversations.select(
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("lone")
+    )
+    whole = clean.groupBy("conv_id", "lone").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("rows"))
+    turns = F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"), (r["role"] == "assistant").alias("assistant")))
+    whole = whole.select("conv_id", turns.alias("turns"))
+
+    def settle(source: Column, is_escaped: bool) -> Column:
+        """Rendered, parsed, compared; where it differs, escaped and settled again."""
+
+        def compare(formatted: Column) -> Column:
+            told = F.struct(formatted.alias("formatted"), F.lit(is_escaped).alias("escaped"))
+            failed = F.raise_error(F.lit("a conversation does not come back from its format"))
+            return F.when(parsed(formatted).eqNullSafe(F.col("turns")), told).otherwise(failed if is_escaped else let(again(source), lambda s: settle(s, True)))
+
+        return let(rendered(source), compare)
+
+    return whole.withColumn("made", settle(F.col("turns"), False)).select("conv_id", "turns", "made.*")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns, loss_spans from (conv_id, formatted).
+    """conv_id, turns, loss_runs, loss from (conv_id, formatted).
 
-    A span is (start, length) in code points of the formatted text, escapes included.
+    Runs are (skip, take) in code points of the formatted text, escapes included; ``loss`` is what they take, unescaped.
     """
-    closes = F.regexp_extract_all("formatted", F.lit(TURN), F.lit(3))
-    whole = F.regexp_extract_all("formatted", F.lit(TURN), F.lit(0))
-    texts = F.regexp_extract_all("formatted", F.lit(TURN), F.lit(2))
-    cut = formatted.select("conv_id", "formatted", F.arrays_zip(closes.alias("close"), F.transform(whole, F.length).alias("size"), F.transform(texts, F.length).alias("inner")).alias("marks"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    # an assistant's text ends one space and one closing marker before its turn does
-    step = lambda acc, m: F.struct(
-        (acc["at"] + m["size"]).alias("at"),
-        F.when(m["close"] == END, F.concat(acc["spans"], F.array(F.struct((acc["at"] + m["size"] - len(END) - 1 - m["inner"]).alias("start"), m["inner"].alias("length"))))).otherwise(acc["spans"]).alias("spans"),
+    turns = parsed(F.col("formatted"))
+    between = F.split("formatted", MARKER)
+    sizes = lambda i, close: F.struct(  # noqa: E731  markers, role and text of a turn; one space lies on either side of a text
+        F.length(F.element_at(between, 3 * i + 2)).alias("role"), (F.length(F.element_at(between, 3 * i + 3)) - 2).alias("text"), F.length(close).alias("close"), (close == END).alias("taken")
     )
-    return cut.select("conv_id", "formatted", parsed(F.col("formatted")).alias("turns"), F.aggregate("marks", start, step, lambda acc: acc["spans"]).alias("loss_spans"))
+    marks = F.filter(F.regexp_extract_all("formatted", F.lit(MARKER), F.lit(0)), lambda m, i: i % 3 == 2)
+    head = len(OPEN) + len(HEAD) + 1
+
+    def runs(s: Column) -> Column:
+        skip = s["role"] + head + F.when(s["taken"], 0).otherwise(s["text"])
+        take = F.when(s["taken"], s["text"]).otherwise(0)
+        return F.struct(skip.alias("skip"), take.alias("take"), (s["close"] + 1).alias("rest"))
+
+    listed = formatted.select("conv_id", "formatted", turns.alias("turns"), F.transform(marks, lambda m, i: runs(sizes(i, m))).alias("loss_runs"))
+    return listed.withColumn("loss", F.array_join(F.transform(F.filter("turns", lambda t: t["assistant"]), lambda t: t["text"]), ""))
 
 
 def digests(conversations: DataFrame) -> DataFrame:
-    """The query's columns, read back from the formatted text, and whether the round trip was identical."""
-    made = render(conversations)
-    read = read_back(made.select("conv_id", "formatted"))
-    # spans are cut from the text itself: what a trainer's loss mask would see
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
+    """The query's columns, read back from the formatted text."""
+    read = read_back(render(conversations).select("conv_id", "formatted"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.withColumn("loss", loss).select(
+    return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars")
     )
 
@@ -99,7 +133,7 @@ WITH turns AS (
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), sized AS (
-  SELECT *, length(role) + length(text) + CASE WHEN role = 'assistant' THEN 16 ELSE 19 END
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, length(role) + length(text) + CASE WHEN role = 'assistant' THEN 16 ELSE 19 END
     + len(regexp_extract_all(role, '<s>|</s>|\[INST\]|\[/INST\]')) + len(regexp_extract_all(text, '<s>|</s>|\[INST\]|\[/INST\]')) AS size
   FROM turns
 )
@@ -108,5 +142,5 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(size) AS BIGINT) AS formatted_chars
-FROM sized GROUP BY conv_id
+FROM sized GROUP BY conv_id, lone
 """

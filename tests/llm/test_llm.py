@@ -101,12 +101,15 @@ def test_license_places_equal_those_of_all_positions():
 
 
 # -- op2 -----------------------------------------------------------------------------------------------------
+CHAT = "conv_id long, turn long, role string, text string"
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(2)
     bits = ["<s>", "</s>", "[INST]", "[/INST]", "\\", " ", "\n", "ok", "é", "[", "]", "<", ">", "/", "$1", "s"]
     rows = [(c, t, rng.choice(["user", "assistant", "system", "<s>", "a\\", None]), rng.choice([None, "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))])) for c in range(150) for t in range(rng.randint(1, 5))]
-    rows += [(900, 0, "user", "x"), (900, 0, "user", "x"), (901, 5, "assistant", "</s> [INST] \\</s>")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)).withColumn("formatted", F.lit("x"))
+    rows += [(900, 0, "user", "x"), (900, 0, "user", "x"), (901, 5, "assistant", "</s> [INST] \\</s>"), (902, 0, "user", " [/INST]<s>x [INST] y"), (903, 0, "assistant", "\\<s>")]
+    df = spark.createDataFrame(rows, CHAT).withColumn("turns", F.lit(1)).withColumn("formatted", F.lit("x"))
     got = {r.conv_id: r for r in chat.digests(df).collect()}
     assert set(got) == {r[0] for r in rows}
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
@@ -115,11 +118,37 @@ def test_chat_round_trip(spark):
         assert r.n_turns == len(turns) and r.turns_sha256 == sha("".join(f"{role}\n{text}\n" for _, role, text in turns))
         loss = "".join(text for _, role, text in turns if role == "assistant")
         assert (r.loss_chars, r.loss_sha256) == (len(loss), sha(loss))
-    plain = [r for r in chat.render(df).collect() if not any(m in (t.text + t.role) for t in r.turns for m in ("<s>", "</s>", "[INST]", "[/INST]"))]
-    assert plain and not any(r.escaped for r in plain)
+    made = chat.render(df).collect()
+    holds = lambda r: any(m in (t.text + t.role) for t in r.turns for m in ("<s>", "</s>", "[INST]", "[/INST]"))
+    assert {holds(r) for r in made} == {True, False} and all(r.escaped == holds(r) for r in made)
+    for r in chat.read_back(chat.render(df).select("conv_id", "formatted")).collect():
+        at, taken = 0, []
+        for run in r.loss_runs:
+            taken.append(r.formatted[at + run.skip : at + run.skip + run.take])
+            at += run.skip + run.take + run.rest
+        assert at == len(r.formatted) and re.sub(r"(?<!\\)\\(\\*)(<s>|</s>|\[INST\]|\[/INST\])", r"\1\2", "\0".join(taken)).replace("\0", "") == r.loss
     assert chat.digests(df.limit(0)).count() == 0
 
 
+def test_chat_rows_without_a_conversation_stand_alone(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (3, 0, "user", "a")]
+    got = sorted((r.conv_id or 0, r.n_turns, r.loss_chars) for r in chat.digests(spark.createDataFrame(rows, CHAT)).collect())
+    assert got == [(0, 1, 0), (0, 1, 1), (3, 1, 0)]
+
+
+def test_chat_is_linear_in_long_texts(spark):
+    """A million backslashes, many unclosed marks and many turns take seconds."""
+    import time
+
+    n = 1_000_000
+    rows = [(1, 0, "user", "\\" * n), (1, 1, "assistant", "\\" * n + "<s>"), (2, 0, "user", "x [/INST]" + "<s>" * (n // 4)), (3, 0, "assistant", "</s> " * (n // 5))] + [(4, t, "assistant", "<s>ok") for t in range(5000)]
+    began = time.time()
+    got = {r.conv_id: r for r in chat.digests(spark.createDataFrame(rows, CHAT)).collect()}
+    assert time.time() - began < 60
+    assert got[1].loss_chars == n + 3 and got[3].loss_chars == n and got[4].n_turns == 5000 and got[4].loss_chars == 25000
+    assert got[1].formatted_chars == 2 * n + 3 + 1 + 4 + 9 + 16 + 19 and got[2].n_turns == 1
+
+
 # -- op3 -----------------------------------------------------------------------------------------------------
 def brute_components(texts, size, similar):
     sets, parent = {}, {}
