@@ -33,8 +33,8 @@ from evifuse.llm.shared import materialize
 LENGTH, END_ID = 2048, 0
 #: A bin with at least so many tokens is done; pieces packed together in one round; underfull bins a task holds for its next round; pieces dealt to one task.
 NEARLY_FULL, ROUND, CARRY, SHARE = 2040, 50_000, 4000, 50_000
-ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-BIN = "done boolean, fill long, items array<struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long>>"
+ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
+BIN = "done boolean, fill long, items array<struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long, offset: long>>"
 Bin = tuple[int, list[dict]]
 
 
@@ -107,8 +107,14 @@ def settle(bins: list[Bin], nearly: int) -> tuple[list[Bin], list[Bin]]:
 
 
 def bin_batches(bins: list[Bin], done: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of bins, with each piece's place in its bin."""
     for i in range(0, len(bins), 2000):
         part = bins[i : i + 2000]
+        for _, pieces in part:
+            at = 0
+            for piece in pieces:
+                piece["offset"] = at
+                at += piece["length"]
         yield pa.RecordBatch.from_arrays([pa.array([done] * len(part)), pa.array([b[0] for b in part], pa.int64()), pa.array([b[1] for b in part], pa.list_(ITEM))], ["done", "fill", "items"])
 
 
@@ -198,6 +204,4 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, nearly:
     else:
         bins = bins.unionByName(materialize(rest.coalesce(1).mapInArrow(again, BIN), "packing-last"))
     numbered = bins.select(F.monotonically_increasing_id().alias("sequence_id"), "items")
-    placed = numbered.select("sequence_id", "items", F.posexplode("items").alias("place", "item"))
-    offset = F.aggregate(F.slice("items", 1, F.col("place")), F.lit(0).cast("long"), lambda s, x: s + x["length"])
-    return placed.select("item.doc_id", "item.piece", "item.start", "item.length", "item.ids_crc32", "sequence_id", offset.alias("offset"))
+    return numbered.select("sequence_id", F.explode("items").alias("item")).select("item.doc_id", "item.piece", "item.start", "item.length", "item.ids_crc32", "sequence_id", "item.offset")
