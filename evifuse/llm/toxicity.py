@@ -3,11 +3,12 @@
 A word enters as a hashed word vector and the mean of its hashed character-trigram vectors. Overlapping windows
 of ``WINDOW`` words, ``STRIDE`` apart, cover every text; each runs through one gated recurrent layer in either
 direction, attention pools the states, and a linear unit gives the window's logit. A text's logit is its
-highest window's, as one passage is enough; it is shifted and scaled on training texts kept aside.
+highest window's, as one passage is enough; it is shifted so that training texts kept aside are parted best.
 
 Training takes a bounded sample of labelled rows, ``SAMPLE`` of each class with the smallest hashed ids, and
-never a held-out row. First all windows carry their text's label; later only the highest window of a toxic
-text does, against random and the highest windows of clean ones. The trained weights have a fixed size (about 5 MB) and are broadcast.
+never a held-out row. Of equal texts in it one is used. In the first epochs all windows carry their text's label; later only the highest of
+a toxic text does, against all windows of clean ones, of which each text's ``HARD`` highest count once more. The trained weights have a fixed
+size (about 5 MB) and are broadcast.
 
 Edge cases: a null or empty text is a window of padding alone and gets the score of that. Texts are scored
 whole. Repeated rows get equal scores. Where a class has no labelled row every score is 0.02. Of labels given
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import pickle
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +32,8 @@ from evifuse.llm.shared import raw_texts
 SAMPLE, WINDOW, STRIDE = 1500, 32, 16
 WORD_ROWS, GRAM_ROWS, PART, HIDDEN = 1 << 16, 1 << 14, 8, 8
 EPOCHS, BATCH, RATE, SEED = 5, 256, 0.01, 7
+#: A clean text's windows that look most toxic, which count once more in later epochs.
+HARD = 3
 #: Words a task remembers; windows that run together.
 MEMORY, TOGETHER = 200_000, 2048
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -162,17 +164,17 @@ def backward(weights: dict, projected: np.ndarray, mask: np.ndarray, kept, slope
     return grads, d_projected
 
 
-def train(texts: list[tuple[bytes | None, int]]) -> dict[str, np.ndarray]:
-    """Weights from labelled texts; every fifth text is kept aside for the shift and scale.
+def summed(index: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each index; every index up to the largest occurs."""
+    order = np.argsort(index, kind="stable")
+    return np.add.reduceat(rows[order], np.searchsorted(index[order], np.arange(index[order[-1]] + 1)))
+
 
-    Of texts whose three least word hashes agree, copies for the most part, only the first is used.
-    """
+def train(texts: list[tuple[bytes | None, int]]) -> dict[str, np.ndarray]:
+    """Weights from labelled texts, equal ones with equal labels once; every fifth text is kept aside for the shift."""
     weights = new_weights()
     words = Words()
-    seen: dict[tuple, tuple] = {}  # copies of one text would teach its accidental words
-    for raw, y in texts:
-        seen.setdefault(tuple(sorted({zlib.crc32(w) for w in words_of(raw)})[:3]), (raw, y))
-    texts = list(seen.values())
+    texts = list(dict.fromkeys(texts))  # copies of one text would teach its accidental words
     tokens = [windows_of([words[w] for w in words_of(raw)]) for raw, _ in texts]
     labels = np.array([y for _, y in texts])
     if len(set(labels.tolist())) < 2:
@@ -204,12 +206,12 @@ def train(texts: list[tuple[bytes | None, int]]) -> dict[str, np.ndarray]:
     toxic, clean = np.flatnonzero((labels == 1) & ~aside), np.flatnonzero((labels == 0) & ~aside)
     for epoch in range(EPOCHS):
         if epoch < 2:
-            positive = np.concatenate([tokens[i][draw.permutation(len(tokens[i]))[:24]] for i in toxic])
+            positive = np.concatenate([tokens[i] for i in toxic])
         else:
             positive = np.stack([tokens[i][int(np.argmax(s))] for i, s in zip(toxic, logits_of(toxic))])
-        negative = [tokens[i][draw.permutation(len(tokens[i]))[:16]] for i in clean]
-        if epoch >= 2:  # and the windows of clean texts that look most toxic
-            negative += [tokens[i][np.argsort(s)[-3:]] for i, s in zip(clean, logits_of(clean))]
+        negative = [tokens[i] for i in clean]
+        if epoch >= 2:  # and once more the windows of clean texts that look most toxic
+            negative += [tokens[i][np.argsort(s)[-HARD:]] for i, s in zip(clean, logits_of(clean))]
         negative = np.concatenate([*negative, np.zeros((16, WINDOW), np.int32)])  # a text without words is clean
         index = np.concatenate([positive, negative])
         truth = np.concatenate([np.ones(len(positive)), np.zeros(len(negative))]).astype(np.float32)
@@ -223,8 +225,7 @@ def train(texts: list[tuple[bytes | None, int]]) -> dict[str, np.ndarray]:
             kept = forward(weights, projected, mask, keep=True)
             slope = (weight[at] * (sigmoid(kept[0]) - truth[at]) / len(at)).astype(np.float32)
             grads, d_projected = backward(weights, projected, mask, kept, slope)
-            flat = np.zeros((len(used), d_projected.shape[2]), np.float32)
-            np.add.at(flat, inverse.ravel(), d_projected.reshape(-1, d_projected.shape[2]))
+            flat = summed(inverse.ravel(), d_projected.reshape(-1, d_projected.shape[2]))
             grads["in"], grads["in_bias"] = x.T @ flat, flat.sum(0)
             d_x = flat @ weights["in"].T
             step += 1
@@ -235,11 +236,10 @@ def train(texts: list[tuple[bytes | None, int]]) -> dict[str, np.ndarray]:
                 weights[k] -= (RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
             for k, where, g in (("word", rows[used], d_x[:, :PART]), ("gram", own, np.repeat(d_x[:, PART:] / sizes[used][:, None], sizes[used], axis=0))):
                 where, inner = np.unique(where, return_inverse=True)
-                total = np.zeros((len(where), PART), np.float32)
-                np.add.at(total, inner, g)
+                total = summed(inner, g)
                 spent[k][where] += (total * total).mean(1)
                 weights[k][where] -= 0.1 * total / np.sqrt(spent[k][where])[:, None]
-    # shift and scale: between the classes' highest windows, where the kept-aside texts are parted best
+    # shift: between the classes' highest windows, where the kept-aside texts are parted best
     chosen = np.flatnonzero(aside) if len(set(labels[aside].tolist())) == 2 else np.arange(len(texts))
     top = np.array([s.max() for s in logits_of(chosen)])
     cuts = np.unique(np.quantile(top, np.linspace(0, 1, 200)))

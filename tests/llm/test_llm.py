@@ -323,6 +323,20 @@ def test_toxicity_on_held_out_rows(spark, words):
     assert all(r["score"] == pytest.approx(0.02) for r in rows_of(toxicity.score(docs_of(spark, ODD), labels.limit(0))))
 
 
+def test_training_drops_equal_texts_alone():
+    """Texts that share their least words but differ all teach, with their own labels; very long ones are read whole."""
+    seen = []
+    original = toxicity.windows_of
+    toxicity.windows_of = lambda numbers: seen.append(len(numbers)) or original(numbers)
+    try:
+        toxicity.train([(b"same words here", 0), (b"same words here", 0), (b"same words here too", 1), (b"same words here", 1), (b"a b " * 400, 0)])
+    finally:
+        toxicity.windows_of = original
+    assert sorted(seen) == [3, 3, 4, 800]
+    index, rows = np.array([1, 0, 1, 2]), np.array([[1.0], [2.0], [3.0], [4.0]])
+    assert toxicity.summed(index, rows).tolist() == [[2.0], [4.0], [4.0]]
+
+
 def test_windows_cover_all_words():
     for n in (0, 1, 31, 32, 33, 48, 49, 500):
         windows = toxicity.windows_of(list(range(1, n + 1)))
