@@ -515,8 +515,28 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
         warc.reassemble(records.where("number <> 2")).collect()
     assert warc.write_and_read(pages.limit(0)).count() == 0
 
-    again = pages.where("page_id < 8").unionByName(pages.where("page_id IN (5, 6)")).unionByName(pages.where("page_id = 2").withColumn("page_id", F.lit(None).cast("long")))
-    assert [r["page_id"] for r in rows_of(warc.write_and_read(again), "page_id")] == list(range(8))
+    # every row has its record: repeated ids with equal and other payloads, null ids with payloads of their own and of others
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "b"), (None, "a"), (None, "c"), (None, "c"), (None, "d" * 70_000), (5, "e" * 70_000), (5, "e" * 70_000), (6, None), (7, "")]
+    odd = spark.createDataFrame([(i, None, t, "k") for i, t in rows], pages.schema).repartition(3)
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.write_and_read(odd).collect()), key=str)
+    want = [(1, 1, "response", None)] * 3 + [(2, 1, "revisit", 1), (None, 1, "revisit", 1), (None, 1, "response", None), (None, 1, "response", None), (None, 70_000, "response", None)]
+    want += [(5, 70_000, "response", None)] * 2 + [(6, 0, "response", None), (7, 0, "revisit", 6)]
+    assert got == sorted(want, key=str)
+    ids = warc.read_records(spark, warc.write(odd, f"{shared.shared_folder(spark)}/warc-odd")).select("record_id").collect()
+    assert len(ids) == len(set(ids)) == 12 + 2 * 3
+
+
+def test_archives_are_read_as_streams(spark, monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc, "UNPACK", 7)
+    records = [warc.info(), *warc.records_of(3, "u", "x" * 40_000, False, None, True), *warc.records_of(4, "u", "y", True, 3, True)]
+    raw = "".join(r + warc.END for r in records).encode()
+    for form in (raw, gzip.compress(raw), b"".join(gzip.compress((r + warc.END).encode()) for r in records)):
+        assert [(r[0], r[5], r[6]) for r in warc.parse(warc.unpacked(form))] == [("response", 3, None), ("continuation", 3, None), ("revisit", 4, 3)]
+    for cut in (gzip.compress(raw)[:-30], raw[:-3], raw[:100]):
+        with pytest.raises(ValueError, match="cut short"):
+            list(warc.parse(warc.unpacked(cut)))
 
 
 def test_null_ids_and_repeated_rows_do_no_harm(spark):
