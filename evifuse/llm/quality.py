@@ -8,10 +8,11 @@ certainty: the exact binomial tail P(X <= k | n, RISK) for k falsely rejected of
 too few good labels to prove any cutoff keeps everything. A document is rejected if it fails the base rule or
 any selected cutoff of its stratum; as each measure may reject up to ``RISK``, the bound for all is their sum.
 
-Only counts for each (stratum, measure, candidate) are gathered, so the thresholds that are broadcast are
-bounded by the number of strata. Labels of documents outside the holdout are never read.
+Three in sixteen labelled documents, told by a hash of their ids (``audited``), select nothing. ``audit`` measures on them how many good documents
+of each stratum the selected cutoffs reject. Only counts for each (stratum, measure, candidate) are gathered, so the thresholds that are
+broadcast are bounded by the number of strata.
 
-Edge cases: a null or empty text has no words and fails the base rule. A null language is a stratum of its own.
+Edge cases: a null or empty text has no words and fails the base rule. A null language is a stratum of its own, and so is an empty one.
 Texts are measured whole. Of labels given twice, the lower quality counts. Empty tables give no rows; without
 labels the base rule alone decides. ``judge`` leaves other columns out, ``keep`` passes them on, whatever their names.
 """
@@ -129,68 +130,112 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(terms, start, step, lambda acc: acc["sum"])
 
 
-def thresholds(measures: DataFrame, labels: DataFrame) -> DataFrame:
+def audited() -> Column:
+    """Whether a label is kept for the audit."""
+    return F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1).isin("0", "1", "2")
+
+
+def stratum() -> Column:
+    return F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("stratum")
+
+
+def good_rows(measures: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+    """stratum and ``columns`` of documents that are labelled good and pass the base rule."""
+    good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
+    slim = measures.select("doc_id", "n_words", "n_repeat_words", stratum(), *columns)
+    return slim.join(good, "doc_id").where(~base_failed())
+
+
+def thresholds(measures: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """stratum, measure, cutoff: the strictest proven cutoff of each stratum and measure, from labelled rows of ``measured``."""
-    truth = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    slim = measures.select("doc_id", "lang", "n_words", "n_repeat_words", *CUTOFFS)
-    rows = slim.join(truth.where("quality = 1").select("doc_id"), "doc_id").where(~base_failed())
-    counts = [F.sum((F.col(m) > cut).cast("long")).alias(f"{m}@{cut}") for m, cuts in CUTOFFS.items() for cut in cuts]
-    held = rows.groupBy(F.coalesce("lang", F.lit("")).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *counts)
-    tests = F.array(*(F.struct(F.lit(m).alias("measure"), F.lit(float(cut)).alias("cutoff"), F.col(f"`{m}@{cut}`").alias("k")) for m, cuts in CUTOFFS.items() for cut in cuts))
+    rows = good_rows(measures, labels, *CUTOFFS).where(~audited())
+    candidates = [(m, cut) for m, cuts in CUTOFFS.items() for cut in cuts]
+    counts = [F.sum((F.col(m) > cut).cast("long")).alias(f"{m}@{cut}") for m, cut in candidates]
+    held = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts)
+    tests = F.array(*(F.struct(F.lit(m).alias("measure"), F.lit(float(cut)).alias("cutoff"), F.col(f"`{m}@{cut}`").alias("k")) for m, cut in candidates))
     held = materialize(held, "quality-counts")  # a row for each stratum
     strata = held.count()  # every stratum counts among the tests, whether or not it proves anything
     listed = held.select("stratum", "n", F.explode(tests).alias("t")).select("stratum", "n", "t.*")
-    risky = F.when(F.col("k") > RISK * F.col("n"), F.lit(1.0)).otherwise(binomial_tail(F.col("k"), F.col("n"), RISK))
-    proven = listed.where(risky <= DELTA / (N_TESTS * max(strata, 1)))
+    risky = F.when(F.col("k") > risk * F.col("n"), F.lit(1.0)).otherwise(binomial_tail(F.col("k"), F.col("n"), risk))
+    proven = listed.where(risky <= delta / (N_TESTS * max(strata, 1)))
     return proven.groupBy("stratum", "measure").agg(F.min("cutoff").alias("cutoff"))
 
 
-def ruled(measures: DataFrame, labels: DataFrame) -> DataFrame:
+def ruled(measures: DataFrame, labels: DataFrame, risk: float = RISK) -> DataFrame:
     """The rows of ``measured`` with base_failed, kept and rejected_by, the measures over their cutoffs."""
-    chosen = thresholds(measures, labels)
+    chosen = thresholds(measures, labels, risk)
     rules = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("measure", "cutoff"))).alias("cutoffs"))
     rules = materialize(rules, "quality-rules")
     small = rules.count() <= MOST_STRATA
-    judged = measures.withColumn("stratum", F.coalesce("lang", F.lit(""))).join(F.broadcast(rules) if small else rules, "stratum", "left")
+    judged = measures.withColumn("stratum", stratum()).join(F.broadcast(rules) if small else rules, "stratum", "left")
     over = [F.when(F.col(m) > F.element_at("cutoffs", m), F.lit(m)) for m in CUTOFFS]
     named = judged.withColumn("base_failed", base_failed()).withColumn("rejected_by", F.array_join(F.array_compact(F.array(*over)), ","))
     return named.withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == ""))
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def measures_of(docs: DataFrame) -> DataFrame:
+    return materialize(measured(docs, "doc_id", "lang"), "quality-measures")
+
+
+def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK) -> DataFrame:
     """doc_id, the counts, base_failed, kept and rejected_by for (doc_id, lang, text). Texts are measured once; only measures travel."""
-    measures = materialize(measured(docs, "doc_id", "lang"), "quality-measures")
-    return ruled(measures, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+    named = ruled(measures_of(docs), labels, risk)
+    return named.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+
+
+def audit(docs: DataFrame, labels: DataFrame, risk: float = RISK) -> DataFrame:
+    """lang, n, rejected, rate: good documents of each stratum whose labels selected no cutoff, and how many of them the cutoffs reject."""
+    named = ruled(measures_of(docs), labels, risk)
+    held = good_rows(named, labels, "lang", "kept").where(audited())
+    return held.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("kept")).alias("rejected")).withColumn("rate", F.col("rejected") / F.col("n"))
 
 
-def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, risk: float = RISK) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns; the rows are stored beside their measures, not joined to them again."""
     measures = materialize(measured(docs, "doc_id", "lang", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), "quality-measures")
-    return ruled(measures, labels).where("kept").select("row.*")
+    return ruled(measures, labels, risk).where("kept").select("row.*")
 
 
-def sql() -> str:
+def sql(risk: float = RISK) -> str:
     """``judge`` in DuckDB's SQL."""
-    counts = ", ".join(f"count(*) FILTER ({m} > {cut}) AS k{i}" for i, (m, cut) in enumerate((m, cut) for m, cuts in CUTOFFS.items() for cut in cuts))
-    listed = " UNION ALL ".join(f"SELECT stratum, n, strata, '{m}' AS measure, {cut}::DOUBLE AS cutoff, k{i} AS k FROM held" for i, (m, cut) in enumerate((m, cut) for m, cuts in CUTOFFS.items() for cut in cuts))
+    candidates = [(m, cut) for m, cuts in CUTOFFS.items() for cut in cuts]
+    counts = ", ".join(f"count(*) FILTER ({m} > {cut}) AS k{i}" for i, (m, cut) in enumerate(candidates))
+    listed = " UNION ALL ".join(f"SELECT stratum, n, strata, '{m}' AS measure, {cut}::DOUBLE AS cutoff, k{i} AS k FROM held" for i, (m, cut) in enumerate(candidates))
+    at_most = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
+    log_term = f"lgamma(n + 1e0) - lgamma(i + 1e0) - lgamma(n - i + 1e0) + i * ln({risk}::DOUBLE) + (n - i) * ln({1 - risk}::DOUBLE)"
     over = ", ".join(f"CASE WHEN {m} > (SELECT cutoff FROM proven p WHERE p.stratum = m.stratum AND p.measure = '{m}') THEN '{m}' END" for m in CUTOFFS)
     rate = lambda a, b: f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) ELSE 0 END"
     return rf"""
-WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS ls FROM d),
-windows AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
-twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM windows) WHERE n > 1),
-covered AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM twice, range(3) o(j) GROUP BY doc_id),
-c AS (SELECT doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(regexp_extract_all(t, '!')) AS n_bangs, len(regexp_extract_all(t, '[A-Z][A-Z]+')) AS n_shouts,
-  len(list_filter(ws, lambda x: x = '|')) AS n_bars, len(string_split(t, chr(10))) AS n_lines FROM w LEFT JOIN covered USING (doc_id)),
-m AS (SELECT *, {rate('n_symbols', 'word_chars')} AS symbol_rate, {rate('n_dup_lines', 'n_lines')} AS dup_line_rate, {rate('n_repeat_words', 'n_words')} AS repeat_rate, {rate('n_bangs', 'n_words')} AS bang_rate,
-  {rate('n_shouts', 'n_words')} AS shout_rate, {rate('n_bars', 'n_words')} AS bar_rate, abs({rate('word_chars', 'n_words')} - 6) AS word_length_gap, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
-good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+WITH d AS (SELECT doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS ls
+  FROM d
+),
+numbered AS (SELECT *, row_number() OVER () AS row FROM w),
+windows AS (SELECT row, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT row, ws, unnest(range(1, len(ws) - 1)) AS i FROM numbered)),
+twice AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, a, b, c) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT row, count(DISTINCT i + j) AS n_repeat_words FROM twice, range(3) o(j) GROUP BY row),
+c AS (
+  SELECT doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, len(regexp_extract_all(t, '!')) AS n_bangs, len(regexp_extract_all(t, '[A-Z][A-Z]+')) AS n_shouts,
+    len(list_filter(ws, lambda x: x = '|')) AS n_bars, len(string_split(t, chr(10))) AS n_lines
+  FROM numbered LEFT JOIN covered USING (row)
+),
+m AS (
+  SELECT *, {rate('n_symbols', 'word_chars')} AS symbol_rate, {rate('n_dup_lines', 'n_lines')} AS dup_line_rate, {rate('n_repeat_words', 'n_words')} AS repeat_rate,
+    {rate('n_bangs', 'n_words')} AS bang_rate, {rate('n_shouts', 'n_words')} AS shout_rate, {rate('n_bars', 'n_words')} AS bar_rate,
+    abs({rate('word_chars', 'n_words')} - 6) AS word_length_gap, {at_most} AS base_failed
+  FROM c
+),
+good AS (SELECT doc_id FROM labels WHERE md5(doc_id::VARCHAR)[1] NOT IN ('0', '1', '2') GROUP BY doc_id HAVING min(quality) = 1),
 held AS (SELECT stratum, count(*) AS n, count(*) OVER () AS strata, {counts} FROM m SEMI JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY stratum),
 tests AS ({listed}),
-proven AS (SELECT stratum, measure, min(cutoff) AS cutoff FROM tests
-  WHERE k <= {RISK} * n AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1e0) - lgamma(i + 1e0) - lgamma(n - i + 1e0) + i * ln({RISK}::DOUBLE) + (n - i) * ln({1 - RISK}::DOUBLE)))) <= {DELTA / N_TESTS!r}::DOUBLE / strata
-  GROUP BY stratum, measure),
+proven AS (
+  SELECT stratum, measure, min(cutoff) AS cutoff FROM tests
+  WHERE k <= {risk} * n AND list_sum(list_transform(range(0, k + 1), lambda i: exp({log_term}))) <= {DELTA / N_TESTS!r}::DOUBLE / strata
+  GROUP BY stratum, measure
+),
 j AS (SELECT *, concat_ws(',', {over}) AS rejected_by FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by = '' AS kept, rejected_by FROM j"""

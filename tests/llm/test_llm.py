@@ -357,13 +357,9 @@ def test_quality_counts_and_verdicts(spark, words):
     texts = [*ODD, "a b c a b c a b c", "a a a a a", "x\nx\n \n\nx\ny", "a b c d a b c d b c d", "\x0b#*$%&|<>\x0c" * 3]
     texts += [prose(words[:12], rng, rng.randint(3, 90)) for _ in range(40)] + [prose(words, rng, 80) for _ in range(400)] + [" ".join(f"{w}%%%" for w in prose(words, rng, 60).split(" ")) for _ in range(60)]
     labels = spark.createDataFrame([(i, int(i < len(texts) - 60), 0) for i in range(len(ODD) + 45, len(texts))], "doc_id long, quality int, toxic int")
-    before = quality.RISK
-    quality.RISK = 0.05  # a few hundred labels can prove no less
-    try:
-        rows = rows_of(quality.judge(docs_of(spark, texts), labels))
-        kept = sorted(r.doc_id for r in quality.keep(docs_of(spark, texts), labels).collect())
-    finally:
-        quality.RISK = before
+    # a few hundred labels can prove no less than 0.05
+    rows = rows_of(quality.judge(docs_of(spark, texts), labels, 0.05))
+    kept = sorted(r.doc_id for r in quality.keep(docs_of(spark, texts), labels, 0.05).collect())
     for r, text in zip(rows, texts):
         counts = brute_quality(text)
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == counts, text
@@ -373,6 +369,35 @@ def test_quality_counts_and_verdicts(spark, words):
     assert all(r["kept"] == (not r["base_failed"]) for r in rows_of(quality.judge(docs_of(spark, texts), labels.limit(0))))
 
 
+def test_quality_cutoffs_equal_those_of_sql(spark, words):
+    """Where labels prove cutoffs in some strata and not in others; audited labels select nothing and measure the false rejections."""
+    import duckdb
+
+    rng = random.Random(71)
+    texts = [" ".join(w + ("!" if i % 4 == 0 and rng.random() < 0.3 else "%%" if i % 7 == 0 and rng.random() < 0.5 else "") for w in prose(words, rng, 70).split()) for i in range(1500)]
+    langs = [rng.choice(["en", "en", "en", "en", "de", "de", "de", "", "", "fr", None, None]) for _ in texts]
+    quality_of = [int(i % 4 != 0 and i % 7 != 0 or rng.random() < 0.01) for i in range(len(texts))]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(zip(texts, langs))], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, q, 0) for i, q in enumerate(quality_of)], "doc_id long, quality int, toxic int")
+    con = duckdb.connect()
+    for name, df in (("documents", docs.toPandas()), ("labels", labels.toPandas())):
+        con.register(name, df)
+    for risk in (0.05, 0.08):
+        got = quality.judge(docs, labels, risk)
+        told = con.execute(quality.sql(risk))
+        want = [dict(zip([c[0] for c in told.description], row)) for row in told.fetchall()]
+        rows = rows_of(got)
+        assert rows == [{k: r[k] for k in rows[0]} for r in sorted(want, key=lambda r: r["doc_id"])]
+        chosen = {(r.stratum, r.measure): r.cutoff for r in quality.thresholds(quality.measures_of(docs), labels, risk).collect()}
+        assert 0 < len({s for s, _ in chosen}) < 5 and ("=en", "bang_rate") in chosen
+    held = {i for i, q in enumerate(quality_of) if q and hashlib.md5(str(i).encode()).hexdigest()[0] in "012"}
+    failed = {r["doc_id"] for r in rows if r["base_failed"]}
+    kept = {r["doc_id"] for r in rows if r["kept"]}
+    for r in quality.audit(docs, labels, 0.08).collect():
+        own = {i for i in held - failed if langs[i] == r.lang}
+        assert (r.n, r.rejected) == (len(own), len(own - kept)) and r.rate == r.rejected / r.n <= 0.2
+
+
 def test_binomial_tail_is_exact(spark):
     from math import comb
 
