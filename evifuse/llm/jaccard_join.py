@@ -1,32 +1,43 @@
-"""N-gram Jaccard join as a T-occurrence search.
+"""N-gram Jaccard join as a T-occurrence search with DivideSkip.
 
-A document is the set of its distinct shingles. Two sets link if their Jaccard similarity reaches ``SIMILAR``, so
-they share at least T shingles, T being known from the sizes. DivideSkip parts each set's inverted lists: the
-long ones, T - 1 in number, are set aside, and whatever reaches T must then turn up in one of the short lists.
-Short lists are merged by sorting (shingle, document) rows; long lists are probed for each candidate by binary
-search in its sorted set. Which lists are long is told by a count sketch of fixed size over all documents; it
-orders lists only, so its errors cost time and never a link.
+A document is the set of its distinct shingles; a shingle's inverted list names the documents that hold it. Two sets
+link if their Jaccard similarity reaches ``SIMILAR``, so they occur together in at least T lists, T being known from
+the sizes. DivideSkip parts a document's lists: the L longest, L = T / (1 + MU * log2 M) with M the longest list, are
+set aside. Whatever reaches T must turn up in T - L of the short ones, as the first common shingles in the
+order of lists lie among either set's shortest n - L. Those are merged with a heap that skips what cannot reach T - L; what does reach it is
+probed by binary search in the long lists, and retained if it reaches T in all. Which lists are long is told by a count sketch of fixed size over all
+documents; it orders lists only, so its errors cost time and never a link.
+
+The short lists are (shingle, document) rows that Spark sorts and joins. The long ones are by far the most and never travel: a posting
+(shingle, document) of theirs is stored with its document, sorted, and "is s in list t" is a binary search for t in the postings of s.
 
 Work stays in proportion to the documents:
 
 * Equal sets are one class, which its smallest doc_id stands for.
-* A candidate pair is first judged by its sets' parity bits, about one bit for each shingle: they give a lower
+* Places count: shingles before a common one lie in one set alone, so late places rule a pair out.
+* A candidate pair is judged by its sets' parity bits, about one bit for each shingle: they give a lower
   bound of the difference, so most pairs fall without their sets being fetched and none falls wrongly.
-* Within a short list, only neighbours in a hashed order are candidates at first, a chain for each list.
-  Verified links join classes into components.
-* Places count: shingles before the first common one lie in one set alone, so late places rule a pair out.
-* Then the lists that still hold several components are searched again, for pairs of different components
-  alone. Two documents of one component need no further link, so large groups of near copies never unfold
-  into their pairs. This is repeated to the last pair: no list and no partner is capped.
+* Large groups of copies settle first: in each short list, neighbours in a hashed order are probed as candidates,
+  and links join classes into components. Lists of two are done with that.
+* The heap then merges the lists that still hold several components, for documents of other components alone, as two documents of
+  one component need no further link. So groups of near copies never unfold into their pairs, and this second step goes
+  to the last pair: no list and no partner is capped.
+* Lists of over ``PART`` postings are dealt over parts by the document's hash, in both steps: a chain in each part and
+  one through the parts' heads; then each part of a list meets each other in another task.
 
 Shingles are 64-bit hashes. Edge cases: a null or empty text, or white space alone, has an empty set and links
 with nothing; a text of fewer words than a shingle is one shingle. Texts are taken whole. A doc_id names a
-document: repeated rows give a row each, with equal results, and links of any row with that id are its links. Empty tables give no rows. Other columns are left out.
+document: repeated rows give a row each, with equal results, and links of any row with that id are its links. A row without an id joins the class
+of its set, and has a null component if no row with an id has that set. Empty tables give no rows. Other columns are left out.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +49,13 @@ from evifuse.llm.shared import materialize, raw_texts
 
 WORDS, SIMILAR = 3, 90  # words of a shingle; least similarity in hundredths
 SKETCH_BITS, CHUNK_BITS = 21, 16
+#: DivideSkip's coefficient: merging costs a shuffle and probing does not, so most lists are set aside. Postings of a list that stay together.
+MU, PART = 0.001, 4096
 #: Slots of the short parities that go with the lists.
 FOLD = 256
 #: Distinct words whose hashes a task remembers; pairs compared together.
 MEMORY = 200_000
-SETS = "doc_id long, n_shingles long, key_a long, key_b long, bits binary, fold array<long>, short array<long>"
+SETS = "doc_id long, n_shingles long, key_a long, key_b long, bits binary, fold array<long>, short array<long>, reach int, cuts array<tinyint>"
 
 
 class Hashes(dict):
@@ -106,14 +119,44 @@ def weights_of(counters: np.ndarray) -> np.ndarray:
     return np.where(beyond > 0, np.log2(np.maximum(beyond, 1)) + 1, 0).astype(np.uint8)
 
 
-def short_lists(docs: DataFrame, size: int, similar: int) -> DataFrame:
-    """Per document: the set's size and 128-bit key, and the shingles whose lists are short."""
-    weights = docs.sparkSession.sparkContext.broadcast(weights_of(sketch(docs, size)))
+@dataclass
+class Divide:
+    """DivideSkip's parting of a set's lists, for one worker."""
+
+    weights: np.ndarray
+    similar: int
+
+    def overlap(self, n: int) -> int:
+        """T: the least overlap of a set of ``n`` with any set that it links with."""
+        return -(-self.similar * n // 100)
+
+    def short(self, n: int) -> int:
+        """n - L: how many lists are short."""
+        t = self.overlap(n)
+        longest = max(int(self.weights.max(initial=0)), 1)  # log2 of the longest list
+        return n - min(int(t / (1 + MU * longest)), t - 1)
+
+    def reach(self, n: int) -> int:
+        """T - L: in how many short lists a partner occurs at least."""
+        return self.overlap(n) - (n - self.short(n))
+
+    def weight(self, found: np.ndarray) -> np.ndarray:
+        return self.weights[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+
+    def parted(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Short and long lists of a set, the shortest first; all sets order lists alike."""
+        order = np.argsort(self.weight(found), kind="stable")
+        p = self.short(len(found))
+        return found[order[:p]], found[order[p:]]
+
+
+def short_lists(docs: DataFrame, divide, size: int) -> DataFrame:
+    """Per document: the set's size and 128-bit key, parities, the shingles whose lists are short, T - L, and each list's parts as a power of 2."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, length = Hashes(), weights.value
+        hashes, part = Hashes(), divide.value
         for batch in batches:
-            sizes, keys, bits, folds, short = [], [], [], [], []
+            sizes, keys, bits, folds, short, reach, cuts = [], [], [], [], [], [], []
             for raw in raw_texts(batch):
                 found = shingles(raw, hashes, size)
                 n = len(found)
@@ -121,17 +164,23 @@ def short_lists(docs: DataFrame, size: int, similar: int) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()))
                 bits.append(parities(found, max(64, 1 << max(n - 1, 0).bit_length())))
                 folds.append(np.frombuffer(parities(found, FOLD), "<i8"))
-                order = np.argsort(length[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-                short.append(found[order[: n + (-similar * n // 100) + 1]].view(np.int64) if n else [])
+                mine = part.parted(found)[0] if n else found
+                short.append(mine.view(np.int64))
+                reach.append(part.reach(n) if n else 1)
+                hot = np.maximum(part.weight(mine).astype(np.int8) - PART.bit_length(), 0)
+                cuts.append(hot if hot.any() else [])
             halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(bits, pa.binary()), pa.array(folds, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "key_a", "key_b", "bits", "fold", "short"],
-            )
+            long, longs = pa.int64(), pa.list_(pa.int64())
+            columns = [pa.array(sizes, long), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(bits, pa.binary()), pa.array(folds, longs), pa.array(short, longs)]
+            columns += [pa.array(reach, pa.int32()), pa.array(cuts, pa.list_(pa.int8()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], NAMES)
 
     return docs.select("doc_id", "text").mapInArrow(task, SETS)
 
 
+NAMES = [c.split()[0] for c in SETS.split(", ")]
+
+
 def parities(found: np.ndarray, slots: int) -> bytes:
     """A bit for each slot: whether it holds an odd number of shingles. Sets have as many slots as shingles, or up to twice as many."""
     return np.packbits((np.bincount((found & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1).astype(bool)).tobytes()
@@ -204,24 +253,93 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return found.join(ids, "id", "left_semi")
 
 
-def probe(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """The pairs (x, y) whose sets link: the long lists are probed by binary search."""
+def held(lists: np.ndarray, postings: np.ndarray) -> int:
+    """In how many of the lists a document is: a binary search in its sorted postings for each."""
+    at = np.searchsorted(postings, lists)
+    return int((postings[np.minimum(at, len(postings) - 1)] == lists).sum())
+
+
+def links(few: np.ndarray, many: np.ndarray, divide: Divide) -> bool:
+    """Whether two sets link: the smaller one's long lists are probed, and its short ones if T can still be reached."""
+    short, long = divide.parted(few)
+    n, similar = len(few) + len(many), divide.similar
+    reached = held(long, many)
+    if (100 + similar) * (reached + len(short)) < similar * n:
+        return False
+    return (100 + similar) * (reached + held(short, many)) >= similar * n
+
+
+def probe(pairs: DataFrame, sets: DataFrame, divide) -> DataFrame:
+    """The pairs (x, y) whose sets link."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                few, many = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
-                at = np.searchsorted(many, few)
-                shared = int((many[np.minimum(at, len(many) - 1)] == few).sum())
-                held.append(100 * shared >= similar * (len(few) + len(many) - shared))
-            yield batch.select(["x", "y"]).filter(pa.array(held, pa.bool_()))
+            both = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())
+            keep = [links(*sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len), divide.value) for a, b in both]
+            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     left = pairs.join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("a")), "x")
     both = left.join(sets.select(F.col("id").alias("y"), F.col("shingles").alias("b")), "y")
     return both.select("x", "y", "a", "b").mapInArrow(task, "x long, y long")
 
 
+def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
+    """(document, count) of those that stand in ``least`` or more of the ascending lists.
+
+    A heap holds each list's head. Heads that cannot reach ``least`` are skipped: with the least - 1 smallest set
+    aside, the next head is the first document that can, so those lists go on from there by binary search.
+    """
+    at = [0] * len(lists)
+    heap = [(rows[0], i) for i, rows in enumerate(lists) if rows]
+    heapq.heapify(heap)
+    while len(heap) >= least:
+        top, popped = heap[0][0], []
+        while heap and heap[0][0] == top:
+            popped.append(heapq.heappop(heap)[1])
+        if len(popped) >= least:
+            yield top, len(popped)
+            for i in popped:
+                at[i] += 1
+        else:
+            while len(popped) < least - 1:
+                popped.append(heapq.heappop(heap)[1])
+            if not heap:
+                return
+            for i in popped:
+                at[i] = bisect_left(lists[i], heap[0][0], at[i])
+        for i in popped:
+            if at[i] < len(lists[i]):
+                heapq.heappush(heap, (lists[i][at[i]], i))
+
+
+def merged(postings: DataFrame) -> DataFrame:
+    """(x, y): documents y that stand in enough of x's lists, from rows (x, shingle, y, reach) of those lists."""
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(column.to_pylist() for column in batch.columns))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xs, ys = [], []
+        for x, rows in groupby(rows_of(batches), key=lambda r: r[0]):
+            lists, reach = [], {}
+            for _, own in groupby(rows, key=lambda r: r[1]):
+                own = list(own)
+                lists.append([r[2] for r in own])
+                reach.update((r[2], r[3]) for r in own)
+            for y, count in merge_skip(lists, min(reach.values())):
+                if count >= reach[y]:
+                    xs.append(x)
+                    ys.append(y)
+            if len(xs) >= 10_000:
+                yield pa.record_batch({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
+                xs, ys = [], []
+        yield pa.record_batch({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
+
+    dealt = postings.select("x", "shingle", "y", "reach").repartition("x").sortWithinPartitions("x", "shingle", "y")
+    return dealt.mapInArrow(task, "x long, y long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, for every id in the links (x, y), by alternating stars.
 
@@ -247,11 +365,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def possible(similar: int):
-    """Whether two sets may link whose first common shingle is this one: what is left of either must hold the overlap T.
+    """Whether a common shingle can be among the first ``reach`` ones that two linked sets share.
 
-    All before it, in the common order of lists, is in one of the sets alone. n, m: sizes; at, to: places in them.
+    All else before it, in the common order of lists, is in one of the sets alone; with what is left of either the overlap must
+    come to T. n, m: sizes; at, to: places in them; reach, reach2: T - L of either.
     """
-    left = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to"))
+    left = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")) + F.least("reach", "reach2") - 1
     return F.lit(100 + similar) * left >= F.lit(similar) * (F.col("n") + F.col("m"))
 
 
@@ -261,53 +380,80 @@ def alike(similar: int):
     return differ * (100 + similar) <= (F.col("n") + F.col("m")) * (100 - similar)
 
 
+def postings(classes: DataFrame) -> DataFrame:
+    """shingle, id, n, at, reach, cut, part of all short lists with several members, and each posting's neighbour before it (y, m, to, reach2).
+
+    Neighbours are told in an order of each list's own, in a list of over ``PART`` postings within a part of it.
+    """
+    rows = classes.select("id", F.col("n_shingles").cast("int").alias("n"), "reach", "cuts", F.posexplode("short").alias("at", "shingle"))
+    rows = rows.withColumn("cut", F.coalesce(F.get("cuts", F.col("at")), F.lit(0)).cast("int")).drop("cuts")
+    rows = rows.withColumn("part", F.when(F.col("cut") > 0, F.expr("pmod(xxhash64(id), 1L << cut)")).otherwise(F.lit(0).cast("long")))
+    order = Window.partitionBy("shingle", "part").orderBy(F.xxhash64("shingle", "id"))
+    before = F.lag(F.struct("id", "n", "at", "reach")).over(order)
+    chained = rows.select("*", before.alias("before"), F.lead("id").over(order).alias("after")).where("before IS NOT NULL OR after IS NOT NULL OR cut > 0")
+    neighbour = [F.col(f"before.{c}").alias(name) for c, name in (("id", "y"), ("n", "m"), ("at", "to"), ("reach", "reach2"))]
+    return chained.select("shingle", "id", "n", "at", "reach", "cut", "part", *neighbour)
+
+
+def chain(lists: DataFrame, similar: int) -> DataFrame:
+    """(x, y): neighbours in a list, and the heads of neighbouring parts of a list."""
+    order = Window.partitionBy("shingle").orderBy("part")  # a row for each part
+    before = F.lag(F.struct("id", "n", "at", "reach")).over(order)
+    heads = lists.where("cut > 0 AND y IS NULL").select("shingle", "id", "n", "at", "reach", "part", before.alias("b"))
+    heads = heads.select("id", "n", "at", "reach", F.col("b.id").alias("y"), F.col("b.n").alias("m"), F.col("b.at").alias("to"), F.col("b.reach").alias("reach2"))
+    both = lists.select(heads.columns).unionByName(heads).where("y IS NOT NULL").where(possible(similar))
+    return both.select(F.least("id", "y").alias("x"), F.greatest("id", "y").alias("y")).distinct()
+
+
+def search(lists: DataFrame, classes: DataFrame, joined: DataFrame, similar: int) -> DataFrame:
+    """(x, y): candidates of different components, by merging the lists that hold several."""
+    marked = lists.select("shingle", "id", "n", "at", "reach").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = marked.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
+    parts = F.ceil(F.col("members") / PART).cast("int").alias("parts")
+    unsettled = marked.join(several.where("low <> high AND members > 2").select("shingle", parts), "shingle")
+    left = materialize(unsettled.join(classes.select("id", "fold"), "id"), "jaccard-mixed")
+    # every part of a list meets each part in a task of its own
+    query = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    other = left.select("shingle", F.expr("CAST(pmod(xxhash64(id), parts) AS INT)").alias("part"), F.col("fold").alias("fold2"), F.col("id").alias("y"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("component").alias("other"), F.col("reach").alias("reach2"))
+    met = query.join(other, ["shingle", "part"]).where((F.col("id") < F.col("y")) & (F.col("component") != F.col("other")) & possible(similar) & alike(similar))
+    return merged(met.select(F.col("id").alias("x"), "shingle", "y", F.least("reach", "reach2").alias("reach")))
+
+
 def join(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id for (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    all_sets = materialize(short_lists(docs, size, similar), "jaccard-sets")
+    divide = docs.sparkSession.sparkContext.broadcast(Divide(weights_of(sketch(docs, size)), similar))
+    all_sets = materialize(short_lists(docs, divide, size), "jaccard-sets")
     grouped = all_sets.where("n_shingles > 0").groupBy("key_a", "key_b", "n_shingles")
     classes = grouped.agg(F.min("doc_id").alias("id"))
     owners = all_sets.join(classes.select(F.col("id").alias("doc_id"), "key_a", "key_b"), ["doc_id", "key_a", "key_b"], "left_semi")
     classes = materialize(owners.dropDuplicates(["doc_id", "key_a", "key_b"]).withColumnRenamed("doc_id", "id"), "jaccard-classes")
-    rows = classes.select("id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("short").alias("at", "shingle"))
-    order = Window.partitionBy("shingle").orderBy(F.xxhash64("shingle", "id"))
-    before = F.lag(F.struct("id", "n", "at")).over(order)
-    chained = rows.select("shingle", "id", "n", "at", before.alias("before"), F.lead("id").over(order).alias("after"))
-    chained = chained.select("shingle", "id", "n", "at", F.col("before.id").alias("y"), F.col("before.n").alias("m"), F.col("before.at").alias("to"), "after")
-    lists = materialize(chained.where("y IS NOT NULL OR after IS NOT NULL").drop("after"), "jaccard-lists")
-    chain = lists.where("y IS NOT NULL").where(possible(similar))
-    pairs = materialize(chain.select(F.least("id", "y").alias("x"), F.greatest("id", "y").alias("y")).distinct(), "jaccard-chain")
-    links = materialize(verified(docs, pairs, classes, size, similar), "jaccard-links")
-    joined = materialize(components(links), "jaccard-components")
-    # lists that still hold several components: all their pairs of different components
-    marked = lists.select("shingle", "id", "n", "at").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed_lists = marked.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high AND members > 2")
-    unsettled = marked.join(mixed_lists.select("shingle"), "shingle", "left_semi")
-    left = materialize(unsettled.join(classes.select("id", "fold"), "id"), "jaccard-mixed")
-    other = left.select("shingle", F.col("fold").alias("fold2"), F.col("id").alias("y"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("component").alias("other"))
-    met = left.join(other, "shingle").where((F.col("id") < F.col("y")) & (F.col("component") != F.col("other")) & possible(similar) & alike(similar))
-    rest = materialize(met.select(F.col("id").alias("x"), "y").distinct().join(pairs, ["x", "y"], "left_anti"), "jaccard-rest")
+    lists = materialize(postings(classes), "jaccard-lists")
+    pairs = materialize(chain(lists, similar), "jaccard-chain")
+    found = materialize(verified(docs, pairs, classes, size, divide), "jaccard-links")
+    joined = materialize(components(found), "jaccard-components")
+    rest = materialize(search(lists, classes, joined, similar).join(pairs, ["x", "y"], "left_anti"), "jaccard-rest")
     if not rest.isEmpty():
-        more = materialize(verified(docs, rest, classes, size, similar), "jaccard-more")
+        more = materialize(verified(docs, rest, classes, size, divide), "jaccard-more")
         if not more.isEmpty():
-            joined = materialize(components(links.unionByName(more)), "jaccard-components")
+            joined = materialize(components(found.unionByName(more)), "jaccard-components")
     named = classes.select("key_a", "key_b", "n_shingles", "id").join(joined, "id", "left").select("key_a", "key_b", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    full = all_sets.where("n_shingles > 0").drop("short").join(named, ["key_a", "key_b", "n_shingles"], "left").select("doc_id", "n_shingles", "component_id")
+    full = all_sets.where("n_shingles > 0").select("doc_id", "key_a", "key_b", "n_shingles").join(named, ["key_a", "key_b", "n_shingles"], "left").select("doc_id", "n_shingles", "component_id")
     empty = all_sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(empty)
 
 
 def firsts(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, one for each doc_id, all columns.
+    """The rows of ``docs`` whose doc_id is the smallest of its component, one for each doc_id and text, all columns.
 
     Only rows that a bitmap of fixed size cannot clear are joined with the ids to drop, so most texts stay where
-    they are. Rows with a null doc_id stay.
+    they are. Rows with a null doc_id stay. Of rows with equal ids and texts the one whose JSON sorts first stays.
     """
     found = materialize(join(docs, size, similar), "jaccard-found").where("doc_id IS NOT NULL")
     each = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
     doubtful = materialize(each.where("component_id <> doc_id OR n > 1").select(F.col("doc_id").alias("id"), (F.col("component_id") == F.col("doc_id")).alias("stays")), "jaccard-doubtful")
     mask, slot = held_in(docs, doubtful.select("id"))
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce("doc_id", F.lit(0)).alias("id"), slot)
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), slot)
 
     def part(doubted: bool):
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,16 +462,16 @@ def firsts(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR) -> DataFr
 
         return row.mapInArrow(task, row.schema)
 
-    verdicts = part(True).join(doubtful.hint("merge"), "id", "left").where("stays OR stays IS NULL OR row.doc_id IS NULL")
-    once = verdicts.where("stays").groupBy("id").agg(F.first("row").alias("row"))
-    return part(False).select("row.*").unionByName(verdicts.where("stays IS NULL OR row.doc_id IS NULL").select("row.*")).unionByName(once.select("row.*"))
+    verdicts = part(True).join(doubtful.hint("merge"), "id", "left").where("stays OR stays IS NULL")
+    once = verdicts.where("stays").groupBy("id", F.sha1("row.text")).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return part(False).select("row.*").unionByName(verdicts.where("stays IS NULL").select("row.*")).unionByName(once.select("row.*"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, similar: int) -> DataFrame:
-    """The pairs that link, by their parities first and then by their sets."""
-    left = materialize(near(pairs, classes, similar), "jaccard-near")
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, divide) -> DataFrame:
+    """The pairs that link, by their parities first and then by probing."""
+    left = materialize(near(pairs, classes, divide.value.similar), "jaccard-near")
     ids = materialize(left.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "jaccard-ids")
-    return probe(left, materialize(sets_of(docs, ids, size), "jaccard-held"), similar)
+    return probe(left, materialize(sets_of(docs, ids, size), "jaccard-held"), divide)
 
 
 #: ``join`` in DuckDB's SQL, for three words and 90 hundredths; lists of all shingles are joined, so it is for small tables.

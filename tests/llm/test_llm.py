@@ -206,6 +206,75 @@ def test_null_ids_with_texts_of_their_own_keep_a_row(spark):
     assert sorted(rows, key=str) == sorted([(0, 2, 0), (1, 2, 1), (None, 2, 0), (None, 2, None), (None, 2, None), (None, 1, None), (None, 0, None)], key=str)
 
 
+def test_rows_without_an_id_never_stand_for_document_0(spark, words):
+    rng = random.Random(32)
+    text, other = prose(words, rng, 80), prose(words, rng, 80)
+    docs = docs_of(spark, [text, text, other]).unionByName(docs_of(spark, [text, other, prose(words, rng, 9)]).withColumn("doc_id", F.lit(None).cast("long")))
+    docs = docs.unionByName(docs.where("doc_id = 0")).unionByName(docs_of(spark, [prose(words, rng, 70)]).withColumn("doc_id", F.lit(2).cast("long")))
+    kept = rows_of(jaccard_join.firsts(docs, 3, 90))
+    assert [r["doc_id"] for r in kept] == [0, 2, 2, None, None, None] and len({r["text"] for r in kept if r["doc_id"] == 2}) == 2
+
+
+def test_merging_skips_and_loses_nothing():
+    """Against plain counting; skipping reads fewer postings than the lists hold."""
+    rng = random.Random(33)
+
+    class Read(list):
+        looked = 0
+
+        def __getitem__(self, i):
+            Read.looked += 1
+            return list.__getitem__(self, i)
+
+    for _ in range(200):
+        lists = [sorted(rng.sample(range(60), rng.randint(0, 30))) for _ in range(rng.randint(0, 12))]
+        least = rng.randint(1, 6)
+        want = [(d, n) for d in range(60) if (n := sum(d in rows for rows in lists)) >= least]
+        assert list(jaccard_join.merge_skip(lists, least)) == want
+    lists = [Read(range(i, 100_000, 7)) for i in (6, 0)] + [Read([50_000]), Read([50_000])]
+    assert list(jaccard_join.merge_skip(lists, 3)) == [(50_000, 3)] and Read.looked < 2000
+
+
+def test_division_and_probes(monkeypatch):
+    """Short lists hold T - L first common shingles of linked sets; long lists alone can rule a pair out."""
+    rng = np.random.default_rng(34)
+    weights = rng.integers(0, 14, 1 << jaccard_join.SKETCH_BITS).astype(np.uint8)
+    divide, probed = jaccard_join.Divide(weights, 90), []
+    original = jaccard_join.held
+    monkeypatch.setattr(jaccard_join, "held", lambda lists, postings: probed.append(len(lists)) or original(lists, postings))
+    for n in (1, 2, 9, 10, 60, 400, 3000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        for share in (0.02, 0.05, 0.08, 0.4):
+            b = np.unique(np.concatenate([a[rng.random(len(a)) >= share / 2], rng.integers(0, 2**63, int(n * share / 2)).astype(np.uint64)]))
+            if not len(b):
+                continue
+            few, many = sorted((a, b), key=len)
+            both = len(np.intersect1d(a, b))
+            linked = 100 * both >= 90 * (len(a) + len(b) - both)
+            probed.clear()
+            assert jaccard_join.links(few, many, divide) == linked
+            short = divide.short(len(few))
+            assert probed in ([len(few) - short], [len(few) - short, short])
+            reach = min(divide.reach(len(a)), divide.reach(len(b)))
+            met = len(np.intersect1d(divide.parted(a)[0], divide.parted(b)[0]))
+            assert 1 <= reach and (not linked or met >= reach)
+    assert divide.reach(3000) > 3 and divide.short(3000) < 400
+
+
+def test_hot_lists_are_parted(spark, words, monkeypatch):
+    """One shingle in half of the documents, as all that short texts hold and inside longer ones; lists of over 4 postings are parted."""
+    monkeypatch.setattr(jaccard_join, "PART", 4)
+    monkeypatch.setattr(jaccard_join, "weights_of", lambda counters: np.where(counters > 4, np.log2(np.maximum(counters, 1)) + 1, 0).astype(np.uint8))
+    rng = random.Random(35)
+    passage, base = prose(words, rng, 30).replace("\n", " "), prose(words, rng, 60).split()
+    texts = [f"{passage} {w}" for w in words[:30]] + [f"{w} {passage} {v}" for w, v in zip(words[30:60], words[60:90])]
+    texts += [" ".join(base[:i] + [rng.choice(words)] + base[i + 1 :]) for i in range(2, 58)] + ["hot words here"] * 20 + [prose(words, rng, 30) for _ in range(60)]
+    rng.shuffle(texts)
+    for size, similar in ((3, 90), (5, 80)):
+        got = [(r["n_shingles"], r["component_id"]) for r in rows_of(jaccard_join.join(docs_of(spark, texts), size, similar))]
+        assert got == brute_components(texts, size, similar)
+
+
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(4)
     for n in (1, 5, 70, 300, 2000):
