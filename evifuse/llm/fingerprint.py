@@ -1,7 +1,7 @@
 """Document fingerprints from closed syncmers, in DataFrame operations alone.
 
-``SMER`` neighbouring code points make an s-mer, ``KMER`` a k-mer. A k-mer is chosen if no inner one of its s-mers
-hashes lower than both at its edges, so the least stands at its first or last place. Whether it is chosen depends on its own characters
+``SMER`` neighbouring code points make an s-mer, ``KMER`` a k-mer. A k-mer is chosen if the least
+hash of its s-mers stands at its first or last place. Whether it is chosen depends on its own characters
 alone, so an edit moves no choice beyond the k-mers it touches. That also lets a text be cut into overlapping blocks
 of ``BLOCK`` characters, and the anchors of an edited text be put together from those of its parts and of the seam.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from evifuse.functions.ranges import cut, range_of
 from evifuse.llm.quality import let
 
-KMER, SMER = 20, 5
+KMER, SMER = 25, 5
 #: Code points of a block; width of half the band in which shifts agree.
 BLOCK, BAND = 4096, 256
 #: Ranges of doc_id for each shuffle partition.
@@ -38,35 +38,25 @@ def place_of(anchor: Column) -> Column:
     return anchor.bitwiseAND(F.lit(LOW))
 
 
-def lower(a: Column, b: Column) -> Column:
-    return F.least(a, b)
-
-
-def least_of(values: Column, width: int, use) -> Column:
-    """``use`` of the minima of all windows of ``width`` values, by doubling the windows."""
-    shifted = lambda v, by: F.zip_with(F.slice(v, 1, F.size(v) - by), F.slice(v, 1 + by, F.size(v) - by), lower)
-
-    def grow(v: Column, have: int) -> Column:
-        if have == width:
-            return use(v)
-        by = min(have, width - have)
-        return let(shifted(v, by), lambda w: grow(w, have + by))
-
-    return grow(values, 1)
-
-
 def of_block(text: Column) -> Column:
     """Chosen k-mers of a short text: hash in the upper half of each number, place in the lower."""
     width = KMER - SMER + 1
 
     def chosen(smers: Column) -> Column:
-        last = F.size(smers) - width + 1
-        edges = F.zip_with(F.slice(smers, 1, last), F.slice(smers, width, last), lower)
-        flags = lambda inner: F.zip_with(edges, inner, lambda e, m: e <= m)
-        places = least_of(F.slice(smers, 2, F.size(smers) - 2), width - 2, lambda inner: let(flags(inner), lambda f: F.filter(F.sequence(F.lit(1), last), lambda i: F.element_at(f, i))))
-        kmer = lambda i: F.xxhash64(*(F.element_at(smers, i + at) for at in range(0, width, SMER)))
-        anchor = lambda i: kmer(i).bitwiseAND(F.lit(~LOW)) + i - 1
-        return F.when(last >= 1, F.transform(places, anchor)).otherwise(F.array().cast(NONE))
+        last = F.size(smers) - width
+
+        def least(x: Column, i: Column, step: int) -> Column:
+            """No s-mer of the k-mer that starts or ends here is lower; most are told by the first comparisons."""
+            inside = i <= last if step > 0 else i >= width - 1
+            for at in range(1, width):
+                inside = inside & (x <= F.get(smers, i + step * at))
+            return inside
+
+        first = F.transform(smers, lambda x, i: F.when(least(x, i, 1), i))
+        final = F.transform(smers, lambda x, i: F.when(least(x, i, -1), i - (width - 1)))
+        places = F.array_sort(F.array_union(F.array_compact(first), F.array_compact(final)))
+        kmer = lambda i: F.xxhash64(*(F.get(smers, i + at) for at in range(0, width, SMER)))
+        return F.transform(places, lambda i: kmer(i).bitwiseAND(F.lit(~LOW)) + i)
 
     smers = F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{SMER}}}))."), F.lit(1)), lambda s: F.xxhash64(s))
     return let(smers, chosen)
@@ -96,7 +86,7 @@ def agreed(a: Column, b: Column) -> Column:
     side = lambda x: x.bitwiseAND(F.lit(1))
 
     def shift(x: Column, y: Column) -> Column:
-        same = (F.shiftright(x, 32) == F.shiftright(y, 32)) & (side(x) != side(y))
+        same = (F.shiftright(x, 32) == F.shiftright(y, 32)) & (side(x) != side(y))  # neighbours in order of hash and place
         return F.when(same, F.floor((place(x) - place(y)) * (1 - 2 * side(x)) / BAND))
 
     bands = lambda m: F.filter(F.zip_with(F.slice(m, 1, F.size(m) - 1), F.slice(m, 2, F.size(m) - 1), shift), lambda s: s.isNotNull())
