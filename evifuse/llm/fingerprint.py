@@ -1,7 +1,7 @@
 """Document fingerprints from closed syncmers, in DataFrame operations alone.
 
 ``SMER`` neighbouring code points make an s-mer, ``KMER`` a k-mer. A k-mer is chosen if the least
-hash of its s-mers stands at its first or last place. Whether it is chosen depends on its own characters
+hash of its s-mers stands at its first place, or at its last and nowhere before. Whether it is chosen depends on its own characters
 alone, so an edit moves no choice beyond the k-mers it touches. That also lets a text be cut into overlapping blocks
 of ``BLOCK`` characters, and the anchors of an edited text be put together from those of its parts and of the seam.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from evifuse.functions.ranges import cut, range_of
 from evifuse.llm.quality import let
 
-KMER, SMER = 25, 5
+KMER, SMER = 20, 5
 #: Code points of a block; width of half the band in which shifts agree.
 BLOCK, BAND = 4096, 256
 #: Ranges of doc_id for each shuffle partition.
@@ -46,15 +46,19 @@ def of_block(text: Column) -> Column:
         last = F.size(smers) - width
 
         def least(x: Column, i: Column, step: int) -> Column:
-            """No s-mer of the k-mer that starts or ends here is lower; most are told by the first comparisons."""
+            """The next s-mer but one, and so on, of the k-mer that starts (or ends) here are no lower. Most are told by the first comparisons."""
             inside = i <= last if step > 0 else i >= width - 1
-            for at in range(1, width):
-                inside = inside & (x <= F.get(smers, i + step * at))
+            for at in range(2, width):
+                other = F.get(smers, i + step * at)
+                inside = inside & (x <= other if step > 0 else x < other)
             return inside
 
-        first = F.transform(smers, lambda x, i: F.when(least(x, i, 1), i))
-        final = F.transform(smers, lambda x, i: F.when(least(x, i, -1), i - (width - 1)))
-        places = F.array_sort(F.array_union(F.array_compact(first), F.array_compact(final)))
+        def start(x: Column, i: Column) -> Column:
+            """Of two neighbours, the first can be the least of the k-mer that it starts, or the second of the one that it ends."""
+            after = F.get(smers, i + 1)
+            return F.when(x <= after, F.when(least(x, i, 1), i)).when(least(after, i + 1, -1), i + 1 - (width - 1))
+
+        places = F.array_sort(F.array_distinct(F.array_compact(F.transform(smers, start))))
         kmer = lambda i: F.xxhash64(*(F.get(smers, i + at) for at in range(0, width, SMER)))
         return F.transform(places, lambda i: kmer(i).bitwiseAND(F.lit(~LOW)) + i)
 
@@ -78,33 +82,42 @@ def written(anchors: Column) -> Column:
     return F.array_join(F.transform(anchors, lambda v: F.lower(F.lpad(F.hex(v), 16, "0"))), "")
 
 
-def agreed(a: Column, b: Column) -> Column:
-    """How many pairs of equal anchors have a shift in the densest band."""
+def likeness(a: Column, b: Column) -> Column:
+    """Pairs of equal anchors in the densest band over all anchors. Anchors at one place in both texts are pairs with shift 0."""
+    hashes = lambda v: F.transform(v, lambda x: F.shiftright(x, 32))
+
+    def shared(same: Column) -> Column:
+        left = lambda x, y: F.array_except(x, y)  # noqa: E731  no anchor stands twice at a place
+        rest = F.struct(left(a, b).alias("a"), left(b, a).alias("b"))
+        return let(rest, lambda r: F.when(F.arrays_overlap(hashes(r["a"]), hashes(r["b"])), densest(r["a"], r["b"], same)).otherwise(same))
+
+    share = let(let(F.size(F.array_intersect(a, b)), shared), lambda n: n / (F.size(a) + F.size(b) - n))
+    return F.when(a == b, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(share)
+
+
+def densest(a: Column, b: Column, same: Column) -> Column:
+    """How many pairs have a shift in the densest band, ``same`` further ones having shift 0."""
     keyed = lambda v, side: F.transform(v, lambda x: x + place_of(x) + side)  # noqa: E731  hash, place, side
     merged = F.array_sort(F.concat(keyed(a, 0), keyed(b, 1)))
     place = lambda x: F.shiftright(place_of(x), 1)
     side = lambda x: x.bitwiseAND(F.lit(1))
 
     def shift(x: Column, y: Column) -> Column:
-        same = (F.shiftright(x, 32) == F.shiftright(y, 32)) & (side(x) != side(y))  # neighbours in order of hash and place
-        return F.when(same, F.floor((place(x) - place(y)) * (1 - 2 * side(x)) / BAND))
+        equal = (F.shiftright(x, 32) == F.shiftright(y, 32)) & (side(x) != side(y))  # neighbours in order of hash and place
+        return F.when(equal, F.floor((place(x) - place(y)) * (1 - 2 * side(x)) / BAND))
 
-    bands = lambda m: F.filter(F.zip_with(F.slice(m, 1, F.size(m) - 1), F.slice(m, 2, F.size(m) - 1), shift), lambda s: s.isNotNull())
+    bands = lambda m: F.array_compact(F.zip_with(F.slice(m, 1, F.size(m) - 1), F.slice(m, 2, F.size(m) - 1), shift))
     start = F.struct(F.lit(-(1 << 62)).alias("band"), F.lit(0).alias("n"), F.lit(0).alias("below"), F.lit(0).alias("best"))
 
     def count(acc: Column, band: Column) -> Column:
         stays = band == acc["band"]
-        n = F.when(stays, acc["n"] + 1).otherwise(1)
+        n = F.when(stays, acc["n"] + 1).when(band == 0, same).otherwise(1)  # one 0 was put in for ``same``
         below = F.when(stays, acc["below"]).when(band == acc["band"] + 1, acc["n"]).otherwise(0)
         return F.struct(band.alias("band"), n.alias("n"), below.alias("below"), F.greatest(acc["best"], n + below).alias("best"))
 
-    found = let(merged, lambda m: F.when(F.size(m) > 1, F.aggregate(F.array_sort(bands(m)), start, count, lambda acc: acc["best"])).otherwise(0))
-    return F.least(found, F.size(a), F.size(b))
-
-
-def likeness(a: Column, b: Column) -> Column:
-    share = let(agreed(a, b), lambda n: n / (F.size(a) + F.size(b) - n))
-    return F.when(a == b, F.lit(1.0)).otherwise(share)
+    zero = F.array(F.lit(0).cast("long"))
+    found = let(merged, lambda m: F.aggregate(F.array_sort(F.concat(bands(m), zero)), start, count, lambda acc: acc["best"]))
+    return F.least(found, same + F.size(a), same + F.size(b))
 
 
 def with_next(docs: DataFrame) -> DataFrame:

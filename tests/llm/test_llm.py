@@ -543,7 +543,7 @@ def brute_anchors(text):
     smers = [chain(text[i : i + s].encode()) for i in range(len(text) - s + 1)]
     for i in range(len(text) - k + 1):
         own = [signed(h) for h in smers[i : i + k - s + 1]]
-        if min(own) in (own[0], own[-1]):
+        if own.index(min(own)) in (0, k - s):
             out.append((chain(*(long(h) for h in smers[i : i + k - s + 1 : s])) >> 32, i))
     return out or ([(chain(text.encode()) >> 32, 0)] if text else [])
 
@@ -551,10 +551,12 @@ def brute_anchors(text):
 def brute_likeness(a, b):
     if a == b:
         return 1.0
-    merged = sorted((h - 2**32 if h >= 2**31 else h, p, side) for side, v in enumerate((a, b)) for h, p in v)
-    bands = [(p - q if s == 0 else q - p) // fingerprint.BAND for (h, p, s), (g, q, t) in zip(merged, merged[1:]) if h == g and s != t]
-    best = min(max((bands.count(x) + bands.count(x - 1) for x in bands), default=0), len(a), len(b))
-    return best / (len(a) + len(b) - best)
+    same = len(set(a) & set(b))
+    rest = [[v for v in x if v not in y] for x, y in ((a, b), (b, a))]
+    merged = sorted((h - 2**32 if h >= 2**31 else h, p, side) for side, v in enumerate(rest) for h, p in v)
+    bands = [0] * same + [(p - q if s == 0 else q - p) // fingerprint.BAND for (h, p, s), (g, q, t) in zip(merged, merged[1:]) if h == g and s != t]
+    best = min(max((bands.count(x) + bands.count(x - 1) for x in bands), default=0), same + len(rest[0]), same + len(rest[1]))
+    return best / (len(a) + len(b) - best) if best else 0.0
 
 
 @pytest.mark.parametrize("block", [7, 4096])
