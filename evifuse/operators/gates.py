@@ -1,7 +1,7 @@
 """Mission and grid gates: the first failing gate, in a fixed order, names the reason.
 
-Gates are given as boolean columns of the reasons' names; a null gate has not failed. Sequential gates that depend
-on the first accepted row are worked out per mission over accepted rows in arrival order.
+Gates are given as boolean columns of the reasons' names; a null gate has not failed. Sequential gates depend on the rows
+that a mission accepted before: its contract is fixed by the first accepted row that has one, and a frame is accepted once.
 """
 
 from __future__ import annotations
@@ -36,20 +36,22 @@ def first_failure(rows: DataFrame, gates: list[str], into: str = "reject_reason"
     return rows.withColumn(into, F.coalesce(*known, F.lit(None).cast("string")))
 
 
-def first_contract(rows: DataFrame, contract: str, gate: str, accepted: str = "reject_reason") -> DataFrame:
-    """Rows (mission, seq) whose contract differs from their mission's first accepted one fail ``gate``.
+def in_order(rows: DataFrame, gates: list[str], contract: str, gate: str, frame: str, duplicate: str, into: str = "reject_reason") -> DataFrame:
+    """Rows (mission, seq) judged as they arrive: ``gates`` in their order with the contract's ``gate`` among them, then ``duplicate``.
 
-    The first accepted row that has a contract fixes it. It cannot itself be rejected by this gate, so one pass
-    over the rows accepted so far settles all.
+    Only a row that passes everything fixes its mission's contract. Until one does, no row fails ``gate``, so the one that does is the
+    first with a contract among those that pass the other gates and bring a new frame. With the contract known, a frame's first row that
+    passes is accepted. So two passes over a mission's rows settle what depends on all rows before.
     """
-    order = Window.partitionBy("mission").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    fixed = F.first(F.when(F.col(accepted).isNull(), F.col(contract)), ignorenulls=True).over(order)
-    changed = F.col(contract).isNotNull() & (fixed != F.col(contract))
-    return rows.withColumn(accepted, F.coalesce(F.col(accepted), F.when(changed, F.lit(gate))))
-
-
-def once(rows: DataFrame, key: str, gate: str, accepted: str = "reject_reason") -> DataFrame:
-    """All but the first arrival of an accepted key fail ``gate``."""
-    order = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.max(F.col(accepted).isNull()).over(order), F.lit(False))
-    return rows.withColumn(accepted, F.coalesce(F.col(accepted), F.when(before, F.lit(gate))))
+    at = gates.index(gate)
+    judged = first_failure(first_failure(rows, gates[:at], "_before"), gates[at + 1 :], "_after")
+    passes = F.col("_before").isNull() & F.col("_after").isNull()
+    own = Window.partitionBy("mission", frame).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    brought = lambda passing: F.coalesce(F.max(passing).over(own), F.lit(False))  # noqa: E731  whether an earlier row of the frame passed
+    fixing = passes & F.col(contract).isNotNull() & ~F.col("_again")
+    fixed = F.min(F.when(fixing, F.struct("seq", F.col(contract).alias("contract")))).over(Window.partitionBy("mission"))
+    judged = judged.withColumn("_again", brought(passes)).withColumn("_fixed", fixed)
+    changed = F.coalesce((F.col("seq") > F.col("_fixed.seq")) & (F.col(contract) != F.col("_fixed.contract")), F.lit(False))
+    judged = judged.withColumn("_changed", changed).withColumn("_again", brought(passes & ~changed))
+    reason = F.coalesce("_before", F.when(F.col("_changed"), F.lit(gate)), "_after", F.when(F.col("_again"), F.lit(duplicate)))
+    return judged.withColumn(into, reason).drop("_before", "_after", "_again", "_fixed", "_changed")

@@ -65,10 +65,8 @@ def aurc(curve: DataFrame, keys: Keys) -> DataFrame:
 
 def augrc(curve: DataFrame, keys: Keys) -> DataFrame:
     """Trapezoids under generalized risk and coverage, from the origin."""
-    order = Window.partitionBy(*keys).orderBy("score")
-    coverage, risk = F.col("kept") / F.col("total"), F.col("lost") / F.col("total")
-    before = lambda x: F.coalesce(F.lag(x).over(order), F.lit(0.0))
-    area = curve.select(*keys, ((coverage - before(coverage)) * (risk + before(risk)) / 2).alias("area"))
+    lost, total = F.col("lost"), F.col("total")  # a block's sums less its own are those before it
+    area = curve.select(*keys, (F.col("n") / total * (lost + lost - F.col("risk")) / total / 2).alias("area"))
     return area.groupBy(*keys).agg(F.sum("area").alias("augrc"))
 
 

@@ -88,14 +88,15 @@ def rollup(selected: DataFrame, required: list[str], policy: Policy) -> DataFram
 def brackets(samples: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """Each target (keys, target, t) with the last sample at or before and the first at or after it.
 
-    Both sides are one sorted stream of rows, so a key's samples are passed once and never paired up.
+    Both sides are one sorted stream of rows, so a key's samples are passed once in either direction and never paired up:
+    both frames grow from the start of their order, as one that shrinks would be added up anew for each row.
     Columns: lo_t, lo_v, hi_t, hi_v.
     """
     own = samples.select(*keys, "t", F.struct("t", "v").alias("s"), F.lit(None).cast("long").alias("target"), "seq")
     asked = targets.select(*keys, "t", F.lit(None).cast("struct<t:bigint,v:double>").alias("s"), "target", F.lit(None).cast("long").alias("seq"))
     both = own.unionByName(asked)
     past = Window.partitionBy(*keys).orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy("t").rangeBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0)
     lo = F.max(F.when(F.col("s").isNotNull(), F.struct("t", (-F.col("seq")).alias("o"), "s"))).over(past)
     hi = F.min(F.when(F.col("s").isNotNull(), F.struct("t", F.col("seq").alias("o"), "s"))).over(ahead)
     found = both.select(*keys, "target", "t", lo.alias("lo"), hi.alias("hi")).where("target IS NOT NULL")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from evifuse.functions.raster import THERMAL
@@ -73,7 +74,13 @@ def fuse_packed(spark, sf_dir):
 
 def phase_registration(spark, sf_dir):
     frames = _frames(spark, sf_dir)
-    pairs = frames.select("frame", "height", "width", F.col("data").alias("reference"), F.col("data").alias("moving"))
+
+    @F.pandas_udf("binary")
+    def moved(frame, height, width, data):
+        each = zip(frame, height, width, data)
+        return pd.Series([np.roll(np.frombuffer(d, "<f4").reshape(h, w), (i % 3, -(i % 4)), (0, 1)).tobytes() for i, h, w, d in each])
+
+    pairs = frames.select("frame", "height", "width", F.col("data").alias("reference"), moved("frame", "height", "width", "data").alias("moving"))
     return kernels.register(pairs).select("frame", "dy", "dx", (F.col("confidence") > 0).alias("trusted"))
 
 
@@ -111,18 +118,21 @@ def mission_gates(spark, sf_dir):
         (F.col("o_orderkey") % 13 == 0).alias("capture_time_uncertainty_unknown"), (F.col("o_totalprice") > 400000).alias("camera_agl_outside_limits"), (F.col("o_custkey") % 29 == 0).alias("navigation_fix_unknown"),
         F.when(F.col("o_orderkey") % 3 == 0, F.substring("o_orderpriority", 1, 1)).alias("contract"),
     )
-    judged = gates.first_failure(rows, gates.MISSION)
-    judged = gates.first_contract(judged, "contract", "thermal_mission_contract_changed")
-    judged = gates.once(judged, "frame", "duplicate_frame_id")
+    judged = gates.in_order(rows, gates.MISSION, "contract", "thermal_mission_contract_changed", "frame", "duplicate_frame_id")
     return judged.select("mission", "seq", "frame", "reject_reason")
 
 
-GATES = """WITH r AS (SELECT o_custkey % 50 AS mission, o_orderkey AS seq, o_orderkey % 1400 AS frame, CASE WHEN o_orderkey % 3 = 0 THEN substr(o_orderpriority, 1, 1) END AS contract,
-  CASE WHEN o_orderkey % 13 = 0 THEN 'capture_time_uncertainty_unknown' WHEN o_custkey % 29 = 0 THEN 'navigation_fix_unknown' WHEN o_totalprice > 400000 THEN 'camera_agl_outside_limits' END AS reason FROM orders),
-c AS (SELECT *, first_value(CASE WHEN reason IS NULL THEN contract END IGNORE NULLS) OVER (PARTITION BY mission ORDER BY seq ROWS UNBOUNDED PRECEDING) AS fixed FROM r),
-d AS (SELECT *, coalesce(reason, CASE WHEN contract IS NOT NULL AND fixed <> contract THEN 'thermal_mission_contract_changed' END) AS reason2 FROM c),
-e AS (SELECT *, coalesce(bool_or(reason2 IS NULL) OVER (PARTITION BY frame ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS before FROM d)
-SELECT mission, seq, frame, coalesce(reason2, CASE WHEN before THEN 'duplicate_frame_id' END) AS reject_reason FROM e"""
+GATES = """WITH r AS (
+  SELECT o_custkey % 50 AS mission, o_orderkey AS seq, o_orderkey % 1400 AS frame, CASE WHEN o_orderkey % 3 = 0 THEN substr(o_orderpriority, 1, 1) END AS contract,
+    CASE WHEN o_orderkey % 13 = 0 THEN 'capture_time_uncertainty_unknown' END AS early,
+    CASE WHEN o_custkey % 29 = 0 THEN 'navigation_fix_unknown' WHEN o_totalprice > 400000 THEN 'camera_agl_outside_limits' END AS late
+  FROM orders
+), p AS (SELECT *, row_number() OVER (PARTITION BY mission, frame ORDER BY seq) AS nth FROM r WHERE early IS NULL AND late IS NULL),
+f AS (SELECT mission, min(seq) AS fixed_at, arg_min(contract, seq) AS fixed FROM p WHERE nth = 1 AND contract IS NOT NULL GROUP BY mission),
+c AS (SELECT r.*, coalesce(seq > fixed_at AND contract <> fixed, false) AS changed FROM r LEFT JOIN f USING (mission)),
+a AS (SELECT mission, frame, min(seq) AS taken FROM c WHERE early IS NULL AND late IS NULL AND NOT changed GROUP BY mission, frame)
+SELECT mission, seq, frame, coalesce(early, CASE WHEN changed THEN 'thermal_mission_contract_changed' END, late, CASE WHEN seq > taken THEN 'duplicate_frame_id' END) AS reject_reason
+FROM c LEFT JOIN a USING (mission, frame)"""
 
 QUERIES = {
     "stream_sync_state": (stream_sync_state, None),

@@ -48,9 +48,8 @@ def hash_rank_pool(spark, sf_dir):
 
 
 def set_comparison(spark, sf_dir):
-    """Which rigs report which streams within the first week."""
-    rows = observations(spark, sf_dir).where((F.col("seq") % 9 == 0)).select("rig", "stream")
-    return protocol.set_comparison(rows, "rig", "stream")
+    """Which rigs report which streams."""
+    return protocol.set_comparison(observations(spark, sf_dir).select("rig", "stream"), "rig", "stream")
 
 
 def union_repartition(spark, sf_dir):
@@ -113,14 +112,14 @@ def geo_txt_format(spark, sf_dir):
 
 def geojson_features(spark, sf_dir):
     """Point features; nanoseconds are texts, as JSON numbers would lose digits."""
-    rows = _points(spark, sf_dir).where("seq % 50 = 7")
+    rows = _points(spark, sf_dir)
     geometry = F.struct(F.lit("Point").alias("type"), F.array((F.col("track") / F.lit(8.0)), F.col("seq") / F.lit(16.0)).alias("coordinates"))
     feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(F.col("t").cast("string").alias("t_ns")).alias("properties"))
     return rows.select("seq", F.sha2(F.to_json(feature), 256).alias("digest"))
 
 
 GEOJSON = f"""WITH {OBSERVATIONS}, {POINTS}
-SELECT seq, sha256('{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || CAST(track / 8e0 AS VARCHAR) || ',' || CAST(seq / 16e0 AS VARCHAR) || ']}},"properties":{{"t_ns":"' || CAST(t AS VARCHAR) || '"}}}}') AS digest FROM pts WHERE seq % 50 = 7"""
+SELECT seq, sha256('{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || CAST(track / 8e0 AS VARCHAR) || ',' || CAST(seq / 16e0 AS VARCHAR) || ']}},"properties":{{"t_ns":"' || CAST(t AS VARCHAR) || '"}}}}') AS digest FROM pts"""
 
 QUERIES = {
     "hash_partition": (hash_partition, f"WITH {ITEMS} SELECT partition, lang, count(*) AS n, count(DISTINCT grp) AS n_groups FROM items GROUP BY 1, 2"),
@@ -130,7 +129,7 @@ QUERIES = {
         hash_rank_pool,
         f"WITH {ITEMS}, r AS (SELECT lang, sample, CAST(row_number() OVER (PARTITION BY lang ORDER BY sha256(lang || ':' || sample), lang || ':' || sample) AS INTEGER) AS place FROM items) SELECT * FROM r WHERE place <= 16",
     ),
-    "set_comparison": (set_comparison, f"WITH {OBSERVATIONS}, h AS (SELECT rig, string_agg(DISTINCT stream, '+' ORDER BY stream) AS kinds FROM obs WHERE seq % 9 = 0 GROUP BY rig) SELECT kinds, count(*) AS n FROM h GROUP BY 1"),
+    "set_comparison": (set_comparison, f"WITH {OBSERVATIONS}, h AS (SELECT rig, string_agg(DISTINCT stream, '+' ORDER BY stream) AS kinds FROM obs GROUP BY rig) SELECT kinds, count(*) AS n FROM h GROUP BY 1"),
     "union_repartition": (
         union_repartition,
         f"WITH {ITEMS}, u AS (SELECT *, 'test' AS split FROM items WHERE doc_id % 4 = 0 UNION ALL SELECT *, 'train' FROM items WHERE doc_id % 4 <> 0) SELECT split, partition, count(*) AS n FROM u GROUP BY 1, 2",

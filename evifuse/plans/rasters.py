@@ -185,16 +185,16 @@ SELECT id, round(-{SL} * dx + {CL} * dy, 4) + 0e0 AS east, round(-{SP} * {CL} *
 def plane_intersect(spark, sf_dir):
     """Rays from lineitem: those that look up, are too flat or too far have no hit."""
     ray = (F.col("l_discount") * 10 - 0.5, F.col("l_tax") * 10 - 0.4, 0.2 - F.col("l_quantity") / 25)
-    rows = read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_suppkey", *(c.alias(n) for c, n in zip(ray, ("rx", "ry", "rz"))))
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *(c.alias(n) for c, n in zip(ray, ("rx", "ry", "rz"))))
     r, e, n = geo.ground_hit((F.lit(0.0), F.lit(0.0), F.lit(50.0)), (F.col("rx"), F.col("ry"), F.col("rz")), F.lit(10.0), 0.2, 150.0)
-    hits = rows.select("l_orderkey", "l_partkey", "l_suppkey", r.alias("reach"), e.alias("east"), n.alias("north"))
+    hits = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r.alias("reach"), e.alias("east"), n.alias("north"))
     return rounded(hits, "reach", "east", "north")
 
 
-PLANE = """WITH r AS (SELECT l_orderkey, l_partkey, l_suppkey, l_discount * 10 - 0.5 AS rx, l_tax * 10 - 0.4 AS ry, 0.2 - l_quantity / 25 AS rz FROM lineitem WHERE l_linenumber = 1),
+PLANE = """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount * 10 - 0.5 AS rx, l_tax * 10 - 0.4 AS ry, 0.2 - l_quantity / 25 AS rz FROM lineitem),
 n AS (SELECT *, sqrt(rx * rx + ry * ry + rz * rz) AS len FROM r), d AS (SELECT *, CASE WHEN len > 1e-12 THEN -rz / len END AS down FROM n),
 g AS (SELECT *, CASE WHEN down >= 0.2 AND 40 / down > 0 AND 40 / down <= 150 THEN 40e0 / down END AS reach FROM d)
-SELECT l_orderkey, l_partkey, l_suppkey, round(reach, 6) AS reach, round(reach * rx / len, 6) AS east, round(reach * ry / len, 6) AS north FROM g"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(reach, 6) AS reach, round(reach * rx / len, 6) AS east, round(reach * ry / len, 6) AS north FROM g"""
 
 
 def nearest_distances(points):

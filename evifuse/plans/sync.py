@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evifuse.operators import sync
@@ -147,9 +148,13 @@ def html_tag_strip(spark, sf_dir):
 
 
 def failure_summary(spark, sf_dir):
-    """Count and the first examples of each reason."""
-    rows = _bracketed(spark, sf_dir).where("reason IS NOT NULL")
-    return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list("target")), 1, 8), ",").alias("examples"))
+    """Count and the first examples of each reason: the first eight of each part of a reason, then of those the first eight."""
+    rows = _bracketed(spark, sf_dir).where("reason IS NOT NULL").select("reason", "target", F.pmod(F.xxhash64("target"), F.lit(64)).alias("part"))
+    part = Window.partitionBy("reason", "part")
+    numbered = rows.select("*", F.row_number().over(part.orderBy("target")).alias("place"))
+    parts = numbered.groupBy("reason", "part").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.when(F.col("place") <= 8, F.col("target"))).alias("first"))
+    first = F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, 8)
+    return parts.groupBy("reason").agg(F.sum("n").alias("n"), F.array_join(first, ",").alias("examples"))
 
 
 QUERIES = {

@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the session's ``spark.checkpoint.dir``; where that is unset, in a folder of this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
+    """A new path under the session's ``spark.checkpoint.dir``; where that is unset, in a folder of this machine, if Spark runs on no other."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
     return f"{folder}/{name}-{uuid.uuid4().hex}"

@@ -115,12 +115,41 @@ def test_geodesy_round_trip_and_pole(spark):
     assert pole[0] == -90.0
 
 
-def test_gate_order_and_state(spark):
+def test_gate_order(spark):
     rows = spark.createDataFrame([(0, True, True), (1, False, True), (2, False, None)], "seq long, horizontal_accuracy_unknown boolean, rtk_fixed_required boolean")
     assert [r.reject_reason for r in gates.first_failure(rows, gates.MISSION).orderBy("seq").collect()] == ["rtk_fixed_required", "rtk_fixed_required", None]
     assert len(gates.MISSION) == 38 and len(gates.GRID) == 15
-    rows = spark.createDataFrame([(1, 0, "x", "bad"), (1, 1, "y", None), (1, 2, "x", None), (1, 3, None, None)], "mission long, seq long, contract string, reject_reason string")
-    assert [r.reject_reason for r in gates.first_contract(rows, "contract", "changed").orderBy("seq").collect()] == ["bad", None, "changed", None]
+
+
+def test_missions_are_judged_in_the_order_of_arrival(spark):
+    """Against one row after another: only an accepted frame fixes a contract, and the contract's gate comes before later ones."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(4), i, rng.randrange(25), rng.choice([None, "a", "b"]), rng.random() < 0.3, rng.random() < 0.3) for i in range(300)]
+    df = spark.createDataFrame(rows, "mission long, seq long, frame long, contract string, early boolean, late boolean")
+    fixed, taken, want = {}, set(), []
+    for mission, seq, frame, contract, early, late in rows:
+        changed = contract is not None and mission in fixed and fixed[mission] != contract
+        reason = "early" if early else "changed" if changed else "late" if late else "again" if (mission, frame) in taken else None
+        if reason is None:
+            taken.add((mission, frame))
+            if contract is not None:
+                fixed.setdefault(mission, contract)
+        want.append(reason)
+    got = gates.in_order(df.repartition(3), ["early", "changed", "late"], "contract", "changed", "frame", "again")
+    assert [r.reject_reason for r in got.orderBy("seq").collect()] == want and set(want) == {"early", "changed", "late", "again", None}
+
+
+def test_a_rig_with_many_samples_is_bracketed_in_linear_time(spark):
+    import time
+
+    n = 100_000
+    samples = spark.range(n).select(F.lit(1).alias("rig"), (F.col("id") * 10).alias("t"), F.col("id").cast("double").alias("v"), F.col("id").alias("seq"))
+    targets = spark.range(n).select(F.lit(1).alias("rig"), (F.col("id") * 10 + 5).alias("t"), F.col("id").alias("target"))
+    began = time.time()
+    row = sync.brackets(samples, targets, ["rig"]).agg(F.sum(F.col("t") - F.col("lo_t")).alias("lo"), F.sum(F.col("hi_t") - F.col("t")).alias("hi"), F.count("hi_t").alias("n")).first()
+    assert (row.lo, row.hi, row.n) == (5 * n, 5 * (n - 1), n - 1) and time.time() - began < 60
 
 
 def test_tracks_protocol_and_matching(spark):
