@@ -37,12 +37,13 @@ import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evifuse.llm.shared import materialize, raw_texts
@@ -55,7 +56,7 @@ MU, PART = 0.001, 4096
 FOLD = 256
 #: Distinct words whose hashes a task remembers; pairs compared together.
 MEMORY = 200_000
-SETS = "doc_id long, n_shingles long, key_a long, key_b long, bits binary, fold array<long>, short array<long>, reach int, cuts array<tinyint>"
+SETS = "doc_id long, n_shingles long, key_a long, key_b long, bits binary, fold array<long>, short array<long>, cuts array<tinyint>"
 
 
 class Hashes(dict):
@@ -126,6 +127,11 @@ class Divide:
     weights: np.ndarray
     similar: int
 
+    @cached_property
+    def longest(self) -> int:
+        """The logarithm of the longest list's length."""
+        return max(int(self.weights.max(initial=0)), 1)
+
     def overlap(self, n: int) -> int:
         """T: the least overlap of a set of ``n`` with any set that it links with."""
         return -(-self.similar * n // 100)
@@ -133,13 +139,17 @@ class Divide:
     def short(self, n: int) -> int:
         """n - L: how many lists are short."""
         t = self.overlap(n)
-        longest = max(int(self.weights.max(initial=0)), 1)  # log2 of the longest list
-        return n - min(int(t / (1 + MU * longest)), t - 1)
+        return n - min(int(t / (1 + MU * self.longest)), t - 1)
 
     def reach(self, n: int) -> int:
         """T - L: in how many short lists a partner occurs at least."""
         return self.overlap(n) - (n - self.short(n))
 
+    def reach_of(self, n: Column) -> Column:
+        """``reach`` of a column of sizes, so that it need not travel."""
+        t = F.ceil(n * self.similar / 100)
+        return t - F.least(F.floor(t / F.lit(1 + MU * self.longest)), t - 1)
+
     def weight(self, found: np.ndarray) -> np.ndarray:
         return self.weights[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
 
@@ -151,12 +161,12 @@ class Divide:
 
 
 def short_lists(docs: DataFrame, divide, size: int) -> DataFrame:
-    """Per document: the set's size and 128-bit key, parities, the shingles whose lists are short, T - L, and each list's parts as a power of 2."""
+    """Per document: the set's size and 128-bit key, parities, the shingles whose lists are short, and each list's parts as a power of 2."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, part = Hashes(), divide.value
         for batch in batches:
-            sizes, keys, bits, folds, short, reach, cuts = [], [], [], [], [], [], []
+            sizes, keys, bits, folds, short, cuts = [], [], [], [], [], []
             for raw in raw_texts(batch):
                 found = shingles(raw, hashes, size)
                 n = len(found)
@@ -166,13 +176,12 @@ def short_lists(docs: DataFrame, divide, size: int) -> DataFrame:
                 folds.append(np.frombuffer(parities(found, FOLD), "<i8"))
                 mine = part.parted(found)[0] if n else found
                 short.append(mine.view(np.int64))
-                reach.append(part.reach(n) if n else 1)
                 hot = np.maximum(part.weight(mine).astype(np.int8) - PART.bit_length(), 0)
                 cuts.append(hot if hot.any() else [])
             halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
             long, longs = pa.int64(), pa.list_(pa.int64())
             columns = [pa.array(sizes, long), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(bits, pa.binary()), pa.array(folds, longs), pa.array(short, longs)]
-            columns += [pa.array(reach, pa.int32()), pa.array(cuts, pa.list_(pa.int8()))]
+            columns.append(pa.array(cuts, pa.list_(pa.int8())))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], NAMES)
 
     return docs.select("doc_id", "text").mapInArrow(task, SETS)
@@ -364,14 +373,14 @@ def components(links: DataFrame) -> DataFrame:
     return labels.unionByName(roots)
 
 
-def possible(similar: int):
+def possible(divide: Divide) -> Column:
     """Whether a common shingle can be among the first ``reach`` ones that two linked sets share.
 
     All else before it, in the common order of lists, is in one of the sets alone; with what is left of either the overlap must
-    come to T. n, m: sizes; at, to: places in them; reach, reach2: T - L of either.
+    come to T. n, m: sizes; at, to: places in them.
     """
-    left = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")) + F.least("reach", "reach2") - 1
-    return F.lit(100 + similar) * left >= F.lit(similar) * (F.col("n") + F.col("m"))
+    left = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")) + divide.reach_of(F.least("n", "m")) - 1
+    return F.lit(100 + divide.similar) * left >= F.lit(divide.similar) * (F.col("n") + F.col("m"))
 
 
 def alike(similar: int):
@@ -381,42 +390,42 @@ def alike(similar: int):
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """shingle, id, n, at, reach, cut, part of all short lists with several members, and each posting's neighbour before it (y, m, to, reach2).
+    """shingle, id, n, at, part of all short lists with several members, and each posting's neighbour before it (y, m, to).
 
     Neighbours are told in an order of each list's own, in a list of over ``PART`` postings within a part of it.
     """
-    rows = classes.select("id", F.col("n_shingles").cast("int").alias("n"), "reach", "cuts", F.posexplode("short").alias("at", "shingle"))
-    rows = rows.withColumn("cut", F.coalesce(F.get("cuts", F.col("at")), F.lit(0)).cast("int")).drop("cuts")
-    rows = rows.withColumn("part", F.when(F.col("cut") > 0, F.expr("pmod(xxhash64(id), 1L << cut)")).otherwise(F.lit(0).cast("long")))
+    rows = classes.select("id", F.col("n_shingles").cast("int").alias("n"), "cuts", F.posexplode("short").alias("at", "shingle"))
+    rows = rows.withColumn("cut", F.get("cuts", F.col("at")).cast("int"))
+    rows = rows.withColumn("part", F.when(F.col("cut") > 0, F.expr("pmod(xxhash64(id), 1L << cut)"))).drop("cuts", "cut")
     order = Window.partitionBy("shingle", "part").orderBy(F.xxhash64("shingle", "id"))
-    before = F.lag(F.struct("id", "n", "at", "reach")).over(order)
-    chained = rows.select("*", before.alias("before"), F.lead("id").over(order).alias("after")).where("before IS NOT NULL OR after IS NOT NULL OR cut > 0")
-    neighbour = [F.col(f"before.{c}").alias(name) for c, name in (("id", "y"), ("n", "m"), ("at", "to"), ("reach", "reach2"))]
-    return chained.select("shingle", "id", "n", "at", "reach", "cut", "part", *neighbour)
+    before = F.lag(F.struct("id", "n", "at")).over(order)
+    chained = rows.select("*", before.alias("before"), F.lead("id").over(order).alias("after")).where("before IS NOT NULL OR after IS NOT NULL OR part IS NOT NULL")
+    neighbour = [F.col(f"before.{c}").alias(name) for c, name in (("id", "y"), ("n", "m"), ("at", "to"))]
+    return chained.select("shingle", "id", "n", "at", "part", *neighbour)
 
 
-def chain(lists: DataFrame, similar: int) -> DataFrame:
+def chain(lists: DataFrame, divide: Divide) -> DataFrame:
     """(x, y): neighbours in a list, and the heads of neighbouring parts of a list."""
     order = Window.partitionBy("shingle").orderBy("part")  # a row for each part
-    before = F.lag(F.struct("id", "n", "at", "reach")).over(order)
-    heads = lists.where("cut > 0 AND y IS NULL").select("shingle", "id", "n", "at", "reach", "part", before.alias("b"))
-    heads = heads.select("id", "n", "at", "reach", F.col("b.id").alias("y"), F.col("b.n").alias("m"), F.col("b.at").alias("to"), F.col("b.reach").alias("reach2"))
-    both = lists.select(heads.columns).unionByName(heads).where("y IS NOT NULL").where(possible(similar))
+    before = F.lag(F.struct("id", "n", "at")).over(order)
+    heads = lists.where("part IS NOT NULL AND y IS NULL").select("shingle", "id", "n", "at", "part", before.alias("b"))
+    heads = heads.select("id", "n", "at", F.col("b.id").alias("y"), F.col("b.n").alias("m"), F.col("b.at").alias("to"))
+    both = lists.select(heads.columns).unionByName(heads).where("y IS NOT NULL").where(possible(divide))
     return both.select(F.least("id", "y").alias("x"), F.greatest("id", "y").alias("y")).distinct()
 
 
-def search(lists: DataFrame, classes: DataFrame, joined: DataFrame, similar: int) -> DataFrame:
+def search(lists: DataFrame, classes: DataFrame, joined: DataFrame, divide: Divide) -> DataFrame:
     """(x, y): candidates of different components, by merging the lists that hold several."""
-    marked = lists.select("shingle", "id", "n", "at", "reach").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    marked = lists.select("shingle", "id", "n", "at").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = marked.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
     parts = F.ceil(F.col("members") / PART).cast("int").alias("parts")
     unsettled = marked.join(several.where("low <> high AND members > 2").select("shingle", parts), "shingle")
     left = materialize(unsettled.join(classes.select("id", "fold"), "id"), "jaccard-mixed")
     # every part of a list meets each part in a task of its own
     query = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    other = left.select("shingle", F.expr("CAST(pmod(xxhash64(id), parts) AS INT)").alias("part"), F.col("fold").alias("fold2"), F.col("id").alias("y"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("component").alias("other"), F.col("reach").alias("reach2"))
-    met = query.join(other, ["shingle", "part"]).where((F.col("id") < F.col("y")) & (F.col("component") != F.col("other")) & possible(similar) & alike(similar))
-    return merged(met.select(F.col("id").alias("x"), "shingle", "y", F.least("reach", "reach2").alias("reach")))
+    other = left.select("shingle", F.expr("CAST(pmod(xxhash64(id), parts) AS INT)").alias("part"), F.col("fold").alias("fold2"), F.col("id").alias("y"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("component").alias("other"))
+    met = query.join(other, ["shingle", "part"]).where((F.col("id") < F.col("y")) & (F.col("component") != F.col("other")) & possible(divide) & alike(divide.similar))
+    return merged(met.select(F.col("id").alias("x"), "shingle", "y", divide.reach_of(F.least("n", "m")).cast("int").alias("reach")))
 
 
 def join(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -429,10 +438,10 @@ def join(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR) -> DataFram
     owners = all_sets.join(classes.select(F.col("id").alias("doc_id"), "key_a", "key_b"), ["doc_id", "key_a", "key_b"], "left_semi")
     classes = materialize(owners.dropDuplicates(["doc_id", "key_a", "key_b"]).withColumnRenamed("doc_id", "id"), "jaccard-classes")
     lists = materialize(postings(classes), "jaccard-lists")
-    pairs = materialize(chain(lists, similar), "jaccard-chain")
+    pairs = materialize(chain(lists, divide.value), "jaccard-chain")
     found = materialize(verified(docs, pairs, classes, size, divide), "jaccard-links")
     joined = materialize(components(found), "jaccard-components")
-    rest = materialize(search(lists, classes, joined, similar).join(pairs, ["x", "y"], "left_anti"), "jaccard-rest")
+    rest = materialize(search(lists, classes, joined, divide.value).join(pairs, ["x", "y"], "left_anti"), "jaccard-rest")
     if not rest.isEmpty():
         more = materialize(verified(docs, rest, classes, size, divide), "jaccard-more")
         if not more.isEmpty():

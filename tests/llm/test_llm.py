@@ -235,7 +235,7 @@ def test_merging_skips_and_loses_nothing():
     assert list(jaccard_join.merge_skip(lists, 3)) == [(50_000, 3)] and Read.looked < 2000
 
 
-def test_division_and_probes(monkeypatch):
+def test_division_and_probes(spark, monkeypatch):
     """Short lists hold T - L first common shingles of linked sets; long lists alone can rule a pair out."""
     rng = np.random.default_rng(34)
     weights = rng.integers(0, 14, 1 << jaccard_join.SKETCH_BITS).astype(np.uint8)
@@ -258,6 +258,8 @@ def test_division_and_probes(monkeypatch):
             reach = min(divide.reach(len(a)), divide.reach(len(b)))
             met = len(np.intersect1d(divide.parted(a)[0], divide.parted(b)[0]))
             assert 1 <= reach and (not linked or met >= reach)
+    sizes = list(range(1, 3000, 7))
+    assert [r[0] for r in spark.createDataFrame([(n,) for n in sizes], "n int").coalesce(1).select(divide.reach_of(F.col("n"))).collect()] == [divide.reach(n) for n in sizes]
     assert divide.reach(3000) > 3 and divide.short(3000) < 400
 
 
