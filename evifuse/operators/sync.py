@@ -90,10 +90,11 @@ def brackets(samples: DataFrame, targets: DataFrame, keys: list[str]) -> DataFra
 
     Both sides are one sorted stream of rows, so a key's samples are passed once in either direction and never paired up:
     both frames grow from the start of their order, as one that shrinks would be added up anew for each row.
-    Columns: lo_t, lo_v, hi_t, hi_v.
+    Values v may be of any type. Columns: lo_t, lo_v, hi_t, hi_v.
     """
+    sample = samples.select(F.struct("t", "v").alias("s")).schema["s"].dataType
     own = samples.select(*keys, "t", F.struct("t", "v").alias("s"), F.lit(None).cast("long").alias("target"), "seq")
-    asked = targets.select(*keys, "t", F.lit(None).cast("struct<t:bigint,v:double>").alias("s"), "target", F.lit(None).cast("long").alias("seq"))
+    asked = targets.select(*keys, "t", F.lit(None).cast(sample).alias("s"), "target", F.lit(None).cast("long").alias("seq"))
     both = own.unionByName(asked)
     past = Window.partitionBy(*keys).orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*keys).orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from evifuse.plans import contracts, evaluation, live, protocol, rasters, sync
+from evifuse.plans import contracts, evaluation, live, navigation, protocol, rasters, sync
 
 
 def catalog() -> dict:
     found: dict = {}
-    for module in (sync, evaluation, rasters, protocol, live, contracts):
+    for module in (sync, evaluation, rasters, protocol, live, contracts, navigation):
         found |= module.QUERIES
     return found
