@@ -52,9 +52,14 @@ def ned_frd_to_enu_flu(q: Quaternion) -> Quaternion:
     return normalized(quaternion_product(quaternion_product(_fixed(NED_TO_ENU), conjugate(q)), _fixed(FLU_TO_FRD)))
 
 
+def optical_of(q: Quaternion) -> Quaternion:
+    """A FLU-to-ENU rotation as the one from optical axes to ENU; of its two signs, either."""
+    return quaternion_product(q, _fixed(OPTICAL_TO_FLU))
+
+
 def flu_to_optical(q: Quaternion) -> Quaternion:
-    """A FLU-to-ENU rotation as the one from optical axes to ENU."""
-    return normalized(quaternion_product(q, _fixed(OPTICAL_TO_FLU)))
+    """The same with the sign that ``normalized`` gives."""
+    return normalized(optical_of(q))
 
 
 def pixel_ray(u: Column, v: Column, fx: Column, fy: Column, cx: Column, cy: Column, optical: Quaternion) -> Triple:

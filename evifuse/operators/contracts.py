@@ -168,7 +168,7 @@ def pose_records(rows: DataFrame) -> DataFrame:
     """
     flu, optical = ([F.col(name)[i] for i in range(4)] for name in ("flu", "optical"))
     length = lambda q: F.sqrt(sum((x * x for x in q[1:]), q[0] * q[0]))
-    expected, told = frames.matrix(frames.flu_to_optical(flu)), frames.matrix(optical)
+    expected, told = frames.matrix([F.col(f"_e{i}") for i in range(4)]), frames.matrix([F.col(f"_o{i}") for i in range(4)])
     apart = F.greatest(*(F.abs(a - b) for a, b in zip(sum(expected, []), sum(told, []))))
     boot, utc = F.col("capture_monotonic_ns").isNotNull(), F.col("capture_utc_ns").isNotNull()
     promised = [(F.col("time_basis") == basis) & ((boot != has_boot) | (utc != has_utc)) for basis, (has_boot, has_utc) in TIME_BASES.items()]
@@ -196,7 +196,8 @@ def pose_records(rows: DataFrame) -> DataFrame:
         ("altitude_reference_unsupported", _unlike("relative_altitude_reference", ALTITUDE_REFERENCES)),
         ("position_reference_unsupported", _unlike("position_reference", POSITION_REFERENCES)),
     ]
-    return judged(rows, rules)
+    steps = {f"_e{i}": x for i, x in enumerate(frames.optical_of(flu))} | {f"_o{i}": x for i, x in enumerate(optical)}
+    return judged(rows.withColumns(steps), rules).drop(*steps)
 
 
 def mosaic_settings(rows: DataFrame) -> DataFrame:

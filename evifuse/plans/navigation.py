@@ -9,7 +9,7 @@ from evifuse.operators import poses
 from evifuse.sources.tables import OBSERVATIONS, observations, read
 
 HOUR = 3_600_000_000_000
-#: Leap seconds and start of the rigs' boot clocks, so that the two clocks differ.
+#: What the queries assume: UTC ahead of the boot clocks, the shutter's lag, the widest gap, bounds of the motion.
 UTC_AHEAD, LAG, LAG_UNCERTAINTY, MAX_GAP = 37_000_000_000, 2_000_000_000, 50_000_000, 48 * HOUR
 ACCELERATION, TURNING = 1e-7, 1e-9
 
@@ -52,7 +52,8 @@ r AS (SELECT *, CASE WHEN mono < 0 OR utc < 0 THEN 'before_clock_origin' WHEN mo
     WHEN lat0 IS NULL OR lat1 IS NULL THEN 'invalid_position' WHEN yaw0 IS NULL OR yaw1 IS NULL THEN 'invalid_attitude' END AS reason FROM lo JOIN hi USING (target)),
 f AS (SELECT *, CASE WHEN reason IS NULL THEN CASE WHEN t1 = t0 THEN 0e0 ELSE CAST(tt - t0 AS DOUBLE) / CAST(t1 - t0 AS DOUBLE) END END AS share, CASE WHEN reason IS NULL THEN t1 - t0 END AS span_ns FROM r),
 g AS (SELECT *, CASE WHEN abs(lon1 - lon0) < 180 THEN lon1 - lon0 WHEN lon1 > lon0 THEN lon1 - lon0 - 360 WHEN lon1 - lon0 = -180 THEN -180 ELSE lon1 - lon0 + 360 END AS way,
-  yaw0 + (yaw1 - yaw0) * share AS yaw, (span_ns / 1e9) * (span_ns / 1e9) * share * (1 - share) / 2 AS bow FROM f)
+  CASE WHEN cos(radians((yaw1 - yaw0) / 2)) <= 0.9995e0 THEN yaw0 + (yaw1 - yaw0) * share -- nearly equal attitudes are mixed linearly
+    ELSE 2 * degrees(atan2((1 - share) * sin(radians(yaw0 / 2)) + share * sin(radians(yaw1 / 2)), (1 - share) * cos(radians(yaw0 / 2)) + share * cos(radians(yaw1 / 2)))) END AS yaw, (span_ns / 1e9) * (span_ns / 1e9) * share * (1 - share) / 2 AS bow FROM f)
 SELECT target, rig, basis, unc, span_ns, round(lat0 + (lat1 - lat0) * share, 4) AS lat, round(alt0 + (alt1 - alt0) * share, 4) AS alt,
   round(cos(radians(lon0 + way * share)), 4) AS lon_cos, round(sin(radians(lon0 + way * share)), 4) AS lon_sin, round(yaw, 4) AS yaw_deg,
   round(-sin(radians(yaw)), 4) AS forward_east, round(cos(radians(yaw)), 4) AS forward_north, CASE WHEN reason IS NULL THEN -1e0 END AS down_up,
@@ -73,7 +74,8 @@ def pixel_ground(spark, sf_dir):
     optical = [F.lit(0.0), F.cos("half"), F.sin("half"), F.lit(0.0)]
     ray = frames.pixel_ray(F.col("u"), F.col("v"), *map(F.lit, (FX, FY, CX, CY)), optical)
     zero = F.lit(0.0)
-    reach, east, north = geo.ground_hit((zero, zero, F.col("agl")), ray, zero, LEAST_COSINE, MOST_RANGE)
+    rows = rows.withColumns(dict(zip(("ray_e", "ray_n", "ray_u"), ray)))  # columns, as the hit uses each many times
+    reach, east, north = geo.ground_hit((zero, zero, F.col("agl")), (F.col("ray_e"), F.col("ray_n"), F.col("ray_u")), zero, LEAST_COSINE, MOST_RANGE)
     seen = F.col("u").between(0, 639) & F.col("v").between(0, 479)
     rows = rows.withColumns({name: F.when(seen, value) for name, value in (("reach", reach), ("east", east), ("north", north))})
     sigma = frames.ground_uncertainty(
