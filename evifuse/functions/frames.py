@@ -47,9 +47,14 @@ def from_matrix(m: list[list[Column]]) -> Quaternion:
     return normalized(picked)
 
 
+def enu_flu_of(q: Quaternion) -> Quaternion:
+    """A NED-to-FRD attitude as the rotation from the body's FLU axes to ENU; of its two signs, either."""
+    return quaternion_product(quaternion_product(_fixed(NED_TO_ENU), conjugate(q)), _fixed(FLU_TO_FRD))
+
+
 def ned_frd_to_enu_flu(q: Quaternion) -> Quaternion:
-    """A NED-to-FRD attitude as the rotation from the body's FLU axes to ENU."""
-    return normalized(quaternion_product(quaternion_product(_fixed(NED_TO_ENU), conjugate(q)), _fixed(FLU_TO_FRD)))
+    """The same with the sign that ``normalized`` gives."""
+    return normalized(enu_flu_of(q))
 
 
 def optical_of(q: Quaternion) -> Quaternion:

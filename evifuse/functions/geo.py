@@ -101,13 +101,18 @@ def rotate(q: list[Column], v: Triple) -> Triple:
 
 def slerp(a: list[Column], b: list[Column], share: Column) -> list[Column]:
     """The shorter arc; nearly equal rotations are mixed linearly and normalized."""
+    return normalized(mixed(a, b, share))
+
+
+def mixed(a: list[Column], b: list[Column], share: Column) -> list[Column]:
+    """What ``slerp`` normalizes."""
     dot = sum((x * y for x, y in zip(a[1:], b[1:])), a[0] * b[0])
     near = [F.when(dot < 0, -y).otherwise(y) for y in b]
     angle = F.acos(F.least(F.abs(dot), F.lit(1.0)))
     linear = F.abs(dot) > 0.9995
     wa = F.when(linear, 1 - share).otherwise(F.sin((1 - share) * angle) / F.sin(angle))
     wb = F.when(linear, share).otherwise(F.sin(share * angle) / F.sin(angle))
-    return normalized([wa * x + wb * y for x, y in zip(a, near)])
+    return [wa * x + wb * y for x, y in zip(a, near)]
 
 
 def euler_zyx(q: list[Column]) -> Triple:

@@ -66,9 +66,11 @@ def by_clock(samples: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "seq", "c.basis", "c.clock", "c.t", "v")
 
 
-def _apart(rows: DataFrame, name: str, q: frames.Quaternion) -> tuple[DataFrame, frames.Quaternion]:
-    """A quaternion as columns of their own: each step of a rotation uses the one before many times, and as one expression would repeat it."""
-    return rows.withColumns({f"{name}{i}": x for i, x in enumerate(q)}), [F.col(f"{name}{i}") for i in range(4)]
+def _unit(rows: DataFrame, name: str, q: frames.Quaternion) -> tuple[DataFrame, frames.Quaternion]:
+    """A quaternion normalized, before and after as columns of their own: each step uses the one before many times, and as one expression would repeat it."""
+    rows = rows.withColumns({f"{name}{i + 4}": x for i, x in enumerate(q)})
+    unit = geo.normalized([F.col(f"{name}{i + 4}") for i in range(4)])
+    return rows.withColumns({f"{name}{i}": x for i, x in enumerate(unit)}), [F.col(f"{name}{i}") for i in range(4)]
 
 
 def poses(captures: DataFrame, samples: DataFrame, keys: list[str], max_gap: int, acceleration: float, turning: float) -> DataFrame:
@@ -87,7 +89,7 @@ def poses(captures: DataFrame, samples: DataFrame, keys: list[str], max_gap: int
     unplaced = F.greatest(*(e[name].isNull() | F.isnan(e[name]) for e in ends for name in ("lat", "lon", "alt")))
     turns = []
     for end, e in zip("ab", ends):
-        rows, turn = _apart(rows, f"_{end}", geo.normalized([e["q"][i] for i in range(4)]))
+        rows, turn = _unit(rows, f"_{end}", [e["q"][i] for i in range(4)])
         turns.append(turn)
     reason = F.coalesce(
         "reason",
@@ -105,9 +107,10 @@ def poses(captures: DataFrame, samples: DataFrame, keys: list[str], max_gap: int
     linear = lambda name: ends[0][name] + (ends[1][name] - ends[0][name]) * f
     placed = {"lat": linear("lat"), "lon": geo.wrapped_between(ends[0]["lon"], ends[1]["lon"], f), "alt": linear("alt")}
     bounds = {"position_bound_m": sync.motion_bound(seconds, f, acceleration), "attitude_bound_deg": sync.motion_bound(seconds, f, turning)}
-    rows, attitude = _apart(rows.withColumns({**placed, **bounds}), "_q", geo.slerp(*turns, f))
-    rows, flu = _apart(rows, "_f", frames.ned_frd_to_enu_flu(attitude))
+    rows, attitude = _unit(rows.withColumns({**placed, **bounds}), "_q", geo.mixed(*turns, f))
+    rows, flu = _unit(rows, "_f", frames.enu_flu_of(attitude))
+    rows, optical = _unit(rows, "_o", frames.optical_of(flu))
     yaw, pitch, roll = geo.euler_zyx(attitude)
-    full = {"flu": F.array(*flu), "optical": F.array(*frames.flu_to_optical(flu)), "yaw_deg": yaw, "pitch_deg": pitch, "roll_deg": roll}
+    full = {"flu": F.array(*flu), "optical": F.array(*optical), "yaw_deg": yaw, "pitch_deg": pitch, "roll_deg": roll}
     rows = rows.withColumns({name: F.when(F.col("reason").isNull(), value) for name, value in full.items()})
-    return rows.drop("_lo_t", "_lo_v", "_hi_t", "_hi_v", *(f"_{step}{i}" for step in "abqf" for i in range(4)))
+    return rows.drop("_lo_t", "_lo_v", "_hi_t", "_hi_v", *(f"_{step}{i}" for step in "abqfo" for i in range(8)))
