@@ -2,6 +2,7 @@
 
 NED and FRD are north-east-down and forward-right-down, ENU and FLU east-north-up and forward-left-up; optical axes are
 right, down, forward. Every change of axes is a fixed rotation, so conversions are quaternion products.
+Apply one step to the columns of the step before: normalized steps nested in one expression grow too large to compile.
 """
 
 from __future__ import annotations
