@@ -42,28 +42,27 @@ def of_block(text: Column) -> Column:
     """Chosen k-mers of a short text: hash in the upper half of each number, place in the lower."""
     width = KMER - SMER + 1
 
-    def chosen(smers: Column) -> Column:
-        last = F.size(smers) - width
+    def lower(v: Column, step: int) -> Column:
+        """The lower of each number and of the one ``step`` behind it; null where there is none."""
+        return F.zip_with(v, F.slice(v, step + 1, F.size(v)), lambda x, y: F.when(x <= y, x).otherwise(y))
 
-        def least(x: Column, i: Column, step: int) -> Column:
-            """The next s-mer but one, and so on, of the k-mer that starts (or ends) here are no lower. Most are told by the first comparisons."""
-            inside = i <= last if step > 0 else i >= width - 1
-            for at in range(2, width):
-                other = F.get(smers, i + step * at)
-                inside = inside & (x <= other if step > 0 else x < other)
-            return inside
+    def chosen(smers: Column, fours: Column) -> Column:
+        """``fours`` holds the least of each four neighbours, so a k-mer is told by a few comparisons, mostly by the first."""
+        four = lambda i, step: F.get(fours, i + step)
 
         def start(x: Column, i: Column) -> Column:
             """Of two neighbours, the first can be the least of the k-mer that it starts, or the second of the one that it ends."""
             after = F.get(smers, i + 1)
-            return F.when(x <= after, F.when(least(x, i, 1), i)).when(least(after, i + 1, -1), i + 1 - (width - 1))
+            first = (x <= four(i, 2)) & ((x <= four(i, 6)) & ((x <= four(i, 10)) & ((x <= four(i, width - 4)) & (i <= F.size(smers) - width))))
+            end = (after < four(i, -4)) & ((after < four(i, -8)) & ((after < four(i, -12)) & ((after < four(i, 2 - width)) & (i >= width - 2))))
+            return F.when(x <= after, F.when(first, i)).when(end, i + 2 - width)
 
-        places = F.array_sort(F.array_distinct(F.array_compact(F.transform(smers, start))))
+        places = F.sort_array(F.array_distinct(F.array_compact(F.transform(smers, start))))
         kmer = lambda i: F.xxhash64(*(F.get(smers, i + at) for at in range(0, width, SMER)))
         return F.transform(places, lambda i: kmer(i).bitwiseAND(F.lit(~LOW)) + i)
 
     smers = F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{SMER}}}))."), F.lit(1)), lambda s: F.xxhash64(s))
-    return let(smers, chosen)
+    return let(smers, lambda v: let(lower(v, 1), lambda pairs: let(lower(pairs, 2), lambda fours: chosen(v, fours))))
 
 
 def chosen_in(text: Column) -> Column:
@@ -98,7 +97,7 @@ def likeness(a: Column, b: Column) -> Column:
 def densest(a: Column, b: Column, same: Column) -> Column:
     """How many pairs have a shift in the densest band, ``same`` further ones having shift 0."""
     keyed = lambda v, side: F.transform(v, lambda x: x + place_of(x) + side)  # noqa: E731  hash, place, side
-    merged = F.array_sort(F.concat(keyed(a, 0), keyed(b, 1)))
+    merged = F.sort_array(F.concat(keyed(a, 0), keyed(b, 1)))
     place = lambda x: F.shiftright(place_of(x), 1)
     side = lambda x: x.bitwiseAND(F.lit(1))
 
@@ -116,7 +115,7 @@ def densest(a: Column, b: Column, same: Column) -> Column:
         return F.struct(band.alias("band"), n.alias("n"), below.alias("below"), F.greatest(acc["best"], n + below).alias("best"))
 
     zero = F.array(F.lit(0).cast("long"))
-    found = let(merged, lambda m: F.aggregate(F.array_sort(F.concat(bands(m), zero)), start, count, lambda acc: acc["best"]))
+    found = let(merged, lambda m: F.aggregate(F.sort_array(F.concat(bands(m), zero)), start, count, lambda acc: acc["best"]))
     return F.least(found, same + F.size(a), same + F.size(b))
 
 
