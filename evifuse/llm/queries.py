@@ -1,4 +1,4 @@
-"""The ten operators as queries over the driver's tables, and their SQL where there is one."""
+"""The thirteen operators as queries over the driver's tables, and their SQL where there is one."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evifuse.llm import bpe, chat, fingerprint, jaccard_join, license_scan, packing, quality, toxicity, url_filter, warc
+from evifuse.llm import bpe, chat, fingerprint, jaccard_join, license_scan, line_dedup, packing, quality, toxicity, url_filter, warc
 from evifuse.llm.shared import ship, table
 
 
@@ -74,6 +74,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(table(spark, sf_dir, "pages"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that five or more share; the operator works on ``line_dedup.bitmaps``."""
+    return line_dedup.digests(table(spark, sf_dir, "documents")).drop("keep")
+
+
 SQL_7 = r"""
 WITH parts AS (
   SELECT page_id,
@@ -109,9 +114,9 @@ FROM digests
 def queries() -> dict:
     return {
         f.__name__: shipped(f)
-        for f in (op1_license_scan, op2_chat_format, op3_jaccard_join, op4_best_fit_packing, op5_toxicity, op6_quality_rules, op7_url_filter, op8_bpe, op9_fingerprint, op10_warc)
+        for f in (op1_license_scan, op2_chat_format, op3_jaccard_join, op4_best_fit_packing, op5_toxicity, op6_quality_rules, op7_url_filter, op8_bpe, op9_fingerprint, op10_warc, op11_line_dedup)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.SQL, "op3_jaccard_join": jaccard_join.SQL, "op6_quality_rules": quality.sql(), "op7_url_filter": SQL_7, "op10_warc": SQL_10}
+    return {"op2_chat_format": chat.SQL, "op3_jaccard_join": jaccard_join.SQL, "op6_quality_rules": quality.sql(), "op7_url_filter": SQL_7, "op10_warc": SQL_10, "op11_line_dedup": line_dedup.SQL}
