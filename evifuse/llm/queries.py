@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evifuse.llm import bpe, chat, fingerprint, jaccard_join, license_scan, line_dedup, packing, quality, toxicity, url_filter, warc
+from evifuse.llm import bpe, chat, fingerprint, jaccard_join, license_scan, line_dedup, packing, phrases, prefix_trie, quality, toxicity, url_filter, warc
 from evifuse.llm.shared import ship, table
 
 
@@ -79,6 +79,16 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents")).drop("keep")
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of each language; the limit is the report's."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 SQL_7 = r"""
 WITH parts AS (
   SELECT page_id,
@@ -114,9 +124,9 @@ FROM digests
 def queries() -> dict:
     return {
         f.__name__: shipped(f)
-        for f in (op1_license_scan, op2_chat_format, op3_jaccard_join, op4_best_fit_packing, op5_toxicity, op6_quality_rules, op7_url_filter, op8_bpe, op9_fingerprint, op10_warc, op11_line_dedup)
+        for f in (op1_license_scan, op2_chat_format, op3_jaccard_join, op4_best_fit_packing, op5_toxicity, op6_quality_rules, op7_url_filter, op8_bpe, op9_fingerprint, op10_warc, op11_line_dedup, op12_phrase_mining, op13_prefix_trie)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.SQL, "op3_jaccard_join": jaccard_join.SQL, "op6_quality_rules": quality.sql(), "op7_url_filter": SQL_7, "op10_warc": SQL_10, "op11_line_dedup": line_dedup.SQL}
+    return {"op2_chat_format": chat.SQL, "op3_jaccard_join": jaccard_join.SQL, "op6_quality_rules": quality.sql(), "op7_url_filter": SQL_7, "op10_warc": SQL_10, "op11_line_dedup": line_dedup.SQL, "op12_phrase_mining": phrases.SQL, "op13_prefix_trie": prefix_trie.SQL}
