@@ -161,7 +161,7 @@ def last_bins(rest: DataFrame, length: int, nearly: int) -> DataFrame:
     emptiest = rest.where(~small).select("fill", "number").orderBy("fill", "number").limit(k)
     bound = emptiest.agg(F.max(F.struct("fill", "number")).alias("bound")).first().bound
     meets = small if bound is None else F.struct("fill", "number") <= F.struct(F.lit(bound.fill), F.lit(bound.number))
-    met = rest.where(meets).drop("number").coalesce(1).mapInArrow(lambda batches: refit(batches, length, nearly, True), BIN)
+    met = rest.where(meets).drop("number").repartition(1).mapInArrow(lambda batches: refit(batches, length, nearly, True), BIN)
     return rest.where(~meets).drop("number").unionByName(materialize(met, "packing-last"))
 
 
@@ -202,6 +202,6 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, nearly:
             bins = bins.unionByName(last_bins(rest, length, nearly))
             break
     else:
-        bins = bins.unionByName(materialize(rest.coalesce(1).mapInArrow(again, BIN), "packing-last"))
+        bins = bins.unionByName(materialize(rest.repartition(1).mapInArrow(again, BIN), "packing-last"))
     numbered = bins.select(F.monotonically_increasing_id().alias("sequence_id"), "items")
     return numbered.select("sequence_id", F.explode("items").alias("item")).select("item.doc_id", "item.piece", "item.start", "item.length", "item.ids_crc32", "sequence_id", "item.offset")
