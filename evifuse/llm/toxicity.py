@@ -294,12 +294,18 @@ class Scorer:
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """doc_id, raw, toxic: at most ``size`` labelled texts of each class that are not held out, those with the smallest hashed ids."""
+    """doc_id, raw, toxic: at most ``size`` labelled texts of each class that are not held out, those with the smallest hashed ids.
+
+    A row is an id and a text: repeated rows count once, each text of a repeated id by itself.
+    """
     truth = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic IS NOT NULL").where(~held_out())
-    present = truth.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    picked = [present.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for y in (1, 0)]
+    digest = F.xxhash64("text").alias("digest")
+    present = docs.select("doc_id", digest).distinct().join(truth, "doc_id")
+    picked = [present.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(size) for y in (1, 0)]
     few = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * size rows at most
-    return docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", F.encode("text", "UTF-8").alias("raw"), F.col("toxic").cast("long").alias("toxic"))
+    rows = docs.select("doc_id", digest, "text").join(few, ["doc_id", "digest"])
+    once = rows.groupBy("doc_id", "digest").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # copies of a row are merged where they are read
+    return once.select("doc_id", F.encode("text", "UTF-8").alias("raw"), F.col("toxic").cast("long").alias("toxic"))
 
 
 def ordered(rows: list[tuple]) -> list[tuple[bytes | None, int]]:
