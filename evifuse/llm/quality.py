@@ -4,9 +4,11 @@ Each text gets a few measures of badness. For each stratum (language) and measur
 labelled holdout: among the good documents of the stratum, those beyond the cutoff would be rejected falsely.
 Of ``CUTOFFS`` candidates the strictest is taken whose false-rejection rate is at most ``RISK`` with
 certainty: the exact binomial tail P(X <= k | n, RISK) for k falsely rejected of n must be at most
-``DELTA`` divided by the number of all tests (Bonferroni over strata, measures and candidates). A stratum with
-too few good labels to prove any cutoff keeps everything. A document is rejected if it fails the base rule or
-any selected cutoff of its stratum; as each measure may reject up to ``RISK``, the bound for all is their sum.
+``DELTA`` divided by the number of all tests (Bonferroni over strata, measures and candidates). Where a stratum has
+too few good labels to prove ``RISK``, the least rate that they can prove takes its place, by cutoffs that reject none of them; strata that
+cannot prove even ``MOST_RISK`` are pooled, and the pool's cutoffs and bound hold for them together. A stratum without any good label, or a
+pool that is too small, keeps what passes the base rule. A document is rejected if it fails the base rule or
+any selected cutoff of its stratum; as each measure may reject up to its rate, the bound for all is their sum.
 
 Three in sixteen labelled documents, told by a hash of their ids (``audited``), select nothing. ``audit`` measures on them how many good documents
 of each stratum the selected cutoffs reject. Only counts for each (stratum, measure, candidate) are gathered, so the thresholds that are
@@ -25,8 +27,11 @@ from pyspark.sql import functions as F
 from evifuse.llm.shared import materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Largest false-rejection rate of one measure, total error probability, most strata whose thresholds are broadcast.
-RISK, DELTA, MOST_STRATA = 0.005, 0.05, 1000
+#: False-rejection rate of one measure, the rate allowed where labels are few, total error probability, most strata whose thresholds are broadcast.
+RISK, MOST_RISK, DELTA, MOST_STRATA = 0.005, 0.05, 0.05, 1000
+#: So much over the least rate that can be proven, for rounding.
+SLACK = 1 + 1e-9
+POOL = "*"
 #: Candidate cutoffs: a document is rejected if the measure is over the cutoff.
 CUTOFFS = {
     "symbol_rate": (0.02, 0.05, 0.1, 0.2),
@@ -117,10 +122,10 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def binomial_tail(k: Column, n: Column, p: float) -> Column:
+def binomial_tail(k: Column, n: Column, p: Column) -> Column:
     """P(X <= k) of a binomial distribution, its terms added from their logarithms."""
-    odds = F.log(F.lit(p / (1 - p)))
-    start = F.struct((n * F.log(F.lit(1 - p))).alias("term"), F.exp(n * F.log(F.lit(1 - p))).alias("sum"))
+    odds, none = F.log(p / (1 - p)), n * F.log(1 - p)
+    start = F.struct(none.alias("term"), F.exp(none).alias("sum"))
 
     def step(acc, i):
         term = acc["term"] + F.log((n - i + 1) / i) + odds
@@ -154,11 +159,15 @@ def thresholds(measures: DataFrame, labels: DataFrame, risk: float = RISK, delta
     held = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts)
     tests = F.array(*(F.struct(F.lit(m).alias("measure"), F.lit(float(cut)).alias("cutoff"), F.col(f"`{m}@{cut}`").alias("k")) for m, cut in candidates))
     held = materialize(held, "quality-counts")  # a row for each stratum
-    strata = held.count()  # every stratum counts among the tests, whether or not it proves anything
-    listed = held.select("stratum", "n", F.explode(tests).alias("t")).select("stratum", "n", "t.*")
-    risky = F.when(F.col("k") > risk * F.col("n"), F.lit(1.0)).otherwise(binomial_tail(F.col("k"), F.col("n"), risk))
-    proven = listed.where(risky <= delta / (N_TESTS * max(strata, 1)))
-    return proven.groupBy("stratum", "measure").agg(F.min("cutoff").alias("cutoff"))
+    each = delta / (N_TESTS * max(held.count(), 1))  # every stratum counts among the tests, whether or not it proves anything
+    least = (1 - F.exp(F.log(F.lit(each)) / F.col("n"))) * SLACK  # what labels can prove of which none is rejected
+    most = max(MOST_RISK, risk)
+    pooled = held.withColumn("pool", F.when(least > most, POOL).otherwise(F.col("stratum")))
+    listed = pooled.select("pool", "n", F.explode(tests).alias("t")).groupBy("pool", "t.measure", "t.cutoff").agg(F.sum("n").alias("n"), F.sum("t.k").alias("k"))
+    rated = listed.withColumn("p", F.greatest(F.lit(risk), least)).where(F.col("p") <= most)
+    risky = F.when(F.col("k") > F.col("p") * F.col("n"), F.lit(1.0)).otherwise(binomial_tail(F.col("k"), F.col("n"), F.col("p")))
+    proven = rated.where(risky <= each).groupBy("pool", "measure").agg(F.min("cutoff").alias("cutoff"))
+    return pooled.select("stratum", "pool").join(proven, "pool").select("stratum", "measure", "cutoff")
 
 
 def ruled(measures: DataFrame, labels: DataFrame, risk: float = RISK) -> DataFrame:
@@ -200,9 +209,10 @@ def sql(risk: float = RISK) -> str:
     """``judge`` in DuckDB's SQL."""
     candidates = [(m, cut) for m, cuts in CUTOFFS.items() for cut in cuts]
     counts = ", ".join(f"count(*) FILTER ({m} > {cut}) AS k{i}" for i, (m, cut) in enumerate(candidates))
-    listed = " UNION ALL ".join(f"SELECT stratum, n, strata, '{m}' AS measure, {cut}::DOUBLE AS cutoff, k{i} AS k FROM held" for i, (m, cut) in enumerate(candidates))
+    listed = " UNION ALL ".join(f"SELECT pool, '{m}' AS measure, {cut}::DOUBLE AS cutoff, sum(n) AS n, sum(k{i}) AS k, any_value(least) AS least FROM pools GROUP BY pool" for i, (m, cut) in enumerate(candidates))
+    each, most = f"({DELTA / N_TESTS!r}::DOUBLE / strata)", max(MOST_RISK, risk)
     at_most = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
-    log_term = f"lgamma(n + 1e0) - lgamma(i + 1e0) - lgamma(n - i + 1e0) + i * ln({risk}::DOUBLE) + (n - i) * ln({1 - risk}::DOUBLE)"
+    log_term = "lgamma(tests.n + 1e0) - lgamma(i + 1e0) - lgamma(tests.n - i + 1e0) + i * ln(p) + (tests.n - i) * ln(1 - p)"
     over = ", ".join(f"CASE WHEN {m} > (SELECT cutoff FROM proven p WHERE p.stratum = m.stratum AND p.measure = '{m}') THEN '{m}' END" for m in CUTOFFS)
     rate = lambda a, b: f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) ELSE 0 END"
     return rf"""
@@ -231,10 +241,11 @@ m AS (
 ),
 good AS (SELECT doc_id FROM labels WHERE md5(doc_id::VARCHAR)[1] NOT IN ('0', '1', '2') GROUP BY doc_id HAVING min(quality) = 1),
 held AS (SELECT stratum, count(*) AS n, count(*) OVER () AS strata, {counts} FROM m SEMI JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY stratum),
-tests AS ({listed}),
+pools AS (SELECT *, {each} AS least, CASE WHEN (1 - exp(ln({each}) / n)) * {SLACK!r}::DOUBLE > {most}::DOUBLE THEN '{POOL}' ELSE stratum END AS pool FROM held),
+tests AS (SELECT *, greatest({risk}::DOUBLE, (1 - exp(ln(least) / n)) * {SLACK!r}::DOUBLE) AS p FROM ({listed})),
 proven AS (
-  SELECT stratum, measure, min(cutoff) AS cutoff FROM tests
-  WHERE k <= {risk} * n AND list_sum(list_transform(range(0, k + 1), lambda i: exp({log_term}))) <= {DELTA / N_TESTS!r}::DOUBLE / strata
+  SELECT stratum, measure, min(cutoff) AS cutoff FROM tests JOIN pools USING (pool)
+  WHERE p <= {most}::DOUBLE AND k <= p * tests.n AND list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda i: exp({log_term}))) <= tests.least
   GROUP BY stratum, measure
 ),
 j AS (SELECT *, concat_ws(',', {over}) AS rejected_by FROM m)
