@@ -5,7 +5,7 @@ theirs. The list is compiled into one file: the sorted 64-bit xxhash keys of the
 stands for. Workers memory-map it, so all workers of a machine share one copy. A batch of urls is turned into
 candidate keys (each suffix of the host with each prefix of the path that is as long as some rule's path), all
 probed at once by vectorised binary search; every hit is then compared with the stored full string, so a
-collision of keys cannot decide. The longest fitting rule wins. Urls that no rule fits get the default verdict.
+collision of keys cannot decide. The longest fitting rule in characters wins, of equal ones the last in UTF-8 order. Urls that no rule fits get the default verdict.
 
 The file goes to every machine, so its size is checked against ``MOST_BYTES``. A longer list is filtered by
 ``judge_large``, which joins the candidates with the rules instead.
@@ -95,10 +95,10 @@ class Digests:
         return found
 
 
-def candidates_of(host: str, path: str, lengths: list[int]) -> list[bytes]:
+def candidates_of(host: str, path: str, lengths: list[int]) -> list[str]:
     labels = host.split(".")
     starts = [path[:n] for n in lengths if n <= len(path)]
-    return [(".".join(labels[i:]) + p).encode() for i in range(len(labels)) for p in starts] if host else []
+    return [".".join(labels[i:]) + p for i in range(len(labels)) for p in starts] if host else []
 
 
 def judge(pages: DataFrame, rules=RULES, default: str = DEFAULT) -> DataFrame:
@@ -123,9 +123,10 @@ def judge(pages: DataFrame, rules=RULES, default: str = DEFAULT) -> DataFrame:
                 owned += [i] * len(mine)
                 candidates += mine
             best: dict[int, tuple[int, bytes, int]] = {}
-            found = digests.find(candidates)
+            raws = [c.encode() for c in candidates]
+            found = digests.find(raws)
             for j in np.flatnonzero(found >= 0).tolist():
-                hit = (len(candidates[j]), candidates[j], int(digests.table[found[j]]["block"]))
+                hit = (len(candidates[j]), raws[j], int(digests.table[found[j]]["block"]))
                 best[owned[j]] = max(best.get(owned[j], hit), hit)
             fits = [best.get(i) for i in range(len(hosts))]
             yield pa.RecordBatch.from_arrays(
@@ -148,7 +149,10 @@ def judge_large(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> D
     listed = rules.groupBy("rule").agg(F.max(F.col("verdict") == "block").alias("block"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    starts = F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.substring("path", F.lit(1), n))
+    slash = F.locate("/", F.col("rule"))
+    lengths = [r.n for r in listed.select(F.when(slash > 0, F.length("rule") - slash + 1).otherwise(0).alias("n")).distinct().orderBy("n").collect()]  # no more than the longest rule has characters
+    fitting = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("path"))
+    starts = F.transform(fitting, lambda n: F.substring("path", F.lit(1), n))
     wanted = F.flatten(F.transform(suffixes, lambda h: F.transform(starts, lambda p: F.concat(h, p))))
     named = parted.where("host <> ''").select("page_id", F.explode(F.array_distinct(wanted)).alias("rule"))
     best = named.join(listed, "rule").groupBy("page_id").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "block")).alias("best"))
