@@ -12,7 +12,8 @@ neighbours in the joined sequence is a pair that byte-pair merging leaves alone,
 encoding (each neighbouring pair encodes to itself). Decoding concatenates up the same tree.
 
 Edge cases: a null or empty text has no tokens and decodes to no bytes. Texts of any length are encoded
-whole. Repeated rows get equal results; other columns, of any name, are untouched by ``encode``.
+whole. Repeated rows get equal results, empty tables no rows. Other columns are untouched: where a column has the name
+of the new one already, in any case, ``encode`` and ``decode`` raise. There are no ties.
 """
 
 from __future__ import annotations
@@ -175,6 +176,13 @@ def codec_of(path: str, pattern: str, kept: dict = {}) -> Codec:  # noqa: B006
     return kept[key]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name of a new column, which no other may have."""
+    if name.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"there is a column {name} already; name another with into=")
+    return name
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
     """``df`` with the column ``into``: the text's ids as little-endian unsigned 32-bit integers (binary)."""
 
@@ -183,7 +191,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", into: str
         codec = codec_of(path, pattern)
         return texts.map(lambda t: codec.encode(t or ""))
 
-    return df.withColumn(into, ids(F.col(text)))
+    return df.withColumn(unused(df, into), ids(F.col(text)))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -194,7 +202,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", into: str =
         codec = codec_of(path, pattern)
         return columns.map(lambda x: codec.decode(x or b""))
 
-    return df.withColumn(into, raw(F.col(ids)))
+    return df.withColumn(unused(df, into), raw(F.col(ids)))
 
 
 def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
