@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evifuse.functions.ranges import cut, range_of
+from evifuse.functions.ranges import cut, numbered, range_of
 
 Keys = list[str]
 
@@ -130,12 +130,12 @@ def draws(groups: DataFrame, replicates: int, seed: str) -> DataFrame:
     Groups are numbered by name; draw i of replicate r takes the group whose number the hash of (seed, r, i) names.
     """
     spark = groups.sparkSession
-    numbered = groups.select("grp").distinct().withColumn("number", F.row_number().over(Window.orderBy("grp")) - 1)
-    n = numbered.count()
+    named = numbered(groups.select("grp").distinct(), "grp")
+    n = named.count()
     slots = spark.range(replicates * n).select((F.col("id") / n).cast("long").alias("rep"), (F.col("id") % n).alias("draw"))
     digest = F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "rep", "draw"), 256), 1, 8)
     drawn = slots.select("rep", (F.conv(digest, 16, 10).cast("long") % n).alias("number"))
-    return drawn.join(numbered, "number").groupBy("rep", "grp").agg(F.count(F.lit(1)).alias("times"))
+    return drawn.join(named, "number").groupBy("rep", "grp").agg(F.count(F.lit(1)).alias("times"))
 
 
 def resampled(groups: DataFrame, drawn: DataFrame, numerator: str, denominator: str) -> DataFrame:
