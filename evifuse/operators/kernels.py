@@ -226,4 +226,4 @@ def outermost(points: DataFrame) -> DataFrame:
         yield held.astype({"id": "int64"})
 
     schema = "id long, x double, y double"
-    return points.select("id", "x", "y").mapInPandas(task, schema).coalesce(1).mapInPandas(task, schema)
+    return points.select("id", "x", "y").mapInPandas(task, schema).repartition(1).mapInPandas(task, schema)

@@ -76,14 +76,16 @@ def _unit(rows: DataFrame, name: str, q: frames.Quaternion) -> tuple[DataFrame,
 def poses(captures: DataFrame, samples: DataFrame, keys: list[str], max_gap: int, acceleration: float, turning: float) -> DataFrame:
     """A row for each capture: position and attitude between its samples, the bounds of both, or a reason.
 
+    A capture goes through the brackets as a whole, so targets may repeat, within a key or among keys, or be null.
     Latitude and altitude are linear, longitude goes the shorter way round, attitude along the shorter arc. Nothing is
     extrapolated. ``acceleration`` (m/s2) and ``turning`` (degrees/s2) bound what the motion between samples can add.
     """
     chosen = with_basis(captures, samples, keys)
     clocked = [*keys, "basis", "clock"]
-    found = sync.brackets(by_clock(samples, keys), chosen.where("basis IS NOT NULL").select(*clocked, "target", "t"), clocked)
-    found = found.select("target", *(F.col(c).alias(f"_{c}") for c in ("lo_t", "lo_v", "hi_t", "hi_v")))
-    rows = chosen.join(found, "target", "left")
+    whole = F.struct(*(F.col(f"`{c}`") for c in chosen.columns)).alias("target")
+    clocks = [F.col(c) for c in clocked]
+    found = sync.brackets(by_clock(samples, keys), chosen.select(*clocks, whole, "t"), clocked)
+    rows = found.select("target.*", *(F.col(c).alias(f"_{c}") for c in ("lo_t", "lo_v", "hi_t", "hi_v")))
     span = F.col("_hi_t") - F.col("_lo_t")
     ends = [F.col(f"_{end}_v") for end in ("lo", "hi")]
     unplaced = F.greatest(*(e[name].isNull() | F.isnan(e[name]) for e in ends for name in ("lat", "lon", "alt")))

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evifuse.functions.ranges import cut, range_of
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -88,20 +90,31 @@ def rollup(selected: DataFrame, required: list[str], policy: Policy) -> DataFram
 def brackets(samples: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """Each target (keys, target, t) with the last sample at or before and the first at or after it.
 
-    Both sides are one sorted stream of rows, so a key's samples are passed once in either direction and never paired up:
-    both frames grow from the start of their order, as one that shrinks would be added up anew for each row.
-    Values v may be of any type. Columns: lo_t, lo_v, hi_t, hi_v.
+    Both sides are one sorted stream of rows within a key and a range of times, passed once in either direction and never paired up:
+    both frames grow from the start of their order, as one that shrinks would be added up anew for each row. Of each range only
+    its first and last sample go on to others, so a key with very many samples is several tasks.
+    Values v and targets may be of any type; a target may be null or occur several times. Keys that are null match each other. Columns: lo_t, lo_v, hi_t, hi_v.
     """
     sample = samples.select(F.struct("t", "v").alias("s")).schema["s"].dataType
-    own = samples.select(*keys, "t", F.struct("t", "v").alias("s"), F.lit(None).cast("long").alias("target"), "seq")
-    asked = targets.select(*keys, "t", F.lit(None).cast(sample).alias("s"), "target", F.lit(None).cast("long").alias("seq"))
-    both = own.unionByName(asked)
-    past = Window.partitionBy(*keys).orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0)
-    lo = F.max(F.when(F.col("s").isNotNull(), F.struct("t", (-F.col("seq")).alias("o"), "s"))).over(past)
-    hi = F.min(F.when(F.col("s").isNotNull(), F.struct("t", F.col("seq").alias("o"), "s"))).over(ahead)
-    found = both.select(*keys, "target", "t", lo.alias("lo"), hi.alias("hi")).where("target IS NOT NULL")
-    return found.select(*keys, "target", "t", F.col("lo.s.t").alias("lo_t"), F.col("lo.s.v").alias("lo_v"), F.col("hi.s.t").alias("hi_t"), F.col("hi.s.v").alias("hi_v"))
+    own = samples.select(*keys, "t", F.struct("t", "v").alias("s"), F.lit(None).cast(targets.schema["target"].dataType).alias("target"), "seq", F.lit(False).alias("asked"))
+    asked = targets.select(*keys, "t", F.lit(None).cast(sample).alias("s"), "target", F.lit(None).cast("long").alias("seq"), F.lit(True).alias("asked"))
+    bounds = cut(samples, "t", int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = own.unionByName(asked).withColumn("range", F.coalesce(range_of(bounds, F.col("t")), F.lit(0)))
+    is_sample = ~F.col("asked") & F.col("t").isNotNull()
+    last, first = F.when(is_sample, F.struct("t", (-F.col("seq")).alias("o"), "s")), F.when(is_sample, F.struct("t", F.col("seq").alias("o"), "s"))
+    past = Window.partitionBy(*keys, "range").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys, "range").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0)
+    found = both.select(*keys, "range", "target", "t", "asked", F.max(last).over(past).alias("lo"), F.min(first).over(ahead).alias("hi")).where("asked")
+    ends = both.groupBy(*keys, "range").agg(F.max(last).alias("last"), F.min(first).alias("first"))  # a row for each key and range
+    ranges = Window.partitionBy(*keys).orderBy("range")
+    before, beyond = ranges.rowsBetween(Window.unboundedPreceding, -1), ranges.rowsBetween(1, Window.unboundedFollowing)
+    edges = ends.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("range").alias("_range"), F.max("last").over(before).alias("sooner"), F.min("first").over(beyond).alias("later"))
+    same = F.col("range") == F.col("_range")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    timed = F.col("t").isNotNull()  # a target without a time lies nowhere
+    rows = found.join(edges, same, "left").select(*keys, "target", "t", F.when(timed, F.coalesce("lo", "sooner")).alias("lo"), F.when(timed, F.coalesce("hi", "later")).alias("hi"))
+    return rows.select(*keys, "target", "t", F.col("lo.s.t").alias("lo_t"), F.col("lo.s.v").alias("lo_v"), F.col("hi.s.t").alias("hi_t"), F.col("hi.s.v").alias("hi_v"))
 
 
 def interpolated(bracketed: DataFrame, max_gap: int) -> DataFrame:

@@ -232,8 +232,8 @@ def nearest_neighbor(spark, sf_dir):
     return rounded(nearest_distances(_positions(spark, sf_dir)), "metres", digits=4)
 
 
-NEIGHBOR = f"""WITH {POSITIONS}, p AS (SELECT *, CAST(floor(lat * 200) AS BIGINT) AS cy, CAST(floor(lon * 200) AS BIGINT) AS cx FROM pos),
-m AS (SELECT a.id, min({geo.EARTH_RADIUS!r} * sqrt(pow(radians(b.lon - a.lon) * cos(radians((a.lat + b.lat) / 2)), 2) + pow(radians(b.lat - a.lat), 2))) AS d FROM p a JOIN p b ON a.id <> b.id AND abs(a.cy - b.cy) <= 1 AND abs(a.cx - b.cx) <= 1 GROUP BY a.id)
+NEIGHBOR = f"""WITH {POSITIONS},
+m AS (SELECT a.id, min({geo.EARTH_RADIUS!r} * sqrt(pow(radians(b.lon - a.lon) * cos(radians((a.lat + b.lat) / 2)), 2) + pow(radians(b.lat - a.lat), 2))) AS d FROM pos a JOIN pos b ON a.id <> b.id GROUP BY a.id)
 SELECT pos.id, round(d, 4) AS metres FROM pos LEFT JOIN m USING (id)"""
 
 
