@@ -39,13 +39,14 @@ def calibration_error(bins: DataFrame, keys: Keys) -> DataFrame:
     return bins.groupBy(*keys).agg((F.sum(gap) / F.sum("n")).alias("ece"))
 
 
-def blocks(rows: DataFrame, keys: Keys, score: str = "score", risk: str = "risk") -> DataFrame:
-    """One row for each distinct score: block size and risk, and both summed up to and with it.
+def blocks(rows: DataFrame, keys: Keys, score: str = "score", risk: str = "risk", count: str | None = None) -> DataFrame:
+    """One row for each distinct score: block size and risk, and both summed up to and with it. Where rows stand for several, ``count`` has their number.
 
     Scores are summed within ranges first, then the ranges' sums are added, so no task orders all scores. Keys are
     not null.
     """
-    grouped = rows.groupBy(*keys, F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(risk).cast("double")).alias("risk"))
+    size = F.sum(count) if count else F.count(F.lit(1))
+    grouped = rows.groupBy(*keys, F.col(score).alias("score")).agg(size.alias("n"), F.sum(F.col(risk).cast("double")).alias("risk"))
     bounds = cut(grouped, "score", int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parted = grouped.withColumn("part", range_of(bounds, F.col("score")))
     within = Window.partitionBy(*keys, "part").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from evifuse.plans import contracts, detection, evaluation, live, navigation, protocol, rasters, sync
+from evifuse.plans import contracts, detection, evaluation, live, navigation, protocol, rasters, selective, sync
 
 
 def catalog() -> dict:
     found: dict = {}
-    for module in (sync, evaluation, rasters, protocol, live, contracts, navigation, detection):
+    for module in (sync, evaluation, rasters, protocol, live, contracts, navigation, detection, selective):
         found |= module.QUERIES
     return found
