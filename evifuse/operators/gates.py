@@ -10,24 +10,65 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The mission gates in their order.
-MISSION = """boot_clock_domain_mismatch utc_boot_time_anchors_disagree capture_time_has_no_explicit_tai_anchor capture_time_uncertainty_unknown
-capture_time_uncertainty_exceeds_limit thermal_contract_without_thermal_frame thermal_registration_contract_unknown
-thermal_reference_calibration_mismatch thermal_time_offset_exceeds_limit thermal_time_uncertainty_exceeds_limit
-thermal_registration_error_exceeds_limit thermal_mission_contract_changed semantic_contract_without_semantic_frame
-semantic_contract_unknown semantic_reference_calibration_mismatch semantic_mission_contract_changed navigation_fix_unknown
-navigation_fix_below_minimum rtk_fixed_required capture_position_reference_unknown camera_extrinsic_calibration_unknown
-horizontal_accuracy_unknown vertical_accuracy_unknown attitude_accuracy_unknown timing_velocity_bound_unknown
-timing_angular_rate_bound_unknown thermal_velocity_bound_unknown thermal_angular_rate_bound_unknown
-camera_ground_elevation_unknown camera_agl_outside_limits rgb_geometry_does_not_match_calibration
-thermal_registered_geometry_mismatch semantic_geometry_mismatch semantic_values_must_be_integers
-semantic_values_outside_int32 semantic_class_not_in_taxonomy static_validity_geometry_mismatch
-dynamic_mask_geometry_mismatch""".split()
+MISSION = [
+    "boot_clock_domain_mismatch",
+    "utc_boot_time_anchors_disagree",
+    "capture_time_has_no_explicit_tai_anchor",
+    "capture_time_uncertainty_unknown",
+    "capture_time_uncertainty_exceeds_limit",
+    "thermal_contract_without_thermal_frame",
+    "thermal_registration_contract_unknown",
+    "thermal_reference_calibration_mismatch",
+    "thermal_time_offset_exceeds_limit",
+    "thermal_time_uncertainty_exceeds_limit",
+    "thermal_registration_error_exceeds_limit",
+    "thermal_mission_contract_changed",
+    "semantic_contract_without_semantic_frame",
+    "semantic_contract_unknown",
+    "semantic_reference_calibration_mismatch",
+    "semantic_mission_contract_changed",
+    "navigation_fix_unknown",
+    "navigation_fix_below_minimum",
+    "rtk_fixed_required",
+    "capture_position_reference_unknown",
+    "camera_extrinsic_calibration_unknown",
+    "horizontal_accuracy_unknown",
+    "vertical_accuracy_unknown",
+    "attitude_accuracy_unknown",
+    "timing_velocity_bound_unknown",
+    "timing_angular_rate_bound_unknown",
+    "thermal_velocity_bound_unknown",
+    "thermal_angular_rate_bound_unknown",
+    "camera_ground_elevation_unknown",
+    "camera_agl_outside_limits",
+    "rgb_geometry_does_not_match_calibration",
+    "thermal_registered_geometry_mismatch",
+    "semantic_geometry_mismatch",
+    "semantic_values_must_be_integers",
+    "semantic_values_outside_int32",
+    "semantic_class_not_in_taxonomy",
+    "static_validity_geometry_mismatch",
+    "dynamic_mask_geometry_mismatch",
+]
 
 #: The grid gates in their order.
-GRID = """unknown_capture_time unknown_camera_calibration unknown_vehicle_camera_pose unknown_pose_time duplicate_frame_id
-calibration_geometry_mismatch pose_time_offset_exceeds_limit sampled_pixel_limit_exceeded no_safe_ground_intersections
-projected_uncertainty_exceeds_limit no_supported_samples_after_uncertainty_gate projected_footprint_outside_map
-zero_weight_after_splat semantic_class_limit_exceeded semantic_memory_budget_exceeded""".split()
+GRID = [
+    "unknown_capture_time",
+    "unknown_camera_calibration",
+    "unknown_vehicle_camera_pose",
+    "unknown_pose_time",
+    "duplicate_frame_id",
+    "calibration_geometry_mismatch",
+    "pose_time_offset_exceeds_limit",
+    "sampled_pixel_limit_exceeded",
+    "no_safe_ground_intersections",
+    "projected_uncertainty_exceeds_limit",
+    "no_supported_samples_after_uncertainty_gate",
+    "projected_footprint_outside_map",
+    "zero_weight_after_splat",
+    "semantic_class_limit_exceeded",
+    "semantic_memory_budget_exceeded",
+]
 
 
 def first_failure(rows: DataFrame, gates: list[str], into: str = "reject_reason") -> DataFrame:
