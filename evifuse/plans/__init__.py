@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from evifuse.plans import contracts, detection, evaluation, grid, live, navigation, protocol, rasters, selective, sync
+from evifuse.plans import contracts, detection, evaluation, grid, live, navigation, protocol, rasters, selective, sync, terrain
 
 
 def catalog() -> dict:
     found: dict = {}
-    for module in (sync, evaluation, rasters, protocol, live, contracts, navigation, detection, selective, grid):
+    for module in (sync, evaluation, rasters, protocol, live, contracts, navigation, detection, selective, grid, terrain):
         found |= module.QUERIES
     return found
