@@ -11,7 +11,7 @@ from evifuse.operators import terrain
 from evifuse.plans.evaluation import rounded
 from evifuse.sources.tables import read
 
-FIELD = terrain.Surface(east_min=0.0, north_max=100.0, resolution=0.5, rows=200, columns=200, max_range=120.0, tolerance=1e-7, tile=64)
+FIELD = terrain.Surface(east_min=0.0, north_max=100.0, resolution=0.5, rows=200, columns=200, max_range=120.0, tolerance=1e-7, step=1.0, tile=64)
 IMAGE = math.hypot(0.5, 0.2) / 800
 
 
@@ -23,11 +23,12 @@ def _field(spark):
 
 
 def _rays(spark, sf_dir):
-    """lineitem as rays of cameras above the plane; some look nearly level or beyond the field."""
-    k, p, s = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
-    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    """orders as rays of cameras above the plane; some look nearly level or beyond the field."""
+    rows = read(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("k")).agg(F.min("o_custkey").alias("p"))
+    k, p = F.col("k"), F.col("p")
+    s = k * 3 + p
     return rows.select(
-        (k * 10 + F.col("l_linenumber")).alias("ray"), (20.0 + k % 61).alias("ox"), (25.0 + p % 53).alias("oy"), (30.0 + s % 11).alias("oz"),
+        k.alias("ray"), (20.0137 + k % 61).alias("ox"), (25.0291 + p % 53).alias("oy"), (30.0173 + s % 11).alias("oz"),
         (p % 21 / F.lit(10.0) - 1).alias("dx"), (s % 17 / F.lit(8.0) - 1).alias("dy"), F.lit(-1.0).alias("dz"),
         (k % 3 / F.lit(10.0)).alias("se"), F.lit(0.2).alias("sn"), F.when(p % 4 != 0, 0.1).alias("su"), F.hypot(k % 5 * 0.001, F.lit(IMAGE)).alias("angle"),
     )
@@ -41,15 +42,15 @@ def terrain_uncertainty(spark, sf_dir):
     zero = F.lit(0.0)
     level = frames.ground_uncertainty(
         (F.col("east") - F.col("ox"), F.col("north") - F.col("oy")), F.col("oz") - F.col("up"), F.col("reach"), (F.col("se"), F.col("sn"), F.coalesce("su", zero)), zero, zero,
-        F.floor(F.col("ray") / 10) % 5 * 0.001, F.lit(0.5), F.lit(0.2), F.lit(800.0), F.col("ground_sigma"), zero,
+        F.col("ray") % 5 * 0.001, F.lit(0.5), F.lit(0.2), F.lit(800.0), F.col("ground_sigma"), zero,
     )
     return rounded(both.withColumn("sigma", F.greatest(level, "probe")).select("ray", "reach", "east", "north", "up", "ground_sigma", "probe", "sigma"), "reach", "east", "north", "up", "ground_sigma", "probe", "sigma", digits=4)
 
 
 #: A plane in closed form. The first sample beyond the landing must lie on the field too, or what the ray meets is unknown.
-SQL = f"""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS ray, 20e0 + l_orderkey % 61 AS ox, 25e0 + p % 53 AS oy, 30e0 + s % 11 AS oz, p % 21 / 10e0 - 1 AS dx, s % 17 / 8e0 - 1 AS dy, l_orderkey % 3 / 10e0 AS se, 0.2e0 AS sn,
-    CASE WHEN p % 4 <> 0 THEN 0.1e0 ELSE 0e0 END AS su, l_orderkey % 5 * 0.001e0 AS turn, sqrt(pow(l_orderkey % 5 * 0.001e0, 2) + pow({IMAGE!r}, 2)) AS angle
-  FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2)),
+SQL = f"""WITH r AS (SELECT k AS ray, 20.0137e0 + k % 61 AS ox, 25.0291e0 + p % 53 AS oy, 30.0173e0 + s % 11 AS oz, p % 21 / 10e0 - 1 AS dx, s % 17 / 8e0 - 1 AS dy, k % 3 / 10e0 AS se, 0.2e0 AS sn,
+    CASE WHEN p % 4 <> 0 THEN 0.1e0 ELSE 0e0 END AS su, k % 5 * 0.001e0 AS turn, sqrt(pow(k % 5 * 0.001e0, 2) + pow({IMAGE!r}, 2)) AS angle
+  FROM (SELECT o_orderkey AS k, min(o_custkey) AS p, o_orderkey * 3 + min(o_custkey) AS s FROM orders GROUP BY 1)),
 u AS (SELECT *, dx / sqrt(dx * dx + dy * dy + 1) AS x, dy / sqrt(dx * dx + dy * dy + 1) AS y, -1 / sqrt(dx * dx + dy * dy + 1) AS z FROM r),
 a AS (SELECT *, CASE WHEN x * x + y * y > 1e-18 THEN y / sqrt(x * x + y * y) ELSE 0 END AS fx, CASE WHEN x * x + y * y > 1e-18 THEN -x / sqrt(x * x + y * y) ELSE -1e0 END AS fy FROM u),
 b AS (SELECT *, -z * fy AS sx, z * fx AS sy, x * fy - y * fx AS sz FROM a),
@@ -59,7 +60,7 @@ m AS (SELECT ray, i, se, sn, su, turn, ox AS x0, oy AS y0, oz AS z0, ox + me * s
     CASE WHEN i < 7 THEN x ELSE x * cos(angle) + (f * fx + v.s * sx) * sin(angle) END AS x, CASE WHEN i < 7 THEN y ELSE y * cos(angle) + (f * fy + v.s * sy) * sin(angle) END AS y, CASE WHEN i < 7 THEN z ELSE z * cos(angle) + v.s * sz * sin(angle) END AS z
   FROM b, v WHERE i = 0 OR i > 6 OR abs(me) * se + abs(mn) * sn + abs(mu) * su > 0),
 t AS (SELECT *, CASE WHEN -z >= 0.2 THEN (oz - 1 - 0.05e0 * ox - 0.02e0 * oy) / (0.05e0 * x + 0.02e0 * y - z) END AS t0, least(120e0, (oz - 1.0175e0) / -z) AS last FROM m),
-k AS (SELECT *, least(ceil(t0 / 0.25e0) * 0.25e0, last) AS tk FROM t),
+k AS (SELECT *, least(ceil(t0), last) AS tk FROM t),
 h AS (SELECT *, CASE WHEN t0 <= 120 AND ox + tk * x BETWEEN 0.25 AND 99.75 AND oy + tk * y BETWEEN 0.25 AND 99.75 THEN t0 END AS reach FROM k),
 n AS (SELECT ray, se, sn, su, turn, x0, y0, z0, reach, ox + reach * x AS east, oy + reach * y AS north, oz + reach * z AS up FROM h WHERE i = 0),
 o AS (SELECT h.ray, max(CASE WHEN h.reach IS NULL THEN 'infinity'::DOUBLE ELSE sqrt(pow(h.ox + h.reach * h.x - n.east, 2) + pow(h.oy + h.reach * h.y - n.north, 2)) END) AS probe FROM h JOIN n USING (ray) WHERE h.i > 0 AND n.reach IS NOT NULL GROUP BY 1),
