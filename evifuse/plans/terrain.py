@@ -29,7 +29,7 @@ def _rays(spark, sf_dir):
     s = k * 3 + p
     return rows.select(
         k.alias("ray"), (20.0137 + k % 61).alias("ox"), (25.0291 + p % 53).alias("oy"), (30.0173 + s % 11).alias("oz"),
-        (p % 21 / F.lit(10.0) - 1).alias("dx"), (s % 17 / F.lit(8.0) - 1).alias("dy"), F.lit(-1.0).alias("dz"),
+        (p % 21 / F.lit(10.0) - 1.003717).alias("dx"), (s % 17 / F.lit(8.0) - 0.987131).alias("dy"), F.lit(-1.0).alias("dz"),
         (k % 3 / F.lit(10.0)).alias("se"), F.lit(0.2).alias("sn"), F.when(p % 4 != 0, 0.1).alias("su"), F.hypot(k % 5 * 0.001, F.lit(IMAGE)).alias("angle"),
     )
 
@@ -48,7 +48,7 @@ def terrain_uncertainty(spark, sf_dir):
 
 
 #: A plane in closed form. The first sample beyond the landing must lie on the field too, or what the ray meets is unknown.
-SQL = f"""WITH r AS (SELECT k AS ray, 20.0137e0 + k % 61 AS ox, 25.0291e0 + p % 53 AS oy, 30.0173e0 + s % 11 AS oz, p % 21 / 10e0 - 1 AS dx, s % 17 / 8e0 - 1 AS dy, k % 3 / 10e0 AS se, 0.2e0 AS sn,
+SQL = f"""WITH r AS (SELECT k AS ray, 20.0137e0 + k % 61 AS ox, 25.0291e0 + p % 53 AS oy, 30.0173e0 + s % 11 AS oz, p % 21 / 10e0 - 1.003717e0 AS dx, s % 17 / 8e0 - 0.987131e0 AS dy, k % 3 / 10e0 AS se, 0.2e0 AS sn,
     CASE WHEN p % 4 <> 0 THEN 0.1e0 ELSE 0e0 END AS su, k % 5 * 0.001e0 AS turn, sqrt(pow(k % 5 * 0.001e0, 2) + pow({IMAGE!r}, 2)) AS angle
   FROM (SELECT o_orderkey AS k, min(o_custkey) AS p, o_orderkey * 3 + min(o_custkey) AS s FROM orders GROUP BY 1)),
 u AS (SELECT *, dx / sqrt(dx * dx + dy * dy + 1) AS x, dy / sqrt(dx * dx + dy * dy + 1) AS y, -1 / sqrt(dx * dx + dy * dy + 1) AS z FROM r),
