@@ -7,10 +7,13 @@ only those rows are ordered.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evifuse.functions.ranges import cut, numbered, range_of
+from evifuse.sources.scratch import written
 
 Keys = list[str]
 
@@ -88,25 +91,37 @@ def auroc(curve: DataFrame, keys: Keys) -> DataFrame:
 
 def precision_curve(rows: DataFrame, keys: Keys) -> DataFrame:
     """Ranked hits (confidence first, then id) with running precision, recall and misses. rows: confidence, id, hit."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("confidence"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    ranked = rows.select(*keys, "confidence", "id", "hit", F.sum("hit").over(order).alias("tp"), F.count(F.lit(1)).over(order).alias("rank"), F.sum("hit").over(whole).alias("positives"))
+    parted = _by_confidence(rows.select(*keys, "confidence", "id", "hit"), keys)
+    within = Window.partitionBy(*keys, "part").orderBy(F.desc("confidence"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    sums = parted.groupBy(*keys, "part").agg(F.sum("hit").alias("tp"), F.count(F.lit(1)).alias("n"))  # a row for each key and range
+    before, whole = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    starts = sums.select(*keys, "part", F.coalesce(F.sum("tp").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.sum("tp").over(whole).alias("positives"))
+    running = parted.withColumns({"tp": F.sum("hit").over(within), "rank": F.count(F.lit(1)).over(within)}).join(starts, [*keys, "part"])
+    ranked = running.select(*keys, "confidence", "id", "hit", "part", (F.col("tp") + F.col("tp0")).alias("tp"), (F.col("rank") + F.col("n0")).alias("rank"), "positives")
     return ranked.withColumn("precision", F.col("tp") / F.col("rank")).withColumn("recall", F.when(F.col("positives") > 0, F.col("tp") / F.col("positives")))
 
 
+def _by_confidence(rows: DataFrame, keys: Keys) -> DataFrame:
+    """Adds part: ranges of (keys, falling confidence, id), so that rows of one confidence may lie in several."""
+    parted = rows.repartitionByRange(*keys, F.desc("confidence"), "id").withColumn("part", F.spark_partition_id())
+    return written(parted, "by-confidence")
+
+
 def average_precision(curve: DataFrame, keys: Keys) -> DataFrame:
     """Step integral of the precision envelope: the best precision at this recall or beyond."""
-    beyond = Window.partitionBy(*keys).orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
-    enveloped = curve.withColumn("best", F.max("precision").over(beyond))
+    within = Window.partitionBy(*keys, "part").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
+    tops = curve.groupBy(*keys, "part").agg(F.max("precision").alias("top"))
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    later = tops.select(*keys, "part", F.max("top").over(ahead).alias("later"))
+    enveloped = curve.join(later, [*keys, "part"]).withColumn("best", F.greatest(F.max("precision").over(within), "later"))
     return enveloped.groupBy(*keys).agg(F.when(F.max("positives") > 0, F.sum(F.col("best") * F.col("hit")) / F.max("positives")).alias("ap"))
 
 
 def log_average_miss_rate(curve: DataFrame, keys: Keys, images: int) -> DataFrame:
     """Geometric mean of the least miss rate within nine log-spaced false-positive rates per image, floored at 1e-10."""
-    points = F.explode(F.array(*(F.lit(10 ** (-2 + i / 4)) for i in range(9))))
-    rows = curve.select(*keys, (1 - F.col("recall")).alias("miss"), ((F.col("rank") - F.col("tp")) / images).alias("fppi"), points.alias("point"))
-    least = rows.groupBy(*keys, "point").agg(F.coalesce(F.min(F.when(F.col("fppi") <= F.col("point"), F.col("miss"))), F.lit(1.0)).alias("miss"))
-    return least.groupBy(*keys).agg(F.exp(F.avg(F.log(F.greatest("miss", F.lit(1e-10))))).alias("lamr"))
+    miss, fppi = 1 - F.col("recall"), (F.col("rank") - F.col("tp")) / images
+    least = [F.log(F.greatest(F.coalesce(F.min(F.when(fppi <= 10 ** (-2 + i / 4), miss)), F.lit(1.0)), F.lit(1e-10))) for i in range(9)]
+    return curve.groupBy(*keys).agg(F.exp(reduce(lambda a, b: a + b, least) / 9).alias("lamr"))
 
 
 def confusion(rows: DataFrame, classes: list[int], ignore: list[int], keys: Keys) -> DataFrame:

@@ -94,6 +94,47 @@ def object_retention(spark, sf_dir):
     return tracks.retained(_points(spark, sf_dir), 7 * 86400 * S, 8).select("track", "seq", "place")
 
 
+def layer_retention(spark, sf_dir):
+    """What each layer of points (a stream's events, some unlocated) holds at its end: the last week, fifty at most; cap and age are the feature."""
+    rows = observations(spark, sf_dir).select(F.col("stream").alias("layer"), "seq", F.when(F.col("seq") % 23 != 0, F.col("t") + (F.col("seq") % 7) * (86400 * S)).alias("t"), "rig")
+    return tracks.layer_retained(rows, 7 * 86400 * S, LAYER)
+
+
+LAYER = 50
+#: Arrivals one after another: what is too old falls, then what is too much.
+LAYERED = f"""WITH RECURSIVE {OBSERVATIONS}, p AS (SELECT stream AS layer, seq, rig, CASE WHEN seq % 23 <> 0 THEN t + (seq % 7) * {86400 * S} END AS t, row_number() OVER (PARTITION BY stream ORDER BY seq) AS k, max(CASE WHEN seq % 23 <> 0 THEN t + (seq % 7) * {86400 * S} END) OVER (PARTITION BY stream ORDER BY seq) AS newest FROM obs),
+w AS (SELECT layer, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(seq BIGINT, t BIGINT)[]) AS held FROM p GROUP BY layer
+  UNION ALL
+  SELECT p.layer, p.k, list_slice(list_filter(list_append(w.held, {{'seq': p.seq, 't': p.t}}), lambda x: x.t IS NULL OR x.t >= newest - {7 * 86400 * S}), -{LAYER}, -1) FROM w JOIN p ON p.layer = w.layer AND p.k = w.k + 1),
+e AS (SELECT layer, unnest(arg_max(held, k)) AS x FROM w GROUP BY layer)
+SELECT e.layer, e.x.seq AS seq, p.t, p.rig FROM e JOIN p ON p.layer = e.layer AND p.seq = e.x.seq"""
+
+
+def record_digest(spark, sf_dir):
+    """SHA-256 of each conversation turn as canonical JSON, nested."""
+    rows = read(spark, sf_dir, "conversations")
+    value = F.struct(F.col("turn").alias("turn"), F.struct("text", "role", F.lit(None).cast("string").alias("note")).alias("message"), F.array(F.struct(F.col("conv_id").alias("id"), (F.col("turn") / F.lit(4.0)).alias("at"))).alias("chain"))
+    kind = rows.select(value.alias("v")).schema["v"].dataType
+    return rows.select("conv_id", "turn", F.sha2(protocol.canonical_json(value, kind), 256).alias("digest"))
+
+
+RECORD = """SELECT conv_id, turn, sha256('{"chain":[{"at":' || CAST(turn / 4e0 AS VARCHAR) || ',"id":' || conv_id || '}],"message":{"note":null,"role":' || CAST(to_json(role) AS VARCHAR) || ',"text":' || CAST(to_json(text) AS VARCHAR) || '},"turn":' || turn || '}') AS digest FROM conversations"""
+
+
+def manifest_reconciliation(spark, sf_dir):
+    """Labelled documents as expected samples, all documents but some as outputs; some come twice, some failures are declared."""
+    name = lambda c: F.concat(F.lit("sample-"), F.col(c).cast("string"))
+    labels, docs = read(spark, sf_dir, "labels").select(name("doc_id").alias("sample"), "doc_id"), read(spark, sf_dir, "documents").select(name("doc_id").alias("sample"), "doc_id")
+    outputs = docs.where("doc_id % 13 <> 5").join(labels.select("sample").distinct(), "sample", "left_semi").unionByName(docs.where("doc_id % 29 = 3"))
+    failures = labels.where("doc_id % 2 = 1").select("sample", F.concat(F.lit("code "), F.col("doc_id") % 4).alias("reason"))
+    return protocol.reconciled(labels.select("sample"), outputs.select("sample"), failures)
+
+
+RECONCILED = """WITH e AS (SELECT DISTINCT doc_id FROM labels), o AS (SELECT doc_id, sum(n) AS n FROM (
+    SELECT doc_id, count(*) AS n FROM documents WHERE doc_id % 13 <> 5 AND doc_id IN (SELECT doc_id FROM e) GROUP BY 1 UNION ALL SELECT doc_id, count(*) FROM documents WHERE doc_id % 29 = 3 GROUP BY 1) GROUP BY 1),
+b AS (SELECT coalesce(e.doc_id, o.doc_id) AS d, e.doc_id IS NOT NULL AS wanted, coalesce(n, 0) AS n FROM e FULL JOIN o ON e.doc_id = o.doc_id)
+SELECT 'sample-' || d AS sample, CASE WHEN wanted AND n = 0 THEN CASE WHEN d % 2 = 1 THEN 'external runtime failure: code ' || d % 4 ELSE 'missing output entry' END WHEN NOT wanted THEN 'unexpected output entry' ELSE 'invalid or duplicate sample_id' END AS reason,
+  CASE WHEN wanted AND n = 0 AND d % 2 = 1 THEN 'runtime' ELSE 'integrity_or_completeness' END AS failure_class FROM b WHERE NOT (wanted AND n = 1)"""
 NOW = 1_706_000_000 * S
 
 
@@ -144,6 +185,9 @@ QUERIES = {
         object_retention,
         f"WITH {OBSERVATIONS}, {POINTS}, y AS (SELECT *, max(t) OVER (PARTITION BY track) AS newest FROM pts), r AS (SELECT track, seq, CAST(row_number() OVER (PARTITION BY track ORDER BY t DESC, seq DESC) AS INTEGER) AS place FROM y WHERE t >= newest - {7 * 86400 * S}) SELECT * FROM r WHERE place <= 8",
     ),
+    "layer_retention": (layer_retention, LAYERED),
+    "record_digest": (record_digest, RECORD),
+    "manifest_reconciliation": (manifest_reconciliation, RECONCILED),
     "freshness_state": (
         freshness_state,
         f"WITH {OBSERVATIONS}, f AS (SELECT CASE WHEN seq % 19 = 0 THEN 'unverified' WHEN t > {NOW + 5 * S} THEN 'future' WHEN t < {NOW - 3 * 86400 * S} THEN 'stale' ELSE 'fresh' END AS state FROM obs) SELECT state, count(*) AS n FROM f GROUP BY 1",
