@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 THERMAL = ((0.00, 4, 5, 18), (0.22, 42, 30, 92), (0.48, 139, 45, 94), (0.70, 229, 93, 45), (0.88, 250, 190, 65), (1.00, 255, 247, 190))
 SUPPORT = ((0.00, 178, 36, 126), (0.45, 45, 105, 180), (0.72, 39, 163, 151), (1.00, 190, 231, 120))
 
+#: Fixed values of the evidence fusion: shares of detail and contrast in the saliency; least, greatest and gains (darkness, saliency) of the
+#: thermal weight; fall of the exposure off middle grey and its least; shares of exposure and detail, and start and gain of the saliency, in the reliability; contrast of the tone.
+DETAIL, CONTRAST = 0.55, 0.45
+FLOOR, CEILING, DARKNESS, SALIENCY = 0.12, 0.82, 0.22, 0.58
+EXPOSURE_FALL, EXPOSURE_LEAST = 1.7, 0.08
+EXPOSED, DETAILED, SALIENT_START, SALIENT_GAIN = 0.45, 0.55, 0.3, 0.7
+TONE = 1.08
+
 
 def clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     """Within bounds; null stays null."""

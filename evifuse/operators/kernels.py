@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evifuse.functions import raster as values
+
 
 def mean_square(image: np.ndarray, radius: int) -> np.ndarray:
     """Mean over a square with mirrored borders, from running sums."""
@@ -168,17 +170,17 @@ def by_p99(image: np.ndarray) -> np.ndarray:
     return np.clip(image / max(float(np.percentile(image, 99)), 1e-7), 0, 1)
 
 
-def fused(visible: np.ndarray, thermal: np.ndarray, support: float, gain: float = 1.0, floor: float = 0.12, ceiling: float = 0.82) -> dict[str, np.ndarray]:
+def fused(visible: np.ndarray, thermal: np.ndarray, support: float, gain: float = 1.0, floor: float = values.FLOOR, ceiling: float = values.CEILING) -> dict[str, np.ndarray]:
     """Machine channels of an aligned pair: normalization, details, contrast, and the expressions of raster.fuse."""
     low, high = np.percentile(thermal, (1, 99))
     heat = np.clip((thermal - low) / (high - low), 0, 1) if high > low + 1e-8 else np.zeros_like(thermal)
     detail, heat_detail = by_p99(edges(visible)), by_p99(edges(heat))
-    saliency = np.clip(0.55 * heat_detail + 0.45 * by_p99(np.abs(heat - mean_square(heat, 3))), 0, 1)
+    saliency = np.clip(values.DETAIL * heat_detail + values.CONTRAST * by_p99(np.abs(heat - mean_square(heat, 3))), 0, 1)
     night = np.clip((0.48 - visible.mean()) / 0.38, 0, 1)
-    weight = np.clip(gain * (floor + 0.22 * night + 0.58 * saliency), 0, ceiling) * support
-    exposure = np.clip(1 - 1.7 * np.abs(visible - 0.5), 0.08, 1)
-    reliable = np.maximum(np.clip(0.45 * exposure + 0.55 * detail, 0, 1), np.clip(0.3 + 0.7 * saliency, 0, 1))
-    tone = np.clip((visible - 0.5) * 1.08 + 0.5, 0, 1)
+    weight = np.clip(gain * (floor + values.DARKNESS * night + values.SALIENCY * saliency), 0, ceiling) * support
+    exposure = np.clip(1 - values.EXPOSURE_FALL * np.abs(visible - 0.5), values.EXPOSURE_LEAST, 1)
+    reliable = np.maximum(np.clip(values.EXPOSED * exposure + values.DETAILED * detail, 0, 1), np.clip(values.SALIENT_START + values.SALIENT_GAIN * saliency, 0, 1))
+    tone = np.clip((visible - 0.5) * values.TONE + 0.5, 0, 1)
     return {"saliency": saliency, "thermal_contribution": weight, "fusion_support": np.clip(reliable * support, 0, 1), "fused": (1 - weight) * tone + weight * heat}
 
 

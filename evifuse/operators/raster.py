@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evifuse.functions import raster as values
 from evifuse.functions.raster import clip
 
 
@@ -30,18 +31,13 @@ def scale_by_p99(pixels: DataFrame, value: str, into: str) -> DataFrame:
     return pixels.withColumn(into, clip(F.col(value) / scale))
 
 
-def reflected(i: Column, n: int) -> Column:
-    """Index of the pixel that a border index mirrors."""
-    return F.when(i < 0, -i).when(i >= n, 2 * (n - 1) - i).otherwise(i)
-
-
 def _axis_blur(pixels: DataFrame, axis: str, n: int, radius: int, value: str) -> DataFrame:
-    """Each pixel gives its value to all whose window, mirrored at the borders, holds it."""
-    others = "x" if axis == "y" else "y"
-    targets = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    spread = pixels.select("frame", others, F.col(axis).alias("own"), F.col(value).alias("v"), targets.alias(axis))
-    times = F.size(F.filter(F.sequence(F.col(axis) - radius, F.col(axis) + radius), lambda i: reflected(i, n) == F.col("own")))
-    return spread.withColumn("times", times).where("times > 0").groupBy("frame", "y", "x").agg((F.sum(F.col("times") * F.col("v")) / (2 * radius + 1)).alias(value))
+    """Each pixel gives its value to the 2 radius + 1 around it, and around its mirror images beyond the borders. The radius is less than n."""
+    others, own = "x" if axis == "y" else "y", F.col(axis)
+    images = F.array_distinct(F.array(own, -own, 2 * (n - 1) - own))
+    inside = lambda i: F.filter(F.sequence(i - radius, i + radius), lambda j: (j >= 0) & (j < n))
+    spread = pixels.select("frame", others, F.col(value).alias("v"), F.explode(F.flatten(F.transform(images, inside))).alias(axis))
+    return spread.groupBy("frame", "y", "x").agg((F.sum("v") / (2 * radius + 1)).alias(value))
 
 
 def box_blur(pixels: DataFrame, height: int, width: int, radius: int, value: str = "v") -> DataFrame:
@@ -64,7 +60,7 @@ def shift(pixels: DataFrame, dy: int, dx: int, height: int, width: int) -> DataF
     return moved.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width))
 
 
-def fuse(pixels: DataFrame, gain: float = 1.0, floor: float = 0.12, ceiling: float = 0.82, least_support: float = 0.5) -> DataFrame:
+def fuse(pixels: DataFrame, gain: float = 1.0, floor: float = values.FLOOR, ceiling: float = values.CEILING, least_support: float = 0.5) -> DataFrame:
     """Machine channels of aligned pixels.
 
     Needs per pixel: visible (luminance), thermal (normalized), visible_detail, thermal_detail, contrast, support
@@ -72,14 +68,14 @@ def fuse(pixels: DataFrame, gain: float = 1.0, floor: float = 0.12, ceiling: flo
     signal; its thermal and support channels are 0.
     """
     night = clip((0.48 - F.avg("visible").over(frame())) / 0.38)
-    saliency = clip(0.55 * F.col("thermal_detail") + 0.45 * F.col("contrast"))
-    exposure = clip(1.0 - 1.7 * F.abs(F.col("visible") - 0.5), 0.08, 1.0)
+    saliency = clip(values.DETAIL * F.col("thermal_detail") + values.CONTRAST * F.col("contrast"))
+    exposure = clip(1.0 - values.EXPOSURE_FALL * F.abs(F.col("visible") - 0.5), values.EXPOSURE_LEAST, 1.0)
     trusted = F.when(F.col("support") >= least_support, F.col("support")).otherwise(0.0) * F.col("valid").cast("double")
     named = pixels.withColumns({"night": night, "saliency": saliency, "trusted": trusted})
-    weight = clip(gain * (floor + 0.22 * F.col("night") + 0.58 * F.col("saliency")), 0.0, ceiling) * F.col("trusted")
-    reliable = F.greatest(clip(0.45 * exposure + 0.55 * F.col("visible_detail")), clip(0.30 + 0.70 * F.col("saliency")))
+    weight = clip(gain * (floor + values.DARKNESS * F.col("night") + values.SALIENCY * F.col("saliency")), 0.0, ceiling) * F.col("trusted")
+    reliable = F.greatest(clip(values.EXPOSED * exposure + values.DETAILED * F.col("visible_detail")), clip(values.SALIENT_START + values.SALIENT_GAIN * F.col("saliency")))
     gated = lambda x: F.when(F.col("eligible"), x).otherwise(0.0)
-    tone = clip((F.col("visible") - 0.5) * 1.08 + 0.5)
+    tone = clip((F.col("visible") - 0.5) * values.TONE + 0.5)
     rows = named.withColumns({"thermal_contribution": gated(weight), "fusion_support": gated(clip(reliable * F.col("trusted")))})
     fused = (1 - F.col("thermal_contribution")) * tone + F.col("thermal_contribution") * F.col("thermal")
     return rows.withColumn("fused", F.when(F.col("eligible"), fused).otherwise(F.col("visible")))

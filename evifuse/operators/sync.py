@@ -44,31 +44,50 @@ def state_of(delta: Column, pair_unc: Column, is_reference: Column, policy: Poli
 
 
 def nearest(observations: DataFrame, reference: str, policy: Policy) -> DataFrame:
-    """For each observation of the reference stream and each other stream of its rig: the cheapest partner.
+    """For each observation of the reference stream (``ref``, unique) and each other stream of its rig: the cheapest partner.
 
     The cost is the time gap plus both uncertainties; a pair of unknown uncertainty costs one more than the
     staleness bound, so it is chosen last but not excluded. The first arrival wins ties. Candidates lie within
-    the staleness bound: times are cut into cells of that width, and a row meets only its own and the two
-    neighbouring cells, so the join is an equality on (rig, domain, cell).
+    the staleness bound: times are cut into cells of that width, so all before a reference are the end of one cell and the
+    start of its own, and likewise all after. Running minima from either end of each cell tell the best of them; nothing is paired.
+
+    Without a candidate the state is ``missing``, but ``incompatible_clock_domain`` where the rig's stream has no observation of the
+    reference's clock, and ``unknown`` where those that it has lack times.
     """
-    cell = lambda t: F.floor(t / F.lit(policy.stale)).cast("long")
-    known = observations.where("t IS NOT NULL")
-    refs = known.where(F.col("stream") == reference).select("rig", "domain", F.col("seq").alias("ref"), F.col("t").alias("ref_t"), F.col("unc").alias("ref_unc"))
-    names = [r.stream for r in observations.select("stream").where(F.col("stream") != reference).distinct().collect()]  # as many as there are sensors
+    stale = policy.stale
+    refs = observations.where((F.col("stream") == reference) & F.col("t").isNotNull()).select("rig", "domain", F.col("seq").alias("ref"), F.col("t").alias("ref_t"), F.col("unc").alias("ref_unc"))
+    others = observations.where(F.col("stream") != reference)
+    names = [r.stream for r in others.select("stream").distinct().collect()]  # as many as there are sensors
     wanted = refs.withColumn("stream", F.explode(F.array(*map(F.lit, sorted(names))).cast("array<string>")))
-    cells = refs.withColumn("cell", F.explode(F.array(cell(F.col("ref_t")) - 1, cell(F.col("ref_t")), cell(F.col("ref_t")) + 1)))
-    others = known.where(F.col("stream") != reference).withColumn("cell", cell(F.col("t")))
-    gap = F.abs(F.col("t") - F.col("ref_t"))
-    pair = F.col("unc") + F.col("ref_unc")
-    met = cells.join(others, ["rig", "domain", "cell"]).where(gap <= policy.stale)
-    cost = gap + F.coalesce(pair, F.lit(policy.stale + 1))
-    best = met.groupBy("ref", "stream").agg(F.min_by(F.struct("seq", "t", "unc"), F.struct(cost, "seq")).alias("best"))
-    rows = wanted.join(best, ["ref", "stream"], "left")
+    cell = lambda t: ((t - F.pmod(t, F.lit(stale))) / stale).cast("long")
+    own = others.where("t IS NOT NULL AND domain IS NOT NULL")
+    own = own.select("rig", "domain", "stream", "t", cell(F.col("t")).alias("cell"), F.struct("t", "seq", "unc").alias("o"), *(F.lit(None).cast(k).alias(c) for c, k in (("ref", "long"), ("end", "int"), ("ref_t", "long"), ("ref_unc", "long"))))
+    # the start of the own cell and the end of the one before hold what was earlier, the end of the own and the start of the next what came later
+    ends = ((0, True, -1), (-stale, False, -1), (0, False, 1), (stale, True, 1))
+    shift = F.element_at(F.array(*(F.lit(s).cast("long") for s, _, _ in ends)), F.col("end") + 1)
+    asked = wanted.where("domain IS NOT NULL").withColumn("end", F.explode(F.array(*map(F.lit, range(len(ends)))))).withColumn("t", F.col("ref_t") + shift)
+    asked = asked.select("rig", "domain", "stream", "t", cell(F.col("t")).alias("cell"), F.lit(None).cast(own.schema["o"].dataType).alias("o"), "ref", "end", "ref_t", "ref_unc")
+    t, unc = F.col("o.t"), F.col("o.unc")
+    lane = Window.partitionBy("rig", "domain", "stream", "cell")
+    both, sides = own.unionByName(asked), ([], [], [])
+    for i, (_, rising, sign) in enumerate(ends):
+        frame = lane.orderBy(F.col("t") if rising else F.desc("t")).rangeBetween(Window.unboundedPreceding, 0)
+        for side, key, which in zip(sides, (sign * t + unc, sign * t, sign * t), (unc.isNotNull(), unc.isNull(), F.lit(True))):
+            best = F.min(F.when(F.col("o").isNotNull() & which, F.struct(key.alias("key"), F.col("o.seq").alias("seq"), "o"))).over(frame)
+            side.append(F.when(F.col("end") == i, best["o"]))
+    told = both.select("ref", "stream", "ref_t", "ref_unc", *(F.coalesce(*side).alias(name) for side, name in zip(sides, ("sure", "unsure", "any")))).where("ref IS NOT NULL")
+    gap = lambda o: F.abs(F.col(f"{o}.t") - F.col("ref_t"))
+    priced = lambda o, more: F.when(F.col(o).isNotNull(), F.struct((gap(o) + more).alias("cost"), F.col(f"{o}.seq").alias("seq"), F.col(f"{o}.t").alias("t"), F.col(f"{o}.unc").alias("unc")))
+    price = F.when(F.col("ref_unc").isNull(), priced("any", F.lit(stale + 1))).otherwise(F.least(priced("sure", F.col("sure.unc") + F.col("ref_unc")), priced("unsure", F.lit(stale + 1))))
+    best = told.select("ref", "stream", price.alias("best")).groupBy("ref", "stream").agg(F.min("best").alias("best"))
+    seen = others.groupBy("rig", "stream", "domain").agg(F.bool_or(F.col("t").isNotNull()).alias("timed"))
+    rows = wanted.join(best, ["ref", "stream"], "left").join(seen, ["rig", "stream", "domain"], "left").join(seen.select("rig", "stream", F.lit(True).alias("there")).distinct(), ["rig", "stream"], "left")
     delta = F.col("best.t") - F.col("ref_t")
-    unc = F.col("best.unc") + F.col("ref_unc")
+    pair = F.col("best.unc") + F.col("ref_unc")
+    absent = F.when(F.col("best").isNull() & F.col("there"), F.when(F.col("timed").isNull(), "incompatible_clock_domain").when(~F.col("timed"), "unknown"))
     return rows.select(
-        "ref", "rig", "stream", F.col("best.seq").alias("seq"), delta.alias("skew_ns"), (F.abs(delta) + unc).alias("effective_ns"),
-        state_of(delta, unc, F.lit(False), policy).alias("state"),
+        "ref", "rig", "stream", F.col("best.seq").alias("seq"), delta.alias("skew_ns"), (F.abs(delta) + pair).alias("effective_ns"),
+        F.coalesce(absent, state_of(delta, pair, F.lit(False), policy)).alias("state"),
     )
 
 

@@ -25,7 +25,7 @@ met AS (
   FROM refs r JOIN obs o ON o.rig = r.rig AND o.domain = r.domain AND o.stream <> 'click' AND abs(o.t - r.t) <= {POLICY.stale}),
 sel AS (
   SELECT r.seq AS ref, r.rig, s.stream, m.seq, m.t - r.t AS skew_ns, abs(m.t - r.t) + m.unc + r.unc AS effective_ns,
-    CASE WHEN m.seq IS NULL THEN 'missing' WHEN m.unc + r.unc IS NULL THEN 'unsynchronized'
+    CASE WHEN m.seq IS NULL THEN CASE WHEN (r.rig, s.stream) IN (SELECT (rig, stream) FROM obs) AND (r.rig, s.stream, r.domain) NOT IN (SELECT (rig, stream, domain) FROM obs) THEN 'incompatible_clock_domain' ELSE 'missing' END WHEN m.unc + r.unc IS NULL THEN 'unsynchronized'
       WHEN abs(m.t - r.t) + m.unc + r.unc > {POLICY.stale} THEN 'missing' WHEN abs(m.t - r.t) + m.unc + r.unc <= {POLICY.exact} THEN 'exact'
       WHEN m.t < r.t THEN 'late' WHEN m.t > r.t THEN 'future' ELSE 'bounded_skew' END AS state
   FROM refs r CROSS JOIN streams s LEFT JOIN met m ON m.ref = r.seq AND m.stream = s.stream AND m.rn = 1)
@@ -123,7 +123,7 @@ def capture_supersede(spark, sf_dir):
 def image_pose_fullouter(spark, sf_dir):
     """Exact one-to-one match of images (labels) and poses (documents), both sides' misses and repeats counted."""
     images = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("name")).agg(F.count(F.lit(1)).alias("n_images"))
-    poses = read(spark, sf_dir, "documents").where("doc_id % 3 <> 0").groupBy(F.col("doc_id").alias("name")).agg(F.count(F.lit(1)).alias("n_poses"))
+    poses = read(spark, sf_dir, "documents").groupBy(F.col("doc_id").alias("name")).agg(F.count(F.lit(1)).alias("n_poses"))
     both = images.join(poses, "name", "full_outer")
     status = sync.first_reason((F.col("n_poses").isNull(), "missing_pose"), (F.col("n_images").isNull(), "missing_image"), ((F.col("n_images") > 1) | (F.col("n_poses") > 1), "duplicate"))
     return both.groupBy(F.coalesce(status, F.lit("matched")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
@@ -182,7 +182,7 @@ SELECT seq, rig, idx, hour FROM e a WHERE stream = 'view'
     ),
     "image_pose_fullouter": (
         image_pose_fullouter,
-        """WITH i AS (SELECT doc_id AS name, count(*) AS n_images FROM labels GROUP BY 1), p AS (SELECT doc_id AS name, count(*) AS n_poses FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1)
+        """WITH i AS (SELECT doc_id AS name, count(*) AS n_images FROM labels GROUP BY 1), p AS (SELECT doc_id AS name, count(*) AS n_poses FROM documents GROUP BY 1)
 SELECT CASE WHEN n_poses IS NULL THEN 'missing_pose' WHEN n_images IS NULL THEN 'missing_image' WHEN n_images > 1 OR n_poses > 1 THEN 'duplicate' ELSE 'matched' END AS status, count(*) AS n
 FROM i FULL JOIN p USING (name) GROUP BY 1""",
     ),
