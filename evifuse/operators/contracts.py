@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evifuse.functions import frames
+from evifuse.operators.grid import peak_bytes
 
 #: The states of synchronization, those that allow pixels to be fused, and what a state may rest on.
 STATES = (
@@ -226,6 +227,7 @@ def mosaic_settings(rows: DataFrame) -> DataFrame:
         *((f"{n}_not_positive", positive(n)) for n in counts),
         ("spans_not_multiples", ~(whole(across) & whole(along))),
         ("cells_exceed_limit", F.round(across) * F.round(along) > F.col("max_cells")),
+        ("memory_estimate_exceeds_limit", peak_bytes(F.round(across) * F.round(along), 0, F.col("max_sampled_pixels")) > F.col("max_peak_memory_bytes")),
     ]
     kept = F.col("reject_reason").isNull()
     found = judged(rows, rules)

@@ -270,6 +270,7 @@ MAP = {
     "uncertainty_percentile": f"CASE WHEN {bad(15)} THEN 101e0 ELSE 95e0 END",
     "max_pose_time_offset_ns": f"CASE WHEN {bad(16)} THEN -1 ELSE 100 END",
     **{name: f"CASE WHEN {bad(17 + i)} THEN 0 ELSE 700 END" for i, name in enumerate(LIMITS)},
+    "max_peak_memory_bytes": f"CASE WHEN {bad(19)} THEN 0 ELSE 300000 + n % 11 * 30000 END",
 }
 
 
@@ -287,6 +288,7 @@ MAP_RULES = [
     *((f"{n}_not_positive", f"{n} <= 0") for n in LIMITS),
     ("spans_not_multiples", "abs(east_max_m / resolution_m - round(east_max_m / resolution_m)) > 1e-3 OR abs(north_max_m / resolution_m - round(north_max_m / resolution_m)) > 1e-3"),
     ("cells_exceed_limit", "(east_max_m / resolution_m) * (north_max_m / resolution_m) > max_cells + 1e-6"),
+    ("memory_estimate_exceeds_limit", "round(east_max_m / resolution_m) * round(north_max_m / resolution_m) * 192 + max_sampled_pixels * 384 > max_peak_memory_bytes"),
 ]
 MAP_SQL = _cte("orders", "o_orderkey", MAP) + f""", j AS (SELECT *, {_case(MAP_RULES)} FROM r)
 SELECT n, CASE WHEN reject_reason IS NULL THEN CAST(round(east_max_m / resolution_m) AS BIGINT) END AS width,
