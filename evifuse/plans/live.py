@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evifuse.functions.raster import THERMAL
 from evifuse.operators import gates, kernels
+from evifuse.plans.rasters import BLUR, PALETTE
 from evifuse.plans.sync import OTHERS, POLICY
 from evifuse.sources.scratch import scratch
 from evifuse.sources.tables import nanoseconds, pixels, read
@@ -48,7 +49,7 @@ def blur_packed(spark, sf_dir):
     def mean(data):
         return data.map(lambda d: float(np.frombuffer(d, "<f4").mean()))
 
-    return kernels.blur(_frames(spark, sf_dir), 3).select("frame", F.round(mean("data"), 5).alias("mean"))
+    return kernels.blur(_frames(spark, sf_dir), 3).select("frame", F.round(mean("data"), 4).alias("mean"))
 
 
 def palette_packed(spark, sf_dir):
@@ -134,10 +135,15 @@ a AS (SELECT mission, frame, min(seq) AS taken FROM c WHERE early IS NULL AND la
 SELECT mission, seq, frame, coalesce(early, CASE WHEN changed THEN 'thermal_mission_contract_changed' END, late, CASE WHEN seq > taken THEN 'duplicate_frame_id' END) AS reject_reason
 FROM c LEFT JOIN a USING (mission, frame)"""
 
+#: The long forms over the single precision of packed frames.
+SINGLE = lambda sql: sql.replace("least(greatest(CAST(e AS DOUBLE) + 0.5, 0), 1) AS v", "CAST(CAST(least(greatest(CAST(e AS DOUBLE) + 0.5, 0), 1) AS FLOAT) AS DOUBLE) AS v")
+BLURRED = f"SELECT frame, round(avg(v), 4) AS mean FROM ({SINGLE(BLUR)}) GROUP BY frame"
+COLORED = f"SELECT frame, sha256(unhex(string_agg(printf('%02x%02x%02x', r, g, b), '' ORDER BY y, x))) AS digest FROM ({SINGLE(PALETTE)}) GROUP BY frame"
+
 QUERIES = {
     "stream_sync_state": (stream_sync_state, None),
-    "blur_packed": (blur_packed, None),
-    "palette_packed": (palette_packed, None),
+    "blur_packed": (blur_packed, BLURRED),
+    "palette_packed": (palette_packed, COLORED),
     "fuse_packed": (fuse_packed, None),
     "phase_registration": (phase_registration, None),
     "iou_matching": (iou_matching, None),
