@@ -111,7 +111,8 @@ def blocks(bits: DataFrame, size: int = BLOCK) -> DataFrame:
                 groups = list(dict.fromkeys(g for g, _ in held))
                 place = {g: i for i, g in enumerate(groups)}
                 codes, marks = np.array([place[g] for g, _ in held], "<i4"), np.array([b for _, b in held], "<i8")
-                yield pa.record_batch({"view": [view], "part": pa.array([number], pa.int64()), "grps": pa.array([groups], pa.list_(pa.string())), "codes": [codes.tobytes()], "bits": [marks.tobytes()]})
+                yield pa.record_batch({"view": [view], "part": pa.array([number], pa.int64()), "grps": pa.array([groups], pa.list_(pa.string())),
+                    "codes": [codes.tobytes()], "bits": [marks.tobytes()]})
                 held = []
 
         for batch in batches:
@@ -128,7 +129,8 @@ def blocks(bits: DataFrame, size: int = BLOCK) -> DataFrame:
 
 def weights_of(drawn: DataFrame) -> DataFrame:
     """grp, chunk, weights: how often each of ``REPLICATES`` replicates draws a group, from (rep, grp, times)."""
-    of = drawn.select(F.col("grp").cast("string").alias("grp"), F.expr(f"CAST(rep DIV {REPLICATES} AS INT)").alias("chunk"), (F.col("rep") % REPLICATES).cast("int").alias("slot"), F.col("times").cast("int").alias("times"))
+    of = drawn.select(F.col("grp").cast("string").alias("grp"), F.expr(f"CAST(rep DIV {REPLICATES} AS INT)").alias("chunk"),
+        (F.col("rep") % REPLICATES).cast("int").alias("slot"), F.col("times").cast("int").alias("times"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +166,8 @@ def _per_block(rows: DataFrame, names: list[str], work) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist([{k: row[k] for k in ("view", "chunk", "part")} | {n: np.ascontiguousarray(x, "<f8").tobytes() for n, x in zip(names, work(row))}], pa.schema([("view", pa.string()), ("chunk", pa.int32()), ("part", pa.int64()), *((n, pa.binary()) for n in names)]))
+                yield pa.RecordBatch.from_pylist([{k: row[k] for k in ("view", "chunk", "part")} | {n: np.ascontiguousarray(x, "<f8").tobytes() for n, x in zip(names,
+                    work(row))}], pa.schema([("view", pa.string()), ("chunk", pa.int32()), ("part", pa.int64()), *((n, pa.binary()) for n in names)]))
 
     return rows.mapInArrow(task, KEYS + "".join(f", {n} binary" for n in names))
 
@@ -224,7 +227,8 @@ def curves(bits: DataFrame, sizes: DataFrame, drawn: DataFrame, replicates: int,
     whole = sizes.select(F.col("grp").cast("string").alias("grp"), "images", "boxes").join(drawn.select(F.col("grp").cast("string").alias("grp"), "rep", "times"), "grp")
     whole = whole.groupBy("rep").agg(F.sum(F.col("times") * F.col("boxes")).alias("boxes"), F.sum(F.col("times") * F.col("images")).alias("images"))
     whole = written(whole, "detection-sizes")
-    images = whole.select(F.expr(f"CAST(rep DIV {REPLICATES} AS INT)").alias("chunk"), F.struct((F.col("rep") % REPLICATES).alias("slot"), "images").alias("s")).groupBy("chunk").agg(F.collect_list("s").alias("per_image"))
+    images = whole.select(F.expr(f"CAST(rep DIV {REPLICATES} AS INT)").alias("chunk"), F.struct((F.col("rep") % REPLICATES).alias("slot"),
+        "images").alias("s")).groupBy("chunk").agg(F.collect_list("s").alias("per_image"))
 
     def areas(row: dict):
         last, per = _floats(row["top"], many), np.full(REPLICATES, np.inf)
@@ -255,11 +259,13 @@ def curves(bits: DataFrame, sizes: DataFrame, drawn: DataFrame, replicates: int,
             rows = [(view, number * REPLICATES + r, kind, i, float(x[i, r])) for kind, x in (("area", area), ("found", found)) for r in range(REPLICATES) for i in range(len(x))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["view", "rep", "kind", "i", "value"])
 
-    each = parts.mapInArrow(told, "view string, rep long, kind string, i long, value double").groupBy("view", "rep", "i").agg(F.sum(F.when(F.col("kind") == "area", F.col("value"))).alias("area"), F.max(F.when(F.col("kind") == "found", F.col("value"))).alias("found"))
+    each = parts.mapInArrow(told, "view string, rep long, kind string, i long, value double").groupBy("view", "rep", "i").agg(F.sum(F.when(F.col("kind") == "area",
+        F.col("value"))).alias("area"), F.max(F.when(F.col("kind") == "found", F.col("value"))).alias("found"))
     per = each.join(whole, "rep")
     precision = F.when(F.col("boxes") > 0, F.col("area") / F.col("boxes")).otherwise(F.when(F.col("area").isNotNull(), 0.0))
     missed = F.when((F.col("boxes") > 0) & (F.col("images") > 0), 1 - F.col("found") / F.col("boxes")).otherwise(F.when(F.col("found").isNotNull(), 1.0))
-    return per.groupBy("view", "rep").agg(F.avg(precision).alias("ap_50_95"), F.max(F.when(F.col("i") == 0, precision)).alias("ap50"), F.exp(F.avg(F.when(missed.isNotNull(), F.log(F.greatest(missed, F.lit(1e-10)))))).alias("miss_rate"))
+    return per.groupBy("view", "rep").agg(F.avg(precision).alias("ap_50_95"), F.max(F.when(F.col("i") == 0, precision)).alias("ap50"),
+        F.exp(F.avg(F.when(missed.isNotNull(), F.log(F.greatest(missed, F.lit(1e-10)))))).alias("miss_rate"))
 
 
 NAMES = ("ap_50_95", "ap50", "miss_rate")
@@ -281,6 +287,7 @@ def bootstrap(bits: DataFrame, sizes: DataFrame, baseline: str, replicates: int,
     rising = F.when(F.col("metric") == "miss_rate", -F.col("delta")).otherwise(F.col("delta"))
     ends = ((1 - level) / 2, (1 + level) / 2)
     of = lambda c, p: F.percentile(c, F.lit(p))
-    found = both.groupBy("view", "metric").agg(of("value", ends[0]).alias("low"), of("value", ends[1]).alias("high"), of("delta", ends[0]).alias("delta_low"), of("delta", ends[1]).alias("delta_high"), F.avg((rising > 0).cast("double")).alias("better"))
+    found = both.groupBy("view", "metric").agg(of("value", ends[0]).alias("low"), of("value", ends[1]).alias("high"), of("delta", ends[0]).alias("delta_low"), of("delta",
+        ends[1]).alias("delta_high"), F.avg((rising > 0).cast("double")).alias("better"))
     other = F.col("view") != baseline
     return found.select("view", "metric", "low", "high", *(F.when(other, F.col(c)).alias(c) for c in ("delta_low", "delta_high", "better")))

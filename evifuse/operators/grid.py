@@ -165,7 +165,8 @@ def snapshot(accepted: DataFrame, parts: DataFrame, settings: Settings) -> DataF
         F.sum(F.when(F.col("thermal").isNotNull(), F.col("w"))).alias("thermal_weight"), F.sum(F.col("w") * F.col("thermal")).alias("thermal_sum"),
     )
     evidence = parts.where("class >= 0").groupBy("mission", "row", "col", "class").agg(F.sum("w").alias("w"))
-    classes = evidence.groupBy("mission", "row", "col").agg(F.max_by("class", F.struct("w", -F.col("class"))).alias("class"), (F.max("w") / F.sum("w")).alias("confidence"), F.sum("w").alias("semantic_weight"))
+    classes = evidence.groupBy("mission", "row", "col").agg(F.max_by("class", F.struct("w", -F.col("class"))).alias("class"),
+        (F.max("w") / F.sum("w")).alias("confidence"), F.sum("w").alias("semantic_weight"))
     places = numbered(accepted.select(*ROW), "mission", "seq")
     first = places.groupBy("mission").agg(F.min("number").alias("start"))
     indexed = places.join(first, "mission").select(*ROW, (F.col("number") - F.col("start")).alias("source_index"))
@@ -177,7 +178,9 @@ def snapshot(accepted: DataFrame, parts: DataFrame, settings: Settings) -> DataF
     whole = cells.join(sums, at, "left").join(classes, at, "left").join(dominant, at, "left")
     support = lambda c: 1 - F.exp(-F.coalesce(F.col(c), F.lit(0.0)))
     return whole.select(
-        *at, "value", "up", "sigma", (F.col("thermal_sum") / F.col("thermal_weight")).alias("thermal"), support("weight").alias("support"), support("thermal_weight").alias("thermal_support"), support("semantic_weight").alias("semantic_support"),
-        F.coalesce("coverage_count", F.lit(0)).alias("coverage_count"), F.coalesce("class", F.lit(-1)).cast("int").alias("class"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("source_index", F.lit(-1)).alias("source_index"),
+        *at, "value", "up", "sigma", (F.col("thermal_sum") / F.col("thermal_weight")).alias("thermal"), support("weight").alias("support"),
+        support("thermal_weight").alias("thermal_support"), support("semantic_weight").alias("semantic_support"),
+        F.coalesce("coverage_count", F.lit(0)).alias("coverage_count"), F.coalesce("class", F.lit(-1)).cast("int").alias("class"), F.coalesce("confidence",
+        F.lit(0.0)).alias("confidence"), F.coalesce("source_index", F.lit(-1)).alias("source_index"),
     )
 

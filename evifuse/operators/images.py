@@ -27,7 +27,8 @@ def left_over(captures: DataFrame, images: DataFrame, keys: list[str], by: list[
     asked = captures.where(known).select(*keys, *by, F.col("order").alias("time"), none.alias("position"), "order")
     group = Window.partitionBy(*keys, *by)
     free = group.orderBy(F.desc("time")).rangeBetween(Window.unboundedPreceding, 0)
-    found = own.unionByName(asked).select(*keys, "order", F.struct(F.count("position").over(free).alias("n"), F.min("position").over(free).alias("position"), F.count("position").over(group).alias("all")).alias(name))
+    found = own.unionByName(asked).select(*keys, "order", F.struct(F.count("position").over(free).alias("n"), F.min("position").over(free).alias("position"),
+        F.count("position").over(group).alias("all")).alias(name))
     return found.where("order IS NOT NULL")
 
 
@@ -87,7 +88,8 @@ def _strictly(rows: DataFrame) -> DataFrame:
 CAPTURES, POSES, RECEIVERS = ("CAMERA_IMAGE_CAPTURED", "CAMERA_TRIGGER"), ("GLOBAL_POSITION_INT", "ATTITUDE_QUATERNION"), ("GPS_RAW_INT", "GPS2_RAW")
 
 
-def sources(messages: DataFrame, system: int | None = None, camera: int | None = None, capture_component: int | None = None, navigation_component: int | None = None, gps_type: str | None = None, trigger_camera: int | None = None) -> DataFrame:
+def sources(messages: DataFrame, system: int | None = None, camera: int | None = None, capture_component: int | None = None, navigation_component: int | None = None,
+    gps_type: str | None = None, trigger_camera: int | None = None) -> DataFrame:
     """mission, system, camera, component, reason: the one source of each kind that a mission's messages (mission, kind, system, component, camera) come from, or why there
     is no one. Selectors, where given, choose among several. Only the distinct sources of a mission meet in a row; a system or component that a message does not name is null.
     """

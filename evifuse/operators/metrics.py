@@ -95,7 +95,8 @@ def precision_curve(rows: DataFrame, keys: Keys) -> DataFrame:
     within = Window.partitionBy(*keys, "part").orderBy(F.desc("confidence"), "id").rowsBetween(Window.unboundedPreceding, 0)
     sums = parted.groupBy(*keys, "part").agg(F.sum("hit").alias("tp"), F.count(F.lit(1)).alias("n"))  # a row for each key and range
     before, whole = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
-    starts = sums.select(*keys, "part", F.coalesce(F.sum("tp").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.sum("tp").over(whole).alias("positives"))
+    starts = sums.select(*keys, "part", F.coalesce(F.sum("tp").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
+        F.sum("tp").over(whole).alias("positives"))
     running = parted.withColumns({"tp": F.sum("hit").over(within), "rank": F.count(F.lit(1)).over(within)}).join(starts, [*keys, "part"])
     ranked = running.select(*keys, "confidence", "id", "hit", "part", (F.col("tp") + F.col("tp0")).alias("tp"), (F.col("rank") + F.col("n0")).alias("rank"), "positives")
     return ranked.withColumn("precision", F.col("tp") / F.col("rank")).withColumn("recall", F.when(F.col("positives") > 0, F.col("tp") / F.col("positives")))

@@ -35,7 +35,8 @@ def accumulate(parts: DataFrame) -> DataFrame:
 def snapshot(cells: DataFrame) -> DataFrame:
     """Weighted means, null without weight, and the support 1 - exp(-weight)."""
     mean = lambda s, w: F.when(F.col(w) > 0, F.col(s) / F.col(w))
-    return cells.select("row", "col", mean("value_sum", "weight").alias("value"), mean("thermal_sum", "thermal_weight").alias("thermal"), (1 - F.exp(-F.col("weight"))).alias("support"), "coverage_count", "frame_count")
+    return cells.select("row", "col", mean("value_sum", "weight").alias("value"), mean("thermal_sum", "thermal_weight").alias("thermal"),
+        (1 - F.exp(-F.col("weight"))).alias("support"), "coverage_count", "frame_count")
 
 
 def semantic_winner(parts: DataFrame) -> DataFrame:

@@ -34,7 +34,8 @@ def located(objects: DataFrame, context: DataFrame, camera: dict, origin: tuple,
     context: ``contexts`` of rows with mission, seq, frame, t, pose_t, e, n, up, optical (w, x, y, z), se, sn, su, speed, turn, attitude_sigma. camera: fx, fy, cx, cy, rms, calibration.
     Only frames that arrived before the object count. origin: latitude, longitude, height of the local plane.
     """
-    known = context.select("mission", "frame", F.col("seq").alias("_seq"), "source_index", "t", *(F.col(c).alias(f"_{c}") for c in ("pose_t", "e", "n", "up", "optical", "se", "sn", "su", "speed", "turn", "attitude_sigma")))
+    known = context.select("mission", "frame", F.col("seq").alias("_seq"), "source_index", "t", *(F.col(c).alias(f"_{c}") for c in ("pose_t", "e", "n", "up", "optical",
+        "se", "sn", "su", "speed", "turn", "attitude_sigma")))
     rows = objects.join(known, ["mission", "frame"], "left").withColumn("_known", F.coalesce(F.col("_seq") < F.col("arrival"), F.lit(False)))
     q = [F.col("_optical")[i] for i in range(4)]
     ray = frames.pixel_ray(F.col("u"), F.col("v"), *(F.lit(float(camera[c])) for c in ("fx", "fy", "cx", "cy")), q)

@@ -107,7 +107,8 @@ def digest_tree(items: DataFrame, token: str) -> DataFrame:
     digest = F.sha2(token, 256)
     lanes = [F.conv(F.substring(digest, 17 + 8 * i, 8), 16, 10).cast("long") for i in range(4)]
     first = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-    leaves = items.where(F.col(token).isNotNull()).groupBy(F.shiftright(first, 32 - LEVELS[-1]).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(lanes)))
+    leaves = items.where(F.col(token).isNotNull()).groupBy(F.shiftright(first, 32 - LEVELS[-1]).alias("bucket")).agg(F.count(F.lit(1)).alias("n"),
+        *(F.sum(x).alias(f"s{i}") for i, x in enumerate(lanes)))
     sums = [F.sum(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")]
     levels = [leaves.groupBy(F.shiftright("bucket", LEVELS[-1] - bits).alias("bucket")).agg(*sums).select(F.lit(i).alias("level"), "*") for i, bits in enumerate((0, *LEVELS))]
     return reduce(DataFrame.unionByName, levels)
@@ -133,7 +134,8 @@ def reconciled(expected: DataFrame, outputs: DataFrame, failures: DataFrame) ->
     both = within(expected.select("sample").distinct()).drop("bucket").withColumn("wanted", F.lit(True)).join(counted, "sample", "full")
     told = both.join(failures.groupBy("sample").agg(F.min("reason").alias("declared")), "sample", "left")
     wanted, n, declared = F.coalesce("wanted", F.lit(False)), F.coalesce("n", F.lit(0)), F.col("declared")
-    reason = F.when(wanted & (n == 0) & declared.isNotNull(), F.concat(F.lit("external runtime failure: "), declared)).when(wanted & (n == 0), "missing output entry").when(~wanted, "unexpected output entry").when(n > 1, "invalid or duplicate sample_id")
+    reason = F.when(wanted & (n == 0) & declared.isNotNull(), F.concat(F.lit("external runtime failure: "), declared)).when(wanted & (n == 0),
+        "missing output entry").when(~wanted, "unexpected output entry").when(n > 1, "invalid or duplicate sample_id")
     kind = F.when(wanted & (n == 0) & declared.isNotNull(), "runtime").otherwise("integrity_or_completeness")
     return told.select("sample", reason.alias("reason"), kind.alias("failure_class")).where("reason IS NOT NULL")
 

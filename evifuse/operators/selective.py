@@ -37,7 +37,8 @@ def group_metrics(rows: DataFrame, keys: list[str], bins: int = BINS) -> DataFra
     curve = written(weighted_blocks(pairs, keys, "score"), "selective-curve")
     ideal = weighted_blocks(pairs, keys, "risk")
     n, s, r = F.col("n"), F.col("score"), F.col("risk")
-    means = pairs.groupBy(*keys).agg(F.sum(n).alias("samples"), (F.sum(n * F.pow(s - r, 2)) / F.sum(n)).alias("brier"), (F.sum(n * r) / F.sum(n)).alias("mean_target_risk"), (F.sum(n * s) / F.sum(n)).alias("mean_uncertainty"))
+    means = pairs.groupBy(*keys).agg(F.sum(n).alias("samples"), (F.sum(n * F.pow(s - r, 2)) / F.sum(n)).alias("brier"),
+        (F.sum(n * r) / F.sum(n)).alias("mean_target_risk"), (F.sum(n * s) / F.sum(n)).alias("mean_uncertainty"))
     binned = pairs.groupBy(*keys, metrics.bin_of(s, bins).alias("bin")).agg(F.sum(n).alias("n"), (F.sum(n * s) / F.sum(n)).alias("mean_score"), (F.sum(n * r) / F.sum(n)).alias("mean_truth"))
     at = metrics.working_point(curve, keys, COVERAGE).select(*keys, F.col("risk").alias(NAMES[10]), F.col("coverage").alias(NAMES[11]))
     is_hit = (r >= POSITIVE).cast("double")

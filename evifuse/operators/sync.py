@@ -61,7 +61,8 @@ def nearest(observations: DataFrame, reference: str, policy: Policy) -> DataFram
     wanted = refs.withColumn("stream", F.explode(F.array(*map(F.lit, sorted(names))).cast("array<string>")))
     cell = lambda t: ((t - F.pmod(t, F.lit(stale))) / stale).cast("long")
     own = others.where("t IS NOT NULL AND domain IS NOT NULL")
-    own = own.select("rig", "domain", "stream", "t", cell(F.col("t")).alias("cell"), F.struct("t", "seq", "unc").alias("o"), *(F.lit(None).cast(k).alias(c) for c, k in (("ref", "long"), ("end", "int"), ("ref_t", "long"), ("ref_unc", "long"))))
+    own = own.select("rig", "domain", "stream", "t", cell(F.col("t")).alias("cell"), F.struct("t", "seq", "unc").alias("o"), *(F.lit(None).cast(k).alias(c) for c,
+        k in (("ref", "long"), ("end", "int"), ("ref_t", "long"), ("ref_unc", "long"))))
     # the start of the own cell and the end of the one before hold what was earlier, the end of the own and the start of the next what came later
     ends = ((0, True, -1), (-stale, False, -1), (0, False, 1), (stale, True, 1))
     shift = F.element_at(F.array(*(F.lit(s).cast("long") for s, _, _ in ends)), F.col("end") + 1)
@@ -77,11 +78,13 @@ def nearest(observations: DataFrame, reference: str, policy: Policy) -> DataFram
             side.append(F.when(F.col("end") == i, best["o"]))
     told = both.select("ref", "stream", "ref_t", "ref_unc", *(F.coalesce(*side).alias(name) for side, name in zip(sides, ("sure", "unsure", "any")))).where("ref IS NOT NULL")
     gap = lambda o: F.abs(F.col(f"{o}.t") - F.col("ref_t"))
-    priced = lambda o, more: F.when(F.col(o).isNotNull(), F.struct((gap(o) + more).alias("cost"), F.col(f"{o}.seq").alias("seq"), F.col(f"{o}.t").alias("t"), F.col(f"{o}.unc").alias("unc")))
+    priced = lambda o, more: F.when(F.col(o).isNotNull(), F.struct((gap(o) + more).alias("cost"), F.col(f"{o}.seq").alias("seq"), F.col(f"{o}.t").alias("t"),
+        F.col(f"{o}.unc").alias("unc")))
     price = F.when(F.col("ref_unc").isNull(), priced("any", F.lit(stale + 1))).otherwise(F.least(priced("sure", F.col("sure.unc") + F.col("ref_unc")), priced("unsure", F.lit(stale + 1))))
     best = told.select("ref", "stream", price.alias("best")).groupBy("ref", "stream").agg(F.min("best").alias("best"))
     seen = others.groupBy("rig", "stream", "domain").agg(F.bool_or(F.col("t").isNotNull()).alias("timed"))
-    rows = wanted.join(best, ["ref", "stream"], "left").join(seen, ["rig", "stream", "domain"], "left").join(seen.select("rig", "stream", F.lit(True).alias("there")).distinct(), ["rig", "stream"], "left")
+    rows = wanted.join(best, ["ref", "stream"], "left").join(seen, ["rig", "stream", "domain"], "left").join(seen.select("rig", "stream",
+        F.lit(True).alias("there")).distinct(), ["rig", "stream"], "left")
     delta = F.col("best.t") - F.col("ref_t")
     pair = F.col("best.unc") + F.col("ref_unc")
     absent = F.when(F.col("best").isNull() & F.col("there"), F.when(F.col("timed").isNull(), "incompatible_clock_domain").when(~F.col("timed"), "unknown"))

@@ -52,7 +52,8 @@ def tiles(cells: DataFrame, surface: Surface) -> DataFrame:
     n = surface.tile
     inside = F.col("row").between(0, surface.rows - 1) & F.col("col").between(0, surface.columns - 1)
     once = cells.where(inside & F.col("height").isNotNull()).groupBy("row", "col").agg(F.max(F.struct("height", "sigma")).alias("v"))
-    at = F.struct((F.col("row") % n).cast("int").alias("r"), (F.col("col") % n).cast("int").alias("c"), F.col("v.height").cast("double").alias("height"), F.col("v.sigma").cast("double").alias("sigma"))
+    at = F.struct((F.col("row") % n).cast("int").alias("r"), (F.col("col") % n).cast("int").alias("c"), F.col("v.height").cast("double").alias("height"),
+        F.col("v.sigma").cast("double").alias("sigma"))
     held = once.groupBy(F.floor(F.col("row") / n).cast("int").alias("tile_row"), F.floor(F.col("col") / n).cast("int").alias("tile_col")).agg(F.collect_list(at).alias("cells"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +244,8 @@ def projected(rays: DataFrame, field: DataFrame, surface: Surface) -> DataFrame:
     group = ["tr", "tc", "part"]
     edge = lambda of, c, sign: of(F.col(c) + sign * F.col("reach"))
     box = dealt.groupBy(*group).agg(edge(F.max, "oy", 1).alias("top"), edge(F.min, "oy", -1).alias("bottom"), edge(F.min, "ox", -1).alias("left"), edge(F.max, "ox", 1).alias("right"))
-    span = lambda a, b, start, sign, n: F.sequence(F.greatest(cell(a, start, sign), F.lit(0)), F.greatest(F.least(cell(b, start, sign), F.lit((n - 1) // s.tile)), F.greatest(cell(a, start, sign), F.lit(0))))
+    span = lambda a, b, start, sign, n: F.sequence(F.greatest(cell(a, start, sign), F.lit(0)), F.greatest(F.least(cell(b, start, sign), F.lit((n - 1) // s.tile)),
+        F.greatest(cell(a, start, sign), F.lit(0))))
     boxed = box.select(*group, F.explode(span("top", "bottom", s.north_max, -1, s.rows)).alias("tile_row"), "left", "right")
     wanted = boxed.select(*group, "tile_row", F.explode(span("left", "right", s.east_min, 1, s.columns)).alias("tile_col"))
     near = wanted.join(field, ["tile_row", "tile_col"]).withColumnsRenamed({c: f"_{c}" for c in group})

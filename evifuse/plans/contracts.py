@@ -284,7 +284,8 @@ MAP_RULES = [
     *((f"{n}_not_finite", f"{n} IS NULL OR isnan({n})") for n in REALS), ("bounds_without_area", "east_max_m <= 0 OR north_max_m <= 0"), ("resolution_not_positive", "resolution_m <= 0"),
     ("tolerance_not_positive", "intersection_tolerance_m <= 0"), ("ray_step_not_positive", "surface_ray_step_m <= 0"), ("iterations_not_positive", "intersection_max_iterations <= 0"),
     ("ray_steps_not_positive", "surface_ray_max_steps <= 0"), ("downward_cosine_outside", "min_downward_cosine <= 0 OR min_downward_cosine > 1"),
-    ("limits_not_positive", "max_slant_range_m <= 0 OR max_projected_uncertainty_m <= 0"), ("percentile_outside", "uncertainty_percentile > 100"), ("pose_offset_negative", "max_pose_time_offset_ns < 0"),
+    ("limits_not_positive", "max_slant_range_m <= 0 OR max_projected_uncertainty_m <= 0"), ("percentile_outside", "uncertainty_percentile > 100"),
+    ("pose_offset_negative", "max_pose_time_offset_ns < 0"),
     *((f"{n}_not_positive", f"{n} <= 0") for n in LIMITS),
     ("spans_not_multiples", "abs(east_max_m / resolution_m - round(east_max_m / resolution_m)) > 1e-3 OR abs(north_max_m / resolution_m - round(north_max_m / resolution_m)) > 1e-3"),
     ("cells_exceed_limit", "(east_max_m / resolution_m) * (north_max_m / resolution_m) > max_cells + 1e-6"),

@@ -78,7 +78,8 @@ DETECTIONS = """d AS (
     SELECT l_returnflag AS cls, l_quantity / 50e0 AS confidence, l_orderkey * 10 + l_linenumber AS id,
       CASE WHEN (l_partkey + CAST(l_quantity AS BIGINT)) % 50 < l_quantity THEN 1 ELSE 0 END AS hit FROM lineitem)
   ORDER BY cls, confidence, id, hit),
-c AS (SELECT *, sum(hit) OVER w AS tp, row_number() OVER w AS rank, sum(hit) OVER (PARTITION BY cls) AS positives FROM d WINDOW w AS (PARTITION BY cls ORDER BY confidence DESC, id ROWS UNBOUNDED PRECEDING))
+c AS (SELECT *, sum(hit) OVER w AS tp, row_number() OVER w AS rank, sum(hit) OVER (PARTITION BY cls) AS positives FROM d
+  WINDOW w AS (PARTITION BY cls ORDER BY confidence DESC, id ROWS UNBOUNDED PRECEDING))
 """
 
 
@@ -116,7 +117,8 @@ def top_detections(spark, sf_dir):
 def _masks(spark, sf_dir):
     """Rasters as truth and prediction masks of four classes, class 3 ignored; class 9 never occurs."""
     rows = pixels(spark, sf_dir).select("frame", "y", "x", F.floor(F.col("v") * 8).cast("int").alias("q"))
-    return rows.select("frame", (F.col("q") % 4).alias("truth"), F.when((F.col("x") + F.col("y")) % 5 == 0, (F.col("q") + 1) % 4).otherwise(F.col("q") % 4).alias("predicted"), (F.col("frame") % 20).alias("grp"))
+    return rows.select("frame", (F.col("q") % 4).alias("truth"), F.when((F.col("x") + F.col("y")) % 5 == 0,
+        (F.col("q") + 1) % 4).otherwise(F.col("q") % 4).alias("predicted"), (F.col("frame") % 20).alias("grp"))
 
 
 MASKS = f"""{PIXELS}, q AS (SELECT frame, y, x, CAST(floor(v * 8) AS INTEGER) AS q FROM px),
@@ -173,14 +175,16 @@ def paired_delta(spark, sf_dir):
     ours = metrics.resampled(groups, drawn, "right", "n")
     theirs = metrics.resampled(groups, drawn, "base", "n").withColumnRenamed("value", "base")
     delta = ours.join(theirs, "rep").select((F.col("value") - F.col("base")).alias("value"))
-    return rounded(delta.agg(F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"), F.avg((F.col("value") > 0).cast("double")).alias("better")), "low", "high", "better")
+    return rounded(delta.agg(F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"),
+        F.avg((F.col("value") > 0).cast("double")).alias("better")), "low", "high", "better")
 
 
 def latency_summary(spark, sf_dir):
     """Latencies (event values) per stream: mean, population deviation, exact quantiles, missing ones."""
     rows = read(spark, sf_dir, "events").select("event_type", F.when(F.col("event_id") % 13 != 0, F.col("value")).alias("ms"))
     quantiles = [F.percentile("ms", F.lit(p)).alias(f"p{round(100 * p)}") for p in (0.5, 0.9, 0.95, 0.99)]
-    found = rows.groupBy("event_type").agg(F.count("ms").alias("n"), F.sum(F.col("ms").isNull().cast("long")).alias("missing"), F.avg("ms").alias("mean"), F.stddev_pop("ms").alias("std"), F.min("ms").alias("low"), F.max("ms").alias("high"), *quantiles)
+    found = rows.groupBy("event_type").agg(F.count("ms").alias("n"), F.sum(F.col("ms").isNull().cast("long")).alias("missing"), F.avg("ms").alias("mean"),
+        F.stddev_pop("ms").alias("std"), F.min("ms").alias("low"), F.max("ms").alias("high"), *quantiles)
     return rounded(found, "mean", "std", "p50", "p90", "p95", "p99")
 
 

@@ -88,8 +88,10 @@ def phase_registration(spark, sf_dir):
 def iou_matching(spark, sf_dir):
     """Boxes from lineitem, one image for each part of a hundred; even lines are truths."""
     rows = read(spark, sf_dir, "lineitem").select(
-        F.floor(F.col("l_orderkey") / 10).cast("long").alias("image"), (F.col("l_orderkey") * 1000 + F.col("l_partkey") % 100 * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_linenumber") % 2 == 0).alias("is_truth"),
-        F.col("l_tax").alias("score"), (F.col("l_suppkey") % 10 / F.lit(20.0)).alias("x"), (F.col("l_partkey") % 10 / F.lit(20.0)).alias("y"), F.lit(0.4).alias("w"), (F.col("l_quantity") / 100 + 0.1).alias("h"),
+        F.floor(F.col("l_orderkey") / 10).cast("long").alias("image"), (F.col("l_orderkey") * 1000 + F.col("l_partkey") % 100 * 10 + F.col("l_linenumber")).alias("id"),
+        (F.col("l_linenumber") % 2 == 0).alias("is_truth"),
+        F.col("l_tax").alias("score"), (F.col("l_suppkey") % 10 / F.lit(20.0)).alias("x"), (F.col("l_partkey") % 10 / F.lit(20.0)).alias("y"), F.lit(0.4).alias("w"),
+        (F.col("l_quantity") / 100 + 0.1).alias("h"),
     )
     return kernels.match(rows.dropDuplicates(["image", "id"]), 0.5)
 
@@ -100,7 +102,8 @@ def terrain_march(spark, sf_dir):
     grid = 1.0 + 0.05 * east + 0.02 * north
     k = F.col("p_partkey")
     rays = read(spark, sf_dir, "part").select(
-        k.alias("ray"), F.lit(20.0).alias("ox"), F.lit(20.0).alias("oy"), F.lit(15.013).alias("oz"), ((k % 21 - 10) / F.lit(10.0)).alias("dx"), ((k % 17 - 8) / F.lit(10.0)).alias("dy"), F.lit(-1.0).alias("dz")
+        k.alias("ray"), F.lit(20.0).alias("ox"), F.lit(20.0).alias("oy"), F.lit(15.013).alias("oz"), ((k % 21 - 10) / F.lit(10.0)).alias("dx"),
+        ((k % 17 - 8) / F.lit(10.0)).alias("dy"), F.lit(-1.0).alias("dz")
     )
     found = kernels.terrain_hits(rays, grid, 40.0, 0.25)
     return found.select("ray", *(F.round(c, 4).alias(c) for c in ("reach", "east", "north", "up")))
@@ -116,7 +119,8 @@ def mission_gates(spark, sf_dir):
     """orders as frames of missions: the first failing gate names the reason; contracts and frame ids are checked in arrival order."""
     rows = read(spark, sf_dir, "orders").select(
         (F.col("o_custkey") % 50).alias("mission"), F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 1400).alias("frame"),
-        (F.col("o_orderkey") % 13 == 0).alias("capture_time_uncertainty_unknown"), (F.col("o_totalprice") > 400000).alias("camera_agl_outside_limits"), (F.col("o_custkey") % 29 == 0).alias("navigation_fix_unknown"),
+        (F.col("o_orderkey") % 13 == 0).alias("capture_time_uncertainty_unknown"), (F.col("o_totalprice") > 400000).alias("camera_agl_outside_limits"),
+        (F.col("o_custkey") % 29 == 0).alias("navigation_fix_unknown"),
         F.when(F.col("o_orderkey") % 3 == 0, F.substring("o_orderpriority", 1, 1)).alias("contract"),
     )
     judged = gates.in_order(rows, gates.MISSION, "contract", "thermal_mission_contract_changed", "frame", "duplicate_frame_id")

@@ -6,7 +6,8 @@ from evifuse.operators import gates, missions
 from evifuse.plans.contracts import _cte, _records
 
 MISSION = missions.Mission(
-    "c1", 48, 64, boot_epoch_tai_ns=5_000, boot_epoch_uncertainty_ns=300, boot_clock_domain="boot-a", max_time_uncertainty_ns=1000, max_thermal_offset_ns=500, max_thermal_uncertainty_ns=200, max_thermal_rms_px=1.5, require_rtk_fixed=True,
+    "c1", 48, 64, boot_epoch_tai_ns=5_000, boot_epoch_uncertainty_ns=300, boot_clock_domain="boot-a", max_time_uncertainty_ns=1000, max_thermal_offset_ns=500,
+    max_thermal_uncertainty_ns=200, max_thermal_rms_px=1.5, require_rtk_fixed=True,
     velocity_bound=2.0, turn_bound=None, origin=(46.0, 7.0, 300.0), lever_arm=(0.0, 0.0, 1.0), agl=(20.0, 120.0), surface=True, taxonomy=(0, 1, 2, 3),
 )
 
@@ -57,17 +58,24 @@ TIMES = "utc + 37000000000 AS by_utc, boot + 5000 AS by_boot"
 RULES = {
     "boot_clock_domain_mismatch": "boot IS NOT NULL AND clock_domain <> 'boot-a'", "utc_boot_time_anchors_disagree": "abs(by_utc - by_boot) > 1000",
     "capture_time_has_no_explicit_tai_anchor": "coalesce(by_utc, by_boot) IS NULL", "capture_time_uncertainty_unknown": "time_unc IS NULL", "capture_time_uncertainty_exceeds_limit": "unc > 1000",
-    "thermal_contract_without_thermal_frame": "NOT thermal AND thermal_fingerprint IS NOT NULL", "thermal_registration_contract_unknown": "thermal AND thermal_fingerprint IS NULL", "thermal_reference_calibration_mismatch": "thermal AND thermal_calibration <> 'c1'",
-    "thermal_time_offset_exceeds_limit": "thermal AND abs(thermal_offset) + thermal_unc > 500", "thermal_time_uncertainty_exceeds_limit": "thermal AND thermal_unc > 200", "thermal_registration_error_exceeds_limit": "thermal AND thermal_rms > 1.5",
+    "thermal_contract_without_thermal_frame": "NOT thermal AND thermal_fingerprint IS NOT NULL",
+    "thermal_registration_contract_unknown": "thermal AND thermal_fingerprint IS NULL", "thermal_reference_calibration_mismatch": "thermal AND thermal_calibration <> 'c1'",
+    "thermal_time_offset_exceeds_limit": "thermal AND abs(thermal_offset) + thermal_unc > 500", "thermal_time_uncertainty_exceeds_limit": "thermal AND thermal_unc > 200",
+    "thermal_registration_error_exceeds_limit": "thermal AND thermal_rms > 1.5",
     "thermal_mission_contract_changed": "thermal AND thermal_fingerprint <> state.th",
-    "semantic_contract_without_semantic_frame": "NOT semantic AND semantic_fingerprint IS NOT NULL", "semantic_contract_unknown": "semantic AND semantic_fingerprint IS NULL", "semantic_reference_calibration_mismatch": "semantic AND coalesce(semantic_calibration, '') <> 'c1'",
+    "semantic_contract_without_semantic_frame": "NOT semantic AND semantic_fingerprint IS NOT NULL",
+    "semantic_contract_unknown": "semantic AND semantic_fingerprint IS NULL", "semantic_reference_calibration_mismatch": "semantic AND coalesce(semantic_calibration, '') <> 'c1'",
     "semantic_mission_contract_changed": "semantic AND semantic_fingerprint <> state.se",
-    "navigation_fix_unknown": "fix = 'good'", "navigation_fix_below_minimum": "fix = '2'", "rtk_fixed_required": "fix = ' RTK Float'", "capture_position_reference_unknown": "position_reference = 'unspecified'",
-    "camera_extrinsic_calibration_unknown": "position_reference LIKE 'vehicle%' OR attitude_source LIKE '%QUATERNION%'", "horizontal_accuracy_unknown": "h_acc IS NULL", "vertical_accuracy_unknown": "v_acc IS NULL", "attitude_accuracy_unknown": "a_acc IS NULL",
+    "navigation_fix_unknown": "fix = 'good'", "navigation_fix_below_minimum": "fix = '2'", "rtk_fixed_required": "fix = ' RTK Float'",
+    "capture_position_reference_unknown": "position_reference = 'unspecified'",
+    "camera_extrinsic_calibration_unknown": "position_reference LIKE 'vehicle%' OR attitude_source LIKE '%QUATERNION%'", "horizontal_accuracy_unknown": "h_acc IS NULL",
+    "vertical_accuracy_unknown": "v_acc IS NULL", "attitude_accuracy_unknown": "a_acc IS NULL",
     "timing_angular_rate_bound_unknown": "unc > 0", "thermal_angular_rate_bound_unknown": "thermal AND abs(thermal_offset) + thermal_unc > 0",
     "camera_ground_elevation_unknown": "ground IS NULL", "camera_agl_outside_limits": "alt_msl - 300 - ground NOT BETWEEN 20 AND 120", "rgb_geometry_does_not_match_calibration": "rgb_h <> 48",
-    "thermal_registered_geometry_mismatch": "thermal AND (thermal_h <> rgb_h OR thermal_w <> rgb_w)", "semantic_geometry_mismatch": "semantic AND coalesce(semantic_h, 0) <> rgb_h", "semantic_values_must_be_integers": "semantic AND NOT semantic_whole",
-    "semantic_values_outside_int32": "semantic AND semantic_min < -2147483648", "semantic_class_not_in_taxonomy": "semantic AND odd_class", "static_validity_geometry_mismatch": "static_h <> rgb_h", "dynamic_mask_geometry_mismatch": "dynamic_w <> rgb_w",
+    "thermal_registered_geometry_mismatch": "thermal AND (thermal_h <> rgb_h OR thermal_w <> rgb_w)",
+    "semantic_geometry_mismatch": "semantic AND coalesce(semantic_h, 0) <> rgb_h", "semantic_values_must_be_integers": "semantic AND NOT semantic_whole",
+    "semantic_values_outside_int32": "semantic AND semantic_min < -2147483648", "semantic_class_not_in_taxonomy": "semantic AND odd_class",
+    "static_validity_geometry_mismatch": "static_h <> rgb_h", "dynamic_mask_geometry_mismatch": "dynamic_w <> rgb_w",
     "duplicate_frame_id": "list_contains(state.taken, c.frame)",
 }
 
@@ -78,12 +86,18 @@ def _first(names) -> str:
 
 ORDER = [(i, g) for i, g in enumerate([*gates.MISSION, "duplicate_frame_id"]) if g in RULES]
 SQL = _cte("(SELECT DISTINCT o_orderkey FROM orders)", "o_orderkey", FIELDS).replace("WITH k", "WITH RECURSIVE k", 1) + f""",
-a AS (SELECT *, {TIMES} FROM r), b AS (SELECT *, CASE WHEN by_utc IS NOT NULL AND by_boot IS NOT NULL THEN greatest(time_unc, abs(by_utc - by_boot)) WHEN by_utc IS NULL AND by_boot IS NOT NULL THEN time_unc + 300 ELSE time_unc END AS unc FROM a),
-c AS (SELECT mission, n, frame, thermal, thermal_fingerprint, semantic, semantic_fingerprint, row_number() OVER (PARTITION BY mission ORDER BY n) AS k, {_first([x for x in ORDER if 'state.' not in RULES[x[1]]])} AS own FROM b),
-w AS (SELECT mission, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS frame, CAST(NULL AS INTEGER) AS at_, CAST(NULL AS VARCHAR) AS th, CAST(NULL AS VARCHAR) AS se, CAST([] AS BIGINT[]) AS taken FROM c GROUP BY mission
+a AS (SELECT *, {TIMES} FROM r), b AS (SELECT *, CASE WHEN by_utc IS NOT NULL AND by_boot IS NOT NULL THEN greatest(time_unc, abs(by_utc - by_boot)) WHEN by_utc IS NULL
+  AND by_boot IS NOT NULL THEN time_unc + 300 ELSE time_unc END AS unc FROM a),
+c AS (SELECT mission, n, frame, thermal, thermal_fingerprint, semantic, semantic_fingerprint, row_number() OVER (PARTITION BY mission ORDER BY n) AS k,
+  {_first([x for x in ORDER if 'state.' not in RULES[x[1]]])} AS own FROM b),
+w AS (SELECT mission, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS frame, CAST(NULL AS INTEGER) AS at_, CAST(NULL AS VARCHAR) AS th,
+  CAST(NULL AS VARCHAR) AS se, CAST([] AS BIGINT[]) AS taken FROM c GROUP BY mission
   UNION ALL
-  SELECT mission, k, n, frame, at_, CASE WHEN at_ IS NULL THEN coalesce(th, thermal_fingerprint) ELSE th END, CASE WHEN at_ IS NULL THEN coalesce(se, semantic_fingerprint) ELSE se END, CASE WHEN at_ IS NULL AND frame < 500 THEN list_append(taken, frame) ELSE taken END FROM (
-    SELECT c.*, state.th, state.se, state.taken, CAST(least(own, {_first([x for x in ORDER if 'state.' in RULES[x[1]]][:1])}, {_first([x for x in ORDER if 'state.' in RULES[x[1]]][1:2])}, {_first([x for x in ORDER if 'state.' in RULES[x[1]]][2:])}) AS INTEGER) AS at_
+  SELECT mission, k, n, frame, at_, CASE WHEN at_ IS NULL THEN coalesce(th, thermal_fingerprint) ELSE th END, CASE WHEN at_ IS NULL THEN coalesce(se,
+  semantic_fingerprint) ELSE se END, CASE WHEN at_ IS NULL AND frame < 500 THEN list_append(taken, frame) ELSE taken END FROM (
+    SELECT c.*, state.th, state.se, state.taken, CAST(least(own,
+    {_first([x for x in ORDER if 'state.' in RULES[x[1]]][:1])},
+    {_first([x for x in ORDER if 'state.' in RULES[x[1]]][1:2])}, {_first([x for x in ORDER if 'state.' in RULES[x[1]]][2:])}) AS INTEGER) AS at_
     FROM w state JOIN c ON c.mission = state.mission AND c.k = state.k + 1))
 SELECT mission, n AS seq, frame, list_extract([{', '.join(repr(g) for g in [*gates.MISSION, 'duplicate_frame_id'])}], at_ + 1) AS reject_reason FROM w WHERE k > 0"""
 QUERIES = {"mission_integration": (mission_integration, SQL)}

@@ -50,10 +50,12 @@ r AS (SELECT *, CASE WHEN mono < 0 OR utc < 0 THEN 'before_clock_origin' WHEN mo
     WHEN basis IS NULL THEN CASE WHEN mono IS NOT NULL AND has_boot THEN 'boot_clocks_differ' ELSE 'no_common_time_basis' END
     WHEN t0 IS NULL THEN 'no_sample_before' WHEN t1 IS NULL THEN 'no_sample_after' WHEN t1 - t0 > {MAX_GAP} THEN 'gap_exceeds_limit'
     WHEN lat0 IS NULL OR lat1 IS NULL THEN 'invalid_position' WHEN yaw0 IS NULL OR yaw1 IS NULL THEN 'invalid_attitude' END AS reason FROM lo JOIN hi USING (target)),
-f AS (SELECT *, CASE WHEN reason IS NULL THEN CASE WHEN t1 = t0 THEN 0e0 ELSE CAST(tt - t0 AS DOUBLE) / CAST(t1 - t0 AS DOUBLE) END END AS share, CASE WHEN reason IS NULL THEN t1 - t0 END AS span_ns FROM r),
+f AS (SELECT *, CASE WHEN reason IS NULL THEN CASE WHEN t1 = t0 THEN 0e0 ELSE CAST(tt - t0 AS DOUBLE) / CAST(t1 - t0 AS DOUBLE) END END AS share, CASE
+  WHEN reason IS NULL THEN t1 - t0 END AS span_ns FROM r),
 g AS (SELECT *, CASE WHEN abs(lon1 - lon0) < 180 THEN lon1 - lon0 WHEN lon1 > lon0 THEN lon1 - lon0 - 360 WHEN lon1 - lon0 = -180 THEN -180 ELSE lon1 - lon0 + 360 END AS way,
   CASE WHEN cos(radians((yaw1 - yaw0) / 2)) <= 0.9995e0 THEN yaw0 + (yaw1 - yaw0) * share -- nearly equal attitudes are mixed linearly
-    ELSE 2 * degrees(atan2((1 - share) * sin(radians(yaw0 / 2)) + share * sin(radians(yaw1 / 2)), (1 - share) * cos(radians(yaw0 / 2)) + share * cos(radians(yaw1 / 2)))) END AS yaw, (span_ns / 1e9) * (span_ns / 1e9) * share * (1 - share) / 2 AS bow FROM f)
+    ELSE 2 * degrees(atan2((1 - share) * sin(radians(yaw0 / 2)) + share * sin(radians(yaw1 / 2)),
+    (1 - share) * cos(radians(yaw0 / 2)) + share * cos(radians(yaw1 / 2)))) END AS yaw, (span_ns / 1e9) * (span_ns / 1e9) * share * (1 - share) / 2 AS bow FROM f)
 SELECT target, rig, basis, unc, span_ns, round(lat0 + (lat1 - lat0) * share, 4) AS lat, round(alt0 + (alt1 - alt0) * share, 4) AS alt,
   round(cos(radians(lon0 + way * share)), 4) AS lon_cos, round(sin(radians(lon0 + way * share)), 4) AS lon_sin, round(yaw, 4) AS yaw_deg,
   round(-sin(radians(yaw)), 4) AS forward_east, round(cos(radians(yaw)), 4) AS forward_north, CASE WHEN reason IS NULL THEN -1e0 END AS down_up,

@@ -11,7 +11,8 @@ S = 1_000_000_000
 
 
 def _items(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.concat(F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.when(F.col("doc_id") % 2 == 0, "D").otherwise("N")).alias("sample"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.concat(F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.when(F.col("doc_id") % 2 == 0,
+        "D").otherwise("N")).alias("sample"))
     grouped = rows.withColumn("grp", protocol.block_group(F.col("sample")))
     return grouped.withColumn("partition", protocol.partition_of(F.col("grp")))
 
@@ -19,7 +20,8 @@ def _items(spark, sf_dir):
 BUCKET = lambda x, n=10: f"(CAST('0x' || substr(sha256({x}), 1, 8) AS BIGINT) % {n})"
 ITEMS = f"""items AS (SELECT *, CASE WHEN {BUCKET('grp')} <= 6 THEN 'train' WHEN {BUCKET('grp')} = 7 THEN 'validation' ELSE 'test' END AS partition FROM (
   SELECT doc_id, lang, source, lpad(CAST(doc_id AS VARCHAR), 6, '0') || CASE WHEN doc_id % 2 = 0 THEN 'D' ELSE 'N' END AS sample,
-    CASE WHEN doc_id % 2 = 0 THEN 'd' ELSE 'n' END || '-block-' || CASE WHEN doc_id < 100000 THEN lpad(CAST(doc_id // 100 AS VARCHAR), 3, '0') ELSE CAST(doc_id // 100 AS VARCHAR) END AS grp FROM documents))"""
+    CASE WHEN doc_id % 2 = 0 THEN 'd' ELSE 'n' END || '-block-' || CASE WHEN doc_id < 100000 THEN lpad(CAST(doc_id // 100 AS VARCHAR), 3, '0')
+    ELSE CAST(doc_id // 100 AS VARCHAR) END AS grp FROM documents))"""
 
 
 def hash_partition(spark, sf_dir):
@@ -34,7 +36,8 @@ def leakage_check(spark, sf_dir):
     return by_sample.withColumn("rule", F.lit("sample")).unionByName(by_group.withColumn("rule", F.lit("group")))
 
 
-LEAK = f"""WITH {ITEMS}, b AS (SELECT grp, {BUCKET('sample')} AS k FROM items), s AS (SELECT grp FROM b GROUP BY grp HAVING count(DISTINCT CASE WHEN k <= 6 THEN 'a' WHEN k = 7 THEN 'b' ELSE 'c' END) > 1),
+LEAK = f"""WITH {ITEMS}, b AS (SELECT grp, {BUCKET('sample')} AS k FROM items), s AS (SELECT grp FROM b GROUP BY grp HAVING count(DISTINCT CASE WHEN k <= 6 THEN 'a'
+  WHEN k = 7 THEN 'b' ELSE 'c' END) > 1),
 g AS (SELECT grp FROM items GROUP BY grp HAVING count(DISTINCT partition) > 1)
 SELECT (SELECT count(*) FROM s) AS n_leaks, 'sample' AS rule UNION ALL SELECT (SELECT count(*) FROM g), 'group'"""
 
@@ -80,7 +83,8 @@ def track_segments(spark, sf_dir):
     return rows.groupBy("track", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
-SEGMENTS = f"""WITH {OBSERVATIONS}, {POINTS}, b AS (SELECT *, CASE WHEN t - lag(t) OVER w BETWEEN 0 AND {6 * 3600 * S} THEN 0 ELSE 1 END AS broken FROM pts WINDOW w AS (PARTITION BY track ORDER BY t, seq)),
+SEGMENTS = f"""WITH {OBSERVATIONS}, {POINTS}, b AS (SELECT *, CASE WHEN t - lag(t) OVER w BETWEEN 0
+  AND {6 * 3600 * S} THEN 0 ELSE 1 END AS broken FROM pts WINDOW w AS (PARTITION BY track ORDER BY t, seq)),
 s AS (SELECT *, CAST(sum(broken) OVER (PARTITION BY track ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM b)
 SELECT track, segment, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM s GROUP BY 1, 2"""
 
@@ -102,10 +106,13 @@ def layer_retention(spark, sf_dir):
 
 LAYER = 50
 #: Arrivals one after another: what is too old falls, then what is too much.
-LAYERED = f"""WITH RECURSIVE {OBSERVATIONS}, p AS (SELECT stream AS layer, seq, rig, CASE WHEN seq % 23 <> 0 THEN t + (seq % 7) * {86400 * S} END AS t, row_number() OVER (PARTITION BY stream ORDER BY seq) AS k, max(CASE WHEN seq % 23 <> 0 THEN t + (seq % 7) * {86400 * S} END) OVER (PARTITION BY stream ORDER BY seq) AS newest FROM obs),
+LAYERED = f"""WITH RECURSIVE {OBSERVATIONS}, p AS (SELECT stream AS layer, seq, rig, CASE
+  WHEN seq % 23 <> 0 THEN t + (seq % 7) * {86400 * S} END AS t, row_number() OVER (PARTITION BY stream ORDER BY seq) AS k, max(CASE
+  WHEN seq % 23 <> 0 THEN t + (seq % 7) * {86400 * S} END) OVER (PARTITION BY stream ORDER BY seq) AS newest FROM obs),
 w AS (SELECT layer, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(seq BIGINT, t BIGINT)[]) AS held FROM p GROUP BY layer
   UNION ALL
-  SELECT p.layer, p.k, list_slice(list_filter(list_append(w.held, {{'seq': p.seq, 't': p.t}}), lambda x: x.t IS NULL OR x.t >= newest - {7 * 86400 * S}), -{LAYER}, -1) FROM w JOIN p ON p.layer = w.layer AND p.k = w.k + 1),
+  SELECT p.layer, p.k, list_slice(list_filter(list_append(w.held,
+  {{'seq': p.seq, 't': p.t}}), lambda x: x.t IS NULL OR x.t >= newest - {7 * 86400 * S}), -{LAYER}, -1) FROM w JOIN p ON p.layer = w.layer AND p.k = w.k + 1),
 e AS (SELECT layer, unnest(arg_max(held, k)) AS x FROM w GROUP BY layer)
 SELECT e.layer, e.x.seq AS seq, p.t, p.rig FROM e JOIN p ON p.layer = e.layer AND p.seq = e.x.seq"""
 
@@ -113,7 +120,8 @@ SELECT e.layer, e.x.seq AS seq, p.t, p.rig FROM e JOIN p ON p.layer = e.layer AN
 def record_digest(spark, sf_dir):
     """SHA-256 of each conversation turn as canonical JSON, nested."""
     rows = read(spark, sf_dir, "conversations")
-    value = F.struct(F.col("turn").alias("turn"), F.struct("text", "role", F.lit(None).cast("string").alias("note")).alias("message"), F.array(F.struct(F.col("conv_id").alias("id"), (F.col("turn") / F.lit(4.0)).alias("at"))).alias("chain"))
+    value = F.struct(F.col("turn").alias("turn"), F.struct("text", "role", F.lit(None).cast("string").alias("note")).alias("message"),
+        F.array(F.struct(F.col("conv_id").alias("id"), (F.col("turn") / F.lit(4.0)).alias("at"))).alias("chain"))
     kind = rows.select(value.alias("v")).schema["v"].dataType
     return rows.select("conv_id", "turn", F.sha2(protocol.canonical_json(value, kind), 256).alias("digest"))
 
@@ -131,9 +139,11 @@ def manifest_reconciliation(spark, sf_dir):
 
 
 RECONCILED = """WITH e AS (SELECT DISTINCT doc_id FROM labels), o AS (SELECT doc_id, sum(n) AS n FROM (
-    SELECT doc_id, count(*) AS n FROM documents WHERE doc_id % 13 <> 5 AND doc_id IN (SELECT doc_id FROM e) GROUP BY 1 UNION ALL SELECT doc_id, count(*) FROM documents WHERE doc_id % 29 = 3 GROUP BY 1) GROUP BY 1),
+    SELECT doc_id, count(*) AS n FROM documents WHERE doc_id % 13 <> 5 AND doc_id IN (SELECT doc_id FROM e) GROUP BY 1 UNION ALL SELECT doc_id, count(*) FROM documents
+    WHERE doc_id % 29 = 3 GROUP BY 1) GROUP BY 1),
 b AS (SELECT coalesce(e.doc_id, o.doc_id) AS d, e.doc_id IS NOT NULL AS wanted, coalesce(n, 0) AS n FROM e FULL JOIN o ON e.doc_id = o.doc_id)
-SELECT 'sample-' || d AS sample, CASE WHEN wanted AND n = 0 THEN CASE WHEN d % 2 = 1 THEN 'external runtime failure: code ' || d % 4 ELSE 'missing output entry' END WHEN NOT wanted THEN 'unexpected output entry' ELSE 'invalid or duplicate sample_id' END AS reason,
+SELECT 'sample-' || d AS sample, CASE WHEN wanted AND n = 0 THEN CASE WHEN d % 2 = 1 THEN 'external runtime failure: code ' || d % 4 ELSE 'missing output entry' END
+  WHEN NOT wanted THEN 'unexpected output entry' ELSE 'invalid or duplicate sample_id' END AS reason,
   CASE WHEN wanted AND n = 0 AND d % 2 = 1 THEN 'runtime' ELSE 'integrity_or_completeness' END AS failure_class FROM b WHERE NOT (wanted AND n = 1)"""
 NOW = 1_706_000_000 * S
 
@@ -147,7 +157,8 @@ def freshness_state(spark, sf_dir):
 def geo_txt_format(spark, sf_dir):
     """Lines of a georeferencing text file."""
     k = F.col("s_suppkey")
-    rows = read(spark, sf_dir, "supplier").select(k.alias("id"), F.regexp_replace("s_name", "#", "_").alias("name"), (7 + k / F.lit(1000.0)).alias("lon"), (46 + k / F.lit(2000.0)).alias("lat"), (F.col("s_acctbal") / 10).alias("alt"))
+    rows = read(spark, sf_dir, "supplier").select(k.alias("id"), F.regexp_replace("s_name", "#", "_").alias("name"), (7 + k / F.lit(1000.0)).alias("lon"),
+        (46 + k / F.lit(2000.0)).alias("lat"), (F.col("s_acctbal") / 10).alias("alt"))
     return rows.select("id", F.format_string("%s.jpg %.10f %.10f %.3f", "name", "lon", "lat", "alt").alias("line"))
 
 

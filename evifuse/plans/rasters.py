@@ -23,7 +23,8 @@ def robust_normalize(spark, sf_dir):
     return rounded(rows.select("frame", "y", "x", "norm"), "norm")
 
 
-ROBUST = f"""WITH {PIXELS}, q AS (SELECT *, quantile_cont(v, 0.01) FILTER ((y * 8 + x) % 9 <> 0) OVER w AS lo, quantile_cont(v, 0.99) FILTER ((y * 8 + x) % 9 <> 0) OVER w AS hi FROM px WINDOW w AS (PARTITION BY frame))
+ROBUST = f"""WITH {PIXELS}, q AS (SELECT *, quantile_cont(v, 0.01) FILTER ((y * 8 + x) % 9 <> 0) OVER w AS lo, quantile_cont(v,
+  0.99) FILTER ((y * 8 + x) % 9 <> 0) OVER w AS hi FROM px WINDOW w AS (PARTITION BY frame))
 SELECT frame, y, x, round(CASE WHEN lo IS NULL OR hi <= lo + 1e-8 THEN 0 ELSE {CLIP('((v - lo) / (hi - lo))')} END, 6) AS norm FROM q"""
 
 
@@ -52,10 +53,12 @@ SELECT f.frame, CAST(iy.c AS INTEGER) AS y, CAST(ix.c AS INTEGER) AS x, round(su
 def _colors(spark, sf_dir):
     """Three neighbouring frames as the channels of one image."""
     rows = pixels(spark, sf_dir)
-    return rows.groupBy((F.floor(F.col("frame") / 3)).cast("long").alias("image"), "y", "x").agg(*(F.max(F.when(F.col("frame") % 3 == i, F.col("v"))).alias(c) for i, c in enumerate("rgb"))).where("b IS NOT NULL")
+    return rows.groupBy((F.floor(F.col("frame") / 3)).cast("long").alias("image"), "y", "x").agg(*(F.max(F.when(F.col("frame") % 3 == i, F.col("v"))).alias(c) for i,
+        c in enumerate("rgb"))).where("b IS NOT NULL")
 
 
-COLORS = f"""WITH {PIXELS}, col AS (SELECT * FROM (SELECT frame // 3 AS image, y, x, max(v) FILTER (frame % 3 = 0) AS r, max(v) FILTER (frame % 3 = 1) AS g, max(v) FILTER (frame % 3 = 2) AS b FROM px GROUP BY 1, 2, 3) WHERE b IS NOT NULL)
+COLORS = f"""WITH {PIXELS}, col AS (SELECT * FROM (SELECT frame // 3 AS image, y, x, max(v) FILTER (frame % 3 = 0) AS r, max(v) FILTER (frame % 3 = 1) AS g,
+  max(v) FILTER (frame % 3 = 2) AS b FROM px GROUP BY 1, 2, 3) WHERE b IS NOT NULL)
 """
 
 
@@ -66,8 +69,10 @@ def recolor_luma(spark, sf_dir):
     return rounded(rows, "luma", "out_r", "out_g", "out_b")
 
 
-RECOLOR = COLORS + f""", l AS (SELECT *, 0.2126 * r + 0.7152 * g + 0.0722 * b AS t, 0.299 * r + 0.587 * g + 0.114 * b AS l6 FROM col), k AS (SELECT *, (b - l6) * 0.564 * 0.7 AS cb, (r - l6) * 0.713 * 0.7 AS cr FROM l)
-SELECT image, y, x, round(l6, 6) AS luma, round({CLIP('(t + 1.403 * cr)')}, 6) AS out_r, round({CLIP('(t - 0.344 * cb - 0.714 * cr)')}, 6) AS out_g, round({CLIP('(t + 1.773 * cb)')}, 6) AS out_b FROM k"""
+RECOLOR = COLORS + f""", l AS (SELECT *, 0.2126 * r + 0.7152 * g + 0.0722 * b AS t, 0.299 * r + 0.587 * g + 0.114 * b AS l6 FROM col), k AS (SELECT *,
+  (b - l6) * 0.564 * 0.7 AS cb, (r - l6) * 0.713 * 0.7 AS cr FROM l)
+SELECT image, y, x, round(l6, 6) AS luma, round({CLIP('(t + 1.403 * cr)')}, 6) AS out_r,
+  round({CLIP('(t - 0.344 * cb - 0.714 * cr)')}, 6) AS out_g, round({CLIP('(t + 1.773 * cb)')}, 6) AS out_b FROM k"""
 
 
 def palette_thermal(spark, sf_dir):
@@ -90,9 +95,11 @@ def _inputs(spark, sf_dir):
     return raster.fuse(named)
 
 
-FUSED = f"""WITH {PIXELS}, n AS (SELECT frame, y, x, v AS visible, 1 - v AS thermal, v * v AS visible_detail, abs(v - 0.5) AS thermal_detail, v / 2 AS contrast, (frame % 10) / 10e0 AS support, (x + y) % 7 <> 0 AS valid, frame % 5 <> 0 AS eligible,
+FUSED = f"""WITH {PIXELS}, n AS (SELECT frame, y, x, v AS visible, 1 - v AS thermal, v * v AS visible_detail, abs(v - 0.5) AS thermal_detail, v / 2 AS contrast,
+  (frame % 10) / 10e0 AS support, (x + y) % 7 <> 0 AS valid, frame % 5 <> 0 AS eligible,
     avg(v) OVER (PARTITION BY frame) AS mean FROM px),
-s AS (SELECT *, {CLIP('((0.48 - mean) / 0.38)')} AS night, {CLIP('(0.55 * thermal_detail + 0.45 * contrast)')} AS saliency, greatest(1 - 1.7 * abs(visible - 0.5), 0.08) AS exposure, CASE WHEN support >= 0.5 AND valid THEN support ELSE 0 END AS trusted FROM n),
+s AS (SELECT *, {CLIP('((0.48 - mean) / 0.38)')} AS night, {CLIP('(0.55 * thermal_detail + 0.45 * contrast)')} AS saliency, greatest(1 - 1.7 * abs(visible - 0.5),
+  0.08) AS exposure, CASE WHEN support >= 0.5 AND valid THEN support ELSE 0 END AS trusted FROM n),
 w AS (SELECT *, CASE WHEN eligible THEN least(greatest(0.12 + 0.22 * night + 0.58 * saliency, 0), 0.82) * trusted ELSE 0 END AS thermal_contribution,
   CASE WHEN eligible THEN least(greatest(least(0.45 * least(exposure, 1) + 0.55 * visible_detail, 1), least(0.3 + 0.7 * saliency, 1)) * trusted, 1) ELSE 0 END AS fusion_support,
   {CLIP('((visible - 0.5) * 1.08 + 0.5)')} AS tone FROM s),
@@ -108,7 +115,8 @@ def fuse_channels(spark, sf_dir):
 def no_fusion_zone(spark, sf_dir):
     """Ineligible frames: the visible signal is kept, thermal and support are zero."""
     rows = _inputs(spark, sf_dir).where("NOT eligible")
-    return rounded(rows.groupBy("frame").agg(F.max("thermal_contribution").alias("thermal"), F.max("fusion_support").alias("support"), F.max(F.abs(F.col("fused") - F.col("visible"))).alias("changed"), F.count(F.lit(1)).alias("n")), "thermal", "support", "changed")
+    return rounded(rows.groupBy("frame").agg(F.max("thermal_contribution").alias("thermal"), F.max("fusion_support").alias("support"),
+        F.max(F.abs(F.col("fused") - F.col("visible"))).alias("changed"), F.count(F.lit(1)).alias("n")), "thermal", "support", "changed")
 
 
 MODEL = policy.Model(
@@ -123,7 +131,8 @@ MODEL = policy.Model(
 
 def policy_softmax(spark, sf_dir):
     rows = _inputs(spark, sf_dir).groupBy("frame").agg(
-        F.avg("visible").alias("visible"), F.avg("saliency").alias("saliency"), F.avg("support").alias("support"), F.avg(F.col("valid").cast("double")).alias("valid_fraction"), F.bool_and("eligible").alias("applied")
+        F.avg("visible").alias("visible"), F.avg("saliency").alias("saliency"), F.avg("support").alias("support"),
+        F.avg(F.col("valid").cast("double")).alias("valid_fraction"), F.bool_and("eligible").alias("applied")
     )
     return rounded(policy.recommend(rows, MODEL), "confidence")
 
@@ -132,9 +141,11 @@ def _dot(bias, weights):
     return f"{bias!r}::DOUBLE" + "".join(f" + {w!r}::DOUBLE * {n}" for w, n in zip(weights, MODEL.features))
 
 
-POLICY = FUSED + f""", a AS (SELECT frame, avg(visible) AS visible, avg(saliency) AS saliency, avg(support) AS support, avg(CASE WHEN valid THEN 1e0 ELSE 0 END) AS valid_fraction, bool_and(eligible) AS applied FROM f GROUP BY frame),
+POLICY = FUSED + f""", a AS (SELECT frame, avg(visible) AS visible, avg(saliency) AS saliency, avg(support) AS support, avg(CASE WHEN valid THEN 1e0
+  ELSE 0 END) AS valid_fraction, bool_and(eligible) AS applied FROM f GROUP BY frame),
 z AS (SELECT *, {', '.join(f'{_dot(b, w)} AS z{i}' for i, (b, w) in enumerate(zip(MODEL.bias, MODEL.weights)))}, {_dot(MODEL.gain_bias, MODEL.gain_weights)} AS raw,
-  concat_ws(',', CASE WHEN NOT applied THEN 'pixel_fusion_unavailable' END, CASE WHEN support < 0.5 THEN 'registration_below_minimum' END, CASE WHEN valid_fraction < 0.5 THEN 'coverage_below_minimum' END) AS reasons FROM a)
+  concat_ws(',', CASE WHEN NOT applied THEN 'pixel_fusion_unavailable' END, CASE WHEN support < 0.5 THEN 'registration_below_minimum' END, CASE
+  WHEN valid_fraction < 0.5 THEN 'coverage_below_minimum' END) AS reasons FROM a)
 SELECT frame, CASE WHEN reasons <> '' THEN 'integrity' WHEN z0 >= z1 AND z0 >= z2 THEN 'balanced' WHEN z1 >= z2 THEN 'thermal' ELSE 'visible' END AS preset,
   CASE WHEN reasons <> '' THEN 0 ELSE round(least(greatest(raw, 0), 1.5e0 * least(1, support / 0.5e0, valid_fraction / 0.5e0)), 4) END AS gain,
   round(CASE WHEN reasons <> '' THEN 1 ELSE 1 / (exp(z0 - greatest(z0, z1, z2)) + exp(z1 - greatest(z0, z1, z2)) + exp(z2 - greatest(z0, z1, z2))) END, 6) AS confidence,
@@ -147,13 +158,15 @@ def scene_digest_stats(spark, sf_dir):
 
 
 STATS = FUSED + """, u AS (SELECT frame, unnest(['visible', 'thermal', 'saliency']) AS channel, unnest([visible, thermal, saliency]) AS v FROM f)
-SELECT frame, channel, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.05), 6) AS p05, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95 FROM u GROUP BY frame, channel"""
+SELECT frame, channel, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.05), 6) AS p05, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95
+  FROM u GROUP BY frame, channel"""
 
 
 def _positions(spark, sf_dir):
     """customers as geodetic points near an origin, suppliers likewise."""
     k = F.col("c_custkey")
-    return read(spark, sf_dir, "customer").select(k.alias("id"), (46.0 + (k % 997) / F.lit(10000.0)).alias("lat"), (7.0 + (k % 883) / F.lit(10000.0)).alias("lon"), (F.col("c_acctbal") / 100).alias("h"))
+    return read(spark, sf_dir, "customer").select(k.alias("id"), (46.0 + (k % 997) / F.lit(10000.0)).alias("lat"), (7.0 + (k % 883) / F.lit(10000.0)).alias("lon"),
+        (F.col("c_acctbal") / 100).alias("h"))
 
 
 POSITIONS = "pos AS (SELECT c_custkey AS id, 46 + (c_custkey % 997) / 10000e0 AS lat, 7 + (c_custkey % 883) / 10000e0 AS lon, c_acctbal / 100 AS h FROM customer)"
@@ -179,7 +192,8 @@ def _ecef(lat, lon, h):
 A, B = _ecef("lat", "lon", "h"), _ecef(*(f"{x!r}::DOUBLE" for x in ORIGIN))
 SP, CP, SL, CL = (f"{f}(radians({x!r}::DOUBLE))" for f, x in (("sin", ORIGIN[0]), ("cos", ORIGIN[0]), ("sin", ORIGIN[1]), ("cos", ORIGIN[1])))
 ENU = f"""WITH {POSITIONS}, d AS (SELECT id, {A[0]} - ({B[0]}) AS dx, {A[1]} - ({B[1]}) AS dy, {A[2]} - ({B[2]}) AS dz FROM pos)
-SELECT id, round(-{SL} * dx + {CL} * dy, 4) + 0e0 AS east, round(-{SP} * {CL} * dx - {SP} * {SL} * dy + {CP} * dz, 4) + 0e0 AS north, round({CP} * {CL} * dx + {CP} * {SL} * dy + {SP} * dz, 4) + 0e0 AS up, true AS returns FROM d"""
+SELECT id, round(-{SL} * dx + {CL} * dy, 4) + 0e0 AS east, round(-{SP} * {CL} * dx - {SP} * {SL} * dy + {CP} * dz, 4) + 0e0 AS north,
+  round({CP} * {CL} * dx + {CP} * {SL} * dy + {SP} * dz, 4) + 0e0 AS up, true AS returns FROM d"""
 
 
 def plane_intersect(spark, sf_dir):
@@ -233,7 +247,8 @@ def nearest_neighbor(spark, sf_dir):
 
 
 NEIGHBOR = f"""WITH {POSITIONS},
-m AS (SELECT a.id, min({geo.EARTH_RADIUS!r} * sqrt(pow(radians(b.lon - a.lon) * cos(radians((a.lat + b.lat) / 2)), 2) + pow(radians(b.lat - a.lat), 2))) AS d FROM pos a JOIN pos b ON a.id <> b.id GROUP BY a.id)
+m AS (SELECT a.id, min({geo.EARTH_RADIUS!r} * sqrt(pow(radians(b.lon - a.lon) * cos(radians((a.lat + b.lat) / 2)), 2) + pow(radians(b.lat - a.lat), 2))) AS d FROM pos a
+  JOIN pos b ON a.id <> b.id GROUP BY a.id)
 SELECT pos.id, round(d, 4) AS metres FROM pos LEFT JOIN m USING (id)"""
 
 
@@ -242,7 +257,8 @@ def _parts(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").select(
         (F.col("l_partkey") % 5100 / F.lit(100.0) - 0.3).alias("east"), (F.col("l_suppkey") * 7 % 101 / F.lit(3.0)).alias("north"),
         mosaic.splat_weight(F.col("l_tax") * 10, F.col("l_quantity") / 50, F.col("l_discount") * 10, 0.5).alias("weight"), F.col("l_quantity").alias("value"),
-        F.when(F.col("l_returnflag") != "N", F.col("l_extendedprice") / 1000).alias("thermal"), (F.col("l_linenumber") - 2).alias("class"), (F.col("l_orderkey") % 40).alias("frame"), (F.col("l_orderkey") % 40).alias("seq"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_extendedprice") / 1000).alias("thermal"), (F.col("l_linenumber") - 2).alias("class"),
+        (F.col("l_orderkey") % 40).alias("frame"), (F.col("l_orderkey") % 40).alias("seq"),
     )
     return mosaic.splat(rows, 34, 50)
 
@@ -253,7 +269,8 @@ parts AS (SELECT *, CAST(floor(north) AS INTEGER) + i AS row, CAST(floor(east) A
   (CASE WHEN i = 1 THEN north - floor(north) ELSE 1 - (north - floor(north)) END) * (CASE WHEN j = 1 THEN east - floor(east) ELSE 1 - (east - floor(east)) END) * weight AS w
   FROM s, (SELECT unnest([0, 0, 1, 1]) AS i, unnest([0, 1, 0, 1]) AS j)),
 kept AS (SELECT * FROM parts WHERE w > 0 AND row >= 0 AND row < 34 AND col >= 0 AND col < 50),
-cells AS (SELECT row, col, sum(w) AS weight, sum(w * value) AS value_sum, sum(w) FILTER (thermal IS NOT NULL) AS tw, sum(w * thermal) AS ts, count(*) AS coverage_count, count(DISTINCT frame) AS frame_count FROM kept GROUP BY row, col)
+cells AS (SELECT row, col, sum(w) AS weight, sum(w * value) AS value_sum, sum(w) FILTER (thermal IS NOT NULL) AS tw, sum(w * thermal) AS ts, count(*) AS coverage_count,
+  count(DISTINCT frame) AS frame_count FROM kept GROUP BY row, col)
 """
 
 
@@ -291,7 +308,8 @@ def attitude_slerp(spark, sf_dir):
     x, y, _ = geo.rotate(m, (F.lit(1.0), F.lit(0.0), F.lit(0.0)))
     yaw, pitch, roll = geo.euler_zyx(m)
     # away from the seam at 180 degrees, where the last bit decides the sign
-    return rounded(rows.select("c_custkey", x.alias("x"), y.alias("y"), F.round(F.pmod(yaw + 0.25, F.lit(360.0)), 4).alias("yaw"), (F.abs(pitch) + F.abs(roll) < 1e-6).alias("level")), "x", "y", digits=5)
+    return rounded(rows.select("c_custkey", x.alias("x"), y.alias("y"), F.round(F.pmod(yaw + 0.25, F.lit(360.0)), 4).alias("yaw"),
+        (F.abs(pitch) + F.abs(roll) < 1e-6).alias("level")), "x", "y", digits=5)
 
 
 SLERP = """WITH h AS (SELECT c_custkey, c_custkey % 360 + (c_custkey * 7 % 170) / 2e0 AS deg FROM customer)
@@ -353,7 +371,8 @@ def overlap_report(spark, sf_dir):
 OVERLAP = NEIGHBOR.replace("SELECT pos.id, round(d, 4)", ", near AS (SELECT pos.id, round(d, 4)").replace("LEFT JOIN m USING (id)", "LEFT JOIN m USING (id))") + f""",
 far AS (SELECT max({geo.EARTH_RADIUS!r} * sqrt(pow(radians(b.lon - a.lon) * cos(radians((a.lat + b.lat) / 2)), 2) + pow(radians(b.lat - a.lat), 2))) AS baseline FROM pos a JOIN pos b ON a.id < b.id),
 s AS (SELECT count(*) AS n, avg(CASE WHEN coalesce(metres, 1e9) <= 60 THEN 1e0 ELSE 0e0 END) AS passing FROM near)
-SELECT n, round(passing, 6) AS passing, round(baseline, 3) AS baseline, CASE WHEN baseline < 500 THEN 'insufficient_spatial_extent' WHEN passing < 0.9 THEN 'positions_too_sparse' END AS reject_reason FROM s, far"""
+SELECT n, round(passing, 6) AS passing, round(baseline, 3) AS baseline, CASE WHEN baseline < 500 THEN 'insufficient_spatial_extent'
+  WHEN passing < 0.9 THEN 'positions_too_sparse' END AS reject_reason FROM s, far"""
 
 QUERIES = {
     "semantic_coverage": (semantic_coverage, COVERAGE),

@@ -49,7 +49,8 @@ BIN = "CASE " + " ".join(f"WHEN score < {i / 15!r} THEN {i - 1}" for i in range(
 
 def _curve(name: str, by: str) -> str:
     return f"""{name}0 AS (SELECT ranking, grp, {by} AS by_, count(*) AS n, sum(risk) AS risk FROM s GROUP BY 1, 2, 3),
-{name} AS (SELECT *, CAST(sum(n) OVER w AS DOUBLE) AS kept, sum(risk) OVER w AS lost, CAST(sum(n) OVER (PARTITION BY ranking, grp) AS DOUBLE) AS total FROM {name}0 WINDOW w AS (PARTITION BY ranking, grp ORDER BY by_ ROWS UNBOUNDED PRECEDING))"""
+{name} AS (SELECT *, CAST(sum(n) OVER w AS DOUBLE) AS kept, sum(risk) OVER w AS lost, CAST(sum(n) OVER (PARTITION BY ranking, grp) AS DOUBLE) AS total
+  FROM {name}0 WINDOW w AS (PARTITION BY ranking, grp ORDER BY by_ ROWS UNBOUNDED PRECEDING))"""
 
 
 AREAS = "sum(n / total * lost / kept) AS {0}aurc, sum(n / total * (lost + lost - risk) / total / 2) AS {0}augrc"
@@ -60,8 +61,10 @@ ece AS (SELECT ranking, grp, sum(n * gap) / sum(n) AS ece FROM bin GROUP BY 1, 2
 area AS (SELECT ranking, grp, {AREAS.format('')}, sum(risk * (kept - (n - 1) / 2e0)) AS ranks,
   arg_min(lost / kept, kept) FILTER (kept / total >= 0.8) AS risk_at, arg_min(kept / total, kept) FILTER (kept / total >= 0.8) AS coverage_at FROM c GROUP BY 1, 2),
 ideal AS (SELECT ranking, grp, {AREAS.format('o_')} FROM o GROUP BY 1, 2),
-w AS (SELECT ranking, grp, samples, brier, ece AS expected_calibration_error, aurc AS risk_coverage_area, o_aurc AS oracle_risk_coverage_area, mean_risk AS random_order_expected_risk_coverage_area, aurc - o_aurc AS excess_risk_coverage_area,
-  augrc AS generalized_risk_coverage_area, o_augrc AS oracle_generalized_risk_coverage_area, mean_risk / 2 AS random_order_expected_generalized_risk_coverage_area, augrc - o_augrc AS excess_generalized_risk_coverage_area,
+w AS (SELECT ranking, grp, samples, brier, ece AS expected_calibration_error, aurc AS risk_coverage_area, o_aurc AS oracle_risk_coverage_area,
+  mean_risk AS random_order_expected_risk_coverage_area, aurc - o_aurc AS excess_risk_coverage_area,
+  augrc AS generalized_risk_coverage_area, o_augrc AS oracle_generalized_risk_coverage_area, mean_risk / 2 AS random_order_expected_generalized_risk_coverage_area,
+  augrc - o_augrc AS excess_generalized_risk_coverage_area,
   risk_at AS selective_risk_at_80_percent_requested_coverage, coverage_at AS realized_coverage_at_80_percent_requested_coverage,
   CASE WHEN p > 0 AND p < samples THEN (ranks - p * (p + 1) / 2) / (p * (samples - p)) END AS uncertainty_auroc, mean_risk AS mean_target_risk, mean_score AS mean_uncertainty
   FROM mean JOIN ece USING (ranking, grp) JOIN area USING (ranking, grp) JOIN ideal USING (ranking, grp))"""

@@ -25,7 +25,8 @@ met AS (
   FROM refs r JOIN obs o ON o.rig = r.rig AND o.domain = r.domain AND o.stream <> 'click' AND abs(o.t - r.t) <= {POLICY.stale}),
 sel AS (
   SELECT r.seq AS ref, r.rig, s.stream, m.seq, m.t - r.t AS skew_ns, abs(m.t - r.t) + m.unc + r.unc AS effective_ns,
-    CASE WHEN m.seq IS NULL THEN CASE WHEN (r.rig, s.stream) IN (SELECT (rig, stream) FROM obs) AND (r.rig, s.stream, r.domain) NOT IN (SELECT (rig, stream, domain) FROM obs) THEN 'incompatible_clock_domain' ELSE 'missing' END WHEN m.unc + r.unc IS NULL THEN 'unsynchronized'
+    CASE WHEN m.seq IS NULL THEN CASE WHEN (r.rig, s.stream) IN (SELECT (rig, stream) FROM obs) AND (r.rig, s.stream, r.domain) NOT IN (SELECT (rig, stream, domain)
+    FROM obs) THEN 'incompatible_clock_domain' ELSE 'missing' END WHEN m.unc + r.unc IS NULL THEN 'unsynchronized'
       WHEN abs(m.t - r.t) + m.unc + r.unc > {POLICY.stale} THEN 'missing' WHEN abs(m.t - r.t) + m.unc + r.unc <= {POLICY.exact} THEN 'exact'
       WHEN m.t < r.t THEN 'late' WHEN m.t > r.t THEN 'future' ELSE 'bounded_skew' END AS state
   FROM refs r CROSS JOIN streams s LEFT JOIN met m ON m.ref = r.seq AND m.stream = s.stream AND m.rn = 1)

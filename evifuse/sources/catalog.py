@@ -19,7 +19,8 @@ def split_path(files: DataFrame) -> DataFrame:
     """path with its folder names counted from the end (parent, grandparent), stem and lower-cased suffix."""
     parts = F.split("path", "/")
     name = F.element_at(parts, -1)
-    return files.select("path", F.try_element_at(parts, F.lit(-2)).alias("parent"), F.try_element_at(parts, F.lit(-3)).alias("grandparent"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("suffix"))
+    return files.select("path", F.try_element_at(parts, F.lit(-2)).alias("parent"), F.try_element_at(parts, F.lit(-3)).alias("grandparent"), F.regexp_replace(name,
+        r"\.[^.]*$", "").alias("stem"), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("suffix"))
 
 
 def common_id(stem: Column) -> Column:
@@ -51,7 +52,8 @@ def voc_boxes(annotations: DataFrame) -> DataFrame:
     rows = annotations.select("sample", size("width").alias("w"), size("height").alias("h"), F.posexplode(zipped).alias("place", "o"))
     x = lambda c: F.least(F.greatest(F.col(f"o.{c}").try_cast("double"), F.lit(0.0)), F.col("w"))
     y = lambda c: F.least(F.greatest(F.col(f"o.{c}").try_cast("double"), F.lit(0.0)), F.col("h"))
-    boxes = rows.select("sample", "place", "o.label", (x("xmin") / F.col("w")).alias("x"), (y("ymin") / F.col("h")).alias("y"), ((x("xmax") - x("xmin")) / F.col("w")).alias("width"), ((y("ymax") - y("ymin")) / F.col("h")).alias("height"))
+    boxes = rows.select("sample", "place", "o.label", (x("xmin") / F.col("w")).alias("x"), (y("ymin") / F.col("h")).alias("y"),
+        ((x("xmax") - x("xmin")) / F.col("w")).alias("width"), ((y("ymax") - y("ymin")) / F.col("h")).alias("height"))
     return boxes.where("width > 0 AND height > 0")
 
 
@@ -65,7 +67,8 @@ def yolo_boxes(annotations: DataFrame, classes: list[str]) -> DataFrame:
     label = F.coalesce(F.when(number >= 0, F.get(known, number)), F.concat(F.lit("class "), number.cast("string")))
     low = lambda c, s: F.greatest(c - s / 2, F.lit(0.0))
     high = lambda c, s: F.least(c + s / 2, F.lit(1.0))
-    boxes = fields.select("sample", "place", label.alias("label"), low(v[1], v[3]).alias("x"), low(v[2], v[4]).alias("y"), (high(v[1], v[3]) - low(v[1], v[3])).alias("width"), (high(v[2], v[4]) - low(v[2], v[4])).alias("height"))
+    boxes = fields.select("sample", "place", label.alias("label"), low(v[1], v[3]).alias("x"), low(v[2], v[4]).alias("y"), (high(v[1], v[3]) - low(v[1],
+        v[3])).alias("width"), (high(v[2], v[4]) - low(v[2], v[4])).alias("height"))
     return boxes.where("width > 0 AND height > 0 AND label IS NOT NULL")
 
 

@@ -102,7 +102,8 @@ def payload(spark: SparkSession, folder: str, layers: int = MOST_LAYERS) -> dict
     told = current(folder)
     shown = told["layers"][:layers]
     columns = {name: {f.name: f.dataType.simpleString() for f in spark.read.parquet(os.path.join(folder, told["generation"], name)).schema} for name in shown}
-    return {k: v for k, v in told.items() if k not in RESERVED} | {"generation": told["generation"], "layers": [{"name": n, "rows": told["rows"][n], "columns": columns[n]} for n in shown], "omitted": len(told["layers"]) - len(shown)}
+    return {k: v for k, v in told.items() if k not in RESERVED} | {"generation": told["generation"], "layers": [{"name": n, "rows": told["rows"][n],
+        "columns": columns[n]} for n in shown], "omitted": len(told["layers"]) - len(shown)}
 
 
 def verify(spark: SparkSession, folder: str) -> DataFrame:

@@ -17,9 +17,12 @@ def scene(seed, n=240):
     frames, samples = [], []
     for seq in range(n):
         odd, size = rng.randint(0, 24), 10
-        frames.append((seq % 3, seq, f"f{rng.randint(0, 90)}", None if odd == 0 else 100, [" ", None, "c"][min(odd - 1, 2)] if odd in (1, 2) else "c", None if odd == 3 else "p", None if odd == 4 else 120 if odd == 5 else 105, 40 if odd == 6 else size, size, 39 if odd == 7 else 40 if odd == 6 else size, size))
+        frames.append((seq % 3, seq, f"f{rng.randint(0, 90)}", None if odd == 0 else 100, [" ", None, "c"][min(odd - 1, 2)] if odd in (1, 2) else "c",
+            None if odd == 3 else "p", None if odd == 4 else 120 if odd == 5 else 105, 40 if odd == 6 else size, size, 39 if odd == 7 else 40 if odd == 6 else size, size))
         for _ in range(rng.randint(0, 5)):
-            samples.append((seq % 3, seq, odd != 8, odd != 9, 0.0 if odd == 10 else 0.5, -1.0 if odd == 11 else 0.9, 5.0 if odd == 12 or rng.random() < 0.02 else 0.5, 50.0 if odd == 13 else rng.uniform(0, 10), rng.uniform(0, 10), 1.0, rng.random(), rng.choice([None, 0.5]), rng.choice([None, -1, 0, 1, 2, 3, 4, 5, 6, 7]) if seq % 4 == 0 else rng.choice([0, -1, None])))
+            samples.append((seq % 3, seq, odd != 8, odd != 9, 0.0 if odd == 10 else 0.5, -1.0 if odd == 11 else 0.9, 5.0 if odd == 12 or rng.random() < 0.02 else 0.5,
+                50.0 if odd == 13 else rng.uniform(0, 10), rng.uniform(0, 10), 1.0, rng.random(), rng.choice([None, 0.5]), rng.choice([None, -1, 0, 1, 2, 3, 4, 5, 6,
+                7]) if seq % 4 == 0 else rng.choice([0, -1, None])))
     return frames, samples
 
 
@@ -30,7 +33,8 @@ def walked(rows):
         failing = [g for g in gates.GRID if r.get(g)]
         early = [g for g in failing if gates.GRID.index(g) < grid.NEW]
         classes = held.setdefault(r["mission"], set())
-        reason = early[0] if early else "duplicate_frame_id" if (r["mission"], r["frame"]) in taken else failing[0] if failing else MAP.refusal(len(classes | set(r["classes"]))) if r["classes"] else None
+        reason = early[0] if early else "duplicate_frame_id" if (r["mission"],
+            r["frame"]) in taken else failing[0] if failing else MAP.refusal(len(classes | set(r["classes"]))) if r["classes"] else None
         if reason is None:
             taken.add((r["mission"], r["frame"]))
             classes |= set(r["classes"])
@@ -53,7 +57,8 @@ def test_batch_and_stream_equal_the_walk(spark, tmp_path):
     for i in range(0, 240, 60):
         summed.where(F.col("seq").between(i, i + 59)).coalesce(1).write.mode("append").parquet(folder)
     arriving = spark.readStream.schema(summed.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    query = stream.accepted(arriving, MAP).writeStream.format("memory").queryName("judged").outputMode("append").option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True).start()
+    query = stream.accepted(arriving, MAP).writeStream.format("memory").queryName("judged").outputMode("append").option("checkpointLocation",
+        str(tmp_path / "marks")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.mission, r.seq): r.reject_reason for r in spark.table("judged").collect()} == want
 

@@ -46,7 +46,8 @@ def test_a_chain_of_displaced_captures(spark):
     got = {(r.rig, r.order): (r.position, r.reason) for r in images.match(spark.createDataFrame(captures, CAPTURES), spark.createDataFrame(pictures, IMAGES), ["rig"], False).collect()}
     assert got == walked(captures, pictures, False)
     none = spark.createDataFrame([], IMAGES)
-    assert [(r.image, r.basis) for r in images.match(spark.createDataFrame([(1, 0, None, None), (1, 1, 5, "x.jpg")], CAPTURES), none, ["rig"], True).orderBy("order").collect()] == [("image_000000.jpg", "generated_event_index"), ("x.jpg", "event_file_url")]
+    assert [(r.image, r.basis) for r in images.match(spark.createDataFrame([(1, 0, None, None), (1, 1, 5, "x.jpg")], CAPTURES), none, ["rig"],
+        True).orderBy("order").collect()] == [("image_000000.jpg", "generated_event_index"), ("x.jpg", "event_file_url")]
     assert images.match(spark.createDataFrame([], CAPTURES), none, ["rig"], False).count() == 0
 
 

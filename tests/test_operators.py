@@ -90,7 +90,8 @@ def test_blur_and_gradient_equal_numpy(spark):
 
 
 def test_thermal_never_exceeds_its_evidence(spark):
-    rows = spark.createDataFrame([(f, 0, x, x / 9, 1 - x / 9, 0.5, 0.9, 0.9, x / 9, x % 4 != 0, f == 0) for f in (0, 1) for x in range(10)], "frame long, y int, x int, visible double, thermal double, visible_detail double, thermal_detail double, contrast double, support double, valid boolean, eligible boolean")
+    rows = spark.createDataFrame([(f, 0, x, x / 9, 1 - x / 9, 0.5, 0.9, 0.9, x / 9, x % 4 != 0, f == 0) for f in (0, 1) for x in range(10)],
+        "frame long, y int, x int, visible double, thermal double, visible_detail double, thermal_detail double, contrast double, support double, valid boolean, eligible boolean")
     for r in raster.fuse(rows).collect():
         assert 0 <= r.thermal_contribution <= r.support and (r.valid or r.thermal_contribution == 0)
         assert r.eligible or (r.fused == r.visible and r.fusion_support == 0)
@@ -98,7 +99,8 @@ def test_thermal_never_exceeds_its_evidence(spark):
 
 
 def test_mosaic_of_two_frames(spark):
-    rows = spark.createDataFrame([(1, 1, 2.0, 3.0, 1.0, 1.0, 0.4, 1), (2, 2, 2.0, 3.0, 0.25, 0.0, 0.2, 0)], "frame long, seq long, east double, north double, weight double, value double, thermal double, class int")
+    rows = spark.createDataFrame([(1, 1, 2.0, 3.0, 1.0, 1.0, 0.4, 1), (2, 2, 2.0, 3.0, 0.25, 0.0, 0.2, 0)],
+        "frame long, seq long, east double, north double, weight double, value double, thermal double, class int")
     parts = mosaic.splat(rows, 10, 10)
     cell = mosaic.snapshot(mosaic.accumulate(parts)).first()
     assert (cell.row, cell.col, cell.coverage_count, cell.frame_count) == (3, 2, 2, 2)
@@ -158,7 +160,8 @@ def test_tracks_protocol_and_matching(spark):
     assert tracks.latest(points).first().seq == 3
     ids = spark.createDataFrame([("00042D",), ("12345N",), ("x",)], "s string").select(protocol.block_group(F.col("s"))).collect()
     assert [r[0] for r in ids] == ["d-block-000", "n-block-123", None]
-    boxes = spark.createDataFrame([(1, 1, True, None, 0.0, 0.0, 1.0, 1.0), (1, 2, False, 0.9, 0.0, 0.0, 1.0, 0.9), (1, 3, False, 0.8, 0.0, 0.0, 1.0, 1.0)], "image long, id long, is_truth boolean, score double, x double, y double, w double, h double")
+    boxes = spark.createDataFrame([(1, 1, True, None, 0.0, 0.0, 1.0, 1.0), (1, 2, False, 0.9, 0.0, 0.0, 1.0, 0.9), (1, 3, False, 0.8, 0.0, 0.0, 1.0, 1.0)],
+        "image long, id long, is_truth boolean, score double, x double, y double, w double, h double")
     assert {(r.id, r.hit) for r in kernels.match(boxes, 0.5).collect()} == {(2, 1), (3, 0)}
 
 
@@ -192,7 +195,8 @@ def test_annotations(spark):
 
 def test_telemetry_source(spark, tmp_path):
     log = tmp_path / "a.jsonl"
-    messages = [{"type": "GPS_RAW_INT", "lat": 11000000, "lon": 2147483647, "fix_type": 5, "time_usec": 2 * 10**15, "sysid": 1, "compid": 2}, {"type": "BAD_DATA"}, {"type": "CAMERA", "time_boot_ms": 1500, "file_url": "ftp://x/a%20b.jpg?q"}]
+    messages = [{"type": "GPS_RAW_INT", "lat": 11000000, "lon": 2147483647, "fix_type": 5, "time_usec": 2 * 10**15, "sysid": 1, "compid": 2}, {"type": "BAD_DATA"},
+        {"type": "CAMERA", "time_boot_ms": 1500, "file_url": "ftp://x/a%20b.jpg?q"}]
     log.write_text("\n".join(map(json.dumps, messages)))
     telemetry.register(spark)
     a, b = telemetry.normalized(spark.read.format("telemetry_log").option("path", str(log)).load()).orderBy("seq").collect()
@@ -201,7 +205,8 @@ def test_telemetry_source(spark, tmp_path):
 
 
 def test_pose_records(spark, tmp_path):
-    (tmp_path / "p.json").write_text(json.dumps({"records": [{"image_name": "a", "position": {"latitude_deg": 1.0, "longitude_deg": 2.0}, "capture_utc_ns": 5}, {"image_name": "b", "latitude_deg": 91.0}]}))
+    (tmp_path / "p.json").write_text(json.dumps({"records": [{"image_name": "a", "position": {"latitude_deg": 1.0, "longitude_deg": 2.0}, "capture_utc_ns": 5},
+        {"image_name": "b", "latitude_deg": 91.0}]}))
     rows = {r.image_name: (r.latitude_deg, r.reject_reason) for r in catalog.pose_records(spark, str(tmp_path)).collect()}
     assert rows == {"a": (1.0, None), "b": (91.0, "latitude_outside_limits")}
 
@@ -255,7 +260,8 @@ def test_farthest_pair_lies_on_the_hull(spark):
 def test_nearest_neighbor_however_far(spark):
     """A cluster, points some cells off, outliers, both sides of the date line and near a pole, against all pairs."""
     rng = np.random.default_rng(8)
-    places = [(46 + a, 7 + b) for a, b in rng.uniform(0, 0.01, (30, 2))] + [(46.3, 7.3), (46.0, 7.0199), (46.0149, 7.0), (46.5, 9.0), (-33.0, 151.0), (10.0, 179.9999), (10.0, -179.9999), (89.9, 0.0), (89.9, 120.0), (-60.0, -70.0)]
+    places = [(46 + a, 7 + b) for a, b in rng.uniform(0, 0.01, (30, 2))] + [(46.3, 7.3), (46.0, 7.0199), (46.0149, 7.0), (46.5, 9.0), (-33.0, 151.0), (10.0, 179.9999),
+        (10.0, -179.9999), (89.9, 0.0), (89.9, 120.0), (-60.0, -70.0)]
     places += [(46.2 + a, 8 + b) for a, b in rng.uniform(0, 0.2, (40, 2))]
     lat, lon = np.array(places).T
     x = np.radians((lon[None] - lon[:, None] + 180) % 360 - 180) * np.cos(np.radians((lat[None] + lat[:, None]) / 2))

@@ -14,7 +14,8 @@ CAPTURES = "rig long, target long, mono long, domain string, utc long, unc long"
 def test_captures_of_two_rigs_with_one_target(spark):
     unit = [1.0, 0.0, 0.0, 0.0]
     samples = spark.createDataFrame([(rig, 10 * rig + i, i * S, "d", None, 40.0 + rig + i / 100, 7.0, 100.0 * rig, unit) for rig in (1, 2) for i in range(3)], SAMPLES)
-    captures = spark.createDataFrame([(1, 7, S // 2, "d", None, 0), (2, 7, S // 2, "d", None, 0), (2, 7, S, "d", None, 0), (2, None, S, "d", None, 0), (1, None, None, None, None, 0), (3, 7, S, "d", None, 0)], CAPTURES)
+    captures = spark.createDataFrame([(1, 7, S // 2, "d", None, 0), (2, 7, S // 2, "d", None, 0), (2, 7, S, "d", None, 0), (2, None, S, "d", None, 0), (1, None, None,
+        None, None, 0), (3, 7, S, "d", None, 0)], CAPTURES)
     found = poses.poses(captures.withColumn("reason", F.lit(None).cast("string")), samples, ["rig"], 10 * S, 1.0, 1.0).collect()
     got = sorted(((r.rig, r.target, r.mono, r.alt and round(r.alt, 6), r.lat and round(r.lat, 6), r.reason) for r in found), key=repr)
     assert got == sorted(

@@ -26,7 +26,8 @@ def held(arrivals, keep, cap):
 @pytest.mark.parametrize("cap", [1, 4, 30])
 def test_layers_hold_what_arrivals_leave(spark, cap):
     rng = random.Random(cap)
-    layers = {name: [(i, None if rng.random() < 0.1 else rng.choice([i, i, rng.randint(0, 300), 290 if i == 199 else i])) for i in range(200)] for name in "abc"} | {"d": [(5, None)], "e": [(1, 10), (2, 0), (3, 10)]}
+    layers = {name: [(i, None if rng.random() < 0.1 else rng.choice([i, i, rng.randint(0, 300),
+        290 if i == 199 else i])) for i in range(200)] for name in "abc"} | {"d": [(5, None)], "e": [(1, 10), (2, 0), (3, 10)]}
     points = spark.createDataFrame([(name, i, t, "x") for name, rows in layers.items() for i, t in rows], "layer string, seq long, t long, v string").repartition(4)
     got = tracks.layer_retained(points, 40, cap).collect()
     assert sorted((r.layer, r.seq) for r in got) == sorted((n, s) for n, rows in layers.items() for s in held(rows, 40, cap))
@@ -62,7 +63,8 @@ def test_trees_differ_where_tokens_do(spark):
     assert {r.bucket for r in odd if r.level == 3} == {leaf("t77"), leaf("t3"), leaf("new")} and {r.level for r in odd} == {0, 1, 2, 3}
     failures = spark.createDataFrame([("t77", "b"), ("t77", "a"), ("t3", "x")], "sample string, reason string")
     told = {r["sample"]: (r.reason, r.failure_class) for r in protocol.reconciled(frame(ours), frame(theirs), failures).collect()}
-    assert told == {"t77": ("external runtime failure: a", "runtime"), "t3": ("invalid or duplicate sample_id", "integrity_or_completeness"), "new": ("unexpected output entry", "integrity_or_completeness")}
+    assert told == {"t77": ("external runtime failure: a", "runtime"), "t3": ("invalid or duplicate sample_id", "integrity_or_completeness"),
+        "new": ("unexpected output entry", "integrity_or_completeness")}
 
 
 def test_curves_over_ranges_with_one_hot_confidence(spark):

@@ -44,12 +44,14 @@ def test_readers_keep_their_generation(spark, tmp_path):
 
 def test_objects_before_their_frame_and_without_a_box(spark):
     frame = (1, 5, "f", 0, 0, 0.0, 0.0, 50.0, [0.0, 1.0, 0.0, 0.0], 0.1, 0.1, 0.1, 0.0, 0.0, 0.001)
-    context = objects.contexts(spark.createDataFrame([frame], "mission long, seq long, frame string, t long, pose_t long, e double, n double, up double, optical array<double>, se double, sn double, su double, speed double, turn double, attitude_sigma double"))
+    context = objects.contexts(spark.createDataFrame([frame],
+        "mission long, seq long, frame string, t long, pose_t long, e double, n double, up double, optical array<double>, se double, sn double, su double, speed double, turn double, attitude_sigma double"))
     box = lambda i, arrival, name="f", calibration="c1", w=40.0, sigma=0.5, mission=1: (mission, i, arrival, name, calibration, 300.0, 200.0, w, 40.0, sigma)
     rows = [box(1, 6), box(2, 5), box(3, 4), box(4, 6, "g"), box(5, 6, calibration=None), box(6, 6, w=0.0), box(7, 6, sigma=900.0), box(8, 6, name=None), box(9, 6, mission=2), box(10, 6)]
     boxes = spark.createDataFrame(rows, "mission long, object long, arrival long, frame string, calibration string, x double, y double, w double, h double, pixel_sigma double")
     found = objects.located(objects.anchored(boxes), context, queries.CAMERA, queries.ORIGIN, 0.0, 47.5, 0.7, 150.0, 1.6).collect()
-    short = {"object_reference_calibration_mismatch": "calibration", "source_frame_was_not_accepted_into_atlas": "frame", "object_anchor_has_no_safe_ground_intersection": "ground", "object_projected_uncertainty_exceeds_limit": "sigma"}
+    short = {"object_reference_calibration_mismatch": "calibration", "source_frame_was_not_accepted_into_atlas": "frame",
+        "object_anchor_has_no_safe_ground_intersection": "ground", "object_projected_uncertainty_exceeds_limit": "sigma"}
     assert {r.object: short.get(r.reason) for r in found} == {1: None, 2: "frame", 3: "frame", 4: "frame", 5: "calibration", 6: "ground", 7: "sigma", 8: "frame", 9: "frame", 10: None}
     assert all((r.lat is None) == (r.reason is not None) for r in found)
     assert objects.located(objects.anchored(boxes.limit(0)), context, queries.CAMERA, queries.ORIGIN, 0.0, 47.5, 0.7, 150.0, 1.6).count() == 0

@@ -34,8 +34,10 @@ def searched(rows, policy):
 def test_nearest_equals_a_search(spark):
     rng = random.Random(3)
     policy = sync.Policy(exact=2, fusion=20, stale=30)
-    rows = [(i, rng.randint(0, 4), rng.choice(["ref", "a", "a", "b"]), rng.choice([None, *range(-90, 400, 1)]) if i % 9 else 60, rng.choice([None, 0, 1, 5, 40]), rng.choice(["p", "p", "p", "q", None])) for i in range(700)]
-    rows += [(900, 7, "ref", 5, 1, "p"), (901, 7, "a", 5, 1, "q"), (902, 7, "b", None, 1, "p"), (903, 8, "ref", 5, None, "p"), (904, 8, "a", 5, 0, "p"), (905, 8, "b", 400, 0, "p"), (906, 9, "ref", 0, 0, None)]
+    rows = [(i, rng.randint(0, 4), rng.choice(["ref", "a", "a", "b"]), rng.choice([None, *range(-90, 400, 1)]) if i % 9 else 60, rng.choice([None, 0, 1, 5, 40]),
+        rng.choice(["p", "p", "p", "q", None])) for i in range(700)]
+    rows += [(900, 7, "ref", 5, 1, "p"), (901, 7, "a", 5, 1, "q"), (902, 7, "b", None, 1, "p"), (903, 8, "ref", 5, None, "p"), (904, 8, "a", 5, 0, "p"), (905, 8, "b",
+        400, 0, "p"), (906, 9, "ref", 0, 0, None)]
     got = {(r.ref, r.stream): (r.seq, r.skew_ns, r.effective_ns, r.state) for r in sync.nearest(spark.createDataFrame(rows, OBS).repartition(4), "ref", policy).collect()}
     want = searched(rows, policy)
     assert got == want and {s for *_, s in want.values()} >= {"missing", "unknown", "incompatible_clock_domain", "unsynchronized", "exact", "late", "future", "bounded_skew"}

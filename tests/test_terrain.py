@@ -57,9 +57,12 @@ def test_ridge_touched_between_two_samples(gap):
 def test_projected_equals_one_window(spark):
     s = terrain.Surface(0.0, 60.0, 1.0, 60, 60, max_range=90.0, tolerance=1e-6, step=0.25, tile=16)
     grid, rng = field(60, 60, 5), np.random.default_rng(6)
-    rays = [(i, float(rng.choice([12.0, 12.1, 40.0, 70.0])), float(rng.uniform(2, 58)), 25.0, float(rng.normal(0, 0.5)), float(rng.normal(0, 0.5)), -1.0, 0.2, None, 0.1, float(i % 3) * 0.01) for i in range(120)]
-    rays += [(200, 5.0, 5.0, 20.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), (201, None, 5.0, 20.0, 0.0, 0.0, -1.0, 0.0, 0.0, 0.0, 0.0), (202, 30.0, 30.0, 25.0, 0.0, 0.0, -2.0, 0.0, 0.0, 0.0, 0.02), (203, 30.0, 30.0, 25.0, 1.0, 0.0, 0.1, 0.0, 0.0, 0.0, 0.0)]
-    cells = spark.createDataFrame([(r, c, float(grid[r, c]), 0.1) for r in range(60) for c in range(60) if np.isfinite(grid[r, c])] + [(99, 0, 9.0, 0.1)], "row int, col int, height double, sigma double")
+    rays = [(i, float(rng.choice([12.0, 12.1, 40.0, 70.0])), float(rng.uniform(2, 58)), 25.0, float(rng.normal(0, 0.5)), float(rng.normal(0, 0.5)), -1.0, 0.2, None, 0.1,
+        float(i % 3) * 0.01) for i in range(120)]
+    rays += [(200, 5.0, 5.0, 20.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), (201, None, 5.0, 20.0, 0.0, 0.0, -1.0, 0.0, 0.0, 0.0, 0.0), (202, 30.0, 30.0, 25.0, 0.0, 0.0, -2.0,
+        0.0, 0.0, 0.0, 0.02), (203, 30.0, 30.0, 25.0, 1.0, 0.0, 0.1, 0.0, 0.0, 0.0, 0.0)]
+    cells = spark.createDataFrame([(r, c, float(grid[r, c]), 0.1) for r in range(60) for c in range(60) if np.isfinite(grid[r, c])] + [(99, 0, 9.0, 0.1)],
+        "row int, col int, height double, sigma double")
     terrain.RAYS, kept = 25, terrain.RAYS  # several tasks for one tile
     try:
         got = {r.ray: r for r in terrain.projected(spark.createDataFrame(rays, RAYS), terrain.tiles(cells, s), s).collect()}
