@@ -41,18 +41,18 @@ def edges(image: np.ndarray) -> np.ndarray:
     return np.hypot(0.5 * (wide[1:-1, 2:] - wide[1:-1, :-2]), 0.5 * (wide[2:, 1:-1] - wide[:-2, 1:-1]))
 
 
-def phase_shift(reference: np.ndarray, moving: np.ndarray, reach: int, least_energy: float = 1e-3) -> tuple[int, int, float]:
-    """Shift that lays ``moving`` on ``reference`` and a confidence; 0 and no shift where either has too few edges."""
+def phase_shift(reference: np.ndarray, moving: np.ndarray, reach: int, least_energy: float = 1e-4, least_confidence: float = 0.05) -> tuple[int, int, float]:
+    """Shift that lays ``moving`` on ``reference`` and a confidence, from how far the peak stands out; 0 and no shift where either's mean edge is too weak."""
     a, b = edges(reference), edges(moving)
-    if min(a.std(), b.std()) < least_energy:
+    if min(a.mean(), b.mean()) < least_energy:
         return 0, 0, 0.0
     window = np.outer(np.hanning(a.shape[0]), np.hanning(a.shape[1]))
     cross = np.fft.rfft2((a - a.mean()) * window) * np.conj(np.fft.rfft2((b - b.mean()) * window))
-    peaks = np.fft.irfft2(cross / np.maximum(np.abs(cross), 1e-12), a.shape)
+    peaks = np.abs(np.fft.irfft2(cross / np.maximum(np.abs(cross), 1e-8), a.shape))
     near = np.roll(peaks, (reach, reach), (0, 1))[: 2 * reach + 1, : 2 * reach + 1]
     dy, dx = np.unravel_index(int(near.argmax()), near.shape)
-    ratio = near.max() / max(float(np.percentile(np.abs(peaks), 99)), 1e-12)
-    return int(dy) - reach, int(dx) - reach, float(np.clip((ratio - 1) / 4, 0, 1))
+    ratio = near.max() / max(float(np.percentile(peaks, 99)), 1e-8)
+    return int(dy) - reach, int(dx) - reach, float(np.clip((ratio - 1) / 4, least_confidence, 1))
 
 
 def register(pairs: DataFrame, reach: int = 16) -> DataFrame:
