@@ -5,8 +5,8 @@ link if their Jaccard similarity reaches ``SIMILAR``, so they occur together in
 the sizes. DivideSkip parts a document's lists: the L longest, L = T / (1 + MU * log2 M) with M the longest list, are
 set aside. Whatever reaches T must turn up in T - L of the short ones, as the first common shingles in the
 order of lists lie among either set's shortest n - L. Those are merged with a heap that skips what cannot reach T - L; what does reach it is
-probed by binary search in the long lists, and retained if it reaches T in all. Which lists are long is told by a count sketch of fixed size over all
-documents; it orders lists only, so its errors cost time and never a link.
+probed by binary search in the long lists, and retained if it reaches T in all. Which lists are long is told by a count sketch over all
+documents, larger for larger tables within a bound; it orders lists only, so its errors cost time and never a link.
 
 The short lists are (shingle, document) rows that Spark sorts and joins. The long ones are by far the most and never travel: a posting
 (shingle, document) of theirs is stored with its document, sorted, and "is s in list t" is a binary search for t in the postings of s.
@@ -34,6 +34,7 @@ of its set, and has a null component if no row with an id has that set. Empty ta
 from __future__ import annotations
 
 import heapq
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,7 +50,8 @@ from pyspark.sql import functions as F
 from evifuse.llm.shared import materialize, raw_texts
 
 WORDS, SIMILAR = 3, 90  # words of a shingle; least similarity in hundredths
-SKETCH_BITS, CHUNK_BITS = 21, 16
+#: Counters of the sketch as a power of two: by the bytes of all texts for each, within these bounds, as they pass through the driver.
+SKETCH_BITS, MOST_BITS, BYTES_EACH, CHUNK_BITS = 21, 24, 72, 16
 #: DivideSkip's coefficient: merging costs a shuffle and probing does not, so most lists are set aside. Postings of a list that stay together.
 MU, PART = 0.001, 4096
 #: Slots of the short parities that go with the lists.
@@ -86,28 +88,31 @@ def shingles(raw: bytes | None, hashes: Hashes, size: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """Counters of all documents' shingles: their number is fixed, so it may pass through the driver."""
+    """Counters of all documents' shingles: their number is bounded, so they may pass through the driver. With too few for a table, lists of some length are not told from noise."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max((total // BYTES_EACH).bit_length(), SKETCH_BITS), MOST_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, hashes = np.zeros(1 << SKETCH_BITS, np.int64), Hashes()
+        counters, hashes = np.zeros(1 << bits, np.uint32), Hashes()
         for batch in batches:
             found = [shingles(raw, hashes, size) for raw in raw_texts(batch)]
             if found:
-                counters += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-        for i in range(0, 1 << SKETCH_BITS, 1 << CHUNK_BITS):
+                np.add.at(counters, np.concatenate(found) >> np.uint64(64 - bits), 1)
+        for i in range(0, 1 << bits, 1 << CHUNK_BITS):
             part = counters[i : i + (1 << CHUNK_BITS)]
             if part.any():
-                yield pa.record_batch({"chunk": pa.array([i], pa.int64()), "counts": [part.astype("<u4").tobytes()]})
+                yield pa.record_batch({"chunk": pa.array([i], pa.int64()), "counts": [zlib.compress(part.astype("<u4" if part.max() > 255 else "u1").tobytes(), 1)]})
 
     def add(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CHUNK_BITS, np.int64)
         for batch in rows:
             for raw in batch.column("counts").to_pylist():
-                total += np.frombuffer(raw, "<u4")
+                counts = zlib.decompress(raw)
+                total += np.frombuffer(counts, "u1" if len(counts) == len(total) else "<u4")
         yield pa.record_batch({"chunk": pa.array([key[0].as_py()], pa.int64()), "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
 
     counted = docs.select("text").mapInArrow(count, "chunk long, counts binary")
-    out = np.zeros(1 << SKETCH_BITS, np.uint32)
+    out = np.zeros(1 << bits, np.uint32)
     for row in counted.groupBy("chunk").applyInArrow(add, "chunk long, counts binary").collect():
         out[row.chunk : row.chunk + (1 << CHUNK_BITS)] = np.frombuffer(bytes(row.counts), "<u4")
     return out
@@ -115,9 +120,12 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
 
 def weights_of(counters: np.ndarray) -> np.ndarray:
     """List length classes: 0 for what the sketch can't tell from its noise, else the logarithm of the count beyond it."""
-    mean = float(np.median(counters)) if len(counters) else 0.0
-    beyond = counters - mean - 8 * np.sqrt(mean + 1) - 8
-    return np.where(beyond > 0, np.log2(np.maximum(beyond, 1)) + 1, 0).astype(np.uint8)
+    mean = float(np.median(counters[: 1 << SKETCH_BITS])) if len(counters) else 0.0  # any part of them stands for all
+    out = np.zeros(len(counters), np.uint8)
+    for i in range(0, len(counters), 1 << SKETCH_BITS):
+        beyond = counters[i : i + (1 << SKETCH_BITS)] - mean - 8 * np.sqrt(mean + 1) - 8
+        out[i : i + (1 << SKETCH_BITS)] = np.where(beyond > 0, np.log2(np.maximum(beyond, 1)) + 1, 0)
+    return out
 
 
 @dataclass
@@ -151,7 +159,7 @@ class Divide:
         return t - F.least(F.floor(t / F.lit(1 + MU * self.longest)), t - 1)
 
     def weight(self, found: np.ndarray) -> np.ndarray:
-        return self.weights[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+        return self.weights[(found >> np.uint64(65 - len(self.weights).bit_length())).astype(np.int64)]
 
     def parted(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Short and long lists of a set, the shortest first; all sets order lists alike."""
