@@ -271,3 +271,20 @@ def test_nearest_neighbor_however_far(spark):
     got = dict(rasters.nearest_distances(points).collect())
     assert len(got) == len(places) and np.allclose([got[i] for i in range(len(places))], d.min(axis=1), rtol=1e-9)
     assert rasters.nearest_distances(points.limit(1)).collect()[0].metres is None
+
+
+def test_nearest_neighbor_of_dense_points_meets_few(spark):
+    """Points denser than the widest cells: copies are settled at once, the cells are fine, the distances those of all pairs."""
+    rng = np.random.default_rng(9)
+    places = [(46 + a, 7 + b) for a, b in rng.uniform(0, 0.004, (600, 2))] + [(46.001, 7.001)] * 50 + [(46.7, 7.7)]
+    lat, lon = np.array(places).T
+    x = np.radians(lon[None] - lon[:, None]) * np.cos(np.radians((lat[None] + lat[:, None]) / 2))
+    d = geo.EARTH_RADIUS * np.sqrt(x**2 + np.radians(lat[None] - lat[:, None]) ** 2)
+    np.fill_diagonal(d, np.inf)
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(places)] + [(9001, None, 7.0), (9002, None, 7.0)], "id long, lat double, lon double")
+    got = dict(rasters.nearest_distances(points).collect())
+    assert len(got) == len(places) + 2 and got[9001] is None and got[9002] is None
+    assert np.allclose([got[i] for i in range(len(places))], d.min(axis=1), rtol=1e-9)
+    n = rasters._fine_cells(points.where("lat IS NOT NULL").dropDuplicates(["lat", "lon"]))
+    held = points.where("lat IS NOT NULL").dropDuplicates(["lat", "lon"]).withColumns(rasters._cells(n)).groupBy("cy", "cx").count().collect()
+    assert n > 72_000 and max(r["count"] for r in held) < 60
