@@ -52,3 +52,12 @@ def test_blur_over_mirrored_borders(spark):
         want = {(y, x): wide[y : y + 2 * radius + 1, x : x + 2 * radius + 1].mean() for y in range(h) for x in range(w)}
         got = {(r.y, r.x): r.v for r in raster.box_blur(rows, h, w, radius).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_resets_do_not_depend_on_the_order_of_rows(spark):
+    """Observations that arrive at once come by their times, so none of them went back on another."""
+    rows = [(seq, 1, "a", t) for seq, t in ((1, 50), (1, 20), (1, 40), (2, 30), (2, 60), (3, 10))]
+    for held in (rows, rows[::-1]):
+        df = spark.createDataFrame(held, "seq long, rig long, stream string, t long").coalesce(1)
+        got = sorted((r.seq, r.t, r.before) for r in sync.went_back(df, ["rig", "stream"]).collect())
+        assert got == [(2, 30, 50), (3, 10, 60)]
