@@ -1,7 +1,9 @@
 """Frames judged against the plain walk through arrivals, in batch and as a stream; all reasons occur."""
 
 import random
+import weakref
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from evifuse.operators import gates, grid
@@ -84,3 +86,38 @@ def test_empty_map(spark):
     judged = grid.judged(grid.summaries(none, spark.createDataFrame(samples, SAMPLES), MAP), MAP)
     assert judged.count() == 0
     assert grid.snapshot(judged, grid.contributions(judged, spark.createDataFrame(samples, SAMPLES), MAP), MAP).count() == 0
+
+
+def test_stream_holds_no_batch(monkeypatch):
+    """Rows of a mission wait for their turn as numbers: of the batches only the last is held, and the results go out in pieces."""
+    seen, state = [], {}
+
+    def batches():
+        for start in (200, 100, 0):  # the last to arrive come first
+            assert all(ref() is None for ref in seen[:-1])
+            seqs = range(start, start + 100)
+            df = pd.DataFrame({"seq": seqs, "frame": [str(s % 150) for s in seqs], "classes": [[s % 4] if s % 3 else [] for s in seqs], "before": [None if s % 7 else "early" for s in seqs], "after": None})
+            seen.append(weakref.ref(df))
+            yield df
+            del df
+
+    class State:
+        exists = False
+
+        def update(self, value):
+            state["held"] = value
+
+    monkeypatch.setattr(stream, "CHUNK", 64)
+    out = list(stream.stepping(grid.Settings(0, 0, 1, 4, 4, max_classes=2))((1,), batches(), State()))
+    assert max(map(len, out)) == 64 and sum(map(len, out)) == 300
+    frames, classes, want = set(), set(), []
+    for s in range(300):
+        own = {s % 4} if s % 3 else set()
+        reason = "early" if s % 7 == 0 else "duplicate_frame_id" if str(s % 150) in frames else "semantic_class_limit_exceeded" if own and len(classes | own) > 2 else None
+        if reason is None:
+            frames.add(str(s % 150))
+            classes |= own
+        want.append((s, reason))
+    got = pd.concat(out)
+    assert [(s, r) for s, r in zip(got.seq, got.reject_reason)] == want
+    assert state["held"] == (sorted(frames), sorted(classes))
