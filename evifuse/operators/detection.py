@@ -47,16 +47,16 @@ def overlap(box: np.ndarray, boxes: np.ndarray) -> np.ndarray:
     return shared / np.maximum(w * h + c * d - shared, 1e-12)
 
 
-def match_bits(predicted: Lists, truth: Lists, thresholds=THRESHOLDS) -> np.ndarray:
-    """Bit t of each prediction: whether it takes a truth of its image at threshold t.
+def taken(predicted: Lists, truth: Lists, thresholds=THRESHOLDS) -> np.ndarray:
+    """The truth, as its row, that each prediction takes at each threshold; -1 for none.
 
     Predictions of an image stand in order; each takes the free truth that it overlaps most, the first of equal ones, if that reaches the
     threshold. All images with about as many truths go together, prediction by prediction, all thresholds at once.
     """
     (starts, boxes), (at, held) = predicted, truth
     counts, sizes = np.diff(starts), np.diff(at)
-    bits, least = np.zeros(len(boxes), np.int64), np.array(thresholds)
-    powers = 1 << np.arange(len(least))
+    least = np.array(thresholds)
+    rows = np.full((len(boxes), len(least)), -1, np.int64)
     for width in sorted({1 << int(s - 1).bit_length() for s in sizes if s}):
         alike = np.flatnonzero((sizes <= width) & (sizes > width // 2) & (counts > 0))
         most = max(1, CELLS // (width * len(least)))
@@ -72,10 +72,15 @@ def match_bits(predicted: Lists, truth: Lists, thresholds=THRESHOLDS) -> np.ndar
                 near = np.where(free[:n], overlap(boxes[row][:, None], boxed[:n])[:, :, None], -1.0)
                 best = near.argmax(1)
                 hit = np.take_along_axis(near, best[:, None], 1)[:, 0] >= least
-                bits[row] = (hit * powers).sum(1)
+                rows[row] = np.where(hit, at[images[:n]][:, None] + best, -1)
                 i, t = np.nonzero(hit)
                 free[i, best[i, t], t] = False
-    return bits
+    return rows
+
+
+def match_bits(predicted: Lists, truth: Lists, thresholds=THRESHOLDS) -> np.ndarray:
+    """Bit t of each prediction: whether it takes a truth of its image at threshold t, as ``taken`` tells."""
+    return ((taken(predicted, truth, thresholds) >= 0) << np.arange(len(thresholds))).sum(1)
 
 
 def matched(truth: DataFrame, predictions: DataFrame, keys: list[str], thresholds=THRESHOLDS) -> DataFrame:
@@ -127,16 +132,16 @@ def blocks(bits: DataFrame, size: int = BLOCK) -> DataFrame:
     return rows.mapInArrow(packed, "view string, part long, grps array<string>, codes binary, bits binary")
 
 
-def weights_of(drawn: DataFrame) -> DataFrame:
-    """grp, chunk, weights: how often each of ``REPLICATES`` replicates draws a group, from (rep, grp, times)."""
-    of = drawn.select(F.col("grp").cast("string").alias("grp"), F.expr(f"CAST(rep DIV {REPLICATES} AS INT)").alias("chunk"),
-        (F.col("rep") % REPLICATES).cast("int").alias("slot"), F.col("times").cast("int").alias("times"))
+def weights_of(drawn: DataFrame, width: int) -> DataFrame:
+    """grp, chunk, weights: how often each of ``width`` replicates draws a group, from (rep, grp, times)."""
+    of = drawn.select(F.col("grp").cast("string").alias("grp"), F.expr(f"CAST(rep DIV {width} AS INT)").alias("chunk"),
+        (F.col("rep") % width).cast("int").alias("slot"), F.col("times").cast("int").alias("times"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for entries in batch.column("entries").to_pylist():
-                row = np.zeros(REPLICATES, "<u4")
+                row = np.zeros(width, "<u4")
                 for e in entries:
                     row[e["slot"]] += e["times"]
                 out.append(row.tobytes())
@@ -145,16 +150,16 @@ def weights_of(drawn: DataFrame) -> DataFrame:
     return of.groupBy("grp", "chunk").agg(F.collect_list(F.struct("slot", "times")).alias("entries")).mapInArrow(packed, "grp string, chunk int, weights binary")
 
 
-def _block(row: dict, thresholds: int) -> tuple[np.ndarray, np.ndarray]:
+def _block(row: dict, thresholds: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights (predictions x replicates) and hits (thresholds x predictions) of a block."""
-    none = bytes(4 * REPLICATES)
+    none = bytes(4 * width)
     table = np.stack([np.frombuffer(w if w is not None else none, "<u4") for w in row["weights"]]).astype(np.float64)
     marks = np.frombuffer(row["bits"], "<i8")
     return table[np.frombuffer(row["codes"], "<i4")], (marks >> np.arange(thresholds)[:, None] & 1).astype(np.float64)
 
 
 def _floats(raw: bytes, *shape: int) -> np.ndarray:
-    return np.frombuffer(raw, "<f8").reshape(*shape, REPLICATES)
+    return np.frombuffer(raw, "<f8").reshape(*shape, -1)
 
 
 KEYS = "view string, chunk int, part long"
@@ -198,16 +203,17 @@ def curves(bits: DataFrame, sizes: DataFrame, drawn: DataFrame, replicates: int,
     bits: view, grp, image, id, score, bits. sizes: grp, images, boxes. drawn: rep, grp, times. ap_50_95 is the mean over all
     thresholds, ap50 that of the first, miss_rate the log-average miss rate at the first.
     """
-    n_chunks, many = -(-replicates // REPLICATES), len(thresholds)
+    width, many = min(REPLICATES, max(replicates, 1)), len(thresholds)  # no more columns than replicates
+    n_chunks = -(-replicates // width)
     chunk = F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk")
     packed = written(blocks(bits, size), "detection-blocks")
-    weights = written(weights_of(drawn), "detection-weights")
+    weights = written(weights_of(drawn, width), "detection-weights")
     named = packed.select("view", "part", F.posexplode("grps").alias("at", "grp")).select("*", chunk).join(weights, ["grp", "chunk"], "left")
     held = named.groupBy("view", "part", "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "weights"))), lambda s: s["weights"]).alias("weights"))  # the groups of one block
     woven = written(packed.drop("grps").join(held, ["view", "part"]), "detection-woven")
 
     def totals(row: dict):
-        w, hits = _block(row, many)
+        w, hits = _block(row, many, width)
         return hits @ w, w.sum(0)
 
     sums = written(_per_block(woven, ["tp", "n"], totals), "detection-sums")
@@ -215,7 +221,7 @@ def curves(bits: DataFrame, sizes: DataFrame, drawn: DataFrame, replicates: int,
     begun = woven.join(before, ["view", "chunk", "part"])
 
     def running(row: dict):
-        w, hits = _block(row, many)
+        w, hits = _block(row, many, width)
         n, tp = _floats(row["n"])[None] + np.cumsum(w, 0), _floats(row["tp"], many)
         for t in range(many):
             yield w, hits[t] > 0, n, tp[t][None] + np.cumsum(w * hits[t][:, None], 0)
@@ -227,20 +233,20 @@ def curves(bits: DataFrame, sizes: DataFrame, drawn: DataFrame, replicates: int,
     whole = sizes.select(F.col("grp").cast("string").alias("grp"), "images", "boxes").join(drawn.select(F.col("grp").cast("string").alias("grp"), "rep", "times"), "grp")
     whole = whole.groupBy("rep").agg(F.sum(F.col("times") * F.col("boxes")).alias("boxes"), F.sum(F.col("times") * F.col("images")).alias("images"))
     whole = written(whole, "detection-sizes")
-    images = whole.select(F.expr(f"CAST(rep DIV {REPLICATES} AS INT)").alias("chunk"), F.struct((F.col("rep") % REPLICATES).alias("slot"),
+    images = whole.select(F.expr(f"CAST(rep DIV {width} AS INT)").alias("chunk"), F.struct((F.col("rep") % width).alias("slot"),
         "images").alias("s")).groupBy("chunk").agg(F.collect_list("s").alias("per_image"))
 
     def areas(row: dict):
-        last, per = _floats(row["top"], many), np.full(REPLICATES, np.inf)
+        last, per = _floats(row["top"], many), np.full(width, np.inf)
         for s in row["per_image"]:
             per[s["slot"]] = s["images"]
-        area, found = np.zeros((many, REPLICATES)), np.zeros((len(RATES), REPLICATES))
+        area, found = np.zeros((many, width)), np.zeros((len(RATES), width))
         for t, (w, hit, n, tp) in enumerate(running(row)):
             best = np.vstack([(tp[hit] / np.maximum(n[hit], 1e-12)), last[t][None]])
             area[t] = (w[hit] * np.maximum.accumulate(best[::-1], 0)[::-1][:-1]).sum(0)
             if t == 0:
                 rate = (n - tp) / per[None]
-                ends = np.vstack([np.zeros((1, REPLICATES)), tp])
+                ends = np.vstack([np.zeros((1, width)), tp])
                 for i, most in enumerate(RATES):
                     found[i] = np.take_along_axis(ends, (rate <= most).sum(0)[None], 0)[0]
         return area, found
@@ -256,7 +262,7 @@ def curves(bits: DataFrame, sizes: DataFrame, drawn: DataFrame, replicates: int,
                 at = held.setdefault((row["view"], row["chunk"]), [np.zeros_like(area), np.zeros_like(found)])
                 at[0], at[1] = at[0] + area, np.maximum(at[1], found)
         for (view, number), (area, found) in held.items():
-            rows = [(view, number * REPLICATES + r, kind, i, float(x[i, r])) for kind, x in (("area", area), ("found", found)) for r in range(REPLICATES) for i in range(len(x))]
+            rows = [(view, number * width + r, kind, i, float(x[i, r])) for kind, x in (("area", area), ("found", found)) for r in range(width) for i in range(len(x))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["view", "rep", "kind", "i", "value"])
 
     each = parts.mapInArrow(told, "view string, rep long, kind string, i long, value double").groupBy("view", "rep", "i").agg(F.sum(F.when(F.col("kind") == "area",

@@ -87,3 +87,12 @@ def test_nothing_to_find(spark):
     sizes = spark.createDataFrame([("g", 1, 0)], "grp string, images long, boxes long")
     assert [tuple(r) for r in detection.detection_metrics(bits, sizes).collect()] == [("v", 0.0, 0.0, 1.0)]
     assert detection.detection_metrics(bits.limit(0), sizes).count() == 0
+
+
+def test_weights_have_no_more_columns_than_replicates(spark):
+    drawn = spark.createDataFrame([(0, "a", 2), (1, "a", 1), (2, "b", 4)], "rep long, grp string, times int")
+    got = {(r.grp, r.chunk): list(np.frombuffer(r.weights, "<u4")) for r in detection.weights_of(drawn, 2).collect()}
+    assert got == {("a", 0): [2, 1], ("b", 1): [4, 0]}
+    bits = spark.createDataFrame([("v", "a", 1, 1, 0.5, 1)], "view string, grp string, image long, id long, score double, bits long")
+    sizes = spark.createDataFrame([("a", 1, 1)], "grp string, images long, boxes long")
+    assert [r.rep for r in detection.curves(bits, sizes, spark.createDataFrame([(0, "a", 1)], "rep long, grp string, times int"), 1, (0.5,)).collect()] == [0]
