@@ -288,3 +288,31 @@ def test_nearest_neighbor_of_dense_points_meets_few(spark):
     n = rasters._fine_cells(points.where("lat IS NOT NULL").dropDuplicates(["lat", "lon"]))
     held = points.where("lat IS NOT NULL").dropDuplicates(["lat", "lon"]).withColumns(rasters._cells(n)).groupBy("cy", "cx").count().collect()
     assert n > 72_000 and max(r["count"] for r in held) < 60
+
+
+def test_matching_takes_many_images_at_once(spark):
+    """Images of any sizes, ties, none of a kind: as one by one, without a call for each image."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for image in range(60):
+        for i in range(int(rng.integers(1, 12))):
+            rows.append((image, image * 100 + i, bool(rng.integers(0, 2)), float(rng.integers(0, 4)) / 4, *(float(v) for v in rng.integers(0, 3, 2) / 4), 0.5, float(rng.integers(1, 3)) / 2))
+    want = set()
+    for image in range(60):
+        own = [r for r in rows if r[0] == image]
+        truth, used = sorted(r for r in own if r[2]), set()
+        for p in sorted((r for r in own if not r[2]), key=lambda r: (-r[3], r[1])):
+            best = None
+            for t in truth:
+                if t[1] not in used:
+                    shared = max(min(p[4] + p[6], t[4] + t[6]) - max(p[4], t[4]), 0) * max(min(p[5] + p[7], t[5] + t[7]) - max(p[5], t[5]), 0)
+                    iou = shared / max(p[6] * p[7] + t[6] * t[7] - shared, 1e-12)
+                    if best is None or iou > best[0]:
+                        best = iou, t[1]
+            hit = best is not None and best[0] >= 0.5
+            used |= {best[1]} if hit else set()
+            want.add((image, p[1], p[3], int(hit), best[1] if hit else None))
+    df = kernels.match(spark.createDataFrame(rows, "image long, id long, is_truth boolean, score double, x double, y double, w double, h double"), 0.5)
+    assert set(map(tuple, df.collect())) == want and len({w[3] for w in want}) == 2
+    plan = df._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
