@@ -124,7 +124,7 @@ def base_failed() -> Column:
 
 def binomial_tail(k: Column, n: Column, p: Column) -> Column:
     """P(X <= k) of a binomial distribution, its terms added from their logarithms."""
-    odds, none = F.log(p / (1 - p)), n * F.log(1 - p)
+    odds, none = F.log(F.lit(p / (1 - p))), n * F.log(F.lit(1 - p))
     start = F.struct(none.alias("term"), F.exp(none).alias("sum"))
 
     def step(acc, i):
