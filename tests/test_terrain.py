@@ -54,6 +54,20 @@ def test_ridge_touched_between_two_samples(gap):
     assert abs(east - (20.5 if gap == 0 else 27.5 + 18 - 0.0)) < 0.2 if gap == 0 else np.isnan(east) or east > 21
 
 
+def test_sample_within_the_tolerance_is_no_landing_yet():
+    """Where a sample is just above or below a plane, the landing is still where the ray passes it; beyond it the ground must be known."""
+    s = terrain.Surface(0.0, 21.0, 1.0, 21, 41, max_range=60.0, tolerance=1e-3, step=1.0, tile=64)
+    down = np.array([[0.6, 0.0, -0.8]])
+    for off in (-9e-4, -1e-5, 0.0, 1e-5, 9e-4):  # of the landing from the tenth sample
+        origin = np.array([[3.0, 10.0, 8.0 + 0.8 * off]])
+        assert abs(whole(s, np.zeros((21, 41))).landings(origin, down, -5.0)[0] - (10 + off)) < 1e-9
+    short = np.zeros((21, 41))
+    short[:, 10:] = np.nan  # the eleventh sample is at east 9.6
+    origin = np.array([[3.0, 10.0, 8.0 + 0.8 * 5e-4], [3.0, 10.0, 8.0 - 0.8 * 5e-4]])
+    reach = whole(s, short).landings(origin, np.repeat(down, 2, 0), -5.0)
+    assert np.isnan(reach[0]) and abs(reach[1] - 10 + 5e-4) < 1e-9
+
+
 def test_projected_equals_one_window(spark):
     s = terrain.Surface(0.0, 60.0, 1.0, 60, 60, max_range=90.0, tolerance=1e-6, step=0.25, tile=16)
     grid, rng = field(60, 60, 5), np.random.default_rng(6)
