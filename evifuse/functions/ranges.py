@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from evifuse.sources.scratch import written
 
+#: Rows that a task groups or sorts at once.
+PART = 1 << 18
+
+
+def parts(rows: DataFrame) -> int:
+    """Into how many tasks rows are dealt: as many more as there are more rows. They are counted, so they should be cheap to read."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PART))
+
 
 def cut(rows: DataFrame, key: str, count: int) -> list:
     """Ascending bounds of at most ``count`` ranges with about equally many rows."""

@@ -7,12 +7,16 @@ only those rows are ordered.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from evifuse.functions.ranges import cut, numbered, range_of
+from evifuse.functions.ranges import cut, numbered, parts, range_of
 from evifuse.sources.scratch import written
 
 Keys = list[str]
@@ -90,32 +94,59 @@ def auroc(curve: DataFrame, keys: Keys) -> DataFrame:
 
 
 def precision_curve(rows: DataFrame, keys: Keys) -> DataFrame:
-    """Ranked hits (confidence first, then id) with running precision, recall and misses. rows: confidence, id, hit."""
-    parted = _by_confidence(rows.select(*keys, "confidence", "id", "hit"), keys)
-    within = Window.partitionBy(*keys, "part").orderBy(F.desc("confidence"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    sums = parted.groupBy(*keys, "part").agg(F.sum("hit").alias("tp"), F.count(F.lit(1)).alias("n"))  # a row for each key and range
+    """Ranked hits (confidence first, then id) with running precision, recall and misses. rows: confidence, id, hit.
+
+    Rows are dealt by ranges of (keys, falling confidence, id) of a bounded size; a sorted range is passed once, holding the last sums alone.
+    """
+    running = _by_confidence(rows.select(*keys, "confidence", "id", "hit"), keys)
+    sums = running.groupBy(*keys, "part").agg(F.sum("hit").alias("tp"), F.count(F.lit(1)).alias("n"))  # a row for each key and range
     before, whole = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
-    starts = sums.select(*keys, "part", F.coalesce(F.sum("tp").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
-        F.sum("tp").over(whole).alias("positives"))
-    running = parted.withColumns({"tp": F.sum("hit").over(within), "rank": F.count(F.lit(1)).over(within)}).join(starts, [*keys, "part"])
-    ranked = running.select(*keys, "confidence", "id", "hit", "part", (F.col("tp") + F.col("tp0")).alias("tp"), (F.col("rank") + F.col("n0")).alias("rank"), "positives")
+    starts = written(sums.select(*keys, "part", F.coalesce(F.sum("tp").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
+        F.sum("tp").over(whole).alias("positives")), "confidence-starts")
+    joined = running.join(starts, [*keys, "part"])
+    ranked = joined.select(*keys, "confidence", "id", "hit", "part", (F.col("tp") + F.col("tp0")).alias("tp"), (F.col("rank") + F.col("n0")).alias("rank"), "positives")
     return ranked.withColumn("precision", F.col("tp") / F.col("rank")).withColumn("recall", F.when(F.col("positives") > 0, F.col("tp") / F.col("positives")))
 
 
 def _by_confidence(rows: DataFrame, keys: Keys) -> DataFrame:
-    """Adds part: ranges of (keys, falling confidence, id), so that rows of one confidence may lie in several."""
-    parted = rows.repartitionByRange(*keys, F.desc("confidence"), "id").withColumn("part", F.spark_partition_id())
-    return written(parted, "by-confidence")
+    """Adds part: ranges of (keys, falling confidence, id), so that rows of one confidence may lie in several; and tp, rank within key and part."""
+    rows = written(rows, "detections")
+    order = [*keys, F.desc("confidence"), "id"]
+    parted = rows.repartitionByRange(parts(rows), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, tp, n = None, 0, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            hit, at = batch.column("hit").cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), np.arange(len(batch))
+            fresh = np.zeros(len(batch), bool)
+            for c in keys:
+                codes = batch.column(c).dictionary_encode("encode").indices.to_numpy()
+                fresh[1:] |= codes[1:] != codes[:-1]
+            ends = [repr([batch.column(c)[i].as_py() for c in keys]) for i in (0, len(batch) - 1)]
+            fresh[0], last = ends[0] != last, ends[1]
+            start, sums = np.maximum.accumulate(np.where(fresh, at, -1)), np.cumsum(hit)
+            own = start >= 0  # of a key that begins in this batch
+            so_far = sums + np.where(own, hit[start] - sums[start], tp)
+            rank = at + 1 + np.where(own, -start, n)
+            tp, n = int(so_far[-1]), int(rank[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(so_far), pa.array(rank)], [*batch.schema.names, "tp", "rank"])
+
+    return written(parted.mapInArrow(summed, StructType([*parted.schema.fields, StructField("tp", LongType()), StructField("rank", LongType())])), "by-confidence")
 
 
 def average_precision(curve: DataFrame, keys: Keys) -> DataFrame:
-    """Step integral of the precision envelope: the best precision at this recall or beyond."""
+    """Step integral of the precision envelope: the best precision at this recall or beyond, which a hit has. Of a key without hits the first row stays."""
+    hits = curve.where("hit <> 0 OR rank = 1").select(*keys, "part", "rank", "hit", "precision", "positives")
     within = Window.partitionBy(*keys, "part").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
-    tops = curve.groupBy(*keys, "part").agg(F.max("precision").alias("top"))
+    tops = written(hits.groupBy(*keys, "part").agg(F.max("precision").alias("top")), "precision-tops")
     ahead = Window.partitionBy(*keys).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
-    later = tops.select(*keys, "part", F.max("top").over(ahead).alias("later"))
-    enveloped = curve.join(later, [*keys, "part"]).withColumn("best", F.greatest(F.max("precision").over(within), "later"))
-    return enveloped.groupBy(*keys).agg(F.when(F.max("positives") > 0, F.sum(F.col("best") * F.col("hit")) / F.max("positives")).alias("ap"))
+    later = written(tops.select(*keys, "part", F.max("top").over(ahead).alias("later")), "precision-later")
+    dealt = hits.repartition(max(1, tops.count()), *keys, "part")  # as many tasks as parts
+    enveloped = dealt.withColumn("best", F.max("precision").over(within)).join(later, [*keys, "part"])
+    best = F.greatest("best", "later")
+    return enveloped.groupBy(*keys).agg(F.when(F.max("positives") > 0, F.sum(best * F.col("hit")) / F.max("positives")).alias("ap"))
 
 
 def log_average_miss_rate(curve: DataFrame, keys: Keys, images: int) -> DataFrame:

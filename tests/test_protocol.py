@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evifuse.functions import ranges
 from evifuse.functions.ranges import numbered
 from evifuse.operators import metrics, protocol, tracks
 
@@ -85,6 +86,28 @@ def test_curves_over_ranges_with_one_hot_confidence(spark):
         assert abs(ap[k] - (best * hits).sum() / hits.sum()) < 1e-12 and abs(lamr[k] - np.exp(np.mean(np.log(np.maximum(missed, 1e-10))))) < 1e-12
 
 
+def test_ranges_of_a_curve_are_bounded(spark):
+    """Ranges are as many as the rows need, whatever is coalesced; keys go on from batch to batch, and one without hits has no average."""
+    rows = [(k, i % 7 / 7, i, int(k != "c" and i % 3 == 0)) for k in "abc" for i in range(1000)]
+    ranges.PART, kept = 250, ranges.PART
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        curve = metrics.precision_curve(spark.createDataFrame(rows, "k string, confidence double, id long, hit int"), ["k"])
+        sizes = [r.n for r in curve.groupBy("part").agg(F.count("*").alias("n")).collect()]
+        got = {(r.k, r.id): (r.tp, r["rank"]) for r in curve.collect()}
+        ap = {r.k: r.ap for r in metrics.average_precision(curve, ["k"]).collect()}
+    finally:
+        ranges.PART = kept
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(sizes) >= 8 and max(sizes) < 750 and len(got) == 3000
+    for k in "abc":
+        tp = 0
+        for rank, r in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2])), 1):
+            tp += r[3]
+            assert got[k, r[2]] == (tp, rank)
+    assert ap["c"] is None and ap["a"] > 0 and abs(ap["a"] - ap["b"]) < 1e-12
+
+
 def test_numbers_follow_the_order(spark):
     rows = spark.createDataFrame([(x,) for x in random.Random(3).sample(range(1000), 300)], "v long").repartition(5)
     got = sorted((r.number, r.v) for r in numbered(rows, "v").collect())
