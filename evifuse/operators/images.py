@@ -4,6 +4,9 @@ Captures choose in their order, an image that an earlier capture has is gone. Th
 which image, each capture chooses among the images that no earlier one took; what they choose is what is known in the next
 round. The first captures are right after one round, whoever depends on them after the next, and nobody changes in the last. Images
 of one index or name are never paired with its captures: a window over both, by the time of taking, tells each capture what is left.
+
+Most captures of a long mission cannot get any image, whatever the others take, as so many before them asked for the same few. They are told
+apart by their places among those who ask for the same, and take no part in the rounds.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 from evifuse.sources.scratch import written
 
 NEVER = (1 << 63) - 1
+#: Groups that captures without an index or a name are dealt to.
+DEALT = 256
 CONFLICT, UNMATCHED = "capture_index_conflicts_with_file", "no_unique_image_match"
 
 
@@ -32,6 +37,40 @@ def left_over(captures: DataFrame, images: DataFrame, keys: list[str], by: list[
     return found.where("order IS NOT NULL")
 
 
+def asked(captures: DataFrame, images: DataFrame, keys: list[str], by: list[str], counted: Column, name: str) -> DataFrame:
+    """Adds ``name`` as (all, place): images that agree in ``by``, and how many ``counted`` captures up to and with this one ask for them. Captures without a value are dealt by order."""
+    known = F.lit(True)
+    for c in by:
+        known &= F.col(c).isNotNull()
+    own = images.where(known).select(*keys, *by, F.lit(1).alias("_image"))
+    both = captures.unionByName(own, allowMissingColumns=True).withColumn("_deal", F.when(known, 0).otherwise(F.pmod(F.xxhash64("order"), F.lit(DEALT))))
+    so_far = Window.partitionBy(*keys, *by, "_deal").orderBy(F.asc_nulls_first("order")).rowsBetween(Window.unboundedPreceding, 0)  # images come first
+    held = both.withColumn(name, F.struct(F.count("_image").over(so_far).alias("all"), F.count(F.when(F.col("order").isNotNull() & counted, 1)).over(so_far).alias("place")))
+    return held.where("order IS NOT NULL").drop("_image", "_deal")
+
+
+def contenders(captures: DataFrame, images: DataFrame, keys: list[str], strict: bool) -> DataFrame:
+    """Captures with some, index, named (strictly: both) and ``may``: whether they can get an image at all.
+
+    Whoever asks takes one of the group's images if any is left, so after as many captures as images nobody gets one: those of an index, then those of a
+    name who certainly get none by index. Strictly a group of several may have one left at any time; of one image only the first asks.
+    """
+    ends = images.groupBy(*keys).agg(F.max("position").alias("last"), F.lit(True).alias("some"))
+    by_index, by_name = F.col("image_index").isNotNull(), F.col("name").isNotNull()
+    first = lambda g: F.col(f"{g}.place") <= F.col(f"{g}.all")
+    if not strict:
+        rows = asked(captures, images, keys, ["image_index"], F.lit(True), "index")
+        rows = asked(rows, images, keys, ["name"], ~first("index"), "named").join(ends, keys, "left")
+        may = first("index") | first("named") | F.coalesce(F.col("order") <= F.col("last"), F.lit(False))
+    else:
+        rows = asked(captures, images, keys, ["image_index"], ~by_name, "index")
+        rows = asked(rows, images, keys, ["name"], ~by_index, "named")
+        rows = asked(rows, images, keys, ["image_index", "name"], F.lit(True), "both").join(ends, keys, "left")
+        open_ = lambda g: (F.col(f"{g}.all") > 1) | ((F.col(f"{g}.all") == 1) & (F.col(f"{g}.place") == 1))
+        may = F.when(by_index & by_name, open_("both")).when(by_index, open_("index")).when(by_name, open_("named")).otherwise(False)
+    return rows.withColumn("may", may).drop("last")
+
+
 def match(captures: DataFrame, images: DataFrame, keys: list[str], strict: bool) -> DataFrame:
     """keys, order, position, basis, image, reason for captures (keys, order, image_index, file) and images (keys, position, image_index, file).
 
@@ -39,20 +78,22 @@ def match(captures: DataFrame, images: DataFrame, keys: list[str], strict: bool)
     Otherwise the first image left by index, then by file name, then the one in the capture's own place is taken, and without any a name is
     made up. Names are compared in lower case. A key without images takes made-up names either way. Keys are not null.
     """
-    events = written(captures.select(*keys, "order", "image_index", F.lower("file").alias("name"), "file"), "captures")
     pictures = written(images.select(*keys, "position", "image_index", F.lower("file").alias("name"), F.col("file").alias("image")), "images")
+    every = written(contenders(captures.select(*keys, "order", "image_index", F.lower("file").alias("name"), "file"), pictures, keys, strict), "captures")
+    events = written(every.where("may").select(*keys, "order", "image_index", "name", "file", "some"), "captures-contending")
     taken, known = pictures.select(*keys, "position").limit(0).withColumn("taken", F.lit(None).cast("long")), None
-    groups = {"both": ["image_index", "name"], "index": ["image_index"], "named": ["name"]}
-    some = pictures.select(*keys).distinct().withColumn("some", F.lit(True))
+    by_index, by_name = F.col("image_index").isNotNull(), F.col("name").isNotNull()
+    groups = {"both": (["image_index", "name"], by_index & by_name), "index": (["image_index"], by_index & ~by_name), "named": (["name"], by_name & ~by_index)}
+    out = [*keys, "order", "image_index", "file", "position", "basis", "reason"]
     while True:
         free = pictures.join(taken, [*keys, "position"], "left").withColumn("taken", F.coalesce("taken", F.lit(NEVER)))
-        rows = events.join(some, keys, "left")
-        for name, by in groups.items():
+        rows = events
+        for name, (by, own) in groups.items():
             if strict or name != "both":
-                rows = rows.join(left_over(events, free, keys, by, name), [*keys, "order"], "left")
+                rows = rows.join(left_over(events.where(own) if strict else events, free, keys, by, name), [*keys, "order"], "left")
         own = free.select(*keys, F.col("position").alias("order"), F.col("taken").alias("placed"))
         rows = rows.join(own, [*keys, "order"], "left").withColumn("placed", F.when(F.col("placed") >= F.col("order"), F.col("order")))
-        chosen = written((_strictly(rows) if strict else _freely(rows)).select(*keys, "order", "image_index", "file", "position", "basis", "reason"), "image-matches")
+        chosen = written((_strictly(rows) if strict else _freely(rows)).select(*out), "image-matches")
         taken = written(chosen.where("position IS NOT NULL").groupBy(*keys, "position").agg(F.min("order").alias("taken")), "images-taken")
         mark = taken.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "position", "taken").cast("decimal(20,0)"))).first()
         if mark == known:
@@ -60,6 +101,10 @@ def match(captures: DataFrame, images: DataFrame, keys: list[str], strict: bool)
         known = mark
     made_up = F.format_string("image_%06d.jpg", F.coalesce("image_index", "order"))
     named = chosen.join(pictures.select(*keys, "position", "image"), [*keys, "position"], "left")
+    none = {c: F.struct(F.lit(0).alias("n"), F.lit(None).cast("long").alias("position"), F.col(f"{c}.all").alias("all")) for c in groups if strict or c != "both"}
+    rest = every.where("NOT may").withColumns({**none, "placed": F.lit(None).cast("long")})
+    rest = (_strictly(rest) if strict else _freely(rest)).select(*out).withColumn("image", F.lit(None).cast("string"))
+    named = named.select(*out, "image").unionByName(rest)
     return named.select(*keys, "order", "position", "basis", F.coalesce("image", F.when(F.col("reason").isNull(), F.coalesce("file", made_up))).alias("image"), "reason")
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from evifuse.operators import images
 
 CAPTURES, IMAGES = "rig long, order long, image_index long, file string", "rig long, position long, image_index long, file string"
@@ -51,6 +53,18 @@ def test_a_chain_of_displaced_captures(spark):
     assert images.match(spark.createDataFrame([], CAPTURES), none, ["rig"], False).count() == 0
 
 
+def test_captures_that_cannot_get_an_image_take_no_part(spark):
+    """A long mission's captures ask for few images over and over; the rounds hold about as many captures as images, with the same matches."""
+    pictures = [(1, p, p, f"a{p}.jpg") for p in range(6)]
+    captures = [(1, o, o * 7 % 5 if o % 3 else None, f"A{o * 7 % 5}.jpg" if o % 4 else None) for o in range(200)]
+    frame = spark.createDataFrame(captures, CAPTURES), spark.createDataFrame(pictures, IMAGES)
+    named = [d.withColumn("name", F.lower("file")) for d in frame]
+    for strict in (False, True):
+        assert images.contenders(*named, ["rig"], strict).where("may").count() <= 3 * len(pictures)
+        got = {(r.rig, r.order): (r.position, r.reason) for r in images.match(*frame, ["rig"], strict).collect()}
+        assert got == walked(captures, pictures, strict)
+
+
 def test_selectors_choose_among_several(spark):
     shot, pose, gps = "CAMERA_IMAGE_CAPTURED", "GLOBAL_POSITION_INT", "GPS_RAW_INT"
     rows = [
