@@ -201,7 +201,7 @@ def audit(docs: DataFrame, labels: DataFrame, risk: float = RISK) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame, risk: float = RISK) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns; the rows are stored beside their measures, not joined to them again."""
-    measures = materialize(measured(docs, "doc_id", "lang", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), "quality-measures")
+    measures = materialize(measured(docs, "doc_id", "lang", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), "quality-measures", "zstd")
     return ruled(measures, labels, risk).where("kept").select("row.*")
 
 

@@ -39,7 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
     It cuts the lineage and survives lost executors, as the files belong to no executor. The folder is the
@@ -47,7 +47,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "snappy").parquet(path)  # zstd keeps native buffers of every small task until a collection
+    df.write.option("compression", codec).parquet(path)  # zstd, for whole texts, keeps native buffers of every small task until a collection
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,7 @@
 """What holds where labels are few, ids repeat, names clash or rules tie."""
 
 import random
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -97,3 +98,18 @@ def test_shared_folder_is_never_one_machine_s_on_a_cluster():
 
     with pytest.raises(ValueError, match="checkpoint"):
         shared.shared_folder(Cluster())
+
+
+def test_kept_rows_are_stored_smaller_than_snappy(spark, tmp_path):
+    """The rows that the quality rules store beside their measures stay in the shared folder."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=400)), "en") for i in range(400)], "doc_id long, text string, lang string").coalesce(1)
+    docs.write.option("compression", "snappy").parquet(f"{tmp_path}/docs")
+    folder = Path(shared.shared_folder(spark).removeprefix("file://"))
+    before = set(folder.glob("quality-measures-*"))
+    kept = quality.keep(spark.read.parquet(f"{tmp_path}/docs"), spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert sorted(kept.columns) == ["doc_id", "lang", "text"] and kept.count() <= 400
+    (stored,) = set(folder.glob("quality-measures-*")) - before
+    size = lambda of: sum(p.stat().st_size for p in of.glob("*.parquet"))
+    assert 0 < size(stored) < 0.85 * size(tmp_path / "docs")
