@@ -1,13 +1,15 @@
 """Phrase collocation mining by contiguous pattern growth.
 
-Words, then pairs, that occur often enough bound the search: every part of a frequent phrase is frequent. An occurrence of a
-frequent pair is a pointer, carried as the words that stand to its right as long as neighbouring words are frequent pairs, five at most. Pointers are
+Words, then pairs, then triples, that occur often enough bound the search: every part of a frequent phrase is frequent. An occurrence of a
+frequent pair is a pointer, carried as the words that stand to its right as long as the last three are a frequent triple, five at most. So few
+pointers differ that a task sums them over all that it reads, which is a core's share of the table (``spark.default.parallelism``, where executors
+come and go) but no more than ``SHARE``. Pointers are
 parted by ranges of (lang, prefix) and sorted, so that a prefix's pointers lie together in one task, which grows
 it to the right depth-first: the stack of the open prefixes is all that the task holds. A prefix with more pointers than a task should
 have lies in several: what is open at a task's edge is stated in part and summed, eight phrases a task at most. Every
 phrase below that is then counted in whole.
 
-Two bitmaps of fixed size hold the hashes of frequent words and pairs. They only shorten pointers, as a hash in doubt stays in; the counts are of the
+Three bitmaps of fixed size hold the hashes of frequent words, pairs and triples. They only shorten pointers, as a hash in doubt stays in; the counts are of the
 words themselves. Products of counts are decimals of 38 digits, so scores are exact up to 10^13 words for each language.
 
 Edge cases: a null lang is ``und``, a null text empty. Words that stand in different pieces or documents are never
@@ -32,8 +34,10 @@ from evifuse.llm.shared import materialize, raw_texts
 
 #: Occurrences of a phrase, words of a phrase, phrases reported for each language.
 LEAST, MOST, TOP = 100, 5, 2000
-#: Bits of the two bitmaps as a power of two, words worked on at once, bytes of a long text's slice, distinct words counted before they are handed on.
-BITS, CHUNK, SLICE, HELD = 27, 1 << 20, 1 << 20, 1 << 18
+#: Bits of a bitmap as a power of two, words worked on at once, bytes of a long text's slice, distinct words counted before they are handed on, distinct pointers likewise, triples.
+BITS, CHUNK, SLICE, HELD, SUMMED, THREES = 27, 1 << 20, 1 << 20, 1 << 18, 1 << 19, 1 << 20
+#: Words that a task sums over at most, about.
+SHARE = 1 << 26
 #: Parts in which a language's candidates are ranked before the last.
 SALTS = 32
 
@@ -66,8 +70,8 @@ def cut(text: bytes) -> Iterator[tuple[list[bytes], int | None]]:
     yield tokens(folded[at:]), None
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], int]]:
-    """Language, words with breaks, how many of them begin phrases."""
+def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[tuple[str, list[bytes], int]]:
+    """Language, words with breaks (of all languages ``size`` at a time), how many of them begin phrases."""
     held: dict[str, list[bytes]] = {}
     n = 0
     for batch in batches:
@@ -80,7 +84,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]
                 kept += words
                 kept.append(BREAK)
                 n += len(words) + 1
-                if n >= CHUNK:
+                if n >= size:
                     for key, value in held.items():
                         yield key, value, len(value)
                     held, n = {}, 0
@@ -123,10 +127,19 @@ class Numbered:
             often[index[BREAK]] = False
         marks = often[self.ids]
         self.neighbours = marks[:-1] & marks[1:]
-        placed = hashes[self.ids]
-        self.pairs = (placed[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (placed[1:] + (placed[:-1] >> np.uint64(29)))
+        self.pairs = mixed(hashes[self.ids])
         self.starts = starts
 
+    def triples(self, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where frequent pairs stand, the hashes of three neighbours, and where these are two frequent pairs."""
+        pairs = self.neighbours & held(often, self.pairs)
+        return pairs, mixed(self.pairs), pairs[:-1] & pairs[1:]
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """A hash of each two neighbours."""
+    return (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[1:] + (hashes[:-1] >> np.uint64(29)))
+
 
 def held(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether each hash is in a bitmap of 64-bit words."""
@@ -151,16 +164,47 @@ def counted_pairs(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n, pa.int64())], ["hash", "n"])
 
 
-def pointers(batches: Iterator[pa.RecordBatch], frequent, often) -> Iterator[pa.RecordBatch]:
+def counted_triples(batches: Iterator[pa.RecordBatch], frequent, often) -> Iterator[pa.RecordBatch]:
+    """Occurrences of hashed triples of two frequent pairs."""
+    for lang, words, starts in chunks(batches, CHUNK // 4):
+        _, hashes, which = Numbered(lang, words, starts, frequent.value).triples(often.value)
+        triples, n = np.unique(hashes[:starts][which[:starts]], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(triples.view(np.int64)), pa.array(n, pa.int64())], ["triple", "n"])
+
+
+def summed(batches: Iterator[pa.RecordBatch], by: list[str], most: int) -> Iterator[pa.RecordBatch]:
+    """Equal ones as one row, as long as a task then holds fewer than ``most``; else these are handed on."""
+    waiting: list[pa.RecordBatch] = []
+    rows = 0
+
+    def total() -> pa.Table:
+        return pa.Table.from_batches(waiting).group_by(by, use_threads=False).aggregate([("n", "sum")]).select([*by, "n_sum"]).rename_columns([*by, "n"])
+
+    for batch in batches:
+        waiting.append(batch)
+        rows += len(batch)
+        if rows >= 2 * most:
+            table = total()
+            waiting, rows = table.to_batches(), len(table)
+            pa.default_memory_pool().release_unused()
+            if rows >= most:
+                yield from waiting
+                waiting, rows = [], 0
+    if waiting:
+        yield from total().to_batches()
+
+
+def pointers(batches: Iterator[pa.RecordBatch], frequent, often, triples) -> Iterator[pa.RecordBatch]:
     """Occurrences of frequent pairs with what may be grown from them, equal ones of a chunk as one row. Each word ends with a blank."""
-    for lang, words, starts in chunks(batches):
+    for lang, words, starts in chunks(batches, CHUNK // 4):
         chunk = Numbered(lang, words, starts, frequent.value)
+        pairs, hashes, which = chunk.triples(often.value)
         good = np.zeros(len(words) + MOST, bool)
-        good[: len(chunk.pairs)] = chunk.neighbours & held(often.value, chunk.pairs)
-        at = np.flatnonzero(good[:starts])
+        good[: len(which)] = which & held(triples.value, hashes)
+        at = np.flatnonzero(pairs[:starts])
         length = np.full(len(at), 2)
-        for step in range(1, MOST - 1):
-            length += (length == step + 1) & good[at + step]
+        for step in range(MOST - 2):
+            length += (length == step + 2) & good[at + step]
         ids = np.concatenate([chunk.ids, np.zeros(MOST, np.int64)]) + 1
         columns = [np.where(length > i, ids[at + i], 0) for i in range(MOST)]
         keys = [columns[i] << 32 | columns[i + 1] if i + 1 < MOST else columns[i] for i in range(0, MOST, 2)]
@@ -227,7 +271,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
     frequent = spark.sparkContext.broadcast(bitmap(words.select(F.xxhash64(F.concat("lang", F.lit("\t"), "phrase")).alias("hash"))))
     pairs = rows.mapInArrow(lambda batches: counted_pairs(batches, frequent), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
     often = spark.sparkContext.broadcast(bitmap(pairs.where(F.col("n") >= least)))
-    found = materialize(rows.mapInArrow(lambda batches: pointers(batches, frequent, often), counts), "phrases-pointers")
+    n_words = totals.agg(F.sum("n")).first()[0] or 0
+    shares = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-n_words // SHARE)))
+    threes = shares.mapInArrow(lambda batches: summed(counted_triples(batches, frequent, often), ["triple"], THREES), "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n"))
+    triples = spark.sparkContext.broadcast(bitmap(threes.where(F.col("n") >= least).withColumnRenamed("triple", "hash")))
+    found = materialize(shares.mapInArrow(lambda batches: summed(pointers(batches, frequent, often, triples), ["lang", "phrase"], SUMMED), counts), "phrases-pointers")
     parted = found.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
     phrases = parted.mapInArrow(lambda batches: grown(batches, least), counts).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     phrases = materialize(phrases.where(F.col("n") >= least), "phrases-grown")

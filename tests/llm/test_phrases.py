@@ -103,6 +103,33 @@ def test_growth_agrees_wherever_parts_are_cut():
         assert {k: v for k, v in got.items() if v >= 20} == {k: v for k, v in want.items() if v >= 20}
 
 
+def test_pointers_are_as_few_as_the_phrases(spark, monkeypatch):
+    """Every pair is frequent, no triple is: a task hands on each pair once, not each window of five words."""
+    rng, made = random.Random(10), {}
+    rows = [("en", " ".join(rng.choice("abcdefghijkl") for _ in range(200))) for _ in range(100)]
+    real = phrases.materialize
+    monkeypatch.setattr(phrases, "materialize", lambda df, name, *more: made.setdefault(name, real(df, name, *more)))
+    assert told(phrases.collocations(frame(spark, rows), 60, 500)) == brute(rows, 60, 500)
+    assert 12 * 12 <= made["phrases-pointers"].count() <= 3 * 12 * 12  # of three tasks
+
+
+def test_sums_are_the_same_however_few_are_held():
+    rng = random.Random(11)
+    rows = [(rng.choice("xy"), rng.choice("abcdefgh"), rng.randint(1, 9)) for _ in range(300)]
+    want = Counter()
+    for lang, p, n in rows:
+        want[lang, p] += n
+    batches = [pa.record_batch(dict(zip(("lang", "phrase", "n"), map(list, zip(*rows[i : i + 7]))))) for i in range(0, len(rows), 7)]
+    for most in (1, 5, 12, 17, 1000):
+        told = [(r["lang"], r["phrase"], r["n"]) for piece in phrases.summed(iter(batches), ["lang", "phrase"], most) for r in piece.to_pylist()]
+        got = Counter()
+        for lang, p, n in told:
+            got[lang, p] += n
+        assert got == want
+        assert len(told) == len(want) or most <= len(want)
+    assert list(phrases.summed(iter([]), ["lang", "phrase"], 5)) == []
+
+
 def test_empty_table(spark):
     assert phrases.collocations(frame(spark, [("en", "a")]).limit(0)).count() == 0
     assert phrases.collocations(frame(spark, [("en", "a b"), (None, None)])).count() == 0
