@@ -54,6 +54,8 @@ WORDS, SIMILAR = 3, 90  # words of a shingle; least similarity in hundredths
 SKETCH_BITS, MOST_BITS, BYTES_EACH, CHUNK_BITS = 21, 24, 72, 16
 #: DivideSkip's coefficient: merging costs a shuffle and probing does not, so most lists are set aside. Postings of a list that stay together.
 MU, PART = 0.001, 4096
+#: Links, or ids, for each file between the rounds: a file costs more than its rows where there are few, as many as the shuffle has parts.
+EACH = 1 << 20
 #: Slots of the short parities that go with the lists.
 FOLD = 256
 #: Distinct words whose hashes a task remembers; pairs compared together.
@@ -360,10 +362,12 @@ def merged(postings: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, for every id in the links (x, y), by alternating stars.
 
-    Each round hangs neighbours on the least one; rounds grow with the logarithm of the links.
+    Each round hangs neighbours on the least one; rounds grow with the logarithm of the links. A round at most doubles its links,
+    so those of the one before tell how many files are enough.
     """
     edges = links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct()
-    edges = materialize(edges, "links")
+    n = links.count()
+    edges = materialize(edges.coalesce(n // EACH + 1), "links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -371,14 +375,14 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(2 * n // EACH + 1), "stars")
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     labels = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
     roots = labels.select(F.col("component").alias("id"), "component").distinct()
-    return labels.unionByName(roots)
+    return labels.unionByName(roots).coalesce(2 * n // EACH + 1)
 
 
 def possible(divide: Divide) -> Column:
@@ -487,7 +491,7 @@ def firsts(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR) -> DataFr
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, divide) -> DataFrame:
     """The pairs that link, by their parities first and then by probing."""
     left = materialize(near(pairs, classes, divide.value.similar), "jaccard-near")
-    ids = materialize(left.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "jaccard-ids")
+    ids = materialize(left.select(F.explode(F.array("x", "y")).alias("id")).distinct().coalesce(2 * left.count() // EACH + 1), "jaccard-ids")
     return probe(left, materialize(sets_of(docs, ids, size), "jaccard-held"), divide)
 
 

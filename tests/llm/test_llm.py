@@ -215,6 +215,30 @@ def test_rows_without_an_id_never_stand_for_document_0(spark, words):
     assert [r["doc_id"] for r in kept] == [0, 2, 2, None, None, None] and len({r["text"] for r in kept if r["doc_id"] == 2}) == 2
 
 
+def test_few_links_go_to_few_files(spark, monkeypatch):
+    """However many parts the shuffle has; where links are many, they go to several."""
+    files, write = [], jaccard_join.materialize
+
+    def counted(df, name):
+        made = write(df, name)
+        files.append(len(made.inputFiles()))
+        return made
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100 + i, 200) for i in range(30)] + [(7, 7), (0, 1)], "x long, y long")
+    want = {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {200: 100}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = counted(jaccard_join.components(links), "components")
+        assert dict(map(tuple, found.collect())) == want and found.count() == len(want) and set(files) == {1}
+        files.clear()
+        monkeypatch.setattr(jaccard_join, "EACH", 50)
+        found = counted(jaccard_join.components(links), "components")
+        assert dict(map(tuple, found.collect())) == want and found.count() == len(want) and min(files) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_merging_skips_and_loses_nothing():
     """Against plain counting; skipping reads fewer postings than the lists hold."""
     rng = random.Random(33)
