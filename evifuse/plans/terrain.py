@@ -36,12 +36,10 @@ def _rays(spark, sf_dir):
 
 def terrain_uncertainty(spark, sf_dir):
     """Landings, the field's own deviation there, the farthest of the probes, and the larger of it and the first-order deviation."""
-    rays = _rays(spark, sf_dir)
-    found = terrain.projected(rays, terrain.tiles(_field(spark), FIELD), FIELD)
-    both = found.join(rays.drop("dx", "dy", "dz"), "ray")
+    both = terrain.projected(_rays(spark, sf_dir), terrain.tiles(_field(spark), FIELD), FIELD, ("ox", "oy", "oz", "se", "sn", "su"))
     zero = F.lit(0.0)
     level = frames.ground_uncertainty(
-        (F.col("east") - F.col("ox"), F.col("north") - F.col("oy")), F.col("oz") - F.col("up"), F.col("reach"), (F.col("se"), F.col("sn"), F.coalesce("su", zero)), zero, zero,
+        (F.col("east") - F.col("ox"), F.col("north") - F.col("oy")), F.col("oz") - F.col("up"), F.col("reach"), (F.col("se"), F.col("sn"), F.col("su")), zero, zero,
         F.col("ray") % 5 * 0.001, F.lit(0.5), F.lit(0.2), F.lit(800.0), F.col("ground_sigma"), zero,
     )
     return rounded(both.withColumn("sigma", F.greatest(level, "probe")).select("ray", "reach", "east", "north", "up", "ground_sigma", "probe", "sigma"), "reach", "east",

@@ -1,9 +1,11 @@
 """Landings on a rough field against fine sampling, and probes against single landings."""
 
+import duckdb
 import numpy as np
 import pytest
 
 from evifuse.operators import terrain
+from evifuse.plans.terrain import QUERIES
 
 RAYS = "ray long, ox double, oy double, oz double, dx double, dy double, dz double, se double, sn double, su double, angle double"
 
@@ -115,3 +117,31 @@ def test_no_field(spark):
     none = terrain.tiles(spark.createDataFrame([], "row int, col int, height double, sigma double"), s)
     rays = spark.createDataFrame([(1, 5.0, 5.0, 20.0, 0.0, 0.0, -1.0, 0.1, 0.1, 0.1, 0.1)], RAYS)
     assert [(r.ray, r.reach, r.probe) for r in terrain.projected(rays, none, s).collect()] == [(1, None, None)]
+
+
+def test_small_shares_of_cells_count():
+    """Near a line between centres a cell's share is tiny, but it counts if the cell is known."""
+    s = terrain.Surface(0.0, 20.0, 1.0, 20, 20, tile=32)
+    y, x = np.mgrid[:20, :20]
+    grid = 1000 + 3.0 * x + 2.0 * y
+    for off in (-5e-10, 5e-10):
+        for east, north in ((7.5 + off, 7.3), (7.3, 7.5 + off), (7.5 + off, 7.5 + off), (7.5 + 1e-5, 7.5 - 1e-5)):
+            got = whole(s, grid).sample(whole(s, grid).height, np.array([east]), np.array([north]))[0]
+            assert abs(got - (1000 + 3 * (east - 0.5) + 2 * (20 - north - 0.5))) < 1e-10
+    grid[12, 8] = np.nan
+    window = whole(s, grid)
+    at = window.sample(window.height, np.array([7.5, 7.5 + 5e-10, 7.5 + 5e-9]), np.array([7.5, 7.5, 7.5]))
+    assert abs(at[0] - 1045) < 1e-9 and abs(at[1] - 1045) < 1e-8 and np.isnan(at[2])
+
+
+def test_odd_orders_equal_the_sql(spark, tmp_path):
+    """Keys that are absent, repeated, negative or large are rays too."""
+    keys = [(None, 5), (None, None), (7, None), (-3, -4), (-64, 11), (9, 3), (9, 2), (10**12 + 1, 10**11 + 3), *((i, i * 37 % 1500) for i in range(20, 120))]
+    spark.createDataFrame(keys, "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    run, sql = QUERIES["terrain_uncertainty"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    names = ["ray", "reach", "east", "north", "up", "ground_sigma", "probe", "sigma"]
+    got = sorted(map(repr, map(tuple, run(spark, str(tmp_path)).select(*names).collect())))
+    want = sorted(map(repr, con.execute(f"SELECT {', '.join(names)} FROM ({sql})").fetchall()))
+    assert got == want and len(got) == 106
