@@ -119,6 +119,35 @@ def test_no_field(spark):
     assert [(r.ray, r.reach, r.probe) for r in terrain.projected(rays, none, s).collect()] == [(1, None, None)]
 
 
+def test_steep_rays_land_where_a_walk_lands(monkeypatch):
+    """On a hilly field with holes, and on a plane with a few samples for each ray."""
+    s = terrain.Surface(0.0, 60.0, 1.0, 60, 60, max_range=90.0, tolerance=1e-6, step=0.25, tile=16)
+    rng = np.random.default_rng(8)
+    n = 2000
+    origin = np.stack([rng.uniform(-2, 62, n), rng.uniform(-2, 62, n), rng.uniform(-1, 30, n)], 1)
+    ray = np.stack([rng.normal(0, 0.4, n), rng.normal(0, 0.4, n), -np.ones(n)], 1)
+    ray /= np.linalg.norm(ray, axis=1)[:, None]
+    y, x = np.mgrid[:60, :60]
+    grid = 2 * np.sin(y / 5) + np.cos(x / 3) + 0.1 * x
+    grid[rng.random((60, 60)) < 0.001] = np.nan
+    for field_ in (grid, grid * 0 + 0.05 * x):
+        window = whole(s, field_)
+        got = window.landings(origin, ray, float(np.nanmin(field_)))
+        end = np.minimum(90.0, (origin[:, 2] - np.nanmin(field_)) / -ray[:, 2])
+        good = end >= 0
+        want = np.full(n, np.nan)
+        want[good] = window.walked(origin[good], ray[good], end[good], np.ceil(end[good] / s.stride).astype(np.int64))
+        direct = window.fallen(origin[good], ray[good], end[good])
+        assert (np.isnan(got) == np.isnan(want)).all() and np.nanmax(np.abs(got - want)) < 1e-11
+        assert np.isfinite(direct).sum() > 0.5 * np.isfinite(want).sum() > 300
+    plane, seen = whole(s, 1 + 0.05 * x + 0.02 * y), []
+    inner = np.abs(origin[:, :2] - 30).max(1) < 15
+    floor = np.floor
+    monkeypatch.setattr(np, "floor", lambda a: seen.append(np.size(a)) or floor(a))
+    plane.landings(origin[inner], ray[inner], 1.0)
+    assert sum(seen) < 30 * inner.sum()
+
+
 def test_small_shares_of_cells_count():
     """Near a line between centres a cell's share is tiny, but it counts if the cell is known."""
     s = terrain.Surface(0.0, 20.0, 1.0, 20, 20, tile=32)
