@@ -155,8 +155,8 @@ def motion_bound(span_s: Column, fraction: Column, acceleration: float) -> Colum
 
 
 def went_back(observations: DataFrame, keys: list[str]) -> DataFrame:
-    """Observations whose clock is behind an earlier arrival's of the same source. Of those that arrive at once the older comes first."""
-    before = F.lag("t").over(Window.partitionBy(*keys).orderBy("seq", "t"))
+    """Observations whose clock is behind an earlier arrival's of the same source. Of those that arrive at once the older comes first; unnumbered ones come last."""
+    before = F.lag("t").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last("seq"), "t"))
     return observations.withColumn("before", before).where(F.col("before") > F.col("t"))
 
 

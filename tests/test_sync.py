@@ -1,10 +1,13 @@
 """The nearest partner against a search, and the states of absent ones."""
 
+import datetime
 import random
 
+import duckdb
 import numpy as np
 
 from evifuse.operators import raster, sync
+from evifuse.plans.sync import QUERIES
 
 OBS = "seq long, rig long, stream string, t long, unc long, domain string"
 
@@ -61,3 +64,18 @@ def test_resets_do_not_depend_on_the_order_of_rows(spark):
         df = spark.createDataFrame(held, "seq long, rig long, stream string, t long").coalesce(1)
         got = sorted((r.seq, r.t, r.before) for r in sync.went_back(df, ["rig", "stream"]).collect())
         assert got == [(2, 30, 50), (3, 10, 60)]
+
+
+def test_resets_of_odd_events_equal_the_sql(spark, tmp_path):
+    """Unnumbered events come last, as in the SQL; those without a time, user or type and negative numbers occur too."""
+    at = lambda s: None if s is None else datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    rows = [(1, 50, 1, "a"), (2, 40, 1, "a"), (None, 45, 1, "a"), (3, None, 1, "a"), (4, 30, 1, "a"), (-5, 60, 1, "a"), (None, 10, 2, "a"), (1, 20, 2, "a"), (7, 20, None, "a"), (8, 10, None, "a"),
+        (7, 20, 3, None), (8, 10, 3, None), (200_011, 5, 1, "a"), (9, -(10**9), 4, "b"), (10, -2 * 10**9, 4, "b")]
+    events = spark.createDataFrame([(n, at(t), u, kind, 1.0, "{}") for n, t, u, kind in rows], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    run, sql = QUERIES["boot_reset_detect"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = sorted(map(repr, map(tuple, run(spark, str(tmp_path)).select("seq", "rig", "stream", "back_ns").collect())))
+    want = sorted(map(repr, con.execute(f"SELECT seq, rig, stream, back_ns FROM ({sql})").fetchall()))
+    assert got == want and any(r.startswith("(None, 2") for r in got)
